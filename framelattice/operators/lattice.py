@@ -4,7 +4,7 @@ Three access patterns carry everything else in this package:
 
 * ``neighbourhood``: fixed offsets, by lag/lead over rows and then columns. One exchange on the frame
   key serves both windows and no row is multiplied.
-* ``attach_planes`` + ``gather_bilinear``: data-dependent positions. One array per field and frame is
+* ``attach_planes`` + ``with_position`` / ``at_position``: data-dependent positions. One array per field and frame is
   joined on the frame key and indexed in generated code, so cells never move again however many
   lookups follow. For frames up to ``PLANE_CELL_LIMIT`` cells.
 * ``sample_row_pairs``: the same lookups for larger frames, as an equi-join on the row below each
@@ -191,15 +191,36 @@ def _blend(a: Column, b: Column, c: Column, d: Column, tx: Column, ty: Column) -
     return top + (bottom - top) * ty
 
 
-def gather_bilinear(plane: Column, x: Column, y: Column, width, height) -> Column:
-    """Bilinear value of a row-major array at (x, y), clamped to the image."""
-    w, h = as_col(width), as_col(height)
-    cx, cy = clamp(x, 0.0, (w - 1).cast("double")), clamp(y, 0.0, (h - 1).cast("double"))
-    x0, y0 = F.floor(cx).cast("int"), F.floor(cy).cast("int")
-    x1, y1 = F.least(x0 + 1, (w - 1).cast("int")), F.least(y0 + 1, (h - 1).cast("int"))
-    r0, r1 = y0 * w.cast("int"), y1 * w.cast("int")
-    at = lambda i: F.get(plane, i)
-    return _blend(at(r0 + x0), at(r0 + x1), at(r1 + x0), at(r1 + x1), cx - x0, cy - y0)
+def with_position(df: DataFrame, name: str, x: Column, y: Column, width, height, clamped: bool = True) -> DataFrame:
+    """Adds the array position of (x, y) as ``{name}_i`` (top-left index), ``_r``, ``_d`` (steps right
+    and down) and the fractions ``_tx``, ``_ty``, for ``at_position``.
+
+    Positions are columns of their own because every plane read at the same place shares them, and
+    because repeating them inside each read would push the generated method over the size the JVM
+    compiles. ``clamped=False`` is for positions masked by ``inside`` afterwards.
+    """
+    w, h = as_col(width).cast("int"), as_col(height).cast("int")
+    if clamped:
+        x, y = clamp(x, 0.0, (w - 1).cast("double")), clamp(y, 0.0, (h - 1).cast("double"))
+    d = df.withColumns({f"{name}_tx": x, f"{name}_ty": y})
+    cx, cy = F.col(f"{name}_tx"), F.col(f"{name}_ty")
+    d = d.withColumns({f"{name}_i": F.floor(cx).cast("int"), f"{name}_d": F.floor(cy).cast("int")})
+    x0, y0 = F.col(f"{name}_i"), F.col(f"{name}_d")
+    return d.withColumns({
+        f"{name}_tx": cx - x0, f"{name}_ty": cy - y0, f"{name}_i": y0 * w + x0,
+        f"{name}_r": F.when(x0 < w - 1, 1).otherwise(0), f"{name}_d": F.when(y0 < h - 1, w).otherwise(0)})
+
+
+def at_position(plane: Column | str, name: str) -> Column:
+    """Bilinear value of a row-major array at a position made by ``with_position``."""
+    p = F.col(plane) if isinstance(plane, str) else plane
+    i, r, d = (F.col(f"{name}_{k}") for k in "ird")
+    return _blend(F.get(p, i), F.get(p, i + r), F.get(p, i + d), F.get(p, i + d + r),
+                  F.col(f"{name}_tx"), F.col(f"{name}_ty"))
+
+
+def drop_position(df: DataFrame, *names: str) -> DataFrame:
+    return df.drop(*[f"{n}_{k}" for n in names for k in ("tx", "ty", "i", "r", "d")])
 
 
 def gather_nearest(plane: Column, x: Column, y: Column, width, height) -> Column:
@@ -250,9 +271,8 @@ def sample_bilinear(queries: DataFrame, source: DataFrame, values: dict[str, str
     if access == "planes":
         names = {s: f"_plane_{n}" for s, n in values.items()}
         planes = long_to_planes(source.select(*keys, "y", "x", *values), list(values), keys)
-        j = attach_planes(queries, planes.withColumnsRenamed(names), keys)
-        out = j.select(*queries.columns, *[
-            gather_bilinear(F.col(names[s]), F.col(x), F.col(y), width, height).alias(n) for s, n in values.items()])
+        j = attach_planes(with_position(queries, "_q", F.col(x), F.col(y), width, height), planes.withColumnsRenamed(names), keys)
+        out = j.select(*queries.columns, *[at_position(names[s], "_q").alias(n) for s, n in values.items()])
     else:
         out = sample_row_pairs(queries, source, values, x, y, width, height, keys)
     if border == "clamp":
@@ -405,9 +425,8 @@ def invert_flow(forward: DataFrame, width: int, height: int, iterations: int = 4
     d = attach_planes(grid, planes, keys).withColumn("_px", F.col("x").cast("double")).withColumn(
         "_py", F.col("y").cast("double")).withColumn("valid", F.lit(True))
     for _ in range(iterations):
-        gx = gather_bilinear(F.col("_fx"), F.col("_px"), F.col("_py"), width, height)
-        gy = gather_bilinear(F.col("_fy"), F.col("_px"), F.col("_py"), width, height)
-        d = d.withColumns({"_gx": gx, "_gy": gy})
+        d = with_position(d, "_q", F.col("_px"), F.col("_py"), width, height)
+        d = drop_position(d.withColumns({"_gx": at_position("_fx", "_q"), "_gy": at_position("_fy", "_q")}), "_q")
         d = d.withColumn("valid", _step_ok(width, height))
         d = d.withColumns({"_px": F.when(F.col("valid"), F.col("x") - F.col("_gx")).otherwise(F.col("_px")),
                            "_py": F.when(F.col("valid"), F.col("y") - F.col("_gy")).otherwise(F.col("_py"))})

@@ -51,10 +51,10 @@ def resample_nearest_up(spark, d):
 @query("c03_resample_bilinear", with_fixtures("flow") + """,
 tg AS (SELECT clip_id, frame_no, ty.y, tx.x FROM (SELECT DISTINCT clip_id, frame_no FROM flow) f, range(16) ty(y), range(20) tx(x)),"""
        + bilinear("up", "tg", "flow", {"vx": "vx", "confidence": "confidence"}, "(x+0.5e0)*(8/20e0)-0.5e0", "(y+0.5e0)*(8/16e0)-0.5e0", 8, 8)
-       + " SELECT clip_id, frame_no, y, x, round(vx*2.5e0,6)+0e0 AS vx, round(confidence,6) AS confidence FROM up")
+       + " SELECT clip_id, frame_no, y, x, round(vx*2.5e0,9)+0e0 AS vx, round(confidence,9) AS confidence FROM up")
 def resample_bilinear(spark, d):
     out = L.resample_bilinear(fx.flow(spark, d), ["vx", "confidence"], 8, 8, 20, 16, {"vx": 2.5})
-    return out.select(*CELL, r6(F.col("vx")).alias("vx"), r6(F.col("confidence")).alias("confidence"))
+    return out.select(*CELL, r6(F.col("vx"), 9).alias("vx"), r6(F.col("confidence"), 9).alias("confidence"))
 
 
 @query("c03_resample_depth", with_fixtures("tile") + """,

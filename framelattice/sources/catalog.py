@@ -97,12 +97,16 @@ def even_sample(df: DataFrame, group: list[str], order: list[str], k: int) -> Da
     return d.where((F.col("_n") <= k) | hit).drop("_rn", "_n")
 
 
-def stride_sample_finite(df: DataFrame, value: str, width, height, max_values: int,
-                         y: str = "y", x: str = "x") -> DataFrame:
-    """Every max(1, n / max_values)-th cell of each plane in row-major order, finite values only."""
+def on_stride(width, height, max_values: int, y: str = "y", x: str = "x") -> Column:
+    """True for every max(1, n / max_values)-th cell of a plane in row-major order."""
     n = as_col(width) * as_col(height)
     stride = F.greatest(F.lit(1), F.floor(n / F.lit(float(max_values))))
-    return df.where(((F.col(y) * as_col(width) + F.col(x)) % stride == 0) & finite(F.col(value)))
+    return (F.col(y) * as_col(width) + F.col(x)) % stride == 0
+
+
+def stride_sample_finite(df: DataFrame, value: str, width, height, max_values: int) -> DataFrame:
+    """The finite values among a plane's stride sample."""
+    return df.where(on_stride(width, height, max_values) & finite(F.col(value)))
 
 
 def align_guidance(frames: DataFrame, fields: DataFrame, value_cols: list[str], direction: str,

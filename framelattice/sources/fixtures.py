@@ -106,6 +106,16 @@ def wide_flow(spark, sf_dir) -> DataFrame:
     )
 
 
+def motion_chan(spark, sf_dir) -> DataFrame:
+    """Guidance channels of the wide raster: R holds its true x motion, G its y motion."""
+    r = wide_raster(spark, sf_dir)
+    n = F.col("n")
+    vals = F.array(*[F.struct(F.lit(c).alias("channel"), v.alias("value")) for c, v in (
+        ("A", F.lit(1.0)), ("B", n / F.lit(8.0)), ("G", F.lit(0.0)), ("R", F.when(n == 7, 3.0).otherwise(1.0)))])
+    return r.select(F.col("clip_id").alias("seq_id"), "frame_no", "y", "x", F.explode(vals).alias("c")).select(
+        "seq_id", "frame_no", "c.channel", "y", "x", "c.value")
+
+
 def wide_depth(spark, sf_dir) -> DataFrame:
     """Near block in front of a sloped background."""
     near = (F.col("x") >= 16) & (F.col("x") < 32) & (F.col("y") >= 8) & (F.col("y") < 24)
@@ -265,6 +275,9 @@ FIXTURE_SQL: dict[str, tuple[tuple[str, ...], str]] = {
   CASE WHEN n=4 THEN 0.5e0 ELSE 0e0 END AS occlusion FROM wraster)"""),
     "wdepth": (("wraster",), """wdepth AS (SELECT clip_id, frame_no, y, x,
   CASE WHEN x>=16 AND x<32 AND y>=8 AND y<24 THEN 0.25e0 ELSE 0.5e0 + y/256e0 END AS d FROM wraster)"""),
+    "mchan": (("wraster",), """mchan AS (SELECT clip_id AS seq_id, frame_no, c.channel, y, x,
+  CASE c.channel WHEN 'A' THEN 1e0 WHEN 'B' THEN n/8e0 WHEN 'G' THEN 0e0 ELSE CASE WHEN n=7 THEN 3e0 ELSE 1e0 END END AS value
+  FROM wraster CROSS JOIN (SELECT unnest(['A','B','G','R']) AS channel) c)"""),
     "grid": (("raster",), """gridm AS (SELECT clip_id, frame_no, CAST(floor(y/2e0) AS BIGINT) AS gy,
   CAST(floor(x/2e0) AS BIGINT) AS gx, CAST(sum(n) AS BIGINT) % 8 AS m FROM raster GROUP BY 1,2,3,4),
 grid AS (SELECT clip_id, frame_no, gy, gx, CASE WHEN m=7 THEN -160 ELSE -32 END AS fx, 0 AS fy,
