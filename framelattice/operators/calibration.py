@@ -20,6 +20,7 @@ QUANTILE_NAMES = ("p001", "p01", "p10", "p50", "p90", "p99", "p999")
 FACTORS = (0.25, 0.5, 1.0, 2.0, 4.0)
 STEP = 6  # sample lattice: every 6th cell from the 3rd, both ways
 RESIDUAL_CAP = 0.35
+CONVENTIONS = 120
 
 
 def sample_frames(chan: DataFrame, max_frames: int) -> DataFrame:
@@ -114,26 +115,17 @@ def limit_motion_channels(channels: DataFrame, max_channels: int, ordinal: str =
     return channels.withColumn("slot", F.row_number().over(w)).where(F.col("slot") <= max(2, max_channels))
 
 
-def conventions(width: int, height: int) -> list[dict]:
-    """The 120 interpretations tried for an ordered channel pair, in the order they are listed."""
-    out = []
-    for base, (bx, by) in (("pixels", (1.0, 1.0)), ("UV", (float(width), float(height))), ("NDC", (width * 0.5, height * 0.5))):
-        for f in FACTORS:
-            for sign in range(4):
-                for forward in (False, True):
-                    out.append(dict(ordinal=len(out), sx=bx * f, sy=by * f, flip_x=bool(sign & 1), flip_y=bool(sign & 2),
-                                    forward=forward, unit=base if f == 1.0 else f"{base} x{f:g}"))
-    return out
-
-
-def _convention_array(width: int, height: int, forward: bool | None = None) -> Column:
-    """Constant array of all conventions, or of one direction's signed scales."""
-    if forward is None:
-        return F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in c.items()]) for c in conventions(width, height)])
-    return F.array(*[
-        F.struct(F.lit(c["ordinal"]).alias("ordinal"), F.lit(-c["sx"] if c["flip_x"] else c["sx"]).alias("sx"),
-                 F.lit(-c["sy"] if c["flip_y"] else c["sy"]).alias("sy"))
-        for c in conventions(width, height) if c["forward"] == forward])
+def convention(ordinal: Column, width: int, height: int) -> dict[str, Column]:
+    """Interpretation number 0..119: 3 units x 5 factors x 4 signs x 2 directions, in listing order."""
+    i = ordinal.cast("int")
+    pick = lambda vals, k: F.get(F.array(*[F.lit(v) for v in vals]), k.cast("int"))
+    unit, factor = F.floor(i / 40), F.floor(i / 8) % 5
+    scale = pick(FACTORS, factor)
+    label = F.concat(pick(("pixels", "UV", "NDC"), unit), pick([f" x{f:g}" if f != 1.0 else "" for f in FACTORS], factor))
+    return {
+        "sx": pick((1.0, float(width), width * 0.5), unit) * scale, "sy": pick((1.0, float(height), height * 0.5), unit) * scale,
+        "flip_x": F.floor(i / 2) % 2 == 1, "flip_y": F.floor(i / 4) % 2 == 1, "forward": i % 2 == 1, "unit": label,
+    }
 
 
 def candidate_grid(channels: DataFrame, width: int, height: int) -> DataFrame:
@@ -145,7 +137,8 @@ def candidate_grid(channels: DataFrame, width: int, height: int) -> DataFrame:
     y = channels.select("seq_id", F.col("channel").alias("y_channel"), F.col("slot").alias("y_slot"))
     pairs = channels.select("seq_id", F.col("channel").alias("x_channel"), F.col("slot").alias("x_slot")).join(
         y, "seq_id").where("x_slot <> y_slot")
-    return pairs.select("*", F.explode(_convention_array(width, height)).alias("c")).select("*", "c.*").drop("c")
+    return pairs.select("*", F.explode(F.sequence(F.lit(0), F.lit(CONVENTIONS - 1))).alias("ordinal")).withColumns(
+        convention(F.col("ordinal"), width, height))
 
 
 def motion_candidate_error(px: DataFrame, chan: DataFrame, channels: DataFrame, pairs: DataFrame, width: int, height: int,
@@ -184,10 +177,13 @@ def motion_candidate_error(px: DataFrame, chan: DataFrame, channels: DataFrame,
     # From here on only generated code touches the plane: a lambda between this join and the last
     # element read would leave code generation and copy the array into every unfolded row.
     j = attach_planes(s, planes, ("clip_id", "plane_frame"), "inner")
-    j = j.select("clip_id", "y", "x", "l", "plane", "x_slot", "y_slot", "vx", "vy", F.explode(
-        F.when(F.col("fwd"), _convention_array(sw, sh, True)).otherwise(_convention_array(sw, sh, False))).alias("c"))
-    j = j.select("clip_id", "x_slot", "y_slot", "c.ordinal", "x", "y", "l", "plane",
-                 (F.col("vx") * F.col("c.sx")).alias("fx"), (F.col("vy") * F.col("c.sy")).alias("fy"))
+    # Even ordinals point back, odd ones forward.
+    j = j.select("*", F.explode(F.sequence(F.lit(0), F.lit(CONVENTIONS - 2), F.lit(2))).alias("k")).withColumn(
+        "ordinal", F.col("k") + F.col("fwd").cast("int"))
+    c = convention(F.col("ordinal"), sw, sh)
+    j = j.select("clip_id", "x_slot", "y_slot", "ordinal", "x", "y", "l", "plane",
+                 (F.col("vx") * F.when(c["flip_x"], -c["sx"]).otherwise(c["sx"])).alias("fx"),
+                 (F.col("vy") * F.when(c["flip_y"], -c["sy"]).otherwise(c["sy"])).alias("fy"))
     # NaN and infinity fail these comparisons too
     j = j.withColumn("usable", (F.abs("fx") <= 2.0 * sw) & (F.abs("fy") <= 2.0 * sh)).withColumn(
         "dx", F.col("fx") * (width / sw)).withColumn("dy", F.col("fy") * (height / sh))

@@ -29,12 +29,14 @@ def _edge(lags: list[Column], here: Column, mirror: Column | None) -> Column:
     return F.coalesce(*lags, *([mirror] if mirror is not None else []), here)
 
 
-def neighbourhood(cells: DataFrame, cols: list[str], distances=(1,), edge: str = "replicate", keys=KEYS) -> DataFrame:
+def neighbourhood(cells: DataFrame, cols: list[str], distances=(1,), edge: str = "replicate", keys=KEYS,
+                  exchange: bool = True) -> DataFrame:
     """Adds ``n_{dy}_{dx}`` structs of ``cols`` for the eight directions at every distance.
 
     edge: replicate (clamp), reflect (mirror without repeating the border, distance 1) or null.
+    exchange=False leaves out the repartitioning where the cells already sit with their frame.
     """
-    d = cells.repartition(*keys)
+    d = cells.repartition(*keys) if exchange else cells
     along_x = W.partitionBy(*keys, "y").orderBy("x")
     along_y = W.partitionBy(*keys, "x").orderBy("y")
     me = F.struct(*cols)
@@ -123,9 +125,9 @@ def median3x3(cells: DataFrame, values: list[str], keys=KEYS) -> DataFrame:
         F.get(F.array_sort(F.array(*[c for _, _, c in nine(v)])), F.lit(4)).alias(f"{v}_med") for v in values])
 
 
-def gauss3x3(cells: DataFrame, value: str, keys=KEYS, name: str | None = None) -> DataFrame:
+def gauss3x3(cells: DataFrame, value: str, keys=KEYS, name: str | None = None, exchange: bool = True) -> DataFrame:
     """[1 2 1] x [1 2 1] / 16 blur with mirrored borders."""
-    d = neighbourhood(cells, [value], edge="reflect", keys=keys)
+    d = neighbourhood(cells, [value], edge="reflect", keys=keys, exchange=exchange)
     blur = _sum([c * ((2 - abs(dy)) * (2 - abs(dx)) / 16.0) for dy, dx, c in nine(value)])
     return d.select(*cells.columns, blur.alias(name or f"{value}_blur"))
 
