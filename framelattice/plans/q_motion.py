@@ -178,9 +178,9 @@ b AS (SELECT *, sqrt((vx-cx)*(vx-cx)+(vy-cy)*(vy-cy)) AS res, {k['base']}e0+{k['
 c AS (SELECT *, onn AND res<=thr AS agree, {cl('(res-thr)/greatest(1e0,thr*2)')} AS sev, fc>={k['protect']}e0 AND fu<{k['protect_unc']}e0{strong} AS kept FROM b),
 e AS (SELECT *, CASE WHEN onn AND NOT agree AND NOT kept THEN {k['blend']}e0*(.25e0+.75e0*sev)*(.55e0+.45e0*cc)*(.72e0+.28e0*fu)*CASE WHEN fc>.75e0 THEN {k['damp']}e0 ELSE 1e0 END ELSE 0e0 END AS bl FROM c)
 SELECT {_C}, round(CASE WHEN bl>=.03e0 THEN vx+(cx-vx)*bl ELSE vx END,6)+0e0 AS vx, round(CASE WHEN bl>=.03e0 THEN vy+(cy-vy)*bl ELSE vy END,6)+0e0 AS vy,
- round(CASE WHEN agree THEN greatest(confidence,least(.94e0,.65e0*fc+.35e0*cc)) WHEN bl>=.03e0 THEN greatest(fc,least(.9e0,.58e0*fc+.42e0*cc)) ELSE confidence END,9) AS confidence,
+ round(CASE WHEN agree THEN greatest(confidence,least(.94e0,.65e0*fc+.35e0*cc)) WHEN bl>=.03e0 THEN greatest(fc,least(.9e0,.58e0*fc+.42e0*cc)) ELSE confidence END,12) AS confidence,
  round(CASE WHEN agree THEN {cl('(.62e0*uncertainty+.38e0*cu)*(1-.28e0*least(greatest(1-res/greatest(.5e0,thr),0e0),1e0))')}
-  WHEN bl>=.03e0 THEN {cl('.46e0*fu+.29e0*cu+.25e0*sev')} ELSE uncertainty END,9) AS uncertainty, bl>=.03e0 AS corrected FROM e"""
+  WHEN bl>=.03e0 THEN {cl('.46e0*fu+.29e0*cu+.25e0*sev')} ELSE uncertainty END,12) AS uncertainty, bl>=.03e0 AS corrected FROM e"""
 
 
 def _fused(spark, d, mode):
@@ -190,9 +190,9 @@ def _fused(spark, d, mode):
 
 @query("e12_fuse_coarse_auto", _fuse_sql("auto"))
 def fuse_auto(spark, d):
-    return _fused(spark, d, "auto").select(*CELL, *[r6(F.col(c), n).alias(c) for c, n in (("vx", 6), ("vy", 6), ("confidence", 9), ("uncertainty", 9))], "corrected")
+    return _fused(spark, d, "auto").select(*CELL, *[r6(F.col(c), n).alias(c) for c, n in (("vx", 6), ("vy", 6), ("confidence", 12), ("uncertainty", 12))], "corrected")
 
 
 @query("e12_fuse_coarse_strong", _fuse_sql("strong"))
 def fuse_strong(spark, d):
-    return _fused(spark, d, "strong").select(*CELL, *[r6(F.col(c), n).alias(c) for c, n in (("vx", 6), ("vy", 6), ("confidence", 9), ("uncertainty", 9))], "corrected")
+    return _fused(spark, d, "strong").select(*CELL, *[r6(F.col(c), n).alias(c) for c, n in (("vx", 6), ("vy", 6), ("confidence", 12), ("uncertainty", 12))], "corrected")
