@@ -85,8 +85,8 @@ def vote(mode: str, cur: dict, past: list[dict], count: np.ndarray, gx=0.0, gy=0
         closer = (np.hypot(gx, gy) > 0.25) & (np.hypot(ex - gx, ey - gy) + 0.5 < np.hypot(cur["vx"] - gx, cur["vy"] - gy))
         b = np.where(closer, np.minimum(k["blend"], b * 1.12), b)
         b = np.where(usable & fix & (b >= 0.04), b, 0.0)
-    hit = b > 0
-    return np.where(hit, (ex - cur["vx"]) * b, 0.0), np.where(hit, (ey - cur["vy"]) * b, 0.0), b, np.where(hit, res, 0.0)
+        hit = b > 0
+        return np.where(hit, (ex - cur["vx"]) * b, 0.0), np.where(hit, (ey - cur["vy"]) * b, 0.0), b, np.where(hit, res, 0.0)
 
 
 def _lattice_index(size: int, step: int) -> np.ndarray:

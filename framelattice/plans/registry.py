@@ -26,12 +26,5 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from . import q_catalog, q_scalars, q_lattice  # noqa: F401
-    import importlib
-
-    for name in ("q_pairs", "q_calibration", "q_telemetry", "q_motion", "q_reliability", "q_ordered", "q_streaming"):
-        try:
-            importlib.import_module(f"{__package__}.{name}")
-        except ModuleNotFoundError as e:  # TEMP while building
-            if name not in str(e):
-                raise
+    from . import (q_calibration, q_catalog, q_guidance, q_lattice, q_motion, q_ordered, q_pairs, q_reliability,  # noqa: F401
+                   q_scalars, q_streaming, q_telemetry)
