@@ -26,6 +26,42 @@ from .lattice import EDGE_WEIGHTS, _sum, neighbourhood, nine, warp_lookup
 FRAMES_PER_BATCH = 8
 
 
+# Fixed element types of packed planes; every other field is a 32-bit float.
+PACKED = {c: np.uint8 for c in ("r", "g", "b", "a", "age")}
+
+
+def _unpack(column, row: int, field: str) -> np.ndarray:
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        return np.frombuffer(column[row].as_buffer(), dtype=PACKED.get(field, np.float32))
+    return column[row].values.to_numpy(zero_copy_only=False)
+
+
+def _pack(values: list[np.ndarray], field: str) -> pa.Array:
+    dtype = PACKED.get(field, np.float32)
+    return pa.array([np.ascontiguousarray(v, dtype=dtype).tobytes() for v in values], type=pa.binary())
+
+
+def pack_planes(planes: DataFrame, fields: list[str]) -> DataFrame:
+    """Array planes to the packed form: one binary per field and frame, colours as bytes.
+
+    The storage layout for large frames: a packed plane is copied as a block wherever an array is
+    copied element by element, and colour takes a quarter of the room.
+    """
+    rest = [c for c in planes.columns if c not in fields]
+    types = dict(planes.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = [b.column(i) for i in range(len(rest))]
+            for i, f in enumerate(fields):
+                c = b.column(len(rest) + i)
+                cols.append(_pack([_unpack(c, r, f) for r in range(b.num_rows)], f))
+            yield pa.RecordBatch.from_arrays(cols, names=[*rest, *fields])
+
+    ddl = ", ".join([f"{c} {types[c]}" for c in rest] + [f"{f} binary" for f in fields])
+    return planes.select(*rest, *fields).mapInArrow(run, ddl)
+
+
 def scene_planes(cells: DataFrame, fields: list[str], segments: DataFrame, dtype: str = "double") -> DataFrame:
     """One row per frame with its scene number, cut flag and row-major field arrays."""
     planes = long_to_planes(cells.select(*KEYS, "y", "x", *[F.col(f).cast(dtype).alias(f) for f in fields]), fields)
@@ -36,13 +72,16 @@ def scan(planes: DataFrame, fields: list[str], make: Callable[[], Callable], arr
          dtype: str = "double") -> DataFrame:
     """Runs a stateful step over every scene in frame order.
 
+    Fields may be arrays or packed planes; dtype is the element type published (double, float) or
+    ``packed``.
+
     make() returns a fresh step for a scene; step(cut, {field: array}) returns a dict with the
     ``arrays`` and ``scalars`` to publish. Frame order is checked on the way.
     """
     d = planes.select("clip_id", "scene_id", "frame_no", "cut", *fields)
     d = d.repartition("clip_id", "scene_id").sortWithinPartitions("clip_id", "scene_id", "frame_no")
     schema = ("clip_id long, scene_id long, frame_no long, " + ", ".join(
-        [f"{a} array<{dtype}>" for a in arrays] + [f"{s} double" for s in scalars]))
+        [f"{a} binary" if dtype == "packed" else f"{a} array<{dtype}>" for a in arrays] + [f"{s} double" for s in scalars]))
 
     np_type = np.float32 if dtype == "float" else np.float64
 
@@ -62,14 +101,17 @@ def scan(planes: DataFrame, fields: list[str], make: Callable[[], Callable], arr
                     elif frame <= last:
                         raise RuntimeError(f"frames of scene {key} out of order: {frame} after {last}")
                     last = frame
-                    planes_in = {f: lists[i][r].values.to_numpy(zero_copy_only=False) for i, f in enumerate(fields)}
+                    planes_in = {f: _unpack(lists[i], r, f) for i, f in enumerate(fields)}
                     res = step(bool(ids[3][r]), planes_in)
                     for i, a in enumerate(arrays):
-                        out_a[i].append(np.ascontiguousarray(res[a], dtype=np_type).ravel())
+                        out_a[i].append(res[a] if dtype == "packed" else np.ascontiguousarray(res[a], dtype=np_type).ravel())
                     for i, s in enumerate(scalars):
                         out_s[i].append(float(res[s]))
                 cols = [b.column(i) for i in range(3)]
-                for vals in out_a:
+                for a, vals in zip(arrays, out_a):
+                    if dtype == "packed":
+                        cols.append(_pack(vals, a))
+                        continue
                     offs = np.zeros(len(vals) + 1, dtype=np.int32)
                     np.cumsum([len(v) for v in vals], out=offs[1:])
                     cols.append(pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(vals))))
@@ -98,12 +140,22 @@ def bilinear(planes: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[li
     i = y0 * w + x0
     r = (x0 < w - 1).astype(np.int32)
     d = np.where(y0 < h - 1, w, 0).astype(np.int32)
+    ir, id_ = i + r, i + d
+    idr = id_ + r
     out = []
     for p in planes:
         f = p.ravel()
-        top = f[i] + (f[i + r] - f[i]) * tx
-        bottom = f[i + d] + (f[i + d + r] - f[i + d]) * tx
-        out.append(top + (bottom - top) * ty)
+        a, b, c, e = (f.take(k, mode="clip") for k in (i, ir, id_, idr))
+        b -= a
+        b *= tx
+        b += a
+        e -= c
+        e *= tx
+        e += c
+        e -= b
+        e *= ty
+        e += b
+        out.append(e)
     return out, ok
 
 
@@ -353,14 +405,14 @@ def denoise_step(width: int, height: int, settings: Denoise, with_flow: bool = T
 DENOISE_STATS = ["history_weight", "spatial_weight", "rejected", "mean_age"]
 
 
-def temporal_denoise(planes: DataFrame, width: int, height: int, settings: Denoise = Denoise()) -> DataFrame:
+def temporal_denoise(planes: DataFrame, width: int, height: int, settings: Denoise = Denoise(), dtype: str = "float") -> DataFrame:
     """Motion-compensated recursive denoiser.
 
     planes(clip_id, scene_id, frame_no, cut, r, g, b, vx, vy, confidence) -> r, g, b, age planes and the
     frame's mean history weight, spatial weight, rejected share and age.
     """
     return scan(planes, ["r", "g", "b", "vx", "vy", "confidence"], lambda: denoise_step(width, height, settings),
-                ["r", "g", "b", "age"], DENOISE_STATS, "float")
+                ["r", "g", "b", "age"], DENOISE_STATS, dtype)
 
 
 def spatial_denoise(px: DataFrame, settings: Denoise = Denoise()) -> DataFrame:

@@ -26,10 +26,10 @@ def cut_sql(gray: str, first: str = "1e0") -> str:
 fr AS (SELECT clip_id, frame_no, count(*) AS n FROM {gray} GROUP BY 1,2),
 hl AS (SELECT clip_id, frame_no, sum(abs(d)) AS l1 FROM (SELECT clip_id, frame_no, bin, sum(c) AS d FROM
   (SELECT clip_id, frame_no, bin, c FROM bins UNION ALL SELECT clip_id, frame_no+1, bin, -c FROM bins) GROUP BY 1,2,3) GROUP BY 1,2),
-md AS (SELECT a.clip_id, a.frame_no, avg(abs(a.v-b.v)) AS m FROM {gray} a JOIN {gray} b ON b.clip_id=a.clip_id AND b.frame_no=a.frame_no-1 AND b.y=a.y AND b.x=a.x GROUP BY 1,2),
-scores AS (SELECT fr.clip_id, fr.frame_no, md.m IS NULL AS is_first, CASE WHEN md.m IS NULL THEN {first}
-  ELSE least(greatest((hl.l1/fr.n)*.5e0*.65e0 + md.m/255e0*.35e0,0e0),1e0) END AS score
-  FROM fr JOIN hl ON {on('hl', 'fr')} LEFT JOIN md ON {on('md', 'fr')}),
+pm AS (SELECT a.clip_id, a.frame_no, avg(abs(a.v-b.v)) AS m FROM {gray} a JOIN {gray} b ON b.clip_id=a.clip_id AND b.frame_no=a.frame_no-1 AND b.y=a.y AND b.x=a.x GROUP BY 1,2),
+scores AS (SELECT fr.clip_id, fr.frame_no, pm.m IS NULL AS is_first, CASE WHEN pm.m IS NULL THEN {first}
+  ELSE least(greatest((hl.l1/fr.n)*.5e0*.65e0 + pm.m/255e0*.35e0,0e0),1e0) END AS score
+  FROM fr JOIN hl ON {on('hl', 'fr')} LEFT JOIN pm ON {on('pm', 'fr')}),
 segments AS (SELECT *, is_first OR score >= {CUT}e0 AS cut,
   CAST(sum(CASE WHEN is_first OR score >= {CUT}e0 THEN 1 ELSE 0 END) OVER (PARTITION BY clip_id ORDER BY frame_no) AS BIGINT) AS scene_id FROM scores)"""
 

@@ -98,9 +98,9 @@ ring AS (SELECT r+1 AS r, o.i, o.dx*(r+1)*{step} AS dx, o.dy*(r+1)*{step} AS dy,
 nb AS (SELECT c.clip_id, c.frame_no, c.y, c.x, ring.ord, n.vx, n.vy, n.confidence*n.visibility*(1-.65e0*n.uncertainty)/ring.r AS w FROM tr c CROSS JOIN ring
   JOIN wflow n ON {on('n', 'c')} AND n.y=c.y+ring.dy AND n.x=c.x+ring.dx {djoin}
   WHERE c.bad AND n.confidence>={k['reject']}e0 AND n.visibility>={k['min_vis']}e0 AND n.uncertainty<={k['max_unc']}e0 {gate}),
-sc AS (SELECT a.clip_id, a.frame_no, a.y, a.x, a.ord, max(a.vx) AS vx, max(a.vy) AS vy, sum(b.w*sqrt((a.vx-b.vx)*(a.vx-b.vx)+(a.vy-b.vy)*(a.vy-b.vy))) AS score, count(*) AS cnt, sum(b.w) AS tot
+vs AS (SELECT a.clip_id, a.frame_no, a.y, a.x, a.ord, max(a.vx) AS vx, max(a.vy) AS vy, sum(b.w*sqrt((a.vx-b.vx)*(a.vx-b.vx)+(a.vy-b.vy)*(a.vy-b.vy))) AS score, count(*) AS cnt, sum(b.w) AS tot
   FROM nb a JOIN nb b ON {on('b', 'a', _K4)} GROUP BY 1,2,3,4,5),
-md AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_C} ORDER BY score, ord) AS rn FROM sc) WHERE rn=1 AND cnt>=2),
+md AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_C} ORDER BY score, ord) AS rn FROM vs) WHERE rn=1 AND cnt>=2),
 cu AS (SELECT m.clip_id, m.frame_no, m.y, m.x, sum(n.w*n.vx) AS sx, sum(n.w*n.vy) AS sy, sum(n.w) AS sw, count(*) AS cn, max(m.tot) AS tot FROM md m JOIN nb n ON {on('n', 'm', _K4)}
   AND sqrt((n.vx-m.vx)*(n.vx-m.vx)+(n.vy-m.vy)*(n.vy-m.vy)) <= {k['radius']}e0+{k['radius_slope']}e0*sqrt(m.vx*m.vx+m.vy*m.vy) GROUP BY 1,2,3,4),
 ch AS (SELECT t.*, cu.sx/cu.sw AS lx, cu.sy/cu.sw AS ly, coalesce(cu.sw/cu.tot,0e0) AS coh, cu.cn IS NOT NULL AS many, coalesce(cu.cn>=2 AND cu.sw/cu.tot>={k['share']}e0, false) AS loc,

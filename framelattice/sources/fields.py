@@ -46,6 +46,19 @@ def read_long(spark, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+# Frames decoded per columnar batch. The default of 4096 rows is meant for scalars: with planes of
+# megapixels it would ask for gigabytes before the first frame comes out.
+PLANES_PER_BATCH = 4
+
+
+def read_planes(spark, path: str) -> DataFrame:
+    """Plane layout: one row per frame with row-major arrays."""
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    if int(spark.conf.get(key)) > PLANES_PER_BATCH:
+        spark.conf.set(key, PLANES_PER_BATCH)
+    return spark.read.parquet(path)
+
+
 def planes_to_long(planes: DataFrame, fields: list[str], width, keys=KEYS) -> DataFrame:
     """One row per frame with row-major arrays -> one row per cell."""
     w = F.lit(width) if isinstance(width, int) else F.col(width) if isinstance(width, str) else width
