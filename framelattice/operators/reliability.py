@@ -274,24 +274,28 @@ def repair_diagnostics(repaired: DataFrame, model: DataFrame, width: int, height
     return d.join(m, list(KEYS), "left").fillna(0.0, ["global_mv_x", "global_mv_y"])
 
 
-def safe_motion(flow: DataFrame, width: int, height: int, mode: str = "auto", step: int = 4, depth: DataFrame | None = None,
-                candidate: DataFrame | None = None) -> DataFrame:
+def with_repair(flow: DataFrame, width: int, height: int, mode: str = "auto", step: int = 4,
+                depth: DataFrame | None = None) -> DataFrame:
+    """Repaired field with the unrepaired uncertainty riding along as ``_u0``: both policies read it."""
+    src = flow.withColumn("_u0", F.col("uncertainty")) if "uncertainty" in flow.columns else flow
+    return repair_rejected(src, width, height, mode, step, depth)
+
+
+def safe_motion(flow: DataFrame, width: int, height: int, mode: str = "auto", step: int = 4, depth: DataFrame | None = None) -> DataFrame:
     """Conservative field: bounded steps from the raw vector towards the repaired one, and a history
     confidence that falls with disagreement, occlusion and rejection.
 
     flow also carries raw_vx, raw_vy. Adds ``corrected`` and ``rejected``.
     """
+    return safe_policy(with_repair(flow, width, height, mode, step, depth), flow.columns, width, height, mode)
+
+
+def safe_policy(repaired: DataFrame, columns: list[str], width: int, height: int, mode: str = "auto") -> DataFrame:
+    """The conservative policy on a field made by ``with_repair``: columns of the same row only."""
     k = SAFE[mode]
-    has_unc = "uncertainty" in flow.columns
-    if candidate is None:
-        # the repair lowers uncertainty; this policy judges by the unrepaired one, so it rides along
-        src = flow.withColumn("_u0", F.col("uncertainty")) if has_unc else flow
-        c = repair_rejected(src, width, height, mode, step, depth)
-        if has_unc:
-            c = c.drop("uncertainty").withColumnRenamed("_u0", "uncertainty")
-    else:
-        keep = [x for x in flow.columns if x not in ("vx", "vy")]
-        c = flow.select(*keep).join(candidate.select(*KEYS, "y", "x", "vx", "vy"), [*KEYS, "y", "x"])
+    c = repaired
+    if "_u0" in c.columns:  # this policy judges by the uncertainty before the repair
+        c = c.drop("uncertainty").withColumnRenamed("_u0", "uncertainty")
     c = c.withColumnsRenamed({"vx": "_cx", "vy": "_cy"})
     d = reliability_columns(c)
     rx, ry = F.col("raw_vx"), F.col("raw_vy")
@@ -318,7 +322,7 @@ def safe_motion(flow: DataFrame, width: int, height: int, mode: str = "auto", st
     d = d.withColumn("_h", h)
     ok = F.col("_fin") & inside(F.col("x") + F.col("vx"), F.col("y") + F.col("vy"), width, height)
     d = d.withColumn("confidence", F.when(ok, clamp01(F.col("_h"))).otherwise(0.0))
-    return d.withColumn("rejected", F.col("confidence") < 0.08).select(*flow.columns, "corrected", "rejected")
+    return d.withColumn("rejected", F.col("confidence") < 0.08).select(*columns, "corrected", "rejected")
 
 
 def safe_diagnostics(safe: DataFrame) -> DataFrame:

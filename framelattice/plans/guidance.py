@@ -34,11 +34,11 @@ def guidance_paths(analysis: DataFrame, segments: DataFrame, width: int, height:
     cut = segments.select(*KEYS, "cut")
     live = analysis.join(cut.where("NOT cut").select(*KEYS), list(KEYS), "left_semi")
     dead = analysis.join(cut.where("cut").select(*KEYS), list(KEYS), "left_semi")
-    repaired = R.repair_rejected(live, width, height, mode, step, depth)
-    safe = R.safe_motion(live, width, height, mode, step, depth, candidate=repaired)
+    repaired = R.with_repair(live, width, height, mode, step, depth)
+    safe = R.safe_policy(repaired, live.columns, width, height, mode)
     # nothing is corrected across a cut
     safe = safe.unionByName(dead.withColumns({"corrected": F.lit(False), "rejected": F.lit(True)}))
-    strong = repaired.drop("repaired").unionByName(dead)
+    strong = repaired.drop("repaired", "_u0").unionByName(dead)
     fields = ["vx", "vy", "confidence", "visibility", "uncertainty", "disocclusion"]
     planes = S.scene_planes(strong.select(*KEYS, "y", "x", *fields), fields, segments)
     return Guidance(analysis, safe, S.trajectory_consensus(planes, width, height, mode, step), segments)

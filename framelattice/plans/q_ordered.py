@@ -99,10 +99,43 @@ def _pixels_with_flow(spark, d):
     return fx.px(spark, d).join(fx.flow(spark, d).select(*CELL, "vx", "vy", "confidence"), CELL)
 
 
-@query("f03_temporal_denoise")
+_SW = "(CASE abs(o.dy)+abs(o.dx) WHEN 0 THEN 1e0 WHEN 1 THEN .72e0 ELSE .52e0 END * exp(-abs(n.l-c.l)/.0792e0))"
+
+
+def denoise_sql() -> str:
+    """CTEs o1..o6: the six frames of the recursive filter, unrolled."""
+    k = S.Denoise()
+    q = "(.25e0*{r}+.5e0*{g}+.25e0*{b})", "(.5e0*{r}-.5e0*{b})", "(-.25e0*{r}+.5e0*{g}-.25e0*{b})"
+    cur, old = ([e.format(**{c: v.format(c=c) for c in "rgb"}) for e in q] for v in ("({c}/255e0)", "(h{c}/255e0)"))
+    out = f"""ycc AS (SELECT p.clip_id, p.frame_no, p.y, p.x, p.r, p.g, p.b, {cur[0]} AS l, {cur[1]} AS co, {cur[2]} AS cg FROM px p),
+""" + nine_join("nb", "ycc", ", ".join(f"min(n.{v}) AS lo_{v}, max(n.{v}) AS hi_{v}" for v in ("l", "co", "cg"))
+                + ", avg(n.l) AS m, avg(n.l*n.l) AS m2, " + ", ".join(f"sum(n.{c}*{_SW})/sum({_SW})/255e0 AS s{c}" for c in "rgb"), 8, 8) + f""",
+st0 AS (SELECT nb.*, y1.r, y1.g, y1.b, y1.l, y1.co, y1.cg, f.vx, f.vy, f.confidence, s.cut, sqrt(greatest(0e0,m2-m*m)) AS sigma, {cl('(hi_l-lo_l-.025e0)/.16e0')} AS t
+  FROM nb JOIN ycc y1 ON {on('y1', 'nb', _K4)} JOIN flow f ON {on('f', 'nb', _K4)} JOIN segments s ON {on('s', 'nb')}),
+st1 AS (SELECT *, t*t*(3-2*t) AS edge FROM st0), st2 AS (SELECT *, {k.spatial}e0*{k.strength}e0*(1-edge*{k.detail}e0) AS ap FROM st1),
+st AS (SELECT *, {', '.join(f'{c}/255e0+(s{c}-{c}/255e0)*ap AS b{c}' for c in 'rgb')} FROM st2),
+o1 AS (SELECT {_C}, {', '.join(f'CAST(round({cl(f"b{c}")}*255e0) AS BIGINT) AS {c}' for c in 'rgb')}, 1 AS age FROM st WHERE frame_no=1)"""
+    for i in range(2, 7):
+        out += "," + bilinear(f"w{i}", f"(SELECT * FROM st WHERE frame_no={i})", f"(SELECT clip_id, frame_no+1 AS frame_no, y, x, r AS hr, g AS hg, b AS hb FROM o{i - 1})",
+                              {"hr": "hr", "hg": "hg", "hb": "hb"}, "x+vx", "y+vy", 8, 8, flag="ins")
+        out += f""",
+a{i} AS (SELECT w.*, CASE WHEN ins AND NOT cut THEN a.age ELSE 0 END AS pa FROM w{i} w LEFT JOIN o{i - 1} a ON a.clip_id=w.clip_id AND a.frame_no=w.frame_no-1
+  AND a.y=CAST(least(7,greatest(0,round(w.y+w.vy))) AS BIGINT) AND a.x=CAST(least(7,greatest(0,round(w.x+w.vx))) AS BIGINT)),
+c{i} AS (SELECT *, {cl(old[0], '(lo_l-.025e0-.7e0*sigma)', '(hi_l+.025e0+.7e0*sigma)')} AS hl, {cl(old[1], '(lo_co-.03375e0-.45e0*sigma)', '(hi_co+.03375e0+.45e0*sigma)')} AS ho,
+  {cl(old[2], '(lo_cg-.03375e0-.45e0*sigma)', '(hi_cg+.03375e0+.45e0*sigma)')} AS hg2 FROM a{i}),
+h{i} AS (SELECT *, CASE WHEN pa>0 AND confidence>=.08e0 THEN {cl(f"{k.history}e0*{k.strength}e0*confidence*exp(-(((hl-l)/.14e0)**2))*exp(-((greatest(abs(ho-co),abs(hg2-cg))/.18e0)**2))*(.72e0+.28e0*exp(-sqrt(vx*vx+vy*vy)/36e0))*least(greatest(pa/6e0,.2e0),1e0)*(1-.36e0*edge*{k.detail}e0)", '0e0', '.965e0')} ELSE 0e0 END AS hw FROM c{i}),
+m{i} AS (SELECT *, CASE WHEN hw>.01e0 THEN br+({cl('hl+ho-hg2')}-br)*hw ELSE br END AS mr, CASE WHEN hw>.01e0 THEN bg+({cl('hl+hg2')}-bg)*hw ELSE bg END AS mg,
+  CASE WHEN hw>.01e0 THEN bb+({cl('hl-ho-hg2')}-bb)*hw ELSE bb END AS mb FROM h{i}),
+o{i} AS (SELECT {_C}, {', '.join(f'CAST(round({cl(f"m{c}+({c}/255e0-m{c})*(ap*hw*.55e0)")}*255e0) AS BIGINT) AS {c}' for c in 'rgb')}, CASE WHEN hw>.01e0 THEN least({k.max_age},pa+1) ELSE 1 END AS age FROM m{i})"""
+    return out
+
+
+@query("f03_temporal_denoise", with_fixtures("px", "flow") + "," + GRAY_CTE + "," + cut_sql("gray") + "," + denoise_sql()
+       + " " + " UNION ALL ".join(f"SELECT {_C}, r, g, b, CAST(age AS BIGINT) AS age FROM o{i}" for i in range(1, 7)))
 def temporal_denoise(spark, d):
-    planes = S.scene_planes(_pixels_with_flow(spark, d), ["r", "g", "b", "vx", "vy", "confidence"], segments(spark, d), "float")
-    out = planes_to_long(S.temporal_denoise(planes, 8, 8), ["r", "g", "b", "age"], 8)
+    """Exact recurrence over scenes, computed in double to be compared; the SQL unrolls the six frames."""
+    planes = S.scene_planes(_pixels_with_flow(spark, d), ["r", "g", "b", "vx", "vy", "confidence"], segments(spark, d))
+    out = planes_to_long(S.temporal_denoise(planes, 8, 8, dtype="double"), ["r", "g", "b", "age"], 8)
     return out.select(*CELL, *[big(c).alias(c) for c in ("r", "g", "b", "age")])
 
 
@@ -114,7 +147,6 @@ def denoise_stats(spark, d):
     return S.temporal_denoise(planes, 48, 32).select("clip_id", "scene_id", "frame_no", *[r6(F.col(c)).alias(c) for c in S.DENOISE_STATS])
 
 
-_SW = "(CASE abs(o.dy)+abs(o.dx) WHEN 0 THEN 1e0 WHEN 1 THEN .72e0 ELSE .52e0 END * exp(-abs(n.l-c.l)/.0792e0))"
 _LUM = f"lum AS (SELECT {_C}, r, g, b, (.25e0*r+.5e0*g+.25e0*b)/255e0 AS l FROM px),"
 
 
