@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..common import KEYS, big, clamp01, frac, hypot
 
 # The stages a frame passes, in order.
-STAGES = ("decode_ms", "flow_ms", "denoise_ms", "depth_ms", "depth_stabilize_ms", "motion_consensus_ms", "dlssnr_ms",
+STAGES = ("decode_ms", "flow_ms", "denoise_ms", "depth_ms", "depth_stabilize_ms", "motion_consensus_ms", "neural_ms",
           "output_stabilize_ms", "encode_ms", "total_ms")
 
 

@@ -185,7 +185,7 @@ SELECT clip_id, frame_no AS frame, decode_ms, flow_ms, denoise_ms, decode_ms + f
 def write_stage_log(spark, d):
     """Telemetry sink and source round trip."""
     s = fx.stage(spark, d)
-    zero = ["depth_ms", "depth_stabilize_ms", "motion_consensus_ms", "dlssnr_ms", "output_stabilize_ms", "encode_ms"]
+    zero = ["depth_ms", "depth_stabilize_ms", "motion_consensus_ms", "neural_ms", "output_stabilize_ms", "encode_ms"]
     s = s.withColumn("frame", F.col("frame_no")).withColumn("total_ms", F.col("decode_ms") + F.col("flow_ms") + F.col("denoise_ms"))
     s = s.withColumns({c: F.lit(0.0) for c in zero})
     path = f"{checkpoint_root(spark)}/stage-log-{uuid.uuid4().hex}"

@@ -36,9 +36,9 @@ TEMPORAL_LOG = (
     "temporal_consensus_history spatial_consensus_fraction spatial_consensus_residual nr_safe_corrected_fraction "
     "nr_history_rejected_fraction mean_history_visibility disoccluded_fraction occlusion_ambiguous_fraction "
     "high_uncertainty_fraction reset denoise_hist_w denoise_spatial_w denoise_reject denoise_age").split()
-STAGE_LOG = ("frame decode_ms flow_ms denoise_ms depth_ms depth_stabilize_ms motion_consensus_ms dlssnr_ms "
+STAGE_LOG = ("frame decode_ms flow_ms denoise_ms depth_ms depth_stabilize_ms motion_consensus_ms neural_ms "
              "output_stabilize_ms encode_ms total_ms").split()
-FG_LOG = "real_frame scene_score scene_cut dlss_generated fallback output_frames".split()
+FG_LOG = "real_frame scene_score scene_cut generated fallback output_frames".split()
 
 
 def read_long(spark, path: str, schema: T.StructType) -> DataFrame:
@@ -80,22 +80,27 @@ def long_to_planes(cells: DataFrame, fields: list[str], keys=KEYS) -> DataFrame:
     return packed.select(*keys, *[F.transform("_cells", _field(f)).alias(f) for f in fields])
 
 
-def write_telemetry(df: DataFrame, columns: list[str], path: str, fmt: str = "parquet", partition: str = "clip_id") -> None:
-    """Append-free telemetry sink: one folder per clip, columns in the published order."""
+def write_telemetry(df: DataFrame, columns: list[str], path: str, fmt: str = "parquet", partition: str = "clip_id",
+                    headers: dict[str, str] | None = None) -> None:
+    """Append-free telemetry sink: one folder per clip, columns in the published order.
+
+    ``headers`` renames columns on the way out, for readers that expect other names.
+    """
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"telemetry columns missing: {missing}")
-    w = df.select(partition, *columns).write.mode("overwrite").partitionBy(partition)
+    names = headers or {}
+    w = df.select(partition, *[F.col(c).alias(names.get(c, c)) for c in columns]).write.mode("overwrite").partitionBy(partition)
     (w.option("header", "true").csv(path) if fmt == "csv" else w.parquet(path))
 
 
-def write_temporal_log(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    write_telemetry(df, TEMPORAL_LOG, path, fmt)
+def write_temporal_log(df: DataFrame, path: str, fmt: str = "parquet", headers: dict[str, str] | None = None) -> None:
+    write_telemetry(df, TEMPORAL_LOG, path, fmt, headers=headers)
 
 
-def write_stage_log(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    write_telemetry(df, STAGE_LOG, path, fmt)
+def write_stage_log(df: DataFrame, path: str, fmt: str = "parquet", headers: dict[str, str] | None = None) -> None:
+    write_telemetry(df, STAGE_LOG, path, fmt, headers=headers)
 
 
-def write_fg_log(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    write_telemetry(df, FG_LOG, path, fmt)
+def write_fg_log(df: DataFrame, path: str, fmt: str = "parquet", headers: dict[str, str] | None = None) -> None:
+    write_telemetry(df, FG_LOG, path, fmt, headers=headers)

@@ -200,3 +200,15 @@ def test_size_change_counts_as_a_cut(cells):
     b = cells(16, 8, 1, first=3, v=100)
     s = {r.frame_no: r.score for r in P.scene_cut_score(a.unionByName(b)).collect()}
     assert s[1] == 1.0 and s[2] == 0.0 and s[3] == 1.0
+
+
+def test_telemetry_sinks_keep_order_and_rename(spark, tmp_path):
+    from framelattice.sources import fields as S
+
+    df = spark.range(3).select(F.lit(1).alias("clip_id"), *[F.col("id").alias(c) for c in S.FG_LOG])
+    S.write_fg_log(df, str(tmp_path / "a"))
+    assert spark.read.parquet(str(tmp_path / "a")).columns == [*S.FG_LOG, "clip_id"]
+    S.write_fg_log(df, str(tmp_path / "b"), "csv", {"generated": "made"})
+    assert "made" in spark.read.option("header", True).csv(str(tmp_path / "b")).columns
+    with pytest.raises(ValueError):
+        S.write_stage_log(df, str(tmp_path / "c"))
