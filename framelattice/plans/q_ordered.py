@@ -180,6 +180,44 @@ def trajectory_consensus(spark, d):
         *CELL, *[r6(F.col(c)).alias(c) for c in ("vx", "vy", "confidence", "uncertainty")])
 
 
+def consensus_sql() -> str:
+    """CTEs o1..o6: the careful mode over the wide raster, whose history is one lattice of step 4."""
+    k = C.RULES["auto"]
+    cols = ("vx", "vy", "confidence", "visibility", "uncertainty", "disocclusion")
+    out = f"""cin AS (SELECT w.clip_id, w.frame_no, w.y, w.x, {', '.join(f'w.{c}' for c in cols)}, s.cut FROM wflow w JOIN segments s ON {on('s', 'w')}),
+o1 AS (SELECT * FROM cin WHERE frame_no=1)"""
+    lat = lambda src: f"(SELECT * EXCLUDE (y, x), CAST(y//4 AS BIGINT) AS y, CAST(x//4 AS BIGINT) AS x FROM {src} WHERE y%4=2 AND x%4=2 AND NOT cut)"
+    for i in range(2, 7):
+        hist = f"(SELECT clip_id, frame_no+1 AS frame_no, y, x, vx AS hx, vy AS hy, confidence AS hc, visibility AS hv, uncertainty AS hu FROM {lat(f'o{i - 1}')})"
+        out += "," + bilinear(f"s{i}", lat(f"(SELECT * FROM cin WHERE frame_no={i})"), hist, {c: c for c in ("hx", "hy", "hc", "hv", "hu")},
+                              "((x+.5e0)*4-.5e0+vx+.5e0)/4-.5e0", "((y+.5e0)*4-.5e0+vy+.5e0)/4-.5e0", 12, 8, reject=True)
+        out += f""",
+t{i} AS (SELECT *, hc*hv*(1-.7e0*hu) AS rel, sqrt((vx-hx)**2+(vy-hy)**2) AS res, ({k['base']}e0+{k['slope']}e0*sqrt(hx*hx+hy*hy))*{cl('1.1e0+.55e0*hu-.38e0*uncertainty', '.72e0', '1.55e0')} AS thr FROM s{i}
+  WHERE hc>={k['conf']}e0 AND hv>={k['min_vis']}e0 AND hu<={k['max_unc']}e0 AND visibility>=.18e0 AND disocclusion<=.72e0),
+b{i} AS (SELECT *, {k['blend']}e0*(.3e0+.7e0*{cl('(res-thr)/greatest(.75e0,thr*1.6e0)')})*(.45e0+.55e0*rel)*(.58e0+.42e0*visibility)*(.62e0+.38e0*uncertainty)*(1-.42e0*hu)
+  *CASE WHEN confidence>={k['protect']}e0 AND uncertainty<.36e0 THEN {k['protect_scale']}e0 ELSE 1e0 END AS bl FROM t{i}
+  WHERE res>thr AND ((confidence<.7e0 AND hc>=.68e0) OR (res>thr*{k['slip']}e0 AND hc>=.8e0 AND (confidence<.92e0 OR uncertainty>.45e0)))),
+d{i} AS (SELECT l.clip_id, l.frame_no, l.y, l.x, coalesce((b.hx-b.vx)*b.bl,0e0) AS dx, coalesce((b.hy-b.vy)*b.bl,0e0) AS dy, coalesce(b.bl,0e0) AS wt
+  FROM {lat(f'(SELECT * FROM cin WHERE frame_no={i})')} l LEFT JOIN b{i} b ON {on('b', 'l', _K4)} AND b.bl>=.04e0)"""
+        out += "," + bilinear(f"w{i}", f"(SELECT * FROM cin WHERE frame_no={i})", f"d{i}", {"dx": "dx", "dy": "dy", "wt": "wt"},
+                              "(x+.5e0)/4-.5e0", "(y+.5e0)/4-.5e0", 12, 8, reject=True)
+        out += f""",o{i} AS (SELECT {_C}, CASE WHEN wt>.001e0 THEN vx+dx ELSE vx END AS vx, CASE WHEN wt>.001e0 THEN vy+dy ELSE vy END AS vy,
+  CASE WHEN wt>.001e0 THEN greatest(confidence,least(.92e0,.72e0+.2e0*wt)) ELSE confidence END AS confidence, visibility,
+  CASE WHEN wt>.001e0 THEN greatest(.1e0,uncertainty*(1-.28e0*wt)) ELSE uncertainty END AS uncertainty, disocclusion, cut FROM w{i})"""
+    return out
+
+
+@query("f04_trajectory_consensus_auto", with_fixtures("wflow", "wpx") + "," + WGRAY_CTE + "," + cut_sql("gray") + "," + consensus_sql() + " "
+       + " UNION ALL ".join(f"SELECT {_C}, round(vx,6)+0e0 AS vx, round(vy,6)+0e0 AS vy, round(confidence,12) AS confidence, round(uncertainty,12) AS uncertainty FROM o{i}"
+                            for i in range(1, 7)))
+def trajectory_consensus_auto(spark, d):
+    """The recurrence with one lattice of history; the SQL unrolls the six frames."""
+    fields = ["vx", "vy", "confidence", "visibility", "uncertainty", "disocclusion"]
+    planes = S.scene_planes(fx.wide_flow(spark, d).select(*CELL, *fields), fields, segments(spark, d, True))
+    out = planes_to_long(S.trajectory_consensus(planes, 48, 32, "auto", 4), ["vx", "vy", "confidence", "uncertainty"], 48)
+    return out.select(*CELL, *[r6(F.col(c), n).alias(c) for c, n in (("vx", 6), ("vy", 6), ("confidence", 12), ("uncertainty", 12))])
+
+
 @query("f04_consensus_diagnostics")
 def consensus_diagnostics(spark, d):
     fields = ["vx", "vy", "confidence", "visibility", "uncertainty", "disocclusion"]
