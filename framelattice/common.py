@@ -55,13 +55,18 @@ def frac(cond: Column) -> Column:
     return F.avg(F.when(cond, 1.0).otherwise(0.0))
 
 
+_fallback_roots: dict[str, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in spark.checkpoint.dir; a temporary one only if unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if root:
+        return root
+    app = spark.sparkContext.applicationId
+    if app not in _fallback_roots:
+        _fallback_roots[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _fallback_roots[app]
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:

@@ -52,7 +52,11 @@ PLANES_PER_BATCH = 4
 
 
 def read_planes(spark, path: str) -> DataFrame:
-    """Plane layout: one row per frame with row-major arrays."""
+    """Plane layout: one row per frame with row-major arrays or packed binaries.
+
+    The batch size is a session setting and the reader has no option for it, so it stays lowered:
+    give jobs that also scan long tables a session of their own.
+    """
     key = "spark.sql.parquet.columnarReaderBatchSize"
     if int(spark.conf.get(key)) > PLANES_PER_BATCH:
         spark.conf.set(key, PLANES_PER_BATCH)
