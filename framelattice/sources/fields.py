@@ -78,10 +78,16 @@ def _field(name: str):
 
 
 def long_to_planes(cells: DataFrame, fields: list[str], keys=KEYS) -> DataFrame:
-    """One row per cell -> one row per frame, each field a row-major array."""
-    packed = cells.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("y", "x", *fields))).alias("_cells"))
-    return packed.select(*keys, *[F.transform("_cells", _field(f)).alias(f) for f in fields])
+    """One row per cell -> one row per frame, each field a row-major array.
+
+    Image rows are packed first and frames from rows, both after one exchange on the frame: what is
+    sorted and held at once is one image row of cells, then one frame of plain arrays.
+    """
+    rows = cells.repartition(*keys).groupBy(*keys, "y").agg(
+        F.array_sort(F.collect_list(F.struct("x", *fields))).alias("_row"))
+    rows = rows.select(*keys, "y", *[F.transform("_row", _field(f)).alias(f) for f in fields])
+    frames = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("y", *fields))).alias("_rows"))
+    return frames.select(*keys, *[F.flatten(F.transform("_rows", _field(f))).alias(f) for f in fields])
 
 
 def write_telemetry(df: DataFrame, columns: list[str], path: str, fmt: str = "parquet", partition: str = "clip_id",
