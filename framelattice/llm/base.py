@@ -58,3 +58,13 @@ def utf8_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data = col.buffers()[2]
     body = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return body[off[0]:off[-1]] if len(off) else body[:0], off - off[0] if len(off) else np.zeros(1, np.int64)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, most: int) -> DataFrame:
+    """doc_id, text and y of at most `most` labelled documents outside the held-out fold, chosen by hash of the id. The ids
+    are bounded by `most`, so they are broadcast and no text is shuffled; an id with several labels has its highest."""
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", modulus, remainder))
+    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(chosen), "doc_id")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import base, chat, fingerprints, licences, mixing, neighbours, packing
+from . import base, chat, fingerprints, licences, mixing, neighbours, packing, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -63,6 +63,22 @@ def op5(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def judged(scored: DataFrame, modulus: int, remainder: int, least: float) -> DataFrame:
+    return scored.select("doc_id", base.held_out("doc_id", modulus, remainder).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+@query("op6_toxicity")
+def op6(spark, sf_dir):
+    docs = base.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return judged(toxicity.score(docs, toxicity.train(docs, base.table(spark, sf_dir, "labels"))), 5, 0, 0.5)
+
+
+@query("op7_quality")
+def op7(spark, sf_dir):
+    docs = base.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return judged(quality.score(docs, quality.train(docs, base.table(spark, sf_dir, "labels"))), 4, 2, 0.7)
+
+
 @query("op9_nearest_neighbours")
 def op9(spark, sf_dir):
     return neighbours.nearest(base.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
