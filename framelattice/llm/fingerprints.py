@@ -68,7 +68,7 @@ def with_next(docs: DataFrame, key: str, cols: list[str], slices: int) -> DataFr
     tops = sliced.groupBy("_slice").agg(F.max(key).alias("_top"))
     before = F.coalesce(F.lag("_slice").over(Window.orderBy("_slice")), F.max("_slice").over(Window.orderBy("_slice").rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing)))
-    tops = tops.withColumn("_before", before)  # one row per slice
+    tops = F.broadcast(tops.withColumn("_before", before))  # one row per slice
     heads = sliced.alias("d").join(tops.alias("t"), (F.col("d._slice") == F.col("t._slice")) & F.col(f"d.{key}").eqNullSafe(F.col("t._top")))
     heads = heads.select("d.*", "_before").withColumn("_n", F.row_number().over(Window.partitionBy("_slice").orderBy(*order))).where("_n = 1")
     heads = heads.withColumn("_slice", F.col("_before")).select(*sliced.columns, F.lit(1).alias("_guest"))
