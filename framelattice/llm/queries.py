@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import base, chat, fingerprints, licences, mixing, neighbours, packing, quality, toxicity
+from . import base, chat, fingerprints, jaccard, licences, mixing, neighbours, packing, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -30,6 +30,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_jaccard_join")
+def op1(spark, sf_dir):
+    return jaccard.link(base.table(spark, sf_dir, "documents"), jaccard.Join(words=4, percent=85))
+
+
 @query("op2_mix_sources")
 def op2(spark, sf_dir):
     docs = base.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
