@@ -25,8 +25,8 @@ class Hashing:
     width: float = 1.0
     probes: int = 40
     seed: int = 7
-    chunk_rows: int = 8192   # rows that a chunk of buckets holds on average
-    block_rows: int = 16384  # most rows of a chunk, and most queries, that meet in one task
+    chunk_rows: int = 65536   # rows that a chunk of buckets holds on average
+    block_rows: int = 65536  # most rows of a chunk, and most queries, that meet in one task
 
 
 def perturbations(below: np.ndarray, count: int) -> list[list[tuple[int, int]]]:
