@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import base, chat, fingerprints, jaccard, licences, mixing, neighbours, packing, quality, toxicity
+from . import base, chat, fingerprints, jaccard, katz, licences, mixing, neighbours, packing, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -84,6 +84,14 @@ def op7(spark, sf_dir):
     return judged(quality.score(docs, quality.train(docs, base.table(spark, sf_dir, "labels"))), 4, 2, 0.7)
 
 
+@query("op8_katz")
+def op8(spark, sf_dir):
+    docs = base.table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows, _ = katz.score(docs, ~base.held_out("doc_id", 5, 1))
+    smoothed = F.col("base_log") - F.col("n_tokens") * F.log10(F.col("train_tokens") + 0.5 * (F.col("vocabulary") + 1))
+    return rows.select("doc_id", base.held_out("doc_id", 5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", smoothed.alias("base_score"), "score")
+
+
 @query("op9_nearest_neighbours")
 def op9(spark, sf_dir):
     return neighbours.nearest(base.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
