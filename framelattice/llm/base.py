@@ -53,7 +53,8 @@ def raw_texts(column: pa.Array) -> Iterable[bytes]:
 
 def utf8_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a text column and the n + 1 offsets into them; nulls are empty."""
-    col = column.cast(pa.large_string()).fill_null("")
+    col = column.cast(pa.large_string())
+    col = col.fill_null("") if col.null_count else col
     off = np.frombuffer(col.buffers()[1], np.int64)[col.offset:col.offset + len(col) + 1]
     data = col.buffers()[2]
     body = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -189,10 +189,11 @@ def link(docs: DataFrame, how: Join = Join()) -> DataFrame:
 
     1. Equal sets are one class, named by a 64-bit digest and the size; copies are never paired.
     2. Tokens are ordered by hash, the commonest last; a class posts its prefix. Tokens posted once are dropped.
-    3. Groups: a class joins the pivot (least digest of a token's postings) with which it shares most of its postings. The token-group
-       matrix has each group's posted tokens with the range of its members' sizes.
-    4. A class queries the groups (below its own) that hold one of its tokens and a fitting size. With its whole set the bound on
-       the group's union is taken; only then are the members opened, exactly.
+    3. Groups: a class joins the pivot (least digest of a token's postings) with which it shares most of its postings, if they are
+       enough for a link, else it is a group of its own. The token-group matrix has each group's posted tokens with the range of its
+       members' sizes.
+    4. A class queries the groups (below its own) with a fitting size of which the matrix has enough of its posted tokens. With its
+       whole set the bound on the group's union is taken; only then are the members opened, exactly.
     5. Groups beyond a block are first held against their pivot; what links with it is connected, the rest alone is held against all
        blocks. Components of the links give the result.
 
@@ -203,14 +204,18 @@ def link(docs: DataFrame, how: Join = Join()) -> DataFrame:
     rows = base.stored(_prefixes(given, how, _hot_tokens(given, how)), "prefixes")
     classes = rows.where("n > 0").groupBy("d", "n").agg(F.first("prefix").alias("prefix"))
     by_token = Window.partitionBy("token")
-    posted = classes.select("d", "n", F.explode("prefix").alias("token")).withColumn("pivot", F.min("d").over(by_token)).withColumn("c", F.count("*").over(by_token))
-    posted = base.stored(posted.where("c > 1").drop("c"), "posted")
-    groups = posted.groupBy("d", "n", "pivot").agg(F.count("*").alias("c")).groupBy("d", "n").agg(F.max_by("pivot", F.struct("c", "pivot")).alias("g"))
-    groups = base.stored(groups, "groups")
-    matrix_rows = posted.drop("pivot").join(groups, ["d", "n"])
+    first = F.min(F.struct("d", "n")).over(by_token)
+    posted = classes.select("d", "n", F.explode("prefix").alias("token")).withColumn("pivot", first).withColumn("c", F.count("*").over(by_token))
+    posted = base.stored(posted.where("c > 1").select("d", "n", "token", F.col("pivot.d").alias("pivot"), F.col("pivot.n").alias("m")), "posted")
+    shares = posted.groupBy("d", "n", "pivot", "m").agg(F.count("*").alias("c"))
+    near = _fit("n", "m", "m", how) & (F.col("c") >= _needed("n", "m", "m", how))
+    groups = shares.groupBy("d", "n").agg(F.max_by(F.when(near, F.col("pivot")), F.when(near, F.struct("c", "pivot"))).alias("g"))
+    groups = base.stored(groups.withColumn("g", F.coalesce("g", "d")), "groups")
+    matrix_rows = posted.drop("pivot", "m").join(groups, ["d", "n"])
     matrix = matrix_rows.groupBy("token", F.col("g").alias("h")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    fits = (F.col("least") * how.percent <= F.col("n") * 100) & (F.col("n") * how.percent <= F.col("most") * 100)
-    asking = matrix_rows.join(matrix, "token").where((F.col("h") < F.col("g")) & fits).select("d", "n", F.col("h").alias("g")).distinct().withColumn("member", F.lit(False))
+    asking = matrix_rows.join(matrix, "token").where((F.col("h") < F.col("g")) & _fit("n", "least", "most", how))
+    asking = asking.groupBy("d", "n", F.col("h").alias("g")).agg(F.count("*").alias("c"), F.min("least").alias("least"), F.max("most").alias("most"))
+    asking = asking.where(F.col("c") >= _needed("n", "least", "most", how)).select("d", "n", "g", F.lit(False).alias("member"))
     seats = groups.withColumn("member", F.lit(True)).unionByName(asking)
     crowd = seats.groupBy("g").agg(F.count("*").alias("rows")).where("rows > 1").withColumn("blocks", F.ceil(F.col("rows") / how.block).cast("int"))
     seats = base.stored(seats.join(crowd.drop("rows"), "g"), "seats")
@@ -230,6 +235,40 @@ def link(docs: DataFrame, how: Join = Join()) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def keep_one(docs: DataFrame, how: Join = Join()) -> DataFrame:
+    """The documents without those whose component has a smaller id, and without repeats of a row's id and text.
+
+    Rows of null id always stay, as do all documents without words (each once). An empty table stays empty.
+    """
+    found = link(docs, how).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("least"), F.max("component_id").alias("most"))
+    names = [f"d{k}" for k in range(len(docs.columns))]
+    given = docs.select(*[F.col(f"`{c}`").alias(x) for c, x in zip(docs.columns, names)], F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("h"))
+    # An id with several texts goes only if all of them have smaller partners.
+    kept = given.join(found.withColumnRenamed("doc_id", "id"), "id", "left").where("id IS NULL OR most >= id")
+    again = F.row_number().over(Window.partitionBy("id", "h").orderBy(F.lit(1)))
+    kept = kept.where("id IS NULL").select(*names).unionByName(kept.where("id IS NOT NULL").withColumn("k", again).where("k = 1").select(*names))
+    return kept.select(*[F.col(x).alias(c) for c, x in zip(docs.columns, names)])
+
+
+def _fit(n: str, least: str, most: str, how: Join) -> Column:
+    """Some size from least to most may link with size n."""
+    return (F.col(least) * how.percent <= F.col(n) * 100) & (F.col(n) * how.percent <= F.col(most) * 100)
+
+
+def _needed(n: str, least: str, most: str, how: Join) -> Column:
+    """Posted tokens that a set of size n shares at least with a linked set of a size from least to most.
+
+    Of two linked sets, call A the one whose prefix ends first in the order. A's prefix tokens that the other has lie in the other's
+    prefix, so all but the shared ones of them are missing there: common <= shared + size of A - prefix of A.
+    """
+    low = f"greatest({least}, ({n} * {how.percent} + 99) div 100)"
+    high = f"least({most}, {n} * 100 div {how.percent})"
+    common = lambda m: f"(({n} + {m}) * {how.percent} + {99 + how.percent}) div {100 + how.percent}"
+    beyond = lambda m: f"(({m} * {how.percent} + 99) div 100 - 1)"  # noqa: E731  size less prefix
+    # Where A is the other set, what is needed falls by at most one from the size `high` on down: integer rounding.
+    return F.expr(f"greatest(1, least({common(low)} - {beyond(n)}, {common(high)} - {beyond(high)} - 1))")
+
+
 def _open(seats: DataFrame, how: Join) -> DataFrame:
     def meet(t: pa.Table) -> pa.Table:
         d = t["d"].to_numpy()

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from framelattice.common import checkpoint_root
 
 from . import base
-from .shingles import _cut_words, _slices, mix64, word_hashes
+from .shingles import _SLICE, _cut_words, _slices, mix64, word_hashes
 
 BEGIN, END = np.uint64(1), np.uint64(2)  # keys of the marks before the first word and after the last
 _SLICE_BYTES, _SLICE_DOCS = 1 << 24, 30_000
@@ -46,7 +46,7 @@ def _tokens(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
     body, offsets = base.utf8_buffer(column)
     for a, b in _slices(body, offsets):
         part = body[offsets[a]:offsets[b]]
-        if b - a == 1 and len(part) > (1 << 21):
+        if b - a == 1 and len(part) > _SLICE:
             h = _cut_words(part)
             t = np.zeros(len(h), np.int64)
         else:

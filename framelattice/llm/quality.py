@@ -161,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int =
 
     got = rows.select("y", "text").mapInArrow(run, "y int, x array<double>").collect()
     got.sort(key=lambda r: (r["y"], r["x"]))  # whatever the order of tasks
-    x = np.array([r["x"] for r in got], float).reshape(len(got), -1)
+    x = np.array([r["x"] for r in got], float).reshape(len(got), len(FEATURES))
     return fit(x, np.array([r["y"] for r in got], float), **how)
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 
 from . import base
 
-_SLICE = 1 << 21  # bytes of text worked on at once; a longer text is cut at blanks
+_SLICE = 1 << 20  # bytes of text worked on at once; a longer text is cut at blanks
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20)
 _LETTER = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
