@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 KEYS = ("clip_id", "frame_no")
 CELL = ("clip_id", "frame_no", "y", "x")
 
-# A plane (one array per field per frame) is only built below this many cells, so that a frame
-# always fits comfortably in one task. Larger frames use the row-pair lookups instead.
-PLANE_CELL_LIMIT = 1 << 22
-
 
 def as_col(v) -> Column:
     """A Column as it is, anything else as a literal (strings are literals too)."""
@@ -59,14 +55,17 @@ _fallback_roots: dict[str, str] = {}
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one only if unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder of the context or of spark.checkpoint.dir; a temporary one in local mode alone."""
+    sc = spark.sparkContext
+    known = sc._jsc.sc().getCheckpointDir()
+    root = known.get() if known.isDefined() else spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
-    app = spark.sparkContext.applicationId
-    if app not in _fallback_roots:
-        _fallback_roots[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return _fallback_roots[app]
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if sc.applicationId not in _fallback_roots:
+        _fallback_roots[sc.applicationId] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _fallback_roots[sc.applicationId]
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..common import KEYS, PLANE_CELL_LIMIT, big, clamp01, finite, hypot
+from ..common import KEYS, big, clamp01, finite, hypot
 from ..functions.colour import luma
 from ..functions.names import convention_penalty, depth_name_prior, leaf, motion_name_prior
 from ..sources.catalog import even_sample, on_stride
@@ -18,7 +18,6 @@ from .pairs import informative_pairs, pair_mad
 QUANTILES = (0.001, 0.01, 0.10, 0.50, 0.90, 0.99, 0.999)
 QUANTILE_NAMES = ("p001", "p01", "p10", "p50", "p90", "p99", "p999")
 FACTORS = (0.25, 0.5, 1.0, 2.0, 4.0)
-STEP = 6  # sample lattice: every 6th cell from the 3rd, both ways
 RESIDUAL_CAP = 0.35
 CONVENTIONS = 120
 
@@ -29,23 +28,53 @@ def sample_frames(chan: DataFrame, max_frames: int) -> DataFrame:
     return even_sample(frames, ["seq_id"], ["frame_no"], max_frames)
 
 
-def channel_stats(chan: DataFrame, width: int, height: int, max_frames: int = 9, max_values: int = 32768,
+def exact_quantiles(d: DataFrame, keys: list[str], value: str, shares: tuple[float, ...], parts: int = 64) -> DataFrame:
+    """Interpolated quantiles ``q`` of each group's non-null values, without holding a group in one task's memory.
+
+    A sketch cuts each group into parts. Counts say in which parts the wanted ranks lie; only those parts are sorted, each
+    in a window of its own, which spills.
+    """
+    d = d.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    cuts = d.groupBy(*keys).agg(F.percentile_approx("_v", [i / parts for i in range(1, parts)], 10000).alias("_cuts"), F.count("*").alias("_n"))
+    part = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
+    d = d.join(cuts, keys).withColumn("_part", part).drop("_cuts")
+    counts = d.groupBy(*keys, "_part").agg(F.count("*").alias("_c"), F.max("_n").alias("_n"))
+    w = W.partitionBy(*keys).orderBy("_part")  # at most ``parts`` rows a group
+    counts = counts.withColumn("_before", F.sum("_c").over(w) - F.col("_c"))
+    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor((F.col("_n") - 1) * p), F.ceil((F.col("_n") - 1) * p)) for p in shares])))
+    held = counts.withColumn("_want", F.filter(ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_c")))).where(F.size("_want") > 0)
+    row = F.row_number().over(W.partitionBy(*keys, "_part").orderBy("_v")) - 1
+    found = d.drop("_n").join(held.drop("_c"), [*keys, "_part"]).withColumn("_rank", F.col("_before") + row).where(F.array_contains("_want", F.col("_rank")))
+    per = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_m"), F.max("_n").alias("_n"))  # two entries a share at most
+
+    def at(p: float) -> Column:
+        r = (F.col("_n") - 1) * p
+        lo, hi = F.element_at("_m", F.floor(r)), F.element_at("_m", F.ceil(r))
+        return lo + (hi - lo) * (r - F.floor(r))
+
+    return per.select(*keys, F.array(*[at(p) for p in shares]).alias("q"))
+
+
+def channel_stats(chan: DataFrame, width: int, height: int, max_frames: int | None = None, max_values: int | None = None,
                   approximate: bool = False) -> DataFrame:
     """Robust statistics and depth-likeness score of every channel of every sequence.
 
-    The sample is at most max_frames planes of about max_values cells, so an exact percentile's state
-    is bounded; ``approximate`` trades it for a sketch.
+    All frames and cells count unless a sample is asked for: max_frames evenly spaced frames, about max_values cells of a
+    frame. Quantiles are exact; ``approximate`` takes them from a sketch in one pass.
     """
-    picked = sample_frames(chan, max_frames).withColumn("frames", F.count(F.lit(1)).over(W.partitionBy("seq_id")))
-    d = chan.where(on_stride(width, height, max_values)).join(picked, ["seq_id", "frame_no"])
+    frames = chan.select("seq_id", "frame_no").distinct() if max_frames is None else sample_frames(chan, max_frames)
+    counted = frames.groupBy("seq_id").agg(F.count(F.lit(1)).alias("frames"))
+    d = chan if max_values is None else chan.where(on_stride(width, height, max_values))
+    d = d if max_frames is None else d.join(frames, ["seq_id", "frame_no"], "left_semi")
     v = F.when(finite(F.col("value")), F.col("value"))
-    q = (F.percentile_approx(v, list(QUANTILES), 100000) if approximate
-         else F.percentile(v, F.array(*[F.lit(p) for p in QUANTILES])))
-    per_frame = min(max_values, width * height)
+    per_frame = width * height if max_values is None else min(max_values, width * height)
     s = d.groupBy("seq_id", "channel").agg(
-        q.alias("q"), big(F.count(v)).alias("finite_count"), F.max("frames").alias("frames"),
+        *([F.percentile_approx(v, list(QUANTILES), 100000).alias("q")] if approximate else []), big(F.count(v)).alias("finite_count"),
         F.avg(F.when(v.isNotNull(), F.when(v >= 0.0, 1.0).otherwise(0.0))).alias("positive_ratio"),
         F.avg(F.when(v.isNotNull(), F.when((v >= -1e-5) & (v <= 1.00001), 1.0).otherwise(0.0))).alias("in01_ratio"))
+    s = s.join(counted, "seq_id")
+    if not approximate:
+        s = s.join(exact_quantiles(d.withColumn("value", v), ["seq_id", "channel"], "value", QUANTILES), ["seq_id", "channel"], "left")
     s = s.select("seq_id", "channel", "finite_count", "frames", "positive_ratio", "in01_ratio",
                  *[F.col("q")[i].alias(n) for i, n in enumerate(QUANTILE_NAMES)])
     total = F.greatest(F.col("frames") * per_frame, F.col("finite_count"))
@@ -89,17 +118,18 @@ def calibrate_depth(stats: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------------------------
 
 
-def on_lattice() -> Column:
-    return (F.col("y") % STEP == STEP // 2) & (F.col("x") % STEP == STEP // 2)
+def on_lattice(step: int) -> Column:
+    """Every step-th cell from the middle of the first step on, both ways."""
+    return F.lit(True) if step == 1 else (F.col("y") % step == step // 2) & (F.col("x") % step == step // 2)
 
 
 def capped_residual(a: Column, b: Column) -> Column:
     return F.least(F.abs(a - b) / 255.0, F.lit(RESIDUAL_CAP)) / RESIDUAL_CAP
 
 
-def zero_motion_error(px: DataFrame, pairs: DataFrame) -> DataFrame:
+def zero_motion_error(px: DataFrame, pairs: DataFrame, step: int = 1) -> DataFrame:
     """Per clip, the mean over its pairs of the residual a motionless image would leave."""
-    l = px.where(on_lattice()).select(*KEYS, "y", "x", luma(F.col("r"), F.col("g"), F.col("b")).alias("l"))
+    l = px.where(on_lattice(step)).select(*KEYS, "y", "x", luma(F.col("r"), F.col("g"), F.col("b")).alias("l"))
     cur = l.join(pairs.select(*KEYS), list(KEYS), "left_semi")
     prev = l.select("clip_id", (F.col("frame_no") + 1).alias("frame_no"), "y", "x", F.col("l").alias("p"))
     j = cur.join(prev, [*KEYS, "y", "x"])
@@ -107,12 +137,13 @@ def zero_motion_error(px: DataFrame, pairs: DataFrame) -> DataFrame:
     return per.groupBy("clip_id").agg(F.avg("e").alias("zero_error"), F.count(F.lit(1)).alias("sampled_pairs"))
 
 
-def limit_motion_channels(channels: DataFrame, max_channels: int, ordinal: str = "ordinal") -> DataFrame:
-    """The channels most likely to be motion components; ties keep listing order."""
+def limit_motion_channels(channels: DataFrame, max_channels: int | None = None, ordinal: str = "ordinal") -> DataFrame:
+    """Channels by how likely they are motion components, or only the likeliest if so asked; ties keep listing order."""
     c = F.col("channel")
     prior = F.greatest(motion_name_prior(c, "x"), motion_name_prior(c, "y"))
     w = W.partitionBy("seq_id").orderBy(prior.desc(), ordinal)
-    return channels.withColumn("slot", F.row_number().over(w)).where(F.col("slot") <= max(2, max_channels))
+    d = channels.withColumn("slot", F.row_number().over(w))
+    return d if max_channels is None else d.where(F.col("slot") <= max(2, max_channels))
 
 
 def convention(ordinal: Column, width: int, height: int) -> dict[str, Column]:
@@ -142,27 +173,25 @@ def candidate_grid(channels: DataFrame, width: int, height: int) -> DataFrame:
 
 
 def motion_candidate_error(px: DataFrame, chan: DataFrame, channels: DataFrame, pairs: DataFrame, width: int, height: int,
-                           source_width: int | None = None, source_height: int | None = None) -> DataFrame:
+                           source_width: int | None = None, source_height: int | None = None, step: int = 1) -> DataFrame:
     """Reprojection residual and mean motion of every convention of every channel pair, per clip.
 
     px and chan are at analysis resolution (width x height). Lattice samples meet the luma plane they
-    are projected into once; channel pairs and conventions are unfolded from arrays in the same stage
+    are projected into once, every step-th one both ways; channel pairs and conventions are unfolded from arrays in the same stage
     and summed map-side, so the candidate rows themselves never cross the network.
     chan(seq_id = clip_id, frame_no = 1-based file position, channel, y, x, value).
     """
-    if width * height > PLANE_CELL_LIMIT:
-        raise ValueError("resample to analysis resolution first")
     sw, sh = source_width or width, source_height or height
     l = px.select(*KEYS, "y", "x", luma(F.col("r"), F.col("g"), F.col("b")).alias("l"))
     use = pairs.select("clip_id", F.col("frame_no").alias("pair"))
     planes = long_to_planes(
         l.join(use.select("clip_id", F.explode(F.array("pair", F.col("pair") - 1)).alias("frame_no")).distinct(),
                list(KEYS), "left_semi"), ["l"]).withColumnsRenamed({"frame_no": "plane_frame", "l": "plane"})
-    kept = chan.where(on_lattice()).join(channels.select("seq_id", "channel", "slot"), ["seq_id", "channel"])
+    kept = chan.where(on_lattice(step)).join(channels.select("seq_id", "channel", "slot"), ["seq_id", "channel"])
     # one entry per kept channel
     values = kept.groupBy(F.col("seq_id").alias("clip_id"), "frame_no", "y", "x").agg(
         F.array_sort(F.collect_list(F.struct("slot", "value"))).alias("v"))
-    s = l.where(on_lattice()).join(values, [*KEYS, "y", "x"])
+    s = l.where(on_lattice(step)).join(values, [*KEYS, "y", "x"])
     # A file at frame f explains pair f when it points back and pair f + 1 when it points forward.
     ways = F.array(
         F.struct(F.col("frame_no").alias("pair"), F.lit(False).alias("fwd"), (F.col("frame_no") - 1).alias("plane_frame")),
@@ -234,9 +263,9 @@ def calibrate_motion(errors: DataFrame, zero: DataFrame) -> DataFrame:
 
 
 def calibrate_motion_sequence(px: DataFrame, chan: DataFrame, channels: DataFrame, width: int, height: int,
-                              max_channels: int = 8) -> DataFrame:
+                              max_channels: int | None = None, step: int = 1) -> DataFrame:
     """Pairs, candidates, errors and verdict in one plan; inputs at analysis resolution."""
-    pairs = informative_pairs(pair_mad(px, width))
+    pairs = informative_pairs(pair_mad(px))
     kept = limit_motion_channels(channels, max_channels)
-    errors = motion_candidate_error(px, chan, kept, pairs, width, height)
-    return calibrate_motion(errors, zero_motion_error(px, pairs))
+    errors = motion_candidate_error(px, chan, kept, pairs, width, height, step=step)
+    return calibrate_motion(errors, zero_motion_error(px, pairs, step))

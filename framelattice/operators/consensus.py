@@ -25,10 +25,10 @@ RULES = {
 MAX_SPEED = 2048.0
 
 
-def history_step(width: int, height: int, mode: str, grid_step: int) -> int:
-    g = max(1, min(4, grid_step))
-    step = max(2, g // 2) if mode == "strong" else max(2, g)
-    return max(step, 4) if width * height > 12_000_000 else step
+def history_step(mode: str, grid_step: int) -> int:
+    if not 1 <= grid_step <= 4:
+        raise ValueError("the grid step is 1 to 4 cells")
+    return max(2, grid_step // 2) if mode == "strong" else max(2, grid_step)
 
 
 def vote(mode: str, cur: dict, past: list[dict], count: np.ndarray, gx=0.0, gy=0.0):
@@ -99,7 +99,7 @@ def plane_step(width: int, height: int, mode: str, grid_step: int) -> Callable:
     from .scans import bilinear
 
     k = RULES[mode]
-    step_px = history_step(width, height, mode, grid_step)
+    step_px = history_step(mode, grid_step)
     iy, ix = _lattice_index(height, step_px), _lattice_index(width, step_px)
     gy, gx = np.meshgrid((np.arange(len(iy)) + 0.5) * step_px - 0.5, (np.arange(len(ix)) + 0.5) * step_px - 0.5, indexing="ij")
     py0, px0 = np.minimum(height - 1.0, gy), np.minimum(width - 1.0, gx)
@@ -158,7 +158,7 @@ def plane_step(width: int, height: int, mode: str, grid_step: int) -> Callable:
                 f["confidence"] = np.where(on, np.maximum(f["confidence"], np.minimum(0.92, 0.72 + 0.20 * w)), f["confidence"])
                 f["uncertainty"] = np.where(on, np.maximum(0.10, f["uncertainty"] * (1.0 - 0.28 * w)), f["uncertainty"])
                 res["corrected_fraction"] = hits / b.size
-                res["mean_residual"] = float(np.minimum(r, 100.0).sum() / hits)
+                res["mean_residual"] = float(r.sum() / hits)
         past.insert(0, lattice(f))
         del past[k["depth"]:]
         return {**{c: f[c] for c in ("vx", "vy", "confidence", "uncertainty")}, **res}

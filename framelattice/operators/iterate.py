@@ -8,14 +8,13 @@ from pyspark.sql import DataFrame
 
 from ..common import cut_lineage
 
-MAX_PASSES = 8
-
 
 def iterate_passes(df: DataFrame, step: Callable[[DataFrame], DataFrame], passes: int, checkpoint_every: int = 2) -> DataFrame:
     """Feeds each full result into the next pass; long runs cut their lineage with a checkpoint."""
-    n = max(1, min(MAX_PASSES, passes))
-    for i in range(1, n + 1):
+    if passes < 1:
+        raise ValueError("at least one pass")
+    for i in range(1, passes + 1):
         df = df.transform(step)
-        if i % checkpoint_every == 0 and i < n:
+        if i % checkpoint_every == 0 and i < passes:
             df = cut_lineage(df)
     return df

@@ -6,7 +6,7 @@ Three access patterns carry everything else in this package:
   key serves both windows and no row is multiplied.
 * ``attach_planes`` + ``with_position`` / ``at_position``: data-dependent positions. One array per field and frame is
   joined on the frame key and indexed in generated code, so cells never move again however many
-  lookups follow. For frames up to ``PLANE_CELL_LIMIT`` cells.
+  lookups follow. For frames that a task can hold.
 * ``sample_row_pairs``: the same lookups for larger frames, as an equi-join on the row below each
   position; the build side is two image rows, whatever the frame height.
 """
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..common import KEYS, PLANE_CELL_LIMIT, as_col, big, clamp, finite
+from ..common import KEYS, as_col, big, clamp, finite
 from ..sources.fields import long_to_planes
 
 # ---------------------------------------------------------------------------------------------
@@ -261,15 +261,15 @@ def sample_row_pairs(queries: DataFrame, source: DataFrame, values: dict[str, st
 
 
 def sample_bilinear(queries: DataFrame, source: DataFrame, values: dict[str, str], x: str, y: str, width, height,
-                    border: str = "clamp", keys=KEYS, access: str | None = None) -> DataFrame:
+                    border: str = "clamp", keys=KEYS, access: str = "planes") -> DataFrame:
     """Values of ``source`` at the real-valued positions (x, y) of ``queries``.
 
     values maps source columns to output names. border: clamp, reject (null outside) or flag (clamped
-    value plus an ``inside`` column). Planes are used only when the frame size is known to be bounded.
+    value plus an ``inside`` column). access: planes (a frame is one row) or rows (pairs of image rows, for frames too
+    large for a task); both give the same values.
     """
-    if access is None:
-        known = isinstance(width, int) and isinstance(height, int)
-        access = "planes" if known and width * height <= PLANE_CELL_LIMIT else "rows"
+    if access not in ("planes", "rows"):
+        raise ValueError(f"unknown access {access!r}")
     if access == "planes":
         names = {s: f"_plane_{n}" for s, n in values.items()}
         planes = long_to_planes(source.select(*keys, "y", "x", *values), list(values), keys)
@@ -288,7 +288,7 @@ def sample_bilinear(queries: DataFrame, source: DataFrame, values: dict[str, str
 
 
 def warp_lookup(cur: DataFrame, source: DataFrame, values: dict[str, str], width, height, border: str = "reject",
-                keys=KEYS, lag: int = 1, access: str | None = None) -> DataFrame:
+                keys=KEYS, lag: int = 1, access: str = "planes") -> DataFrame:
     """Sample the field ``lag`` frames earlier at the motion-compensated position (x + vx, y + vy)."""
     q = cur.withColumn("_px", F.col("x") + F.col("vx")).withColumn("_py", F.col("y") + F.col("vy"))
     out = sample_bilinear(q, shift_frames(source, lag, keys[1]) if lag else source, values, "_px", "_py",
@@ -412,7 +412,7 @@ def _step_ok(width, height) -> Column:
 
 
 def invert_flow(forward: DataFrame, width: int, height: int, iterations: int = 4, keys=KEYS,
-                targets: DataFrame | None = None) -> DataFrame:
+                targets: DataFrame | None = None, access: str = "planes") -> DataFrame:
     """current->previous vectors of a previous->current field by fixed-point iteration.
 
     p <- q - F(p), void if a sample leaves the image. The planes are attached once and all
@@ -420,7 +420,7 @@ def invert_flow(forward: DataFrame, width: int, height: int, iterations: int = 4
     forward(vx, vy) must already be keyed to the frame that reads it.
     """
     grid = targets if targets is not None else forward.select(*keys, "y", "x")
-    if width * height > PLANE_CELL_LIMIT:
+    if access == "rows":
         return _invert_flow_rows(forward, grid, width, height, iterations, keys)
     planes = long_to_planes(forward.select(*keys, "y", "x", "vx", "vy"), ["vx", "vy"], keys).withColumnsRenamed(
         {"vx": "_fx", "vy": "_fy"})

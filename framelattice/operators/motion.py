@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..common import KEYS, PLANE_CELL_LIMIT, clamp01, finite, hypot
+from ..common import KEYS, clamp01, finite, hypot
 from ..functions.colour import import_motion, luma
 from ..sources.fields import long_to_planes
 from .lattice import (_sum, gauss3x3, inside, invert_flow, median3x3, neighbourhood, sample_bilinear,
@@ -61,8 +61,6 @@ def block_match(gray: DataFrame, width: int, height: int, block: int = 8, radius
     cell by thousands; instead each pair of frame planes, bounded by the analysis size, is searched
     with array operations where it lies.
     """
-    if width * height > PLANE_CELL_LIMIT:
-        raise ValueError("resample to analysis resolution first")
     planes = long_to_planes(gray.select(*KEYS, "y", "x", F.col("v").cast("double").alias("v")), ["v"])
     pairs = planes.withColumnRenamed("v", "cur").join(shift_frames(planes).withColumnRenamed("v", "prev"), list(KEYS))
 
@@ -250,7 +248,7 @@ def fuse_coarse(full: DataFrame, coarse: DataFrame, width: int, height: int, coa
 def fusion_diagnostics(fused: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
     """Corrected share and mean residual per frame, combined with those of an earlier scale."""
     d = fused.groupBy(*KEYS).agg(F.avg(F.col("corrected").cast("double")).alias("f"),
-                                 F.coalesce(F.avg(F.least("residual", F.lit(100.0))), F.lit(0.0)).alias("r"))
+                                 F.coalesce(F.avg("residual"), F.lit(0.0)).alias("r"))
     if earlier is None:
         return d.select(*KEYS, F.col("f").alias("corrected_fraction"), F.col("r").alias("mean_residual"))
     e = earlier.select(*KEYS, clamp01(F.col("corrected_fraction")).alias("pf"), F.col("mean_residual").alias("pr"))

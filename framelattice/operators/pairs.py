@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,10 +21,10 @@ def analysis_size(width: int, height: int, analysis_width: int) -> tuple[int, in
     return w, max(1, int(height * w / width + 0.5))
 
 
-def gray_cells(px: DataFrame, variant: str, width: int, height: int, analysis_width: int = 480) -> DataFrame:
+def gray_cells(px: DataFrame, variant: str, width: int, height: int, analysis_width: int | None = None) -> DataFrame:
     """Luma ``v`` of the cells a cut score looks at.
 
-    resampled: rounded luma at analysis width; every4: unrounded luma of every fourth pixel in both
+    resampled: rounded luma, at ``analysis_width`` if one is given; every4: unrounded luma of every fourth pixel in both
     directions; gray: an already gray ``v`` column, untouched.
     """
     if variant == "gray":
@@ -36,7 +34,7 @@ def gray_cells(px: DataFrame, variant: str, width: int, height: int, analysis_wi
         return px.where((F.col("y") % 4 == 0) & (F.col("x") % 4 == 0)).select(*KEYS, "y", "x", luma(*rgb).alias("v"))
     if variant != "resampled":
         raise ValueError(f"unknown cut variant {variant!r}")
-    w, h = analysis_size(width, height, analysis_width)
+    w, h = (width, height) if analysis_width is None else analysis_size(width, height, analysis_width)
     d = px.select(*KEYS, "y", "x", "r", "g", "b")
     if (w, h) != (width, height):
         d = resample_nearest(d, width, height, w, h)
@@ -75,10 +73,10 @@ def scene_cut_score(gray: DataFrame, first_score: float = 1.0) -> DataFrame:
                       F.when(~first & same, hist).alias("hist"), F.when(~first & same, mad).alias("mad"))
 
 
-def rgb_l1_score(px: DataFrame, width: int, height: int) -> DataFrame:
-    """Per frame: mean absolute RGB difference / 255 on a strided lattice; first frame 1."""
-    step = max(1, int(math.sqrt(width * height / 65536.0)))
-    d = px.where((F.col("y") % step == 0) & (F.col("x") % step == 0)).select(*KEYS, "y", "x", "r", "g", "b")
+def rgb_l1_score(px: DataFrame, step: int = 1) -> DataFrame:
+    """Per frame: mean absolute RGB difference / 255 of every step-th pixel both ways; first frame 1."""
+    d = px if step == 1 else px.where((F.col("y") % step == 0) & (F.col("x") % step == 0))
+    d = d.select(*KEYS, "y", "x", "r", "g", "b")
     d = pair_previous(d, ["r", "g", "b"])
     diff = sum((F.abs(F.col(c) - F.col(f"prev_{c}")) for c in "rgb"), F.lit(0))
     return d.groupBy(*KEYS).agg(F.coalesce(F.avg(diff / 3.0) / 255.0, F.lit(1.0)).alias("score"),
@@ -94,17 +92,17 @@ def scene_segments(scores: DataFrame, threshold: float, clamp_threshold: bool =
         "scene_id", big(F.sum(F.when(F.col("cut"), 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))))
 
 
-def pair_mad(px: DataFrame, width: int) -> DataFrame:
-    """Mean absolute luma difference / 255 over every third pixel, per frame with a predecessor."""
-    d = px.where((F.col("y") * width + F.col("x")) % 3 == 0).select(
-        *KEYS, "y", "x", luma(F.col("r"), F.col("g"), F.col("b")).alias("l"))
+def pair_mad(px: DataFrame) -> DataFrame:
+    """Mean absolute luma difference / 255 per frame with a predecessor."""
+    d = px.select(*KEYS, "y", "x", luma(F.col("r"), F.col("g"), F.col("b")).alias("l"))
     d = pair_previous(d, ["l"]).where("prev_l IS NOT NULL")
     return d.groupBy(*KEYS).agg((F.sum(F.abs(F.col("l") - F.col("prev_l"))) / 255.0 / F.count(F.lit(1))).alias("mad"))
 
 
-def informative_pairs(mads: DataFrame, k: int = 6, lo: float = 0.003, hi: float = 0.55, first_frames: int = 360) -> DataFrame:
-    """The k most different usable pairs among a clip's first frames; ties (to 1e-9) keep the earlier frame."""
-    use = mads.where((F.col("mad") >= lo) & (F.col("mad") <= hi) & (F.col("frame_no") <= first_frames))
+def informative_pairs(mads: DataFrame, k: int = 6, lo: float = 0.003, hi: float = 0.55, first_frames: int | None = None) -> DataFrame:
+    """The k most different usable pairs of a clip, or of its first frames if so asked; ties (to 1e-9) keep the earlier frame."""
+    use = mads.where((F.col("mad") >= lo) & (F.col("mad") <= hi))
+    use = use if first_frames is None else use.where(F.col("frame_no") <= first_frames)
     w = W.partitionBy("clip_id").orderBy(F.desc(F.round("mad", 9)), "frame_no")
     return use.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("rank", big("rank"))
 

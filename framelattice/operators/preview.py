@@ -6,26 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..common import KEYS, as_col, big, finite, hypot
+from ..common import KEYS, big, finite, hypot
 from ..functions.colour import depth_gray, motion_hsv
 from .lattice import resample_nearest
 
-# Sampled magnitudes per frame, order statistic shown at full brightness, its floor.
-MAX_SAMPLES = 32768
+# Order statistic shown at full brightness, its floor.
 ORDER_SHARE = 0.95
 MIN_DISPLAY = 0.25
 
 
-def robust_magnitude(flow: DataFrame, width, height, scale_x: float = 1.0, scale_y: float = 1.0, keys=KEYS) -> DataFrame:
-    """Per frame, the magnitude at sorted index floor((m-1) * .95) of a bounded stride sample.
+def robust_magnitude(flow: DataFrame, scale_x: float = 1.0, scale_y: float = 1.0, keys=KEYS) -> DataFrame:
+    """Per frame, the magnitude at sorted index floor((m-1) * .95) of all its finite vectors.
 
-    A lower order statistic, not interpolated; frames without a finite sample get 0. The sample is at
-    most twice MAX_SAMPLES values, so the sort of one frame is bounded.
+    A lower order statistic, not interpolated. A window sorts one frame at a time and spills.
     """
-    n = as_col(width) * as_col(height)
-    stride = F.greatest(F.lit(1), F.floor(n / float(MAX_SAMPLES)))
     vx, vy = F.col("vx") * scale_x, F.col("vy") * scale_y
-    m = flow.where((F.col("y") * as_col(width) + F.col("x")) % stride == 0).select(
+    m = flow.select(
         *keys, F.when(finite(vx) & finite(vy), hypot(vx, vy)).alias("m"))
     w = W.partitionBy(*keys)
     ranked = m.where("m IS NOT NULL").withColumn("rn", F.row_number().over(w.orderBy("m"))).withColumn(
@@ -43,7 +39,7 @@ def motion_preview(flow: DataFrame, width: int, height: int, scale_x: float = 1.
     """Downscaled direction/magnitude colours of every frame, plus its robust magnitude."""
     ow = max(1, min(width, max_width))
     oh = preview_height(width, height, ow)
-    scale = robust_magnitude(flow, width, height, scale_x, scale_y, keys)
+    scale = robust_magnitude(flow, scale_x, scale_y, keys)
     small = resample_nearest(flow.select(*keys, "y", "x", "vx", "vy"), width, height, ow, oh)
     d = small.join(scale, list(keys), "left").withColumn("robust_magnitude", F.coalesce("robust_magnitude", F.lit(0.0)))
     colour = motion_hsv(F.col("vx") * scale_x, F.col("vy") * scale_y, F.greatest(F.lit(MIN_DISPLAY), F.col("robust_magnitude")))

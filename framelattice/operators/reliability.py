@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..common import KEYS, PLANE_CELL_LIMIT, clamp01, finite, frac, hypot
+from ..common import KEYS, clamp01, finite, frac, hypot
 from ..functions.colour import cost01, decode_fixed, luma
 from ..sources.fields import long_to_planes
 from .lattice import (at_position, attach_planes, inside, landing_coverage, neighbourhood, sample_bilinear, shift_frames,
@@ -39,8 +39,6 @@ def grid_reliability(grid: DataFrame, px: DataFrame, width: int, height: int, gr
     previous frame's luma is a second lookup. ``backward``, ``cost`` and ``photometric`` say which
     evidence exists; missing evidence counts .80.
     """
-    if grid_w * grid_h > PLANE_CELL_LIMIT:
-        raise ValueError("grid exceeds the plane limit")
     g = grid.select(*KEYS, "gy", "gx", decode_fixed(F.col("fx")).alias("fx"), decode_fixed(F.col("fy")).alias("fy"),
                     *([decode_fixed(F.col("bx")).alias("bx"), decode_fixed(F.col("by_")).alias("by")] if backward else []),
                     *([cost01(F.col("cost_f")).alias("cf"), cost01(F.col("cost_b")).alias("cb")] if cost else []))
@@ -118,14 +116,12 @@ def reliability_columns(flow: DataFrame) -> DataFrame:
         "_occ": _opt(flow, "occlusion", F.lit(0.0)), "_unc": _opt(flow, "uncertainty", 1.0 - conf)})
 
 
-def fit_affine_motion(flow: DataFrame, width: int, height: int, mode: str = "auto") -> DataFrame:
+def fit_affine_motion(flow: DataFrame, width: int, height: int, mode: str = "auto", stride: int = 6) -> DataFrame:
     """Robust 2x3 camera motion per frame: v = v0 + vx * nx + vy * ny in centred coordinates.
 
-    Three reweighted least-squares rounds over a strided sample of trusted cells. All rounds are
-    whole-frame window aggregates over one exchange of that sample; a frame holds at most
-    (120 + 1)^2 * aspect of them. Frames without enough samples or a usable solution have no row.
+    Three reweighted least-squares rounds over the trusted ones of every stride-th cell both ways (1: all). All rounds are
+    whole-frame window aggregates over one exchange of those cells. Frames without enough samples or a usable solution have no row.
     """
-    stride = max(6, min(width, height) // 120)
     cx, cy, scale = 0.5 * (width - 1), 0.5 * (height - 1), max(1.0, 0.5 * max(width, height))
     on = (F.col("y") % stride == stride // 2) & (F.col("x") % stride == stride // 2)
     s = reliability_columns(flow.where(on))
@@ -210,7 +206,8 @@ def repair_rejected(flow: DataFrame, width: int, height: int, mode: str = "auto"
     restricts neighbours to the same surface. Adds ``repaired``: local, affine or null.
     """
     k = REPAIR[mode]
-    step = max(1, min(8, step))
+    if not 1 <= step <= 8:
+        raise ValueError("the ring step is 1 to 8 cells")
     model = fit_affine_motion(flow, width, height, mode) if model is None else model
     d = flow if depth is None else flow.join(depth.select(*KEYS, "y", "x", "d"), [*KEYS, "y", "x"], "left")
     d = reliability_columns(d)

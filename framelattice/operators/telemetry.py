@@ -56,7 +56,9 @@ def progress(frames: DataFrame, total: str | None = "total_frames") -> DataFrame
 
 
 def effective_multiplier(enabled: bool, multiplier: int) -> int:
-    return max(2, min(6, multiplier)) if enabled else 1
+    if enabled and not 2 <= multiplier <= 6:
+        raise ValueError("the multiplier is 2 to 6")
+    return multiplier if enabled else 1
 
 
 def expand_timeline(frames: DataFrame, multiplier: int, enabled: bool = True, fps: Column | None = None) -> DataFrame:

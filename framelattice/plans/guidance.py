@@ -49,14 +49,14 @@ def analyse(px: DataFrame, grid: DataFrame, segments: DataFrame, width: int, hei
     return R.grid_reliability(grid, px, width, height, grid_w, grid_h, segments=segments)
 
 
-def segment_scenes(px: DataFrame, width: int, height: int, threshold: float = 0.28, analysis_width: int = 480) -> DataFrame:
+def segment_scenes(px: DataFrame, width: int, height: int, threshold: float = 0.28, analysis_width: int | None = None) -> DataFrame:
     return P.scene_segments(P.scene_cut_score(P.gray_cells(px, "resampled", width, height, analysis_width)), threshold)
 
 
-def block_flow(px: DataFrame, segments: DataFrame, width: int, height: int, analysis_width: int = 320, block: int = 8,
+def block_flow(px: DataFrame, segments: DataFrame, width: int, height: int, analysis_width: int | None = None, block: int = 8,
                radius: int = 6) -> DataFrame:
     """The native estimator from frames to a dense field."""
-    w, h = P.analysis_size(width, height, analysis_width)
+    w, h = (width, height) if analysis_width is None else P.analysis_size(width, height, analysis_width)
     g = P.gray_cells(px, "resampled", width, height, analysis_width)
     grid = M.fill_low_confidence(M.block_match(g, w, h, block, radius))
     return M.void_cuts(M.upsample_blocks(grid, px, w, h, width, height, block), segments)

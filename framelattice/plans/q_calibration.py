@@ -15,15 +15,13 @@ from .sqltext import LUMA, bilinear, on
 
 _C = "clip_id, frame_no, y, x"
 
-_STATS = f"""fr AS (SELECT seq_id, frame_no, row_number() OVER (PARTITION BY seq_id ORDER BY frame_no)-1 AS rn, count(*) OVER (PARTITION BY seq_id) AS n
-  FROM (SELECT DISTINCT seq_id, frame_no FROM chan)),
-pick AS (SELECT DISTINCT seq_id, frame_no FROM fr LEFT JOIN range(9) t(i) ON n>9 WHERE n<=9 OR rn=CAST(round(i*(n-1)/8e0) AS BIGINT)),
+_STATS = f"""pick AS (SELECT DISTINCT seq_id, frame_no FROM chan),
 nf AS (SELECT seq_id, count(*) AS frames FROM pick GROUP BY 1),
-v AS (SELECT c.seq_id, c.channel, c.value AS v FROM chan c JOIN pick p ON p.seq_id=c.seq_id AND p.frame_no=c.frame_no WHERE (c.y*8+c.x)%2=0 AND isfinite(c.value)),
+v AS (SELECT c.seq_id, c.channel, c.value AS v FROM chan c JOIN pick p ON p.seq_id=c.seq_id AND p.frame_no=c.frame_no WHERE isfinite(c.value)),
 q AS (SELECT seq_id, channel, count(*) AS fc, quantile_cont(v,.001) AS p001, quantile_cont(v,.01) AS p01, quantile_cont(v,.1) AS p10,
   quantile_cont(v,.5) AS p50, quantile_cont(v,.9) AS p90, quantile_cont(v,.99) AS p99, quantile_cont(v,.999) AS p999,
   avg(CASE WHEN v>=0 THEN 1e0 ELSE 0e0 END) AS positive_ratio, avg(CASE WHEN v>=-1e-5 AND v<=1.00001e0 THEN 1e0 ELSE 0e0 END) AS in01_ratio FROM v GROUP BY 1,2),
-z AS (SELECT q.*, nf.frames, p99-p01 AS robust_span, fc/greatest(1e0, greatest(nf.frames*32, fc)) AS finite_ratio, greatest(1e0,abs(p01),abs(p99)) AS mag FROM q JOIN nf ON nf.seq_id=q.seq_id),
+z AS (SELECT q.*, nf.frames, p99-p01 AS robust_span, fc/greatest(1e0, greatest(nf.frames*64, fc)) AS finite_ratio, greatest(1e0,abs(p01),abs(p99)) AS mag FROM q JOIN nf ON nf.seq_id=q.seq_id),
 st AS (SELECT *, CASE channel WHEN 'R' THEN 1.8e0 WHEN 'G' THEN 1.4e0 WHEN 'B' THEN 1e0 ELSE -8e0 END AS pri,
   CASE channel WHEN 'R' THEN 1.8e0 WHEN 'G' THEN 1.4e0 WHEN 'B' THEN 1e0 ELSE -8e0 END + finite_ratio*2 + positive_ratio*1.5e0
   + least(greatest(robust_span/mag*5,0e0),3e0) - CASE WHEN robust_span<=greatest(1e-7,mag*1e-6) THEN 12e0 ELSE 0e0 END
@@ -34,7 +32,7 @@ _QN = ["p001", "p01", "p10", "p50", "p90", "p99", "p999", "robust_span", "finite
 @query("d09_channel_stats", with_fixtures("chan") + "," + _STATS + " SELECT seq_id, channel, fc AS finite_count, frames, "
        + ", ".join(f"round({c},6)+0e0 AS {c}" for c in _QN) + " FROM st")
 def channel_stats(spark, d):
-    s = K.channel_stats(fx.chan(spark, d), 8, 8, 9, 32)
+    s = K.channel_stats(fx.chan(spark, d), 8, 8)
     return s.select("seq_id", "channel", "finite_count", "frames", *[r6(F.col(c)).alias(c) for c in _QN])
 
 
@@ -48,17 +46,17 @@ SELECT seq_id, robust_span>1e-12 AS success, channel, CASE WHEN raw THEN 'raw01'
   +.2e0*least(greatest((pri+2)/10e0,0e0),1e0)+.2e0*CASE WHEN second IS NULL THEN 1e0 ELSE least(greatest((score-second+1)/6e0,0e0),1e0) END,0e0),1e0),6) AS confidence,
  frames AS sampled_frames FROM m""")
 def calibrate_depth(spark, d):
-    out = K.calibrate_depth(K.channel_stats(fx.chan(spark, d), 8, 8, 9, 32))
+    out = K.calibrate_depth(K.channel_stats(fx.chan(spark, d), 8, 8))
     return out.select("seq_id", "success", "channel", "mapping", r6(F.col("near")).alias("near"), r6(F.col("far")).alias("far"),
                       r6(F.col("confidence")).alias("confidence"), "sampled_frames")
 
 
 _PAIRS = MAD_SQL.replace("lum AS", "mlum AS").replace("FROM lum a JOIN lum b", "FROM mlum a JOIN mlum b") + """,
 pairs AS (SELECT clip_id, frame_no FROM (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY round(mad,9) DESC, frame_no) AS rank FROM mads
-  WHERE mad>=.003e0 AND mad<=.55e0 AND frame_no<=360) WHERE rank<=6)"""
+  WHERE mad>=.003e0 AND mad<=.55e0) WHERE rank<=6)"""
 _ZERO = f"""lum AS (SELECT {_C}, {LUMA} AS l FROM wpx),
 zp AS (SELECT a.clip_id, a.frame_no, avg(least(abs(b.l-a.l)/255e0,.35e0)/.35e0) AS e FROM lum a JOIN lum b ON b.clip_id=a.clip_id AND b.frame_no=a.frame_no-1 AND b.y=a.y AND b.x=a.x
-  JOIN pairs p ON {on('p', 'a')} WHERE a.y%6=3 AND a.x%6=3 GROUP BY 1,2),
+  JOIN pairs p ON {on('p', 'a')} GROUP BY 1,2),
 zero AS (SELECT clip_id, avg(e) AS zero_error, count(*) AS sampled_pairs FROM zp GROUP BY 1)"""
 
 
@@ -66,7 +64,7 @@ zero AS (SELECT clip_id, avg(e) AS zero_error, count(*) AS sampled_pairs FROM zp
        + " SELECT clip_id, round(zero_error,6) AS zero_error, sampled_pairs FROM zero")
 def zero_motion_error(spark, d):
     p = fx.wide_px(spark, d)
-    return K.zero_motion_error(p, informative_pairs(pair_mad(p, 48))).withColumn("zero_error", r6(F.col("zero_error")))
+    return K.zero_motion_error(p, informative_pairs(pair_mad(p))).withColumn("zero_error", r6(F.col("zero_error")))
 
 
 def motion_channels(spark, d):
@@ -89,7 +87,7 @@ _CONV = _CONV.replace("('R',1,10),('G',2,10)", "('G',1,10),('R',2,10)")
        + " SELECT s.clip_id AS seq_id, xc AS x_channel, yc AS y_channel, ordinal, sx, sy, flip_x, flip_y, forward, unit "
          "FROM cand CROSS JOIN (SELECT DISTINCT clip_id FROM wpx) s")
 def candidate_grid(spark, d):
-    kept = K.limit_motion_channels(motion_channels(spark, d), 8)
+    kept = K.limit_motion_channels(motion_channels(spark, d))
     return K.candidate_grid(kept, 48, 32).select("seq_id", "x_channel", "y_channel", big("ordinal").alias("ordinal"), "sx", "sy",
                                                  "flip_x", "flip_y", "forward", "unit")
 
@@ -110,9 +108,9 @@ err AS (SELECT er.clip_id, c.*, e0 + CASE WHEN mm<.025e0 THEN .025e0 ELSE 0e0 EN
 
 def _errors(spark, d):
     p = fx.wide_px(spark, d)
-    pairs = informative_pairs(pair_mad(p, 48))
-    kept = K.limit_motion_channels(motion_channels(spark, d), 8)
-    return p, pairs, K.motion_candidate_error(p, fx.motion_chan(spark, d), kept, pairs, 48, 32)
+    pairs = informative_pairs(pair_mad(p))
+    kept = K.limit_motion_channels(motion_channels(spark, d))
+    return p, pairs, K.motion_candidate_error(p, fx.motion_chan(spark, d), kept, pairs, 48, 32, step=6)
 
 
 @query("d12_motion_candidate_error", with_fixtures("wpx", "mchan") + "," + _PAIRS + f", lum AS (SELECT {_C}, {LUMA} AS l FROM wpx)," + _ERR
@@ -126,7 +124,7 @@ def motion_candidate_error(spark, d):
 _AX = "CASE {c} WHEN '{a}' THEN 0e0 WHEN '{b}' THEN .02e0 WHEN 'B' THEN .035e0 ELSE .07e0 END"
 
 
-@query("d13_calibrate_motion", with_fixtures("wpx", "mchan") + "," + _PAIRS + "," + _ZERO + "," + _ERR + f""",
+@query("d13_calibrate_motion", with_fixtures("wpx", "mchan") + "," + _PAIRS + "," + _ZERO.replace("GROUP BY 1,2),\nzero", "AND a.y%6=3 AND a.x%6=3 GROUP BY 1,2),\nzero") + "," + _ERR + f""",
 co AS (SELECT *, error + {_AX.format(c='xc', a='R', b='G')} + {_AX.format(c='yc', a='G', b='R')} + CASE WHEN unit<>'pixels' THEN .002e0 ELSE 0e0 END
   + CASE WHEN forward THEN .006e0 ELSE 0e0 END + CASE WHEN flip_x THEN .0002e0 ELSE 0e0 END + CASE WHEN flip_y THEN .0002e0 ELSE 0e0 END AS cost,
   CASE xc WHEN 'R' THEN 10 WHEN 'A' THEN -8 ELSE 0 END + CASE yc WHEN 'G' THEN 10 WHEN 'A' THEN -8 ELSE 0 END + CASE WHEN unit='pixels' THEN 5 ELSE 0 END AS prior FROM err),
@@ -140,5 +138,5 @@ SELECT clip_id, ok AS success, CASE WHEN ok THEN xc END AS x_channel, CASE WHEN
   +.1e0*least(greatest(mm/2e0,0e0),1e0),0e0),1e0),6) END AS confidence, sampled_pairs FROM k""")
 def calibrate_motion(spark, d):
     p, pairs, errors = _errors(spark, d)
-    out = K.calibrate_motion(errors, K.zero_motion_error(p, pairs))
+    out = K.calibrate_motion(errors, K.zero_motion_error(p, pairs, 6))
     return out.select(*[r6(F.col(c)).alias(c) if c in ("best_error", "zero_error", "confidence") else F.col(c) for c in out.columns])

@@ -69,7 +69,7 @@ def resample_depth(spark, d):
 _WARP = with_fixtures("px", "flow") + "," + LUMA_CTE + "," + previous("prev", "lum") + ","
 
 
-def _warp(spark, d, border, access=None):
+def _warp(spark, d, border, access="planes"):
     f = fx.flow(spark, d).select(*CELL, "vx", "vy")
     return L.warp_lookup(f, luma_cells(spark, d), {"l": "pl"}, 8, 8, border, access=access)
 

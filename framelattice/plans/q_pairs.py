@@ -74,7 +74,7 @@ def scene_cut_gray(spark, d):
 SELECT p.clip_id, p.frame_no, round(coalesce(avg((abs(p.r-q.r)+abs(p.g-q.g)+abs(p.b-q.b))/3e0)/255e0,1e0),6) AS score, count(q.r)=0 AS is_first
 FROM px p LEFT JOIN px q ON q.clip_id=p.clip_id AND q.frame_no=p.frame_no-1 AND q.y=p.y AND q.x=p.x GROUP BY 1,2""")
 def rgb_l1_score(spark, d):
-    return P.rgb_l1_score(fx.px(spark, d), 8, 8).withColumn("score", r6(F.col("score")))
+    return P.rgb_l1_score(fx.px(spark, d)).withColumn("score", r6(F.col("score")))
 
 
 @query("d03_scene_segments", with_fixtures("px") + "," + GRAY_CTE + "," + cut_sql("gray")
@@ -83,21 +83,21 @@ def scene_segments(spark, d):
     return P.scene_segments(scores(spark, d), CUT).select("clip_id", "frame_no", r6(F.col("score")).alias("score"), "cut", "scene_id")
 
 
-MAD_SQL = f"""lum AS (SELECT {_C}, {LUMA} AS l FROM wpx WHERE (y*48+x)%3=0),
+MAD_SQL = f"""lum AS (SELECT {_C}, {LUMA} AS l FROM wpx),
 mads AS (SELECT a.clip_id, a.frame_no, sum(abs(a.l-b.l))/255e0/count(*) AS mad FROM lum a JOIN lum b
   ON b.clip_id=a.clip_id AND b.frame_no=a.frame_no-1 AND b.y=a.y AND b.x=a.x GROUP BY 1,2)"""
 
 
 @query("d04_pair_mad", with_fixtures("wpx") + "," + MAD_SQL + " SELECT clip_id, frame_no, round(mad,6) AS mad FROM mads")
 def pair_mad(spark, d):
-    return P.pair_mad(fx.wide_px(spark, d), 48).withColumn("mad", r6(F.col("mad")))
+    return P.pair_mad(fx.wide_px(spark, d)).withColumn("mad", r6(F.col("mad")))
 
 
-@query("d04_informative_pairs", with_fixtures("px") + "," + MAD_SQL.replace("wpx", "px").replace("y*48", "y*8") + """,
-r AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY round(mad,9) DESC, frame_no) AS rank FROM mads WHERE mad>=.003e0 AND mad<=.55e0 AND frame_no<=360)
+@query("d04_informative_pairs", with_fixtures("px") + "," + MAD_SQL.replace("wpx", "px") + """,
+r AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY round(mad,9) DESC, frame_no) AS rank FROM mads WHERE mad>=.003e0 AND mad<=.55e0)
 SELECT clip_id, frame_no, round(mad,6) AS mad, rank FROM r WHERE rank<=3""")
 def informative_pairs(spark, d):
-    m = P.pair_mad(fx.px(spark, d), 8)
+    m = P.pair_mad(fx.px(spark, d))
     return P.informative_pairs(m, 3).select("clip_id", "frame_no", r6(F.col("mad")).alias("mad"), "rank")
 
 
@@ -143,7 +143,7 @@ m AS (SELECT clip_id, frame_no, sqrt((vx*2)*(vx*2)+(vy*.5e0)*(vy*.5e0)) AS m FRO
 r AS (SELECT *, row_number() OVER (PARTITION BY clip_id, frame_no ORDER BY m) AS rn, count(*) OVER (PARTITION BY clip_id, frame_no) AS n FROM m)
 SELECT clip_id, frame_no, round(m,6) AS robust_magnitude, n AS samples FROM r WHERE rn=CAST(floor((n-1)*.95e0) AS BIGINT)+1""")
 def robust_magnitude_q(spark, d):
-    return robust_magnitude(fx.wide_flow(spark, d), 48, 32, 2.0, 0.5).withColumn("robust_magnitude", r6(F.col("robust_magnitude")))
+    return robust_magnitude(fx.wide_flow(spark, d), 2.0, 0.5).withColumn("robust_magnitude", r6(F.col("robust_magnitude")))
 
 
 def _alternate(spark, d):

@@ -127,13 +127,13 @@ def align_guidance(frames: DataFrame, fields: DataFrame, value_cols: list[str],
 
 
 def validate_dimensions(fields: DataFrame, clips: DataFrame) -> DataFrame:
-    """One row per (clip, frame) whose field does not have the clip's dimensions."""
+    """One row per (clip, frame) whose field does not have the clip's dimensions, or whose clip is unknown."""
     got = fields.groupBy("clip_id", "frame_no").agg(
         big(F.max("x") + 1).alias("got_width"), big(F.max("y") + 1).alias("got_height"),
         F.count(F.lit(1)).alias("cells"))
     # One row per frame against one row per clip; the optimiser broadcasts clips when it is small.
-    j = got.join(clips.select("clip_id", "width", "height"), "clip_id")
-    return j.where("got_width <> width OR got_height <> height OR cells <> width * height")
+    j = got.join(clips.select("clip_id", "width", "height"), "clip_id", "left")
+    return j.where("width IS NULL OR height IS NULL OR got_width <> width OR got_height <> height OR cells <> width * height")
 
 
 def validate_depth_range(mapping: Column, near: Column, far: Column) -> Column:
