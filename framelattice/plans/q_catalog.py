@@ -11,6 +11,7 @@ from ..sources import catalog as C
 from ..sources import fields, fixtures as fx
 from ..sources.fixtures import with_fixtures
 from .registry import query
+from .sqltext import filled
 
 _PARSED = """p AS (SELECT path, regexp_extract(path,'^(.*)/[^/]*$',1) AS dir,
   regexp_extract(regexp_extract(path,'([^/]*)$',1),'^(.*?)([0-9]+)\\.[^.]*$',1) AS prefix,
@@ -92,10 +93,9 @@ def _align(spark, d, direction):
 
 
 def _align_sql(shift: int) -> str:
-    return with_fixtures("flow") + f"""
-SELECT r.clip_id, r.frame_no, r.y, r.x, r.n, coalesce(f.vx,0e0) AS vx, coalesce(f.confidence,0e0) AS confidence
-FROM raster r LEFT JOIN flow f ON f.clip_id=r.clip_id AND f.frame_no=r.frame_no-{shift} AND f.y=r.y AND f.x=r.x
-  AND f.uncertainty < 0.5"""
+    files = f"(SELECT clip_id, frame_no+{shift} AS frame_no, y, x, vx, confidence FROM flow WHERE uncertainty < 0.5)"
+    return (with_fixtures("flow") + " SELECT clip_id, frame_no, y, x, n, coalesce(vx,0e0) AS vx, coalesce(confidence,0e0) AS confidence FROM ("
+            + filled("raster", files, ["n"], ["vx", "confidence"]) + ")")
 
 
 @query("a06_align_guidance", _align_sql(0))

@@ -12,7 +12,7 @@ from ..sources import fixtures as fx
 from ..sources.fixtures import with_fixtures
 from .q_scalars import hsv_sql
 from .registry import query
-from .sqltext import LUMA, bilinear, nine_join, on, previous
+from .sqltext import LUMA, bilinear, filled, nine_join, on, previous
 
 CELL = ["clip_id", "frame_no", "y", "x"]
 _C = "clip_id, frame_no, y, x"
@@ -27,9 +27,8 @@ LUMA_CTE = f"lum AS (SELECT {_C}, {LUMA} AS l FROM px)"
 WLUMA_CTE = f"wlum AS (SELECT {_C}, {LUMA} AS l FROM wpx)"
 
 
-@query("c01_pair_previous", with_fixtures("px") + f"""
-SELECT p.clip_id, p.frame_no, p.y, p.x, p.r, q.r AS prev_r, q.g AS prev_g FROM px p
-LEFT JOIN px q ON q.clip_id=p.clip_id AND q.frame_no=p.frame_no-1 AND q.y=p.y AND q.x=p.x""")
+@query("c01_pair_previous", with_fixtures("px") + " " + filled(
+    "px", "(SELECT clip_id, frame_no+1 AS frame_no, y, x, r AS prev_r, g AS prev_g FROM px)", ["r"], ["prev_r", "prev_g"]))
 def pair_previous(spark, d):
     return L.pair_previous(fx.px(spark, d).select(*CELL, "r", "g"), ["r", "g"]).drop("g")
 
@@ -74,31 +73,35 @@ def _warp(spark, d, border, access="planes"):
     return L.warp_lookup(f, luma_cells(spark, d), {"l": "pl"}, 8, 8, border, access=access)
 
 
-@query("c04_warp_reject", _WARP + bilinear("w", "flow", "prev", {"l": "pl"}, "x+vx", "y+vy", 8, 8, reject=True)
-       + " SELECT clip_id, frame_no, y, x, vx, vy, round(pl,6) AS pl FROM w")
+def _warp_sql(base: str = "flow", more: str = "", **how) -> str:
+    found = _WARP + bilinear("w", "flow", "prev", {"l": "pl"}, "x+vx", "y+vy", 8, 8, how="JOIN", **how)
+    cols = ["vx", "vy"] + ([more] if more else [])
+    return found + f" SELECT {_C}, {', '.join(cols)}, round(pl,6) AS pl FROM (" + filled(base, "w", cols, ["pl"]) + ")"
+
+
+@query("c04_warp_reject", _warp_sql(reject=True))
 def warp_reject(spark, d):
     return _warp(spark, d, "reject").withColumn("pl", r6(F.col("pl")))
 
 
-@query("c04_warp_clamp", _WARP + bilinear("w", "flow", "prev", {"l": "pl"}, "x+vx", "y+vy", 8, 8)
-       + " SELECT clip_id, frame_no, y, x, vx, vy, round(pl,6) AS pl FROM w")
+@query("c04_warp_clamp", _warp_sql())
 def warp_clamp(spark, d):
     return _warp(spark, d, "clamp").withColumn("pl", r6(F.col("pl")))
 
 
-@query("c04_warp_flag_rows", _WARP + bilinear("w", "flow", "prev", {"l": "pl"}, "x+vx", "y+vy", 8, 8, flag="inside")
-       + " SELECT clip_id, frame_no, y, x, vx, vy, round(pl,6) AS pl, inside FROM w")
+@query("c04_warp_flag_rows", _warp_sql("(SELECT *, x+vx>=0 AND y+vy>=0 AND x+vx<=7 AND y+vy<=7 AS inside FROM flow)", "inside"))
 def warp_flag_rows(spark, d):
-    """The same lookup through row pairs, the way frames over the plane limit take."""
+    """The same lookup through row pairs, the way of frames too large for a task."""
     return _warp(spark, d, "flag", "rows").withColumn("pl", r6(F.col("pl")))
 
 
 def _nearest_sql(border: str) -> str:
     ok = "q.sx>=0 AND q.sy>=0 AND q.sx<=7 AND q.sy<=7" if border == "zero" else "true"
     return with_fixtures("px", "flow") + f""",
-q AS (SELECT {_C}, vx, vy, x+vx*0.5e0 AS sx, y+vy*0.5e0 AS sy FROM flow)
-SELECT q.clip_id, q.frame_no, q.y, q.x, CASE WHEN {ok} THEN s.r ELSE 0 END AS pr FROM q LEFT JOIN px s ON {on('s', 'q')}
- AND s.y=CAST(least(greatest(round(q.sy),0),7) AS BIGINT) AND s.x=CAST(least(greatest(round(q.sx),0),7) AS BIGINT)"""
+q AS (SELECT {_C}, vx, vy, x+vx*0.5e0 AS sx, y+vy*0.5e0 AS sy FROM flow),
+f AS (SELECT q.clip_id, q.frame_no, q.y, q.x, s.r AS found FROM q JOIN px s ON {on('s', 'q')}
+ AND s.y=CAST(least(greatest(round(q.sy),0),7) AS BIGINT) AND s.x=CAST(least(greatest(round(q.sx),0),7) AS BIGINT))
+SELECT {_C}, CASE WHEN {ok.replace('q.', '')} THEN found ELSE 0 END AS pr FROM ({filled('q', 'f', ['sx', 'sy'], ['found'])})"""
 
 
 def _nearest(spark, d, border):

@@ -13,7 +13,7 @@ from ..sources.fixtures import with_fixtures
 from .q_lattice import WLUMA_CTE
 from .q_pairs import CUT, GRAY_CTE, STATS_SQL, WGRAY_CTE, cut_sql, gray8, scores
 from .registry import query
-from .sqltext import bilinear, cl, nine_join, on, previous
+from .sqltext import bilinear, cl, filled, nine_join, on, previous
 
 CELL = ["clip_id", "frame_no", "y", "x"]
 _C = "clip_id, frame_no, y, x"
@@ -99,8 +99,8 @@ def bidirectional_confidence(spark, d):
 dup AS (SELECT clip_id, frame_no FROM stats WHERE mad < .1e0),
 zc AS (SELECT a.clip_id, a.frame_no, a.y, a.x, exp(-abs(a.v-b.v)/18e0) AS c FROM gray a JOIN gray b ON b.clip_id=a.clip_id AND b.frame_no=a.frame_no-1 AND b.y=a.y AND b.x=a.x JOIN dup ON {on('dup', 'a')}),"""
        + nine_join("zb", "zc", "sum(n.c*(2-abs(o.dy))*(2-abs(o.dx))/16e0) AS b", 8, 8, edge="reflect")
-       + f""" SELECT f.clip_id, f.frame_no, f.y, f.x, CASE WHEN z.b IS NULL THEN f.vx ELSE 0e0 END AS vx, CASE WHEN z.b IS NULL THEN f.vy ELSE 0e0 END AS vy,
- round(coalesce({cl('z.b')}, f.confidence),6) AS confidence FROM flow f LEFT JOIN zb z ON {on('z', 'f', _K4)}""".replace("coalesce(least(greatest(z.b,0e0),1e0), f.confidence)", "CASE WHEN z.b IS NULL THEN f.confidence ELSE least(greatest(z.b,0e0),1e0) END"))
+       + f""" SELECT {_C}, CASE WHEN b IS NULL THEN vx ELSE 0e0 END AS vx, CASE WHEN b IS NULL THEN vy ELSE 0e0 END AS vy,
+ round(CASE WHEN b IS NULL THEN confidence ELSE {cl('b')} END,6) AS confidence FROM ({filled('flow', 'zb', ['vx', 'vy', 'confidence'], ['b'])})""")
 def zero_duplicate_frames(spark, d):
     """Every frame whose mean change is below a tenth counts as a duplicate here; real clips use the gate of d07."""
     g, f = gray8(spark, d), fx.flow(spark, d).select(*CELL, "vx", "vy", "confidence")

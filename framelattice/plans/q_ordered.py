@@ -13,7 +13,7 @@ from ..sources.fields import planes_to_long
 from ..sources.fixtures import with_fixtures
 from .q_pairs import CUT, GRAY_CTE, WGRAY_CTE, cut_sql, scores
 from .registry import query
-from .sqltext import bilinear, cl, nine_join, on, previous
+from .sqltext import bilinear, cl, filled, nine_join, on, previous
 
 CELL = ["clip_id", "frame_no", "y", "x"]
 _C = "clip_id, frame_no, y, x"
@@ -69,7 +69,8 @@ def _out_rule(cut: str) -> str:
 
 
 @query("f02_stabilize_output_raw", with_fixtures("flow", "px") + "," + _OIN + "," + previous("pp", "px") + ","
-       + bilinear("w", "oin", "pp", {"r": "pr", "g": "pg", "b": "pb"}, "x+vx", "y+vy", 8, 8, reject=True) + f" SELECT {_C}, {_out_rule('frame_no=1')} FROM w")
+       + bilinear("w", "oin", "pp", {"r": "pr", "g": "pg", "b": "pb"}, "x+vx", "y+vy", 8, 8, reject=True, how="JOIN")
+       + f" SELECT {_C}, {_out_rule('frame_no=1')} FROM (" + filled("oin", "w", ["r", "g", "b", "confidence"], ["pr", "pg", "pb"]) + ")")
 def stabilize_output_raw(spark, d):
     return S.stabilize_output_raw(fx.px(spark, d), fx.flow(spark, d), 8, 8)
 

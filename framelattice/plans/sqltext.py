@@ -31,6 +31,16 @@ def bilinear(name: str, queries: str, source: str, values: dict[str, str], sx: s
  (SELECT *, CAST({sx} AS DOUBLE) AS _sx, CAST({sy} AS DOUBLE) AS _sy FROM {queries})))) q {corners})"""
 
 
+def filled(base: str, found: str, base_cols: list[str], found_cols: list[str], keys=("clip_id", "frame_no", "y", "x")) -> str:
+    """Every row of ``base`` with the columns of ``found``, null where it has none: a union by key, no outer join."""
+    k = ", ".join(keys)
+    gap = lambda cols: "".join(f", NULL AS {c}" for c in cols)
+    has = lambda cols: "".join(f", {c}" for c in cols)
+    top = "".join(f", max({c}) AS {c}" for c in [*base_cols, *found_cols])
+    return (f"SELECT {k}{top} FROM (SELECT {k}, true AS _base{has(base_cols)}{gap(found_cols)} FROM {base} "
+            f"UNION ALL SELECT {k}, false{gap(base_cols)}{has(found_cols)} FROM {found}) GROUP BY {k} HAVING bool_or(_base)")
+
+
 def nine_join(name: str, source: str, select: str, w, h, keys=("clip_id", "frame_no"), edge: str = "clamp") -> str:
     """CTE ``name``: aggregates over the 3x3 neighbours n of each cell c (offsets o.dy, o.dx)."""
     if edge == "clamp":
