@@ -24,6 +24,15 @@ def stream_scene_state(spark, d):
     return out.withColumn("score", r6(F.col("score")))
 
 
+@query("g01_stream_lost_frames", with_fixtures("px") + "," + GRAY_CTE + " , kept AS (SELECT * FROM gray WHERE frame_no%5<>3)," + cut_sql("kept")
+       + " SELECT clip_id, frame_no, round(score,6) AS score, cut, scene_id FROM segments")
+def stream_lost_frames(spark, d):
+    """Every fifth frame never comes: the stream starts a scene after each gap, as the batch does."""
+    frames = S.pack_gray(long_to_planes(gray8(spark, d).where("frame_no % 5 <> 3"), ["v"]))
+    out = T.drain(S.stream_scene_state(T.as_stream(frames, 4, "clip_id"), CUT, patience=0))
+    return out.withColumn("score", r6(F.col("score")))
+
+
 @query("g02_stream_consensus", tracks_sql("strong"))
 def stream_consensus(spark, d):
     t = fx.track(spark, d).select("track_id", "frame_no", "vx", "vy", "confidence")

@@ -1,7 +1,7 @@
 """Per-clip and per-track state machines over frame streams.
 
-Frames are processed strictly in order: rows that arrive early wait in the key's map state, repeats
-are dropped, so a stream gives the rows its batch counterpart gives.
+Frames are processed strictly in order: rows that arrive early wait in the key's map state, repeats are dropped, lost frames are
+given up after a bounded wait, so a stream gives the rows its batch counterpart gives.
 """
 
 from __future__ import annotations
@@ -26,43 +26,57 @@ def use_rocksdb(spark) -> None:
 
 
 class InOrder(StatefulProcessor):
-    """Hands each key's rows to ``advance`` in frame order, once each, starting at frame 1."""
+    """Hands each key's rows to ``advance`` in frame order, once each, starting at frame 1.
+
+    A frame that does not come is given up when more than ``patience`` later ones wait: the next run then starts afresh, as after a
+    gap in a batch. State is bounded by that number of payloads.
+    """
 
     payload = ""  # DDL of the waiting columns
     columns: list[str] = []
+    patience = 64
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.next_frame = handle.getValueState("next_frame", "frame_no long")
+        self.next_frame = handle.getValueState("next_frame", "frame_no long, waiting long")
         self.waiting = handle.getMapState("waiting", "frame_no long", self.payload)
         self.open(handle)
 
     def open(self, handle: StatefulProcessorHandle) -> None: ...
 
-    def advance(self, key, rows: pd.DataFrame) -> pd.DataFrame:
+    def advance(self, key, rows: pd.DataFrame, fresh: bool) -> pd.DataFrame:
+        """Results of consecutive frames; fresh: they follow a gap, so nothing before them counts."""
         raise NotImplementedError
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        expected = self.next_frame.get()[0] if self.next_frame.exists() else 1
-        got = {}
+        expected, held = self.next_frame.get() if self.next_frame.exists() else (1, 0)
+        # The map is only looked at while something waits in it.
+        early = {f: None for (f,) in self.waiting.keys()} if held else {}
         for b in rows:
-            for r in b[["frame_no", *self.columns]].itertuples(index=False):
-                if r[0] >= expected and r[0] not in got and not self.waiting.containsKey((int(r[0]),)):
-                    got[int(r[0])] = tuple(r[1:])
-        run = []
-        while True:
-            if expected in got:
-                run.append((expected, *got.pop(expected)))
-            elif self.waiting.containsKey((expected,)):
-                run.append((expected, *self.waiting.getValue((expected,))))
-                self.waiting.removeKey((expected,))
-            else:
+            b = b.loc[b["frame_no"] >= expected, ["frame_no", *self.columns]]
+            for f, *vals in b.itertuples(index=False):
+                early.setdefault(int(f), tuple(vals))
+        stored = {f for f, v in early.items() if v is None}
+        fresh = False
+        while early:
+            run = []
+            while expected in early:
+                vals = early.pop(expected)
+                if vals is None:
+                    vals = self.waiting.getValue((expected,))
+                    self.waiting.removeKey((expected,))
+                    stored.discard(expected)
+                run.append((expected, *vals))
+                expected += 1
+            if run:
+                yield self.advance(key, pd.DataFrame(run, columns=["frame_no", *self.columns]), fresh)
+                fresh = False
+            if len(early) <= self.patience:
                 break
-            expected += 1
-        for f, vals in got.items():
-            self.waiting.updateValue((f,), vals)
-        self.next_frame.update((expected,))
-        if run:
-            yield self.advance(key, pd.DataFrame(run, columns=["frame_no", *self.columns]))
+            expected, fresh = min(early), True
+        for f, vals in early.items():
+            if f not in stored:
+                self.waiting.updateValue((f,), vals)
+        self.next_frame.update((expected, len(early)))
 
     def close(self) -> None: ...
 
@@ -73,15 +87,15 @@ class SceneState(InOrder):
     payload = "v binary"
     columns = ["v"]
 
-    def __init__(self, threshold: float, first_score: float):
-        self.threshold, self.first_score = min(0.95, max(0.05, threshold)), first_score
+    def __init__(self, threshold: float, first_score: float, patience: int):
+        self.threshold, self.first_score, self.patience = min(0.95, max(0.05, threshold)), first_score, patience
 
     def open(self, handle):
         self.previous = handle.getValueState("previous", "v binary, scene_id long")
 
-    def advance(self, key, rows):
+    def advance(self, key, rows, fresh):
         prev, scene = self.previous.get() if self.previous.exists() else (None, 0)
-        before = None if prev is None else np.frombuffer(prev, np.uint8)
+        before = None if prev is None or fresh else np.frombuffer(prev, np.uint8)
         out = []
         for frame, raw in rows.itertuples(index=False):
             cur = np.frombuffer(raw, np.uint8)
@@ -108,11 +122,12 @@ def pack_gray(planes: DataFrame) -> DataFrame:
     return planes.withColumn("v", F.unhex(F.array_join(byte, "")))
 
 
-def stream_scene_state(frames: DataFrame, threshold: float, first_score: float = 1.0) -> DataFrame:
-    """frames(clip_id, frame_no, v binary gray plane) -> score, cut and scene number as frames arrive."""
+def stream_scene_state(frames: DataFrame, threshold: float, first_score: float = 1.0, patience: int = 64) -> DataFrame:
+    """frames(clip_id, frame_no, v binary gray plane) -> score, cut and scene number as frames arrive; a frame is given up once more
+    than ``patience`` later ones wait for it."""
     use_rocksdb(frames.sparkSession)
     return frames.groupBy("clip_id").transformWithStateInPandas(
-        SceneState(threshold, first_score), "clip_id long, frame_no long, score double, cut boolean, scene_id long", "Append", "None")
+        SceneState(threshold, first_score, patience), "clip_id long, frame_no long, score double, cut boolean, scene_id long", "Append", "None")
 
 
 class TrackConsensus(InOrder):
@@ -121,16 +136,19 @@ class TrackConsensus(InOrder):
     payload = "vx double, vy double, confidence double"
     columns = ["vx", "vy", "confidence"]
 
-    def __init__(self, mode: str):
-        self.mode = mode
+    def __init__(self, mode: str, patience: int):
+        self.mode, self.patience = mode, patience
 
     def open(self, handle):
         self.past = handle.getListState("past", self.payload)
+        self.start = handle.getValueState("start", "frame_no long")
 
-    def advance(self, key, rows):
+    def advance(self, key, rows, fresh):
         k = RULES[self.mode]
         depth = k["depth"]
-        old = list(self.past.get()) if self.past.exists() else []  # oldest first
+        old = list(self.past.get()) if self.past.exists() and not fresh else []  # oldest first
+        start = int(rows["frame_no"].iloc[0]) if fresh else self.start.get()[0] if self.start.exists() else 1
+        self.start.update((start,))
         track = np.array([*old, *rows[self.columns].itertuples(index=False)], dtype=float).reshape(-1, 3)
         frames = rows["frame_no"].to_numpy()
         m, n = len(old), len(rows)
@@ -139,8 +157,8 @@ class TrackConsensus(InOrder):
         for i in range(1, depth + 1):
             at = np.arange(m, m + n) - i
             h = track[np.maximum(at, 0)]
-            # the first frame of a track is its reset, not history
-            alive = alive & (at >= 0) & (frames - i >= 2) & (h[:, 2] >= k["conf"]) & (1.0 - h[:, 2] <= k["max_unc"])
+            # the first frame of a track, or after a gap, is a reset and not history
+            alive = alive & (at >= 0) & (frames - i > start) & (h[:, 2] >= k["conf"]) & (1.0 - h[:, 2] <= k["max_unc"])
             count += alive
             past.append(dict(vx=h[:, 0], vy=h[:, 1], conf=h[:, 2], vis=np.ones(n), unc=1.0 - h[:, 2]))
         c = dict(vx=cur[:, 0], vy=cur[:, 1], conf=cur[:, 2], vis=np.ones(n), unc=1.0 - cur[:, 2], dis=np.zeros(n))
@@ -150,11 +168,12 @@ class TrackConsensus(InOrder):
                              "out_vx": cur[:, 0] + dx, "out_vy": cur[:, 1] + dy})
 
 
-def stream_consensus(tracks: DataFrame, mode: str = "auto") -> DataFrame:
-    """tracks(track_id, frame_no, vx, vy, confidence) as a stream; equals ``consensus_tracks``."""
+def stream_consensus(tracks: DataFrame, mode: str = "auto", patience: int = 64) -> DataFrame:
+    """tracks(track_id, frame_no, vx, vy, confidence) as a stream; equals ``consensus_tracks``, with a reset where more than
+    ``patience`` frames had to wait for a lost one."""
     use_rocksdb(tracks.sparkSession)
     return tracks.groupBy("track_id").transformWithStateInPandas(
-        TrackConsensus(mode), "track_id long, frame_no long, history long, blend double, out_vx double, out_vy double", "Append", "None")
+        TrackConsensus(mode, patience), "track_id long, frame_no long, history long, blend double, out_vx double, out_vy double", "Append", "None")
 
 
 class StallWatch(StatefulProcessor):

@@ -53,9 +53,9 @@ def drain(stream: DataFrame, mode: str = "append", transform: Callable[[DataFram
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def as_stream(df: DataFrame, files: int = 4) -> DataFrame:
-    """A table written as several files and read back as a file stream, one file per batch."""
+def as_stream(df: DataFrame, files: int = 4, by: str | None = None) -> DataFrame:
+    """A table written as several files (each key in one, if ``by`` is given) and read back as a file stream, one file per batch."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/source-{uuid.uuid4().hex}"
-    df.repartition(files).write.parquet(path)
+    (df.repartition(files, by) if by else df.repartition(files)).write.parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
