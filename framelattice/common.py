@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,3 +78,18 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(checkpoint_root(spark))
     return df.checkpoint(eager=eager)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives the executors this package, once per application: tasks import it. Not needed where it is installed or on PYTHONPATH."""
+    root = Path(__file__).resolve().parent.parent
+    on_path = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    app = spark.sparkContext.applicationId
+    if root in on_path or root.name == "site-packages" or app in _shipped:
+        return
+    _shipped.add(app)
+    base = f"{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/framelattice"
+    spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", root, "framelattice"))
