@@ -30,7 +30,33 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-@query("op1_jaccard_join")
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+OP1_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS c FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.c + y.c - i)),
+links AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT a, b FROM links UNION SELECT r.a, links.b FROM r JOIN links ON links.a = r.b)
+SELECT d.doc_id, coalesce(n.c, 0) AS n_shingles, least(d.doc_id, coalesce(m.b, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT a, min(b) AS b FROM r GROUP BY 1) m ON m.a = d.doc_id"""
+
+SAID = "</s>[INST] ok [/INST]"
+OP4_SQL = rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '{SAID}'), (-1, 1, 'assistant', '{SAID}'))),
+e AS (SELECT *, 23 + length(regexp_replace(r, '([<\[])(\\*)(\||/?s>|/?INST\])', '\1\2\\\3', 'g'))
+  + length(regexp_replace(x, '([<\[])(\\*)(\||/?s>|/?INST\])', '\1\2\\\3', 'g')) AS f FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn NULLS FIRST, r, x)) AS turns_sha256,
+  CAST(coalesce(sum(length(x)) FILTER (r = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(x, '' ORDER BY turn NULLS FIRST, r, x) FILTER (r = 'assistant'), '')) AS loss_sha256, CAST(sum(f) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id"""
+
+
+@query("op1_jaccard_join", OP1_SQL)
 def op1(spark, sf_dir):
     return jaccard.link(base.table(spark, sf_dir, "documents"), jaccard.Join(words=4, percent=85))
 
@@ -47,21 +73,13 @@ def op3(spark, sf_dir):
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-@query("op4_chat_format")
+@query("op4_chat_format", OP4_SQL)
 def op4(spark, sf_dir):
-    said = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    extra = spark.createDataFrame([(-1, 0, "user", SAID), (-1, 1, "assistant", SAID)], "conv_id long, turn long, role string, text string")
     turns = base.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return chat.read_back(chat.format_chats(turns, vocabulary("byte_bpe_50k.json")))
 
 
-OP5_SQL = r"""
-WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-             '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents)
-SELECT doc_id, n_words FROM (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words FROM d)
-"""
-
-
 @query("op5_license_scan")
 def op5(spark, sf_dir):
     found = licences.scan(base.table(spark, sf_dir, "documents").select("doc_id", "text"))
