@@ -42,16 +42,18 @@ def stage_rollup(stage_log: DataFrame, by: list[str] | None = None) -> DataFrame
                  F.when(F.sum("total_ms") > 0, 1000.0 * F.count(F.lit(1)) / F.sum("total_ms")).otherwise(0.0).alias("pipeline_fps"))
 
 
-def progress(frames: DataFrame, total: str | None = "total_frames") -> DataFrame:
+def progress(frames: DataFrame, total: str | None = "total_frames", duration: str | None = None, rate: str = "fps_in") -> DataFrame:
     """Running speed, completed fraction and remaining seconds per clip.
 
-    frames(clip_id, frame_no, total_ms[, total_frames]).
+    frames(clip_id, frame_no, total_ms[, total_frames][, duration seconds, source frame rate]). Without a frame count the fraction
+    comes from the duration, and no time is estimated.
     """
     w = W.partitionBy("clip_id").orderBy("frame_no").rowsBetween(W.unboundedPreceding, W.currentRow)
     d = frames.withColumn("done", F.count(F.lit(1)).over(w)).withColumn("elapsed_s", F.sum("total_ms").over(w) / 1000.0)
     d = d.withColumn("fps", F.when(F.col("elapsed_s") > 0.001, F.col("done") / F.col("elapsed_s")).otherwise(0.0))
-    n = F.col(total)
-    return d.withColumn("fraction", F.when(n > 0, clamp01(F.col("done") / n))).withColumn(
+    n = F.col(total) if total else F.lit(None).cast("bigint")
+    by_time = F.when(F.col(duration) > 0, clamp01(F.col("done") / F.col(rate) / F.col(duration))) if duration else F.lit(None).cast("double")
+    return d.withColumn("fraction", F.when(n > 0, clamp01(F.col("done") / n)).otherwise(by_time)).withColumn(
         "eta_s", F.when(n > 0, F.when(F.col("fps") > 0.01, F.greatest(n - F.col("done"), F.lit(0)) / F.col("fps")).otherwise(0.0)))
 
 

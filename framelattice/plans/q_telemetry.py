@@ -65,6 +65,15 @@ def progress(spark, d):
                     (F.floor(F.col("eta_s") * 1e6 + 0.5) / 1e6).alias("eta_s"))
 
 
+@query("d16_progress_by_duration", with_fixtures("stage") + """,
+w AS (SELECT clip_id, frame_no, count(*) OVER (PARTITION BY clip_id ORDER BY frame_no ROWS UNBOUNDED PRECEDING) AS done FROM stage)
+SELECT clip_id, frame_no, done, round(least(done/24e0/(40e0+clip_id),1e0),6) AS fraction FROM w""")
+def progress_by_duration(spark, d):
+    """Clips whose frame count is unknown: seconds and frame rate of the source instead."""
+    s = stage_log(spark, d).withColumn("seconds", 40.0 + F.col("clip_id")).withColumn("fps_in", F.lit(24.0))
+    return T.progress(s, None, "seconds").select("clip_id", "frame_no", "done", r6(F.col("fraction")).alias("fraction"))
+
+
 _TIMELINE = GRAY_CTE + "," + cut_sql("gray") + """,
 tl AS (SELECT s.clip_id, s.frame_no, 1+(s.frame_no-2)*3+sl AS output_index, CASE WHEN sl>3 THEN 'duplicate' WHEN sl=3 THEN 'real' WHEN s.cut THEN 'fallback' ELSE 'generated' END AS kind, sl
   FROM segments s CROSS JOIN (SELECT i+1 AS sl FROM range(5) t(i)) k WHERE (s.frame_no>1 OR sl>=3) AND (sl<=3 OR s.frame_no=6))"""
