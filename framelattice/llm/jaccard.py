@@ -189,8 +189,8 @@ def link(docs: DataFrame, how: Join = Join()) -> DataFrame:
 
     1. Equal sets are one class, named by a 64-bit digest and the size; copies are never paired.
     2. Tokens are ordered by hash, the commonest last; a class posts its prefix. Tokens posted once are dropped.
-    3. Groups: a class joins the pivot (least digest of a token's postings) with which it shares most of its postings, if they are
-       enough for a link, else it is a group of its own. The token-group matrix has each group's posted tokens with the range of its
+    3. Groups: a class joins the pivot (least digest of a token's postings) with which it shares most of its postings, if they are a
+       third of what a link needs, else it is a group of its own. The token-group matrix has each group's posted tokens with the range of its
        members' sizes.
     4. A class queries the groups (below its own) with a fitting size of which the matrix has enough of its posted tokens. With its
        whole set the bound on the group's union is taken; only then are the members opened, exactly.
@@ -208,7 +208,7 @@ def link(docs: DataFrame, how: Join = Join()) -> DataFrame:
     posted = classes.select("d", "n", F.explode("prefix").alias("token")).withColumn("pivot", first).withColumn("c", F.count("*").over(by_token))
     posted = base.stored(posted.where("c > 1").select("d", "n", "token", F.col("pivot.d").alias("pivot"), F.col("pivot.n").alias("m")), "posted")
     shares = posted.groupBy("d", "n", "pivot", "m").agg(F.count("*").alias("c"))
-    near = _fit("n", "m", "m", how) & (F.col("c") >= _needed("n", "m", "m", how))
+    near = _fit("n", "m", "m", how) & (F.col("c") * 3 >= _needed("n", "m", "m", how))
     groups = shares.groupBy("d", "n").agg(F.max_by(F.when(near, F.col("pivot")), F.when(near, F.struct("c", "pivot"))).alias("g"))
     groups = base.stored(groups.withColumn("g", F.coalesce("g", "d")), "groups")
     matrix_rows = posted.drop("pivot", "m").join(groups, ["d", "n"])
