@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import functools
+import os
+import sys
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,48 +25,68 @@ _PLAIN = regex.compile(r"[\x21-\x7EÀ-ÿ]+")
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
-class ChunkIds(dict):
-    """ids (little-endian uint32 bytes) of blank-free chunks of UTF-8; both caches are emptied when full.
+class ChunkIds:
+    """ids (little-endian uint32 bytes) of texts, by their blank-free chunks of UTF-8; both caches are emptied when full.
 
-    The tokenizer splits at white space and forgets it, so a text's ids are its chunks' ids in a row. Plain chunks
-    are split here and share their words' ids; any other chunk goes to the tokenizer whole.
+    The tokenizer splits at white space and forgets it, so a text's ids are its chunks' ids in a row. Plain chunks are split here and
+    share their words' ids; any other chunk goes to the tokenizer whole. New words of many texts are encoded in one call.
     """
 
-    def __init__(self, tokenizer, most: int = 600_000):
-        super().__init__()
-        self.tokenizer, self.most, self.words = tokenizer, most, {}
+    def __init__(self, tokenizer, most: int = 800_000):
+        self.tokenizer, self.most = tokenizer, most
+        self.chunks: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def word(self, w: str) -> bytes:
-        got = self.words.get(w)
-        if got is None:
-            if len(self.words) >= self.most:
-                self.words.clear()
-            got = self.words[w] = self.encode(w)
-        return got
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
+    @staticmethod
+    def split(chunk: bytes) -> list[str]:
+        """Texts whose ids in a row are the chunk's."""
+        if chunk.isalpha():
+            return [chunk.lower().decode()]
         text = chunk.decode("utf-8", "replace")
-        if not _PLAIN.fullmatch(text) or "<|" in text:
-            got = self.encode(text)
-        elif (low := text.lower()).isalpha():
-            got = self.word(low)
-        else:
-            got = b"".join(map(self.word, _PIECES.findall(low)))
-        self[chunk] = got
-        return got
-
-    def text(self, raw: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, raw.split()))
+        if "<|" in text or not _PLAIN.fullmatch(text):
+            return [text]
+        low = text.lower()
+        return [low] if low.isalpha() else _PIECES.findall(low)
+
+    def learn(self, chunks: set[bytes]) -> None:
+        new = [c for c in chunks if c not in self.chunks]
+        if len(self.chunks) + len(new) > self.most:
+            self.chunks.clear()
+            new = list(chunks)
+        parts = [self.split(c) for c in new]
+        wanted = {w for p in parts for w in p}
+        if len(self.words) + len(wanted) > self.most:
+            self.words.clear()
+        fresh = [w for w in wanted if w not in self.words]
+        for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
+            self.words[w] = np.array(e.ids, "<u4").tobytes() if sys.byteorder == "big" else array("I", e.ids).tobytes()
+        for c, p in zip(new, parts):
+            self.chunks[c] = self.words[p[0]] if len(p) == 1 else b"".join(map(self.words.__getitem__, p))
+
+    def texts(self, raws: list[bytes]) -> list[bytes]:
+        split = [r.split() for r in raws]
+        self.learn(set().union(*split))
+        return [b"".join(map(self.chunks.__getitem__, s)) for s in split]
+
+
+def groups(items, size: int = 1 << 20):
+    """Lists of (key, bytes) items of about `size` bytes."""
+    held: list = []
+    total = 0
+    for item in items:
+        held.append(item)
+        total += len(item[1])
+        if total >= size:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held
 
 
 @functools.lru_cache(2)
 def chunk_ids(path: str) -> ChunkIds:
     """One per worker process and tokenizer file."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the task's cores are Spark's to share out
     from tokenizers import Tokenizer
 
     return ChunkIds(Tokenizer.from_file(path))
@@ -194,11 +217,13 @@ def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), pool: int =
         end = np.array([END_ID], "<u4").tobytes()
         for b in batches:
             asked = b.column("prompt").to_pylist()
-            for doc, raw, p in zip(b.column("doc_id").to_pylist(), base.raw_texts(b.column("text")), asked):
-                data = ids.text(raw) + end
-                packer.add((doc, data), len(data) // 4, max(0, p or 0))
-                if len(rows) >= 4000:
-                    yield out()
+            docs = zip(zip(b.column("doc_id").to_pylist(), asked), base.raw_texts(b.column("text")))
+            for group in groups(docs):
+                for ((doc, p), _), data in zip(group, ids.texts([raw for _, raw in group])):
+                    data += end
+                    packer.add((doc, data), len(data) // 4, max(0, p or 0))
+                    if len(rows) >= 4000:
+                        yield out()
         packer.end()
         yield out()
 

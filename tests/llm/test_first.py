@@ -114,9 +114,9 @@ def test_pack_limits():
 
 def test_chunks_encode_as_texts():
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    c = packing.ChunkIds(t, 50)
+    c = packing.ChunkIds(t, 5)
     for text in ["It's ÀÉ×÷ª 3,000 don'T!!!'s", "é K ǅ İ ß ẞ", "a<|endoftext|>b c<|startoftext|>", " x y\x1cz\x85", "中文 😀👍🏽 ½²", "x_y-z... ''s '", "ﬁ ﬁ"]:
-        assert np.frombuffer(c.text(text.encode()), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
+        assert np.frombuffer(c.texts([text.encode()])[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
 
 
 def brute_chat(turns):
