@@ -15,7 +15,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -27,7 +26,7 @@ from . import base
 from .shingles import _SLICE, _cut_words, _slices, mix64, word_hashes
 
 BEGIN, END = np.uint64(1), np.uint64(2)  # keys of the marks before the first word and after the last
-_SLICE_BYTES, _SLICE_DOCS = 1 << 24, 30_000
+_SLICE_BYTES, _SLICE_DOCS = 10 << 20, 30_000
 
 
 @dataclass(frozen=True)
@@ -35,7 +34,7 @@ class Katz:
     """bucket_bytes: text whose events share a bucket, on average. discounted: counts up to this are discounted. own, classes: words with
     their own unigram count, and hash classes of the others."""
 
-    bucket_bytes: int = 1 << 24
+    bucket_bytes: int = 12 << 20
     discounted: int = 5
     own: int = 1 << 18
     classes: int = 1 << 20
@@ -111,7 +110,7 @@ def _events(docs: DataFrame, buckets: int) -> DataFrame:
             order = np.argsort(key, kind="stable")
             history, word, tag, key = history[order], word[order], (doc + (train[doc] << 15)).astype(np.uint16)[order], key[order] >> np.uint64(32)
             edges = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)] if len(key) else np.zeros(1, int)
-            where, kind, loads = [-1], [False], [np.array([-1 if i is None else i for i in ids], np.int64).tobytes() + np.array([i is None for i in ids], bool).tobytes() + train.tobytes()]
+            where, kind, loads = [-1], [False], [np.array([-1 if i is None else i for i in ids], np.int64).tobytes() + np.bincount(d, minlength=n).astype(np.int64).tobytes() + np.array([i is None for i in ids], bool).tobytes()]
             for a, b in zip(edges[:-1], edges[1:]):
                 h = history[a:b]
                 first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
@@ -194,6 +193,34 @@ class Unigrams:
         return out
 
 
+def _packed(df: DataFrame) -> list[np.ndarray]:
+    """Columns of a table of longs whose number of rows is bounded, brought to the driver as blocks of bytes."""
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.column(n).to_numpy().astype(np.int64).tobytes()], pa.binary()) for n in names], names)
+
+    got = df.mapInArrow(run, ", ".join(f"{n} binary" for n in names)).collect()
+    return [np.frombuffer(b"".join(r[n] for r in got), np.int64) for n in names]
+
+
+def _unigrams(words: DataFrame, how: Katz, total: int, once: int, ends: int) -> Unigrams:
+    """Own counts of the words above the least count that keeps them within `own`; class sums of all others."""
+    counts, times = _packed(words.groupBy("count").agg(F.count("*").alias("n")))
+    order = np.argsort(-counts)
+    within = np.cumsum(times[order]) <= how.own
+    least = int(counts[order][within].min()) if within.any() else (1 << 62)
+    k = F.expr("word & 1099511627775L")  # the five bytes that events keep
+    keys, own = _packed(words.where(F.col("count") >= least).groupBy(k.alias("k")).agg(F.sum("count").alias("n")))
+    keys, own = np.r_[keys[keys != int(END)], int(END)] if ends else keys, np.r_[own[keys != int(END)], ends] if ends else own
+    order = np.argsort(keys)
+    uni = Unigrams(keys[order].astype(np.uint64), own[order].astype(float), np.zeros(how.classes), np.zeros(how.classes), total, once)
+    slot, n, w = _packed(words.where(F.col("count") < least).groupBy(F.pmod(k, F.lit(how.classes)).alias("c")).agg(F.sum("count").alias("n"), F.count("*").alias("w")))
+    uni.class_count[slot], uni.class_words[slot] = n, w
+    return uni
+
+
 def discounts(times: dict[int, int], most: int) -> np.ndarray:
     """Katz's Good-Turing factors of counts 0..most from counts of counts; where those are too few, an absolute discount of a half."""
     n = [times.get(r, 0) for r in range(most + 2)]
@@ -246,15 +273,7 @@ def score(docs: DataFrame, train: Column, how: Katz = Katz()) -> tuple[DataFrame
     words = base.stored(counted.where((F.col("kind") == 0) & (F.col("key") != int(BEGIN))).groupBy(F.col("key").alias("word")).agg(F.sum("n").alias("count")), "unigrams")
     totals = words.agg(F.sum("count").alias("n"), F.count("*").alias("v"), F.sum((F.col("count") == 1).cast("long")).alias("once")).first()
     all_tokens, vocabulary = (totals["n"] or 0) + ends, totals["v"] + (ends > 0)
-    short = words.withColumn("k", F.expr("word & 1099511627775L"))  # the five bytes that events keep
-    own = short.orderBy(F.desc("count"), "word").limit(how.own)
-    rest = short.join(own.select("word"), "word", "left_anti")
-    classes = rest.groupBy(F.pmod("k", F.lit(how.classes)).alias("c")).agg(F.sum("count").alias("n"), F.count("*").alias("w")).toPandas()
-    kept = own.select("k", "count").toPandas().groupby("k", as_index=False).sum().sort_values("k")
-    kept = pd.concat([kept[kept.k != int(END)], pd.DataFrame({"k": [int(END)], "count": [ends]})] if ends else [kept]).sort_values("k")
-    uni = Unigrams(kept.k.to_numpy(np.uint64), kept["count"].to_numpy(np.float64), np.zeros(how.classes), np.zeros(how.classes), all_tokens, totals["once"] or 0)
-    uni.class_count[classes.c.to_numpy(np.int64)] = classes.n.to_numpy(float)
-    uni.class_words[classes.c.to_numpy(np.int64)] = classes.w.to_numpy(float)
+    uni = _unigrams(words, how, all_tokens, totals["once"] or 0, ends)
     shared = spark.sparkContext.broadcast(uni)
 
     def mass(t: pa.Table) -> pa.Table:
@@ -269,10 +288,9 @@ def score(docs: DataFrame, train: Column, how: Katz = Katz()) -> tuple[DataFrame
 
     # As many as there are common words: a few for each bucket.
     spread = packed.where("hot").groupBy("bucket").applyInArrow(mass, "v long, c double, m double, u double").groupBy("v").agg(
-        F.sum("c").alias("c"), F.sum("m").alias("m"), F.sum("u").alias("u")).toPandas()
-    spread["v"] = spread.v.to_numpy(np.int64).view(np.uint64)
-    spread = spread.sort_values("v")
-    hot_v, hot_sums = spread.v.to_numpy(np.uint64), spread[["c", "m", "u"]].to_numpy(float)
+        F.sum("c").alias("c"), F.sum("m").alias("m"), F.sum("u").alias("u")).collect()
+    spread = sorted((r["v"] & (1 << 64) - 1, r["c"], r["m"], r["u"]) for r in spread)
+    hot_v, hot_sums = np.array([r[0] for r in spread], np.uint64), np.array([r[1:] for r in spread], float).reshape(-1, 3)
 
     def judge(t: pa.Table) -> pa.Table:
         history, word, tag, where, slices = _read(t)
@@ -296,7 +314,7 @@ def score(docs: DataFrame, train: Column, how: Katz = Katz()) -> tuple[DataFrame
         real = (names != BEGIN)[vi][of]
         count = c[vi][of]
         cols = [np.bincount(to, logs, len(cells)), np.bincount(to, np.where(real, np.log10(count + 0.5), 0.0), len(cells)),
-                np.bincount(to, real & (count > 0), len(cells)).astype(np.int64), np.bincount(to, real, len(cells)).astype(np.int64)]
+                np.bincount(to, real & (count > 0), len(cells)).astype(np.int32)]
         edges = np.searchsorted(cells >> 15, np.arange(len(slices) + 1))
         loads = [b"".join([(cells[a:b] & 0x7FFF).astype(np.uint16).tobytes(), *[x[a:b].tobytes() for x in cols]]) for a, b in zip(edges[:-1], edges[1:])]
         return pa.table({"slice": pa.array(slices), "payload": pa.array(loads, pa.binary())})
@@ -306,16 +324,16 @@ def score(docs: DataFrame, train: Column, how: Katz = Katz()) -> tuple[DataFrame
 
     def gather(t: pa.Table) -> pa.Table:
         head = next(x for x in t["ids"].to_pylist() if x is not None)
-        n = len(head) // 10
-        ids, null = np.frombuffer(head, np.int64, n), np.frombuffer(head, bool, n, 8 * n)
-        sums = [np.zeros(n), np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)]
+        n = len(head) // 17
+        ids, words, null = np.frombuffer(head, np.int64, n), np.frombuffer(head, np.int64, n, 8 * n), np.frombuffer(head, bool, n, 16 * n)
+        sums = [np.zeros(n), np.zeros(n), np.zeros(n, np.int64)]
         for x in t["payload"].to_pylist():
             if x:
-                k = len(x) // 34
+                k = len(x) // 22
                 doc = np.frombuffer(x, np.uint16, k)
-                for j, kind in enumerate((np.float64, np.float64, np.int64, np.int64)):
+                for j, kind in enumerate((np.float64, np.float64, np.int32)):
                     sums[j][doc] += np.frombuffer(x, kind, k, 2 * k + 8 * k * j)
-        return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=null), "score": pa.array(sums[0]), "base_log": pa.array(sums[1]), "n_known": pa.array(sums[2]), "words": pa.array(sums[3])})
+        return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=null), "score": pa.array(sums[0]), "base_log": pa.array(sums[1]), "n_known": pa.array(sums[2]), "words": pa.array(words)})
 
     rows = parts.unionByName(headers).groupBy("slice").applyInArrow(gather, "doc_id long, score double, base_log double, n_known long, words long")
     end = float(np.log10(ends + 0.5))
