@@ -47,7 +47,7 @@ def denoise_rate(spark) -> dict:
 
     from framelattice.operators import scans as S
     from framelattice.sources import fixtures as fx
-    from framelattice.sources.fields import long_to_planes, read_planes
+    from framelattice.sources.fields import long_to_planes, read_planes, short_batches
 
     cols, rows, copies = 13, 11, 64  # 13 x 11 tiles of 48 x 32: 624 x 352
     w, h = 48 * cols, 32 * rows
@@ -65,6 +65,7 @@ def denoise_rate(spark) -> dict:
     planes = long_to_planes(big, fields)
     base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     planes.write.parquet(f"{base}/one")
+    short_batches(spark)
     many = read_planes(spark, f"{base}/one").select("*", F.explode(F.sequence(F.lit(0), F.lit(copies // 2 - 1))).alias("k"))
     many.select((F.col("clip_id") * 1000 + F.col("k")).cast("long").alias("clip_id"), F.col("frame_no").cast("long").alias("frame_no"),
                 F.lit(1).cast("long").alias("scene_id"), (F.col("frame_no") == 1).alias("cut"), *fields).transform(

@@ -109,10 +109,10 @@ def informative_pairs(mads: DataFrame, k: int = 6, lo: float = 0.003, hi: float
 
 def minmax_normalize(depth: DataFrame, value: str = "d", keys=KEYS) -> DataFrame:
     """Per frame finite minimum and maximum to [0, 1]; a flat frame is 0, non-finite cells take the minimum."""
-    w = W.partitionBy(*keys)
     v = F.col(value)
     f = F.when(finite(v), v)
-    d = depth.withColumn("_lo", F.min(f).over(w)).withColumn("_hi", F.max(f).over(w))
+    # Two values a frame, joined back: no frame is held together.
+    d = depth.join(depth.groupBy(*keys).agg(F.min(f).alias("_lo"), F.max(f).alias("_hi")), list(keys))
     lo, hi = F.col("_lo"), F.col("_hi")
     flat = lo.isNull() | (hi - lo < 1e-12)
     x = F.when(finite(v), v).otherwise(lo)

@@ -272,10 +272,10 @@ def repair_diagnostics(repaired: DataFrame, model: DataFrame, width: int, height
 
 
 def with_repair(flow: DataFrame, width: int, height: int, mode: str = "auto", step: int = 4,
-                depth: DataFrame | None = None) -> DataFrame:
+                depth: DataFrame | None = None, model: DataFrame | None = None) -> DataFrame:
     """Repaired field with the unrepaired uncertainty riding along as ``_u0``: both policies read it."""
     src = flow.withColumn("_u0", F.col("uncertainty")) if "uncertainty" in flow.columns else flow
-    return repair_rejected(src, width, height, mode, step, depth)
+    return repair_rejected(src, width, height, mode, step, depth, model)
 
 
 def safe_motion(flow: DataFrame, width: int, height: int, mode: str = "auto", step: int = 4, depth: DataFrame | None = None) -> DataFrame:

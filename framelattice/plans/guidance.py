@@ -29,19 +29,28 @@ def guidance_paths(analysis: DataFrame, segments: DataFrame, width: int, height:
 
     analysis(vx, vy, raw_vx, raw_vy, confidence, visibility, disocclusion, occlusion, uncertainty). Both
     policies vote over the same repaired field, so it is built once: the aggressive path keeps it, the
-    conservative path only steps towards it.
+    conservative path only steps towards it. The consensus of the aggressive path also sees the depth and the camera motion; frames
+    without a camera fit count as still.
     """
     cut = segments.select(*KEYS, "cut")
     live = analysis.join(cut.where("NOT cut").select(*KEYS), list(KEYS), "left_semi")
     dead = analysis.join(cut.where("cut").select(*KEYS), list(KEYS), "left_semi")
-    repaired = R.with_repair(live, width, height, mode, step, depth)
+    model = R.fit_affine_motion(live, width, height, mode)
+    repaired = R.with_repair(live, width, height, mode, step, depth, model)
     safe = R.safe_policy(repaired, live.columns, width, height, mode)
     # nothing is corrected across a cut
     safe = safe.unionByName(dead.withColumns({"corrected": F.lit(False), "rejected": F.lit(True)}))
     strong = repaired.drop("repaired", "_u0").unionByName(dead)
     fields = ["vx", "vy", "confidence", "visibility", "uncertainty", "disocclusion"]
+    if depth is not None:
+        strong = strong.join(depth.select(*KEYS, "y", "x", "d"), [*KEYS, "y", "x"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
+        fields.append("d")
     planes = S.scene_planes(strong.select(*KEYS, "y", "x", *fields), fields, segments)
-    return Guidance(analysis, safe, S.trajectory_consensus(planes, width, height, mode, step), segments)
+    camera = model.select(*KEYS, F.array("vx0").alias("global_x"), F.array("vy0").alias("global_y"))
+    still = F.array(F.lit(0.0))
+    planes = planes.join(camera, list(KEYS), "left").withColumns({c: F.coalesce(c, still) for c in ("global_x", "global_y")})
+    aggressive = S.trajectory_consensus(planes, width, height, mode, step, has_depth=depth is not None, has_global=True)
+    return Guidance(analysis, safe, aggressive, segments)
 
 
 def analyse(px: DataFrame, grid: DataFrame, segments: DataFrame, width: int, height: int, grid_w: int, grid_h: int) -> DataFrame:

@@ -51,15 +51,17 @@ def read_long(spark, path: str, schema: T.StructType) -> DataFrame:
 PLANES_PER_BATCH = 4
 
 
+def short_batches(spark, frames: int = PLANES_PER_BATCH) -> None:
+    """Lowers the session's columnar batch for plane tables; jobs that also scan long tables should use another session."""
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", frames)
+
+
 def read_planes(spark, path: str) -> DataFrame:
     """Plane layout: one row per frame with row-major arrays or packed binaries.
 
-    The batch size is a session setting and the reader has no option for it, so it stays lowered:
-    give jobs that also scan long tables a session of their own.
+    Frames of megapixels need short columnar batches, which is a setting of the session and the caller's choice: see
+    ``short_batches``.
     """
-    key = "spark.sql.parquet.columnarReaderBatchSize"
-    if int(spark.conf.get(key)) > PLANES_PER_BATCH:
-        spark.conf.set(key, PLANES_PER_BATCH)
     return spark.read.parquet(path)
 
 
@@ -92,7 +94,7 @@ def long_to_planes(cells: DataFrame, fields: list[str], keys=KEYS) -> DataFrame:
 
 def write_telemetry(df: DataFrame, columns: list[str], path: str, fmt: str = "parquet", partition: str = "clip_id",
                     headers: dict[str, str] | None = None) -> None:
-    """Append-free telemetry sink: one folder per clip, columns in the published order.
+    """Telemetry sink: one folder and file per clip, columns in the published order.
 
     ``headers`` renames columns on the way out, for readers that expect other names.
     """
@@ -100,7 +102,9 @@ def write_telemetry(df: DataFrame, columns: list[str], path: str, fmt: str = "pa
     if missing:
         raise ValueError(f"telemetry columns missing: {missing}")
     names = headers or {}
-    w = df.select(partition, *[F.col(c).alias(names.get(c, c)) for c in columns]).write.mode("overwrite").partitionBy(partition)
+    rows = df.select(partition, *[F.col(c).alias(names.get(c, c)) for c in columns]).repartition(partition)
+    # Only the folders of the clips at hand are replaced.
+    w = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition)
     (w.option("header", "true").csv(path) if fmt == "csv" else w.parquet(path))
 
 
