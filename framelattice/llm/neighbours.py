@@ -70,8 +70,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, how: Hashing = Ha
 
     Inner products become distances by adding a coordinate: rows are scaled by the largest norm and lifted onto the unit
     sphere, queries normalised. Every row is hashed into every table; each query visits its likeliest buckets; candidates of
-    all tables are scored on the original vectors, in double. Fewer than k rows of one id per query come back only if its
-    buckets hold fewer.
+    all tables are scored on the original vectors, in double. A query whose buckets hold fewer than k rows is held against all, so k come
+    back if there are k.
 
     Null and zero vectors, vectors with null or non-finite components, null ids, and vectors whose length is not the commonest
     (ties: the largest) take no part. Rows that share an id count as one row, with its best score; equal scores go by
@@ -144,14 +144,6 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, how: Hashing = Ha
 
     indexed = rows.select("vec_id", "v").mapInArrow(index, "t int, chunk int, bucket long, vec_id long, v binary")
     probes = base.stored(rows.where("q").select("vec_id", "v").mapInArrow(probe, "t int, chunk int, query_id long, qv binary, buckets array<long>"), "probes")
-    key = ["t", "chunk"]
-    blocks = indexed.groupBy(key).agg(F.ceil(F.count("*") / how.block_rows).cast("int").alias("row_blocks")).join(
-        probes.groupBy(key).agg(F.ceil(F.count("*") / how.block_rows).cast("int").alias("query_blocks")), key)
-    left = indexed.join(blocks, key).withColumn("rb", (F.pmod(F.xxhash64("vec_id"), "row_blocks")).cast("int")).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1))).drop("row_blocks", "query_blocks")
-    right = probes.join(blocks, key).withColumn("qb", (F.pmod(F.xxhash64("query_id"), "query_blocks")).cast("int")).withColumn(
-        "rb", F.explode(F.sequence(F.lit(0), F.col("row_blocks") - 1))).drop("row_blocks", "query_blocks")
-
     def meet(lt: pa.Table, rt: pa.Table) -> pa.Table:
         out_q, out_v, out_s = [], [], []
         if lt.num_rows and rt.num_rows:
@@ -196,8 +188,33 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, how: Hashing = Ha
         return pa.table({"query_id": pa.array(join(out_q, np.int64), pa.int64()), "vec_id": pa.array(join(out_v, np.int64), pa.int64()),
                          "score": pa.array(join(out_s, float), pa.float64())})
 
-    grid = ["t", "chunk", "rb", "qb"]
-    found = left.groupBy(grid).cogroup(right.groupBy(grid)).applyInArrow(meet, "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    def search(indexed: DataFrame, probes: DataFrame) -> DataFrame:
+        """Best rows of each query within each block of a chunk."""
+        key, grid = ["t", "chunk"], ["t", "chunk", "rb", "qb"]
+        blocks = indexed.groupBy(key).agg(F.ceil(F.count("*") / how.block_rows).cast("int").alias("row_blocks")).join(
+            probes.groupBy(key).agg(F.ceil(F.count("*") / how.block_rows).cast("int").alias("query_blocks")), key)
+        left = indexed.join(blocks, key).withColumn("rb", (F.pmod(F.xxhash64("vec_id"), "row_blocks")).cast("int")).withColumn(
+            "qb", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1))).drop("row_blocks", "query_blocks")
+        right = probes.join(blocks, key).withColumn("qb", (F.pmod(F.xxhash64("query_id"), "query_blocks")).cast("int")).withColumn(
+            "rb", F.explode(F.sequence(F.lit(0), F.col("row_blocks") - 1))).drop("row_blocks", "query_blocks")
+        found = left.groupBy(grid).cogroup(right.groupBy(grid)).applyInArrow(meet, "query_id long, vec_id long, score double")
+        return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                n = b.num_rows
+                chunk = pa.array((b.column("vec_id").to_numpy() % chunks).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, -1, np.int32)), chunk, pa.array(np.zeros(n, np.int64)), b.column("vec_id"), pa.array(blobs(matrix(b)), pa.binary())],
+                                                 ["t", "chunk", "bucket", "vec_id", "v"])
+
+    best = base.stored(search(indexed, probes), "found")
+    # Queries whose buckets hold fewer than k rows are held against all rows.
+    short = probes.select("query_id", "qv").distinct().join(best.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").where(F.coalesce("n", F.lit(0)) < k)
+    every = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk")
+    short = base.stored(short.select(F.lit(-1).alias("t"), every, "query_id", "qv", F.array(F.lit(0).cast("bigint")).alias("buckets")), "short")
+    if not short.isEmpty():
+        all_rows = rows.select("vec_id", "v").mapInArrow(whole, "t int, chunk int, bucket long, vec_id long, v binary")
+        best = best.unionByName(search(all_rows, short)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

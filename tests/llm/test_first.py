@@ -190,6 +190,9 @@ def test_nearest_odd(spark):
     r = [(x["query_id"], x["rank"], x["vec_id"]) for x in rows(neighbours.nearest(df, F.col("vec_id") % 20 == 0, 20))]
     assert sorted(r) == [(0, 1, 1), (0, 2, 2), (0, 3, 20), (0, 4, 8), (20, 1, 1), (20, 2, 2), (20, 3, 0), (20, 4, 8)]
     assert neighbours.nearest(df.where("1 = 0"), F.col("vec_id") % 20 == 0, 20).count() == 0
+    # Narrow buckets find next to nothing: the queries that lack rows are held against all.
+    narrow = neighbours.Hashing(tables=1, functions=6, width=0.05, probes=1, chunk_rows=2)
+    assert sorted((x["query_id"], x["rank"], x["vec_id"]) for x in neighbours.nearest(df, F.col("vec_id") % 20 == 0, 20, narrow).collect()) == sorted(r)
 
 
 def brute_fingerprints(docs):
