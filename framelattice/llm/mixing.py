@@ -144,8 +144,8 @@ def mix(docs: DataFrame, how: Mix = Mix()) -> DataFrame:
     placed, slots = lay_out(docs.select(*kept), how)
     times = slots.groupBy("source_no", "block").agg(F.count("*").alias("times"))
     spans = _pieces(placed.select("source_no", "start", "size"), how)
-    # Among documents with words, a first word belongs to one document.
-    taken = spans.join(times, ["source_no", "block"]).groupBy("source_no", F.col("start").alias("key")).agg(F.sum(F.col("times") * F.col("n")).alias("taken"))
+    # Block tables grow with the data: never broadcast. Among documents with words, a first word belongs to one document.
+    taken = spans.join(times.hint("merge"), ["source_no", "block"]).groupBy("source_no", F.col("start").alias("key")).agg(F.sum(F.col("times") * F.col("n")).alias("taken"))
     out = placed.withColumn("key", F.when(F.col("size") > 0, F.col("start")).otherwise(-1 - F.abs(F.hash("d0")))).join(taken, ["source_no", "key"], "left")
     return out.select(*[F.col(f"d{k}").alias(c) for k, c in enumerate(kept)], "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
@@ -159,6 +159,6 @@ def mix_texts(docs: DataFrame, how: Mix = Mix()) -> DataFrame:
     text = F.col(f"d{docs.columns.index('text')}")
     parts = F.slice(F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1)), (F.col("begin") + 1).cast("int"), F.col("n").cast("int"))
     cut = _pieces(placed, how).withColumn("piece", F.array_join(parts, ""))
-    mixed = slots.join(cut, ["source_no", "block"]).repartition("shard").sortWithinPartitions("shard", "place", "start")
+    mixed = slots.hint("merge").join(cut, ["source_no", "block"]).repartition("shard").sortWithinPartitions("shard", "place", "start")
     new = {"text": F.col("piece"), "n_chars": F.char_length("piece").cast("long")}
     return mixed.select(*[new.get(c, F.col(f"d{k}")).alias(c) for k, c in enumerate(docs.columns)])
