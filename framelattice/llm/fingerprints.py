@@ -51,6 +51,17 @@ def containment(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
 
 
+def _at_or_above(key: Column, cuts: list, width: int = 64) -> Column:
+    """How many of the ascending cuts are at or above the key: first by blocks of cuts, then within the key's block."""
+    if not cuts:
+        return F.lit(0)
+    blocks = [cuts[i:i + width] for i in range(0, len(cuts), width)]
+    below = lambda values: F.size(F.filter(values, lambda c: c < key))
+    block = below(F.array(*[F.lit(b[-1]) for b in blocks]))
+    inner = F.coalesce(F.get(F.array(*[F.array(*map(F.lit, b)) for b in blocks]), block), F.array().cast("array<bigint>"))
+    return F.greatest(F.lit(0), F.lit(len(cuts)) - block * width - below(inner))
+
+
 def with_next(docs: DataFrame, key: str, cols: list[str], slices: int) -> DataFrame:
     """Adds struct `next`: the columns of the row after each in descending key order; after the last comes the first.
 
@@ -61,8 +72,7 @@ def with_next(docs: DataFrame, key: str, cols: list[str], slices: int) -> DataFr
     if slices > 1:
         shares = ", ".join(str(i / slices) for i in range(1, slices))
         cuts = sorted(set(docs.agg(F.expr(f"percentile_approx({key}, array({shares}), 10000)").alias("q")).first()["q"] or []))
-    # The number of cuts at or above the key; 0 is the highest slice, null keys have the last.
-    above = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c >= F.col(key))) if cuts else F.lit(0)
+    above = _at_or_above(F.col(key), cuts)  # 0 is the highest slice, null keys have the last
     sliced = docs.withColumn("_slice", F.when(F.col(key).isNull(), len(cuts) + 1).otherwise(above))
     order = [F.col(key).desc_nulls_last(), *[F.col(c).asc_nulls_first() for c in cols]]
     tops = sliced.groupBy("_slice").agg(F.max(key).alias("_top"))
@@ -77,15 +87,16 @@ def with_next(docs: DataFrame, key: str, cols: list[str], slices: int) -> DataFr
     return both.withColumn("next", F.lead(F.struct(*cols)).over(w)).where("_guest = 0").drop("_guest", "_slice")
 
 
-def fingerprint_edits(docs: DataFrame, words: int = WORDS, fraction: float = FRACTION, slices: int = 64) -> DataFrame:
+def fingerprint_edits(docs: DataFrame, words: int = WORDS, fraction: float = FRACTION, slice_rows: int = 4000, most_slices: int = 4096) -> DataFrame:
     """Each document's sketch, that of its edited text, and their likenesses.
 
     The edited text has its last third (floor of n_chars / 3) replaced by as many first characters of the next document in
-    descending doc_id, or all it has. Null texts are empty; ties of doc_id go by text; null ids come last; an empty
+    descending doc_id, or all it has. The order is cut into slices of about slice_rows documents, most_slices at the most. Null texts are empty; ties of doc_id go by text; null ids come last; an empty
     table gives no rows; a lone document is its own next; other columns are ignored.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     own = own.withColumn("hashes", sketch(F.col("text"), words, fraction))
+    slices = max(1, min(most_slices, -(-own.count() // slice_rows)))
     placed = with_next(own, "doc_id", ["text", "hashes"], slices)
     third = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - third).cast("int")), F.substring(F.col("next.text"), F.lit(1), third))

@@ -207,7 +207,7 @@ def brute_fingerprints(docs):
 
 def test_fingerprints(spark, docs, odd, empty):
     for df in (docs, odd, odd.where("doc_id = 5")):
-        f = fingerprints.fingerprint_edits(df, slices=7)
+        f = fingerprints.fingerprint_edits(df, slice_rows=3)
         got = rows(f.selectExpr("doc_id", "n_chars", "sha2(edited, 256) AS s", "hashes", "edited_hashes", "next_hashes"))
         assert sorted(((r["doc_id"], r["n_chars"], r["s"]) for r in got), key=str) == brute_fingerprints(rows(df))
         for r in got:
