@@ -19,12 +19,11 @@ def test_planes_and_row_pairs_give_the_same_lookup(cells):
         assert a.exceptAll(b).count() == 0
 
 
-def test_inversion_is_the_same_for_large_frames(cells, monkeypatch):
+def test_inversion_is_the_same_by_planes_and_by_rows(cells):
     rng = np.random.default_rng(1)
     f = cells(12, 10, vx=rng.uniform(-2, 2, (10, 12)), vy=rng.uniform(-2, 2, (10, 12)))
     a = L.invert_flow(f, 12, 10).collect()
-    monkeypatch.setattr(L, "PLANE_CELL_LIMIT", 10)
-    b = L.invert_flow(f, 12, 10).collect()
+    b = L.invert_flow(f, 12, 10, access="rows").collect()
     key = lambda r: (r.y, r.x)
     for p, q in zip(sorted(a, key=key), sorted(b, key=key)):
         assert p == q
@@ -42,8 +41,8 @@ def test_preview_scale_and_size(cells):
     vx = np.full((32, 64), 2.0)
     vx[5, 5] = 1000.0
     f = cells(64, 32, vx=vx, vy=0.0)
-    assert V.robust_magnitude(f, 64, 32).first().robust_magnitude == 2.0
-    assert V.robust_magnitude(cells(64, 32, vx=4.0, vy=0.0), 64, 32, -2.0, 0.5).first().robust_magnitude == 8.0
+    assert V.robust_magnitude(f).first().robust_magnitude == 2.0
+    assert V.robust_magnitude(cells(64, 32, vx=4.0, vy=0.0), -2.0, 0.5).first().robust_magnitude == 8.0
     right = V.motion_preview(cells(64, 32, vx=4.0, vy=0.0), 64, 32, max_width=32)
     down = V.motion_preview(cells(64, 32, vx=0.0, vy=4.0), 64, 32, max_width=32)
     assert right.count() == 32 * 16
@@ -111,8 +110,9 @@ def test_depth_calibration_prefers_the_metric_channel(spark):
     rows = [(1, f, c, y, x, {"A": 1.0, "B": 0.0, "G": 0.0, "R": 100.0 + 8 * x + 4 * y + 2 * f}[c])
             for f in range(12) for c in "ABGR" for y in range(6) for x in range(8)]
     df = spark.createDataFrame(rows, "seq_id long, frame_no long, channel string, y long, x long, value double")
+    assert K.calibrate_depth(K.channel_stats(df, 8, 6, max_frames=9)).first().sampled_frames == 9
     r = K.calibrate_depth(K.channel_stats(df, 8, 6)).first()
-    assert r.success and r.channel == "R" and r.mapping == "fixed_range" and r.sampled_frames == 9 and 100 <= r.near < r.far
+    assert r.success and r.channel == "R" and r.mapping == "fixed_range" and r.sampled_frames == 12 and 100 <= r.near < r.far
 
 
 def test_sequence_paths(spark):
