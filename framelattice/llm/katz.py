@@ -34,7 +34,7 @@ class Katz:
     """bucket_bytes: text whose events share a bucket, on average. discounted: counts up to this are discounted. own, classes: words with
     their own unigram count, and hash classes of the others."""
 
-    bucket_bytes: int = 12 << 20
+    bucket_bytes: int = 10 << 20
     discounted: int = 5
     own: int = 1 << 18
     classes: int = 1 << 20
@@ -144,26 +144,35 @@ def _events(docs: DataFrame, buckets: int) -> DataFrame:
 
 def _read(t: pa.Table) -> tuple:
     """Histories, words, slice numbers and tags of all events of a bucket, and the slices' ids."""
-    histories, words, tags, slices = [], [], [], []
-    for k, x in enumerate(t["payload"].to_pylist()):
-        m, n = np.frombuffer(x, np.int64, 2)
-        at = 16
-        h = np.frombuffer(x, np.uint64, m, at)
-        at += 8 * m
-        runs = np.frombuffer(x, np.uint32, m, at)
-        at += 4 * m
-        five = np.zeros((n, 8), np.uint8)
-        five[:, :5] = np.frombuffer(x, np.uint8, 5 * n, at).reshape(n, 5)
-        histories.append(np.repeat(h, runs))
-        words.append(five.view(np.uint64).ravel())
-        tags.append(np.frombuffer(x, np.uint16, n, at + 5 * n))
-        slices.append(np.full(n, k, np.int32))
-    return np.concatenate(histories), np.concatenate(words), np.concatenate(tags), np.concatenate(slices), t["slice"].to_numpy()
+    loads = t["payload"].to_pylist()
+    sizes = [int(np.frombuffer(x, np.int64, 1, 8)[0]) for x in loads]
+    total, end = sum(sizes), 0
+    history, word = np.empty(total, np.uint64), np.zeros((total, 8), np.uint8)
+    tag, where = np.empty(total, np.uint16), np.empty(total, np.int32)
+    for k, (x, n) in enumerate(zip(loads, sizes)):
+        m = int(np.frombuffer(x, np.int64, 1)[0])
+        begin, end, at = end, end + n, 16 + 12 * m
+        history[begin:end] = np.repeat(np.frombuffer(x, np.uint64, m, 16), np.frombuffer(x, np.uint32, m, 16 + 8 * m))
+        word[begin:end, :5] = np.frombuffer(x, np.uint8, 5 * n, at).reshape(n, 5)
+        tag[begin:end] = np.frombuffer(x, np.uint16, n, at + 5 * n)
+        where[begin:end] = k
+    return history, word.view(np.uint64).ravel(), tag, where, t["slice"].to_numpy()
 
 
 def _pairs(history: np.ndarray, word: np.ndarray, tag: np.ndarray) -> tuple:
     """Distinct bigrams: (index of an event of each, bigram of each event, training count)."""
-    _, first, of = np.unique(mix64(history + word * np.uint64(0x9E3779B97F4A7C15)), return_index=True, return_inverse=True)
+    key = word * np.uint64(0x9E3779B97F4A7C15)
+    key += history
+    key = mix64(key)
+    order = np.argsort(key)
+    key = key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    del key
+    first = order[new]
+    of = np.empty(len(order), np.int32)
+    of[order] = np.cumsum(new, dtype=np.int32) - 1
+    del order
     return first, of, np.bincount(of, tag >> 15, len(first)).astype(np.int64)
 
 
@@ -306,17 +315,19 @@ def score(docs: DataFrame, train: Column, how: Katz = Katz()) -> tuple[DataFrame
             c[is_hot], m[is_hot], u[is_hot] = hot_sums[at[is_hot]].T
         scale, alpha = _weights(m, u, c)
         likely = np.where(seen, scale[vi] * d * r / np.maximum(c[vi], 1), np.maximum(alpha[vi], 1e-12) * p)
-        logs = np.log10(likely)[of]
-        doc = (tag & 0x7FFF).astype(np.int64)
-        cell = where.astype(np.int64) << 15 | doc
-        cells, to = np.unique(cell, return_inverse=True)
         # A word's own count and base term come from its event as a history; the beginning has none.
-        real = (names != BEGIN)[vi][of]
-        count = c[vi][of]
-        cols = [np.bincount(to, logs, len(cells)), np.bincount(to, np.where(real, np.log10(count + 0.5), 0.0), len(cells)),
-                np.bincount(to, real & (count > 0), len(cells)).astype(np.int32)]
-        edges = np.searchsorted(cells >> 15, np.arange(len(slices) + 1))
-        loads = [b"".join([(cells[a:b] & 0x7FFF).astype(np.uint16).tobytes(), *[x[a:b].tobytes() for x in cols]]) for a, b in zip(edges[:-1], edges[1:])]
+        real = (names != BEGIN)[vi]
+        known = real & (c[vi] > 0)
+        own = np.where(real, np.log10(c[vi] + 0.5), 0.0)
+        worth = np.log10(likely)
+        del history, word
+        bounds = np.searchsorted(where, np.arange(len(slices) + 1))  # events lie slice by slice
+        loads = []
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            doc, pair = (tag[a:b] & 0x7FFF).astype(np.int64), of[a:b]
+            there = np.flatnonzero(np.bincount(doc))
+            sums = [np.bincount(doc, x[pair])[there] for x in (worth, own, known)]
+            loads.append(there.astype(np.uint16).tobytes() + sums[0].tobytes() + sums[1].tobytes() + sums[2].astype(np.int32).tobytes())
         return pa.table({"slice": pa.array(slices), "payload": pa.array(loads, pa.binary())})
 
     parts = packed.groupBy("bucket").applyInArrow(judge, "slice long, payload binary").withColumn("ids", F.lit(None).cast("binary"))
