@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,15 +40,18 @@ def held_out(doc_id: Column | str, modulus: int, remainder: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
-def texts_of(column: pa.Array) -> list[str]:
-    """Texts of an Arrow column; a null is an empty text."""
-    return [t if t is not None else "" for t in column.to_pylist()]
+def texts_of(column: pa.Array, rows: int = 256) -> Iterator[str]:
+    """Texts of an Arrow column, some rows at a time; a null is an empty text."""
+    for at in range(0, len(column), rows):
+        for t in column.slice(at, rows).to_pylist():
+            yield t if t is not None else ""
 
 
-def raw_texts(column: pa.Array) -> Iterable[bytes]:
-    """UTF-8 bytes of each text; a null is empty."""
-    for t in column.cast(pa.large_binary()).to_pylist():
-        yield t if t is not None else b""
+def raw_texts(column: pa.Array, rows: int = 256) -> Iterator[bytes]:
+    """UTF-8 bytes of each text, some rows at a time; a null is empty."""
+    for at in range(0, len(column), rows):
+        for t in column.slice(at, rows).cast(pa.large_binary()).to_pylist():
+            yield t if t is not None else b""
 
 
 def utf8_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

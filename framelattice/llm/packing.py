@@ -32,7 +32,7 @@ class ChunkIds:
     share their words' ids; any other chunk goes to the tokenizer whole. New words of many texts are encoded in one call.
     """
 
-    def __init__(self, tokenizer, most: int = 800_000):
+    def __init__(self, tokenizer, most: int = 250_000):
         self.tokenizer, self.most = tokenizer, most
         self.chunks: dict[bytes, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -115,8 +115,8 @@ class Packer:
         """Tokens from start on that stay within both limits."""
         return min(length, tokens, loss + max(0, prompt - start))
 
-    def add(self, key, length: int, prompt: int = 0) -> None:
-        """A document: whole sequences first, the rest into the pool."""
+    def add(self, key, length: int, prompt: int = 0) -> int:
+        """A document: whole sequences first, the rest into the pool. Returns where the rest begins."""
         start, lim = 0, self.limits
         while length - start > 0:
             n = self.cut(start, length - start, prompt, lim.tokens, lim.loss)
@@ -129,6 +129,7 @@ class Packer:
             if not self.free:
                 self.fill()
             self.put(self.free.pop(), key, start, length - start, prompt)
+        return start
 
     def put(self, k: int, key, start: int, length: int, prompt: int) -> None:
         self.items[k] = (key, start, prompt)
@@ -203,8 +204,8 @@ def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), pool: int =
         rows: list = []
 
         def emit(key, start, length, sequence, offset):
-            doc, data = key
-            rows.append((doc, start, length, data[start * 4:(start + length) * 4], len(data) // 4, first + sequence, offset))
+            doc, data, begin, total = key
+            rows.append((doc, start, length, data[(start - begin) * 4:(start - begin + length) * 4], total, first + sequence, offset))
 
         def out():
             cols = list(zip(*rows)) or [()] * 7
@@ -221,8 +222,10 @@ def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), pool: int =
             for group in groups(docs):
                 for ((doc, p), _), data in zip(group, ids.texts([raw for _, raw in group])):
                     data += end
-                    packer.add((doc, data), len(data) // 4, max(0, p or 0))
-                    if len(rows) >= 4000:
+                    key = [doc, data, 0, len(data) // 4]
+                    key[2] = packer.add(key, key[3], max(0, p or 0))
+                    key[1] = data[key[2] * 4:]  # what waits in the pool keeps no more than its own ids
+                    if len(rows) >= 1000:
                         yield out()
         packer.end()
         yield out()
