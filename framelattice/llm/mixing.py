@@ -110,9 +110,10 @@ def lay_out(docs: DataFrame, how: Mix) -> tuple[DataFrame, DataFrame]:
     first = F.sum("words").over(Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
     starts = sums.select("source", "chunk", F.coalesce(first, F.lit(0)).alias("first")).alias("s").join(
         known.alias("k"), F.col("s.source").eqNullSafe(F.col("k.source"))).select("s.*", "source_no", "source_size", "target")
+    # Sources x chunks rows: as many times `chunks` as there are sources on the driver.
     within = F.sum("size").over(Window.partitionBy("source", "chunk").orderBy("id", "size", "hash").rowsBetween(Window.unboundedPreceding, -1))
     placed = sized.withColumn("within", F.coalesce(within, F.lit(0))).alias("d").join(
-        starts.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.chunk") == F.col("s.chunk")))
+        F.broadcast(starts).alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.chunk") == F.col("s.chunk")))
     placed = placed.select(*[f"d{k}" for k in range(len(docs.columns))], "size", "source_no", "source_size", "target",
                            (F.col("first") + F.col("within")).alias("start"))
     drawn = [(k, i, int(before[k, i]), int(counts[k, i]), blocks[i]) for k in range(shards) for i in range(len(slots)) if counts[k, i]]
