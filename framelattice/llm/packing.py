@@ -135,9 +135,10 @@ class Packer:
         self.items[k] = (key, start, prompt)
         self.size[k] = length, 1, max(0, start + length - max(start, prompt))
 
-    def fill(self) -> list:
+    def fill(self, ending: bool = False) -> list:
         """One sequence: the fitting piece with the highest dot product with what is left goes next; if none fits, or one
-        segment is left, the piece of the highest product that reaches the end is cut there."""
+        segment is left, the piece of the highest product that reaches the end is cut there. An unfinished sequence that
+        empties the pool is emitted too, or, when ending, its pieces are returned instead."""
         lim, used = self.limits, []
         left = np.array([lim.tokens, lim.segments, lim.loss], float)
         at = 0
@@ -163,7 +164,7 @@ class Packer:
                 self.free.append(k)
             else:
                 self.put(k, key, start + n, whole - n, prompt)
-        if at < lim.tokens and not (self.size[:, 0] > 0).any():
+        if ending and at < lim.tokens and not (self.size[:, 0] > 0).any():
             return used  # nothing waits: the last one
         for piece in used:
             self.emit(*piece[:3], self.next, piece[3])
@@ -174,7 +175,7 @@ class Packer:
         """Empty the pool. The last sequence is cut into lengths that are powers of two, which need no padding."""
         last: list = []
         while not last and (self.size[:, 0] > 0).any():
-            last = self.fill()
+            last = self.fill(ending=True)
         total = sum(n for _, _, n, _ in last)
         ends = np.cumsum([1 << b for b in range(total.bit_length() - 1, -1, -1) if total >> b & 1])
         for key, start, n, at in last:

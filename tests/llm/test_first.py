@@ -112,6 +112,36 @@ def test_pack_limits():
     assert seen == {k: n for k, n, _ in given}
 
 
+def test_pack_keeps_runs_of_short_texts(spark):
+    """More empty and one-word texts in one partition than the pool holds."""
+    texts = [None] * 700 + [""] * 700 + ["one"] * 1300 + [None] * 600
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = rows(packing.pack(df, public_tokenizers.path("word_bpe_49k.json")))
+    assert sorted(r["doc_id"] for r in got if r["start"] == 0) == list(range(len(texts)))
+    taken, seqs = defaultdict(int), defaultdict(list)
+    for r in got:
+        taken[r["doc_id"]] += r["length"]
+        seqs[r["sequence_id"]].append((r["offset"], r["length"]))
+        assert len(r["ids"]) == 4 * r["length"]
+    assert all(taken[r["doc_id"]] == r["doc_tokens"] for r in got)
+    for s in seqs.values():
+        s.sort()
+        assert [o for o, _ in s] == list(np.cumsum([0] + [n for _, n in s])[:-1])
+        assert sum(n for _, n in s) <= packing.Limits().tokens and len(s) <= packing.Limits().segments
+
+
+def test_pack_full_pool_loses_nothing():
+    """Pools below, at and above the segment limit."""
+    for pool in (3, 5, 9):
+        out = defaultdict(list)
+        p = packing.Packer(packing.Limits(128, 5, 64), pool, lambda key, start, n, seq, at: out[seq].append((key, n)))
+        for k in range(100):
+            p.add(k, 1 + k % 3)
+        p.end()
+        assert sorted(x for s in out.values() for x in s) == [(k, 1 + k % 3) for k in range(100)]
+        assert all(len(s) <= 5 for s in out.values())
+
+
 def test_chunks_encode_as_texts():
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     c = packing.ChunkIds(t, 5)
