@@ -1,8 +1,8 @@
 """Katz backoff language model over words: Good-Turing discounted bigram counts, exactly normalised backoff weights.
 
 P(w | v) = d(r) r / c(v) for a bigram seen r times in training, else alpha(v) P(w). alpha(v) is what the discounts leave divided by the unigram
-mass of the words not seen after v, so every history sums to one. P(w) is Good-Turing too: seen words share 1 - n1/N; the commonest have
-their own count, the others the mean count of their hash class, which keeps the table that scoring tasks hold at a fixed size.
+mass of the words not seen after v, so every history sums to one. P(w) is Good-Turing too: seen words share 1 - n1/N by their own counts,
+which a join brings to each bucket for the distinct words in it; no task holds the whole vocabulary.
 
 Texts become events (history, word, document), packed by slice of documents and bucket of history and written once as a bucketed table.
 Counting and scoring read that table bucket by bucket without a shuffle. A history too common for a bucket is spread by its next word.
@@ -31,13 +31,10 @@ _SLICE_BYTES, _SLICE_DOCS = 10 << 20, 30_000
 
 @dataclass(frozen=True)
 class Katz:
-    """bucket_bytes: text whose events share a bucket, on average. discounted: counts up to this are discounted. own, classes: words with
-    their own unigram count, and hash classes of the others."""
+    """bucket_bytes: text whose events share a bucket, on average. discounted: counts up to this are discounted."""
 
     bucket_bytes: int = 10 << 20
     discounted: int = 5
-    own: int = 1 << 18
-    classes: int = 1 << 20
 
 
 def _tokens(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
@@ -178,7 +175,7 @@ def _pairs(history: np.ndarray, word: np.ndarray, tag: np.ndarray) -> tuple:
 
 @dataclass
 class Unigrams:
-    """keys and counts of the commonest words; count and number of seen words of each class; totals."""
+    """keys and counts of words with their own; count and number of seen words of each class of the others (scoring has none); totals."""
 
     keys: np.ndarray
     counts: np.ndarray
@@ -202,34 +199,6 @@ class Unigrams:
         return out
 
 
-def _packed(df: DataFrame) -> list[np.ndarray]:
-    """Columns of a table of longs whose number of rows is bounded, brought to the driver as blocks of bytes."""
-    names = df.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([b.column(n).to_numpy().astype(np.int64).tobytes()], pa.binary()) for n in names], names)
-
-    got = df.mapInArrow(run, ", ".join(f"{n} binary" for n in names)).collect()
-    return [np.frombuffer(b"".join(r[n] for r in got), np.int64) for n in names]
-
-
-def _unigrams(words: DataFrame, how: Katz, total: int, once: int, ends: int) -> Unigrams:
-    """Own counts of the words above the least count that keeps them within `own`; class sums of all others."""
-    counts, times = _packed(words.groupBy("count").agg(F.count("*").alias("n")))
-    order = np.argsort(-counts)
-    within = np.cumsum(times[order]) <= how.own
-    least = int(counts[order][within].min()) if within.any() else (1 << 62)
-    k = F.expr("word & 1099511627775L")  # the five bytes that events keep
-    keys, own = _packed(words.where(F.col("count") >= least).groupBy(k.alias("k")).agg(F.sum("count").alias("n")))
-    keys, own = np.r_[keys[keys != int(END)], int(END)] if ends else keys, np.r_[own[keys != int(END)], ends] if ends else own
-    order = np.argsort(keys)
-    uni = Unigrams(keys[order].astype(np.uint64), own[order].astype(float), np.zeros(how.classes), np.zeros(how.classes), total, once)
-    slot, n, w = _packed(words.where(F.col("count") < least).groupBy(F.pmod(k, F.lit(how.classes)).alias("c")).agg(F.sum("count").alias("n"), F.count("*").alias("w")))
-    uni.class_count[slot], uni.class_words[slot] = n, w
-    return uni
-
-
 def discounts(times: dict[int, int], most: int) -> np.ndarray:
     """Katz's Good-Turing factors of counts 0..most from counts of counts; where those are too few, an absolute discount of a half."""
     n = [times.get(r, 0) for r in range(most + 2)]
@@ -273,38 +242,54 @@ def score(docs: DataFrame, train: Column, how: Katz = Katz()) -> tuple[DataFrame
         seen = times > 0
         names, of = np.unique(history[first[seen]], return_inverse=True)
         totals = np.bincount(of, times[seen], len(names)).astype(np.int64)
-        return pa.table({"kind": pa.array(np.r_[np.zeros(len(names), np.int32), np.ones(len(r), np.int32)]), "key": pa.array(np.r_[names.view(np.int64), r.astype(np.int64)]),
-                         "n": pa.array(np.r_[totals, n])})
+        own = np.unique(word[first])
+        kinds = np.repeat(np.array([0, 1, 2], np.int32), [len(names), len(r), len(own)])
+        return pa.table({"kind": pa.array(kinds), "key": pa.array(np.r_[names.view(np.int64), r.astype(np.int64), own.view(np.int64)]),
+                         "n": pa.array(np.r_[totals, n, np.full(len(own), t["bucket"][0].as_py())])})
 
+    # Kinds: 0 training counts of words as histories, 1 counts of bigram counts, 2 words (five bytes) that a bucket asks for.
     counted = base.stored(packed.groupBy("bucket").applyInArrow(count, "kind int, key long, n long"), "counts")
     times = {r["key"]: r["n"] for r in counted.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).collect()}
     factor = discounts(times, how.discounted)
     words = base.stored(counted.where((F.col("kind") == 0) & (F.col("key") != int(BEGIN))).groupBy(F.col("key").alias("word")).agg(F.sum("n").alias("count")), "unigrams")
     totals = words.agg(F.sum("count").alias("n"), F.count("*").alias("v"), F.sum((F.col("count") == 1).cast("long")).alias("once")).first()
     all_tokens, vocabulary = (totals["n"] or 0) + ends, totals["v"] + (ends > 0)
-    uni = _unigrams(words, how, all_tokens, totals["once"] or 0, ends)
-    shared = spark.sparkContext.broadcast(uni)
-
-    def mass(t: pa.Table) -> pa.Table:
+    once, none = totals["once"] or 0, np.zeros(1)
+    own = words.groupBy(F.expr("word & 1099511627775L").alias("key")).agg(F.sum("count").alias("count")).where(F.col("key") != int(END))
+    asked = counted.where("kind = 2").select("key", F.col("n").cast("int").alias("bucket"))
+    # A merge join at every size: the vocabulary is never broadcast.
+    own = asked.join(own.hint("merge"), "key").select("bucket", "key", "count").repartition(int(buckets), "bucket")
+    own.write.option("path", f"{path}_own").bucketBy(int(buckets), "bucket").saveAsTable(f"{name}_own")
+    own = spark.table(f"{name}_own")
+
+    def unigrams(t: pa.Table) -> Unigrams:
+        """Of a bucket's words that training has; all others are unseen."""
+        keys, counts = t["key"].to_numpy().astype(np.uint64), t["count"].to_numpy().astype(float)
+        if ends:
+            keys, counts = np.r_[keys, END], np.r_[counts, float(ends)]
+        order = np.argsort(keys)
+        return Unigrams(keys[order], counts[order], none, none, all_tokens, once)
+
+    def mass(t: pa.Table, u: pa.Table) -> pa.Table:
         """Of the spread histories: training count, discounted mass and unigram mass of their words in this bucket."""
         history, word, tag, _, _ = _read(t)
         first, _, r = _pairs(history, word, tag)
         first, r = first[r > 0], r[r > 0]
         names, of = np.unique(history[first], return_inverse=True)
         d = np.where(r <= how.discounted, factor[np.minimum(r, how.discounted)], 1.0)
-        sums = [np.bincount(of, x, len(names)).astype(float) for x in (r, d * r, shared.value.probability(word[first]))]
+        sums = [np.bincount(of, x, len(names)).astype(float) for x in (r, d * r, unigrams(u).probability(word[first]))]
         return pa.table({"v": pa.array(names.view(np.int64)), "c": pa.array(sums[0]), "m": pa.array(sums[1]), "u": pa.array(sums[2])})
 
     # As many as there are common words: a few for each bucket.
-    spread = packed.where("hot").groupBy("bucket").applyInArrow(mass, "v long, c double, m double, u double").groupBy("v").agg(
+    spread = packed.where("hot").groupBy("bucket").cogroup(own.groupBy("bucket")).applyInArrow(mass, "v long, c double, m double, u double").groupBy("v").agg(
         F.sum("c").alias("c"), F.sum("m").alias("m"), F.sum("u").alias("u")).collect()
     spread = sorted((r["v"] & (1 << 64) - 1, r["c"], r["m"], r["u"]) for r in spread)
     hot_v, hot_sums = np.array([r[0] for r in spread], np.uint64), np.array([r[1:] for r in spread], float).reshape(-1, 3)
 
-    def judge(t: pa.Table) -> pa.Table:
+    def judge(t: pa.Table, own: pa.Table) -> pa.Table:
         history, word, tag, where, slices = _read(t)
         first, of, r = _pairs(history, word, tag)
-        p = shared.value.probability(word[first])
+        p = unigrams(own).probability(word[first])
         names, vi = np.unique(history[first], return_inverse=True)
         seen = r > 0
         d = np.where(r <= how.discounted, factor[np.minimum(r, how.discounted)], 1.0)
@@ -318,7 +303,7 @@ def score(docs: DataFrame, train: Column, how: Katz = Katz()) -> tuple[DataFrame
         # A word's own count and base term come from its event as a history; the beginning has none.
         real = (names != BEGIN)[vi]
         known = real & (c[vi] > 0)
-        own = np.where(real, np.log10(c[vi] + 0.5), 0.0)
+        alone = np.where(real, np.log10(c[vi] + 0.5), 0.0)
         worth = np.log10(likely)
         del history, word
         bounds = np.searchsorted(where, np.arange(len(slices) + 1))  # events lie slice by slice
@@ -326,11 +311,11 @@ def score(docs: DataFrame, train: Column, how: Katz = Katz()) -> tuple[DataFrame
         for a, b in zip(bounds[:-1], bounds[1:]):
             doc, pair = (tag[a:b] & 0x7FFF).astype(np.int64), of[a:b]
             there = np.flatnonzero(np.bincount(doc))
-            sums = [np.bincount(doc, x[pair])[there] for x in (worth, own, known)]
+            sums = [np.bincount(doc, x[pair])[there] for x in (worth, alone, known)]
             loads.append(there.astype(np.uint16).tobytes() + sums[0].tobytes() + sums[1].tobytes() + sums[2].astype(np.int32).tobytes())
         return pa.table({"slice": pa.array(slices), "payload": pa.array(loads, pa.binary())})
 
-    parts = packed.groupBy("bucket").applyInArrow(judge, "slice long, payload binary").withColumn("ids", F.lit(None).cast("binary"))
+    parts = packed.groupBy("bucket").cogroup(own.groupBy("bucket")).applyInArrow(judge, "slice long, payload binary").withColumn("ids", F.lit(None).cast("binary"))
     headers = events.where("bucket = -1").select("slice", F.lit(None).cast("binary").alias("payload"), F.col("payload").alias("ids"))
 
     def gather(t: pa.Table) -> pa.Table:

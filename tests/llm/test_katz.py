@@ -76,6 +76,26 @@ def test_odd(spark, odd, empty):
     assert all(r["n_known"] == 0 and np.isfinite(r["score"]) for r in out.collect())
 
 
+def test_every_word_has_its_own_count(spark):
+    """More distinct words than any fixed table of them, and unseen words among the held-out texts."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    often, seldom = [f"a{i}" for i in range(100_000)], [f"b{i}" for i in range(200_000)]
+    words = np.array(often * 2 + often[:1000] * 5 + seldom)
+    words = words[rng.permutation(len(words))]
+    texts = [" ".join(w) for w in np.array_split(words, 400)]
+    texts += [" ".join([*rng.choice(words, 40), *(f"new{k}x{i}" for i in range(40))]) for k in range(20)]
+    want = brute(list(enumerate(texts)), [k < 400 for k in range(420)])[0]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out, _ = katz.score(df, F.col("doc_id") < 400, katz.Katz(bucket_bytes=1 << 19))
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert len(got) == 420
+    for k, w in enumerate(want):
+        assert (got[k]["n_tokens"], got[k]["n_known"]) == w[:2]
+        assert got[k]["score"] == pytest.approx(w[4], rel=1e-9), k
+
+
 def test_classes_normalise():
     """With few own counts and few classes the unigram masses of seen words still sum to what is not kept for unseen ones."""
     rng = np.random.default_rng(0)
