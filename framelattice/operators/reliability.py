@@ -116,7 +116,7 @@ def reliability_columns(flow: DataFrame) -> DataFrame:
         "_occ": _opt(flow, "occlusion", F.lit(0.0)), "_unc": _opt(flow, "uncertainty", 1.0 - conf)})
 
 
-def fit_affine_motion(flow: DataFrame, width: int, height: int, mode: str = "auto", stride: int = 6) -> DataFrame:
+def fit_affine_motion(flow: DataFrame, width: int, height: int, mode: str = "auto", stride: int = 1) -> DataFrame:
     """Robust 2x3 camera motion per frame: v = v0 + vx * nx + vy * ny in centred coordinates.
 
     Three reweighted least-squares rounds over the trusted ones of every stride-th cell both ways (1: all). All rounds are
@@ -199,16 +199,16 @@ def _vote(cells: Column, radius: float, slope: float) -> Column:
 
 
 def repair_rejected(flow: DataFrame, width: int, height: int, mode: str = "auto", step: int = 4, depth: DataFrame | None = None,
-                    model: DataFrame | None = None) -> DataFrame:
+                    model: DataFrame | None = None, stride: int = 1) -> DataFrame:
     """Replaces distrusted vectors by the dominant motion around them, or by the camera motion.
 
     Neighbours are read from the input as it was, so the result does not depend on any order. depth(d)
-    restricts neighbours to the same surface. Adds ``repaired``: local, affine or null.
+    restricts neighbours to the same surface. stride: of the camera fit, where no model is given. Adds ``repaired``: local, affine or null.
     """
     k = REPAIR[mode]
     if not 1 <= step <= 8:
         raise ValueError("the ring step is 1 to 8 cells")
-    model = fit_affine_motion(flow, width, height, mode) if model is None else model
+    model = fit_affine_motion(flow, width, height, mode, stride) if model is None else model
     d = flow if depth is None else flow.join(depth.select(*KEYS, "y", "x", "d"), [*KEYS, "y", "x"], "left")
     d = reliability_columns(d)
     eligible = (F.col("confidence") >= k["reject"]) & (F.col("_vis") >= k["min_vis"]) & (F.col("_unc") <= k["max_unc"])
@@ -257,9 +257,10 @@ def repair_rejected(flow: DataFrame, width: int, height: int, mode: str = "auto"
     return n.withColumns(new).select(*flow.columns, "repaired")
 
 
-def refine_with_depth(flow: DataFrame, depth: DataFrame | None, width: int, height: int, mode: str = "auto", step: int = 4) -> DataFrame:
+def refine_with_depth(flow: DataFrame, depth: DataFrame | None, width: int, height: int, mode: str = "auto", step: int = 4,
+                      stride: int = 1) -> DataFrame:
     """Repair after fusion; depth, where there is any, keeps motion from crossing silhouettes."""
-    return repair_rejected(flow, width, height, mode, step, depth)
+    return repair_rejected(flow, width, height, mode, step, depth, stride=stride)
 
 
 def repair_diagnostics(repaired: DataFrame, model: DataFrame, width: int, height: int) -> DataFrame:
@@ -272,19 +273,20 @@ def repair_diagnostics(repaired: DataFrame, model: DataFrame, width: int, height
 
 
 def with_repair(flow: DataFrame, width: int, height: int, mode: str = "auto", step: int = 4,
-                depth: DataFrame | None = None, model: DataFrame | None = None) -> DataFrame:
+                depth: DataFrame | None = None, model: DataFrame | None = None, stride: int = 1) -> DataFrame:
     """Repaired field with the unrepaired uncertainty riding along as ``_u0``: both policies read it."""
     src = flow.withColumn("_u0", F.col("uncertainty")) if "uncertainty" in flow.columns else flow
-    return repair_rejected(src, width, height, mode, step, depth, model)
+    return repair_rejected(src, width, height, mode, step, depth, model, stride)
 
 
-def safe_motion(flow: DataFrame, width: int, height: int, mode: str = "auto", step: int = 4, depth: DataFrame | None = None) -> DataFrame:
+def safe_motion(flow: DataFrame, width: int, height: int, mode: str = "auto", step: int = 4, depth: DataFrame | None = None,
+                stride: int = 1) -> DataFrame:
     """Conservative field: bounded steps from the raw vector towards the repaired one, and a history
     confidence that falls with disagreement, occlusion and rejection.
 
     flow also carries raw_vx, raw_vy. Adds ``corrected`` and ``rejected``.
     """
-    return safe_policy(with_repair(flow, width, height, mode, step, depth), flow.columns, width, height, mode)
+    return safe_policy(with_repair(flow, width, height, mode, step, depth, stride=stride), flow.columns, width, height, mode)
 
 
 def safe_policy(repaired: DataFrame, columns: list[str], width: int, height: int, mode: str = "auto") -> DataFrame:

@@ -24,7 +24,7 @@ class Guidance:
 
 
 def guidance_paths(analysis: DataFrame, segments: DataFrame, width: int, height: int, mode: str = "auto", step: int = 4,
-                   depth: DataFrame | None = None) -> Guidance:
+                   depth: DataFrame | None = None, stride: int = 1) -> Guidance:
     """Two policies from one analysis.
 
     analysis(vx, vy, raw_vx, raw_vy, confidence, visibility, disocclusion, occlusion, uncertainty). Both
@@ -35,7 +35,7 @@ def guidance_paths(analysis: DataFrame, segments: DataFrame, width: int, height:
     cut = segments.select(*KEYS, "cut")
     live = analysis.join(cut.where("NOT cut").select(*KEYS), list(KEYS), "left_semi")
     dead = analysis.join(cut.where("cut").select(*KEYS), list(KEYS), "left_semi")
-    model = R.fit_affine_motion(live, width, height, mode)
+    model = R.fit_affine_motion(live, width, height, mode, stride)
     repaired = R.with_repair(live, width, height, mode, step, depth, model)
     safe = R.safe_policy(repaired, live.columns, width, height, mode)
     # nothing is corrected across a cut

@@ -11,7 +11,7 @@ from ..sources.fields import planes_to_long
 from ..sources.fixtures import with_fixtures
 from . import guidance as G
 from .q_pairs import CUT, WGRAY_CTE, cut_sql, scores
-from .q_reliability import repair_sql, safe_sql
+from .q_reliability import STRIDE, repair_sql, safe_sql
 from .registry import query
 from .sqltext import on
 
@@ -19,9 +19,9 @@ CELL = ["clip_id", "frame_no", "y", "x"]
 _C = "clip_id, frame_no, y, x"
 
 
-def _guidance(spark, d):
+def _guidance(spark, d, stride=1):
     f = fx.wide_flow(spark, d).withColumns({"raw_vx": F.col("vx"), "raw_vy": F.col("vy")})
-    return G.guidance_paths(f, scene_segments(scores(spark, d, wide=True), CUT), 48, 32, "auto", 4, fx.wide_depth(spark, d))
+    return G.guidance_paths(f, scene_segments(scores(spark, d, wide=True), CUT), 48, 32, "auto", 4, fx.wide_depth(spark, d), stride)
 
 
 @query("e13_guidance_conservative", with_fixtures("wflow", "wdepth", "wpx") + "," + WGRAY_CTE + "," + cut_sql("gray") + "," + repair_sql("auto", 4, True)
@@ -29,7 +29,7 @@ def _guidance(spark, d):
  round(CASE WHEN g.cut THEN f.vy ELSE s.vy END,5)+0e0 AS vy, round(CASE WHEN g.cut THEN f.confidence ELSE s.hc END,5) AS confidence
  FROM wflow f JOIN safe s ON {on('s', 'f', ('clip_id', 'frame_no', 'y', 'x'))} JOIN segments g ON {on('g', 'f')}""")
 def conservative(spark, d):
-    return _guidance(spark, d).conservative.select(*CELL, *[r6(F.col(c), 5).alias(c) for c in ("vx", "vy", "confidence")])
+    return _guidance(spark, d, STRIDE).conservative.select(*CELL, *[r6(F.col(c), 5).alias(c) for c in ("vx", "vy", "confidence")])
 
 
 @query("e13_guidance_aggressive")

@@ -71,6 +71,17 @@ def test_affine_fallback_without_local_support(cells, plane):
     assert out.where(f"y = {cy} and x = {cx}").first().repaired == "affine"
 
 
+def test_small_frame_has_a_camera_model(cells):
+    """Sixteen cells of every sixth would be too few; all trusted cells count, and those far from the stride's lattice."""
+    w = h = 24
+    y, x = np.indices((h, w))
+    vx, vy = 3 + 0.02 * (x - 11.5) + 0.01 * (y - 11.5), -2 - 0.015 * (x - 11.5)
+    conf = np.where((y % 6 == 3) & (x % 6 == 3), 0.05, 0.95)
+    m = R.fit_affine_motion(cells(w, h, vx=vx, vy=vy, confidence=conf, visibility=1.0, uncertainty=1 - conf), w, h).first()
+    assert m is not None and m.samples == w * h - 16
+    assert abs(m.vx0 - 3) < 1e-6 and abs(m.vy0 + 2) < 1e-6 and abs(m.vxx - 0.02 * 12) < 1e-6
+
+
 def test_cut_frames_carry_no_motion(cells, spark):
     g = packed(cells, 4, 2, (-3.0, 0.5), (3.0, -0.5))
     seg = spark.createDataFrame([(1, 1, True)], "clip_id long, frame_no long, cut boolean")
