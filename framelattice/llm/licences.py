@@ -59,7 +59,7 @@ def scan(docs: DataFrame, templates: dict | None = None, base: dict | None = Non
     """Licence findings of every document, row by row: no shuffle.
 
     Words that occur in a phrase, among a template's `rare` rarest words or in a key phrase are kept with their positions. A
-    template is tried at each place of its rarest word: the share of its rare words that stand at their relative positions
+    template is tried at each start that any of its rare words proposes: the share of them that stand at their relative positions
     must reach `least`, and every key phrase must stand within the stretch. Output: the input columns, n_words, n_base,
     first_word, last_word, base_labels, labels (base ones and found templates), score (highest share of a found template, 1
     with a base phrase, else half the highest share of any template). Null and empty texts have no words and score 0; an empty
@@ -69,7 +69,6 @@ def scan(docs: DataFrame, templates: dict | None = None, base: dict | None = Non
     anchors = rare_words(templates, rare)
     vocabulary = sorted({w for p in base for w in p.split()} | {w for r in anchors.values() for _, w in r}
                         | {w for _, keys in templates.values() for k in keys for w in k.split()})
-    entry = "struct<i:int,w:string>"
 
     def lower(c: Column) -> Column:
         return F.translate(c, UPPER, LOWER)
@@ -96,27 +95,42 @@ def scan(docs: DataFrame, templates: dict | None = None, base: dict | None = Non
         return index
 
     def share(hits: Column, name: str) -> Column:
-        """Highest (share of rare words in relative position, key phrases stand) over the places of the rarest word."""
+        """Highest (share of rare words in relative position, key phrases stand) over the starts that any rare word proposes."""
         text, keys = templates[name]
-        (home, word), others = anchors[name][0], anchors[name]
-        tries = F.filter(hits, lambda x: x["w"] == word)
-
-        def worth(x: Column) -> Column:
-            begin = x["i"] - home
-            expected = F.array(*[F.struct((begin + pos).alias("i"), F.lit(w).alias("w")) for pos, w in others]).cast(f"array<{entry}>")
-            return F.size(F.array_intersect(expected, hits)) / len(others)
-
-        def verified(x: Column) -> Column:
-            begin, stretch = x["i"] - home, len(text.split())
+        size, postings = len(anchors[name]), {}
+        for pos, w in anchors[name]:
+            postings.setdefault(w, []).append(pos)
+        need = next((m for m in range(1, size + 1) if m / size >= least), size + 1)
+
+        def starts(x: Column) -> Column:
+            out = F.array().cast("array<int>")
+            for w, spots in postings.items():
+                out = F.when(x["w"] == w, F.array(*[x["i"] - pos for pos in spots])).otherwise(out)
+            return out
+
+        def verified(begin: Column) -> Column:
             ok = F.lit(True)
             for key in keys:
-                ok = ok & F.exists(places(hits, key), lambda i: (i >= begin) & (i <= begin + stretch))
+                ok = ok & F.exists(places(hits, key), lambda i: (i >= begin) & (i <= begin + len(text.split())))
             return ok
 
-        found = F.transform(tries, lambda x: F.struct(worth(x).alias("share"), verified(x).alias("ok")))
-        best = F.array_max(F.transform(F.filter(found, lambda f: f["ok"] & (f["share"] >= least)), lambda f: f["share"]))
-        any_ = F.array_max(F.transform(found, lambda f: f["share"]))
-        return F.struct(F.coalesce(best, F.lit(0.0)).alias("found"), F.coalesce(any_, F.lit(0.0)).alias("any"))
+        def agreed(votes: Column, m: int) -> Column:
+            """Starts with at least m votes: equal ones lie side by side."""
+            return F.array_distinct(F.filter(votes, lambda v, k: F.coalesce(F.get(votes, k + m - 1) == v, F.lit(False))))
+
+        def most(votes: Column, start: Column | None = None) -> Column:
+            """Highest share of any start, or of one."""
+            out = F.lit(0.0)
+            for m in range(1, size + 1):
+                some = F.size(agreed(votes, m)) > 0 if start is None else F.array_contains(agreed(votes, m), start)
+                out = F.when(some, m / size).otherwise(out)
+            return out
+
+        def judge(votes: Column) -> Column:
+            found = F.transform(F.filter(agreed(votes, need), verified), lambda v: most(votes, v))
+            return F.struct(F.coalesce(F.array_max(found), F.lit(0.0)).alias("found"), most(votes).alias("any"))
+
+        return _bound(F.array_sort(F.flatten(F.transform(hits, starts))), judge)
 
     def report(hits: Column) -> Column:
         spots = F.struct(*[places(hits, p).alias(f"p{k}") for k, p in enumerate(base)])

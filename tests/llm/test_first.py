@@ -194,6 +194,23 @@ def test_licences(spark, docs, odd, empty):
     assert licences.scan(empty).count() == 0
 
 
+def test_licence_without_its_rarest_word(spark):
+    """Any of a template's rare words may be the changed one."""
+    cases = []
+    for name, r in licences.rare_words(licences.TEMPLATES, 4).items():
+        text, keys = licences.TEMPLATES[name]
+        words, inside = text.split(), {w for k in keys for w in k.split()}
+        cases += [(name, " ".join(["zzz", *words[:pos], "program", *words[pos + 1:]])) for pos, w in r if w not in inside and len(r) == 4]
+    cases += [("mpl-2.0", "this source program form is subject to the terms of the mozilla public license v 2 0"), ("", "terms form")]
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in rows(licences.scan(df))}
+    for k, (name, text) in enumerate(cases):
+        assert name in got[k]["labels"].split(","), (name, text)
+        if name and not got[k]["n_base"]:
+            assert got[k]["score"] == 0.75
+    assert len(cases) > 12 and got[len(cases) - 1]["labels"] == ""
+
+
 def test_nearest(spark):
     got = defaultdict(list)
     for r in rows(queries.op9(spark, SF)):
