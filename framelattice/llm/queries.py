@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import base, chat, fingerprints, jaccard, katz, licences, mixing, neighbours, packing, quality, toxicity
+from . import base, chat, fingerprints, jaccard, katz, licences, mixing, neighbours, packing, quality, toxicity, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -122,3 +122,15 @@ def op10(spark, sf_dir):
                     fingerprints.as_text(F.col("edited_hashes")).alias("edited_fingerprint"),
                     fingerprints.likeness(F.col("hashes"), F.col("edited_hashes")).alias("near_edited"),
                     fingerprints.likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"))
+
+
+@query("op11_whitening")
+def op11(spark, sf_dir):
+    vectors = base.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(vectors, "embedding", most=16)
+    rows = whitening.whiten(vectors, "embedding", model)
+    n, error, shares = (model.n, model.identity_error, [float(v) / model.trace for v in model.values]) if model else (0, 0.0, [])
+    share = F.get(F.array(*map(F.lit, shares)).cast("array<double>"), F.col("place"))
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "deviation", F.posexplode("whitened").alias("place", "whitened"))
+    return rows.select("vec_id", (F.col("place") + 1).alias("component"), F.lit(n).cast("long").alias("n"), "deviation", "whitened", share.alias("explained"),
+                       F.lit(error).alias("identity_error"))
