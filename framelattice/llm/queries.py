@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import base, chat, fingerprints, jaccard, katz, licences, mixing, neighbours, packing, quality, toxicity, whitening
+from . import base, chat, fingerprints, jaccard, katz, licences, mixing, neighbours, packing, periodic, quality, toxicity, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -134,3 +134,32 @@ def op11(spark, sf_dir):
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "deviation", F.posexplode("whitened").alias("place", "whitened"))
     return rows.select("vec_id", (F.col("place") + 1).alias("component"), F.lit(n).cast("long").alias("n"), "deviation", "whitened", share.alias("explained"),
                        F.lit(error).alias("identity_error"))
+
+
+def repeating(docs: DataFrame) -> DataFrame:
+    """doc_id, text: a tenth of the documents, by crc32 of the id (null: of an empty text), end in a repeated stretch of their own words."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(ws: Column) -> Column:
+        n = F.size(ws)
+        a = F.pmod(g, n)
+        p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
+        place = lambda i: F.when(i < a, i).otherwise(a + F.pmod(i - a, p)).cast("int")
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(ws, place(i))), " ")).otherwise("")
+
+    words = F.array_remove(F.split(F.coalesce(F.col("text"), F.lit("")), base.BLANKS), "")
+    bound = F.get(F.transform(F.array(words), repeated), F.lit(0))
+    return docs.select("doc_id", F.when(F.pmod(h, F.lit(10)) == 0, bound).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs")
+def op13(spark, sf_dir):
+    found = periodic.find_runs(repeating(base.table(spark, sf_dir, "documents")), periodic.Runs(exponent=4, least=6), keep=["doc_id"])
+    top = F.get(F.array_sort("runs", lambda a, b: F.when(a["length"] != b["length"], F.signum(b["length"] - a["length"])).when(
+        a["start"] != b["start"], F.signum(a["start"] - b["start"])).otherwise(F.signum(a["period"] - b["period"])).cast("int")), F.lit(0))
+    text = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    found = found.withColumn("top", top)
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period",
+                        F.floor(1000 * F.col("top.length") / F.col("top.period")).alias("exponent_milli"), F.sha2(text, 256).alias("runs_sha256"),
+                        F.sha2("collapsed", 256).alias("collapsed_sha256"))
