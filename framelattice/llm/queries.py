@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import base, chat, fingerprints, jaccard, katz, licences, mixing, neighbours, packing, periodic, quality, toxicity, whitening
+from . import base, chat, fingerprints, forest, jaccard, katz, licences, mixing, neighbours, packing, periodic, quality, toxicity, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -163,3 +163,12 @@ def op13(spark, sf_dir):
     return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period",
                         F.floor(1000 * F.col("top.length") / F.col("top.period")).alias("exponent_milli"), F.sha2(text, 256).alias("runs_sha256"),
                         F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+OP12_SQL = OP1_SQL.replace(">= 4", ">= 2").replace("len(w) - 2", "len(w)").replace("i + 3", "i + 1").replace(">= 85", ">= 80").replace(
+    "AS component_id", "AS component_id, d.doc_id <= coalesce(m.b, d.doc_id) AS kept")
+
+
+@query("op12_lsh_forest", OP12_SQL)
+def op12(spark, sf_dir):
+    return forest.link(base.table(spark, sf_dir, "documents"), forest.Forest(words=2, percent=80))
