@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import base, shingles
 from .components import components
-from .jaccard import Join, _unpack, _wanted_sets
+from .jaccard import Join, _Forest, _unpack, _wanted_sets
 
 BITS = 11  # of a signature's level; a tree's number stands above its levels in one long
 
@@ -20,7 +20,8 @@ BITS = 11  # of a signature's level; a tree's number stands above its levels in
 @dataclass(frozen=True)
 class Forest:
     """words of a shingle; two documents link when 100 * common >= percent * union. Each of `trees` orders has `deep` levels. Rows that share
-    `shallow` levels meet, those where more than `crowd` do must share one more, and so on down to `deep`. block: rows that meet in one task."""
+    `shallow` levels meet, those where more than `crowd` do must share one more, and so on down to `deep`. block: rows that meet in one
+    task. turns: pivots that the rows of a crowd are held against before all others are."""
 
     words: int = 2
     percent: int = 80
@@ -29,6 +30,7 @@ class Forest:
     deep: int = 5
     crowd: int = 32
     block: int = 256
+    turns: int = 4
 
     def __post_init__(self):
         if not 1 <= self.shallow <= self.deep <= 5 or not 1 <= self.trees <= 128:
@@ -168,21 +170,48 @@ def links_among(sets: list[np.ndarray], asks: np.ndarray, how: Forest) -> list[t
     return out
 
 
+def spanning(pairs: list[tuple[int, int]], rows: int, connected: np.ndarray) -> list[tuple[int, int]]:
+    """Those of the pairs that connect what is not yet connected; the rows marked are from the start."""
+    trees = _Forest(rows)
+    known = np.flatnonzero(connected).tolist()
+    for i in known[1:]:
+        trees.join(known[0], i)
+    return [(i, j) for i, j in pairs if trees.join(i, j)]
+
+
+def _mains(rows: DataFrame) -> DataFrame:
+    """The rows (leaf, d, n, label) with main, the commonest label of their leaf."""
+    main = rows.groupBy("leaf", "label").agg(F.count("*").alias("k")).groupBy("leaf").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
+    return rows.join(main.hint("merge"), "leaf")
+
+
+def _another_pivot(rows: DataFrame, turn: int, how: Forest) -> DataFrame:
+    """Pairs (d, n, pivot, m): rows outside their leaf's main component against a member of it drawn by hash, another one each turn; of a
+    class's leaves the one whose pivot it meets most often."""
+    drawn = rows.where("label = main").groupBy("leaf").agg(F.min_by(F.struct("d", "n"), F.struct(F.xxhash64("d", F.lit(turn)), "d")).alias("p"))
+    asking = rows.where("label != main").join(drawn.hint("merge"), "leaf").select("d", "n", F.col("p.d").alias("pivot"), F.col("p.n").alias("m")).where(_fit("n", "m", how))
+    shares = asking.groupBy("d", "n", "pivot", "m").agg(F.count("*").alias("k"))
+    return shares.groupBy("d", "n").agg(F.max(F.struct("k", "pivot", "m")).alias("p")).select("d", "n", "p.pivot", "p.m")
+
+
 def _crowds(docs: DataFrame, rows: DataFrame, how: Forest) -> DataFrame:
-    """Links of the leaves beyond `crowd` rows, as (a, b). rows: leaf, d, n, label, main (the leaf's commonest label). Rows of another label
-    are held, in blocks, against all blocks of the leaf; the main label's rows are connected already."""
-    sizes = rows.groupBy("leaf").agg(F.ceil(F.count("*") / how.block).cast("int").alias("blocks"), F.ceil(F.sum((F.col("label") != F.col("main")).cast("int")) / how.block).cast("int").alias("asking"))
-    known = rows.join(sizes, "leaf").withColumn("cell", F.pmod(F.xxhash64("d"), "blocks").cast("int")).withColumn("ask", F.pmod(F.xxhash64("d", F.lit(1)), "asking").cast("int"))
-    held = known.select("leaf", "d", "n", "cell", F.explode(F.sequence(F.lit(0), F.col("asking") - 1)).alias("ask"), F.lit(False).alias("asks"))
-    asking = known.where("label != main").select("leaf", "d", "n", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("cell"), "ask", F.lit(True).alias("asks"))
-    seats = held.unionByName(asking).join(_sets(docs, rows.select("d", "n").distinct(), how).hint("merge"), ["d", "n"])
+    """Links of the crowded leaves that turns of pivots left open, as (a, b). rows: leaf, d, n, label, main. Leaves of one main component are
+    taken together: their rows of other labels are held, in blocks, against all blocks of their rows; those of the main one are connected
+    already."""
+    rows = base.stored(rows.groupBy("main", "d", "n").agg(F.max((F.col("label") != F.col("main")).cast("int")).alias("asks")), "crowded")
+    sizes = rows.groupBy("main").agg(F.ceil(F.count("*") / how.block).cast("int").alias("blocks"), F.ceil(F.sum("asks") / how.block).cast("int").alias("asking"))
+    known = rows.join(sizes, "main").withColumn("cell", F.pmod(F.xxhash64("d"), "blocks").cast("int")).withColumn("ask", F.pmod(F.xxhash64("d", F.lit(1)), "asking").cast("int"))
+    held = known.select("main", "d", "n", "cell", F.explode(F.sequence(F.lit(0), F.col("asking") - 1)).alias("ask"), (F.col("asks") == 0).alias("inside"), F.lit(False).alias("asks"))
+    asking = known.where("asks = 1").select("main", "d", "n", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("cell"), "ask", F.lit(False).alias("inside"), F.lit(True).alias("asks"))
+    seats = held.unionByName(asking).join(_sets(docs, rows.select("d", "n"), how).hint("merge"), ["d", "n"])
 
     def meet(t: pa.Table) -> pa.Table:
         d = t["d"].to_numpy()
-        pairs = links_among([_unpack(x) for x in t["s"].to_pylist()], t["asks"].to_numpy(zero_copy_only=False).astype(bool), how)
+        asks, inside = (t[c].to_numpy(zero_copy_only=False).astype(bool) for c in ("asks", "inside"))
+        pairs = spanning(links_among([_unpack(x) for x in t["s"].to_pylist()], asks, how), len(d), inside)
         return pa.table({"a": pa.array([d[i] for i, _ in pairs], pa.int64()), "b": pa.array([d[j] for _, j in pairs], pa.int64())})
 
-    return seats.groupBy("leaf", "cell", "ask").applyInArrow(meet, "a long, b long").where("a != b").distinct()
+    return seats.groupBy("main", "cell", "ask").applyInArrow(meet, "a long, b long").where("a != b").distinct()
 
 
 def _labelled(leaves: DataFrame, links: DataFrame) -> DataFrame:
@@ -199,7 +228,8 @@ def link(docs: DataFrame, how: Forest = Forest()) -> DataFrame:
     2. A class has a place in each tree's order. Where few share `shallow` levels, they are a leaf; a crowd is told apart by more levels.
     3. Each class is held against the pivot (least class) of most of its leaves: what links makes first components.
     4. In leaves that still hold several components, rows of different ones are held against each other: in small leaves pair by pair, each pair
-       once whatever the number of trees; in crowded ones of full depth all others, in blocks, against all blocks.
+       once whatever the number of trees; in crowded ones of full depth first against further pivots in turn, then what is still open, in
+       blocks, against all blocks.
     5. Links are confirmed on whole sets only. A pair at the threshold meets in no tree with probability missed(depth): 1e-10 at three
        levels, 3e-6 at five, and most pairs have other ways to the same component.
 
@@ -220,13 +250,15 @@ def link(docs: DataFrame, how: Forest = Forest()) -> DataFrame:
     pairs = small.join(other.hint("merge"), "leaf").where((F.col("label") < F.col("other")) & _fit("n", "m", how)).select("d", "n", "pivot", "m").distinct()
     pairs = base.stored(pairs.join(first.hint("merge"), ["d", "n", "pivot", "m"], "left_anti"), "pairs")
     links = base.stored(links.unionByName(_confirmed(given, pairs, how)), "links")
-    crowded = open_rows.where(F.col("c") > how.crowd)
-    if not crowded.isEmpty():
-        again = _labelled(crowded.drop("label"), links)
-        main = again.groupBy("leaf", "label").agg(F.count("*").alias("k")).groupBy("leaf").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
-        again = base.stored(again.join(main.hint("merge"), "leaf").select("leaf", "d", "n", "label", "main"), "crowded")
-        if not again.isEmpty():
-            links = base.stored(links.unionByName(_crowds(given, again, how)), "links")
+    crowded = open_rows.where(F.col("c") > how.crowd).drop("label")
+    for turn in range(how.turns + 1):
+        if crowded.isEmpty():
+            break
+        again = base.stored(_mains(_labelled(crowded, links)), "crowded")
+        last = turn == how.turns
+        more = _crowds(given, again, how) if last else _confirmed(given, base.stored(_another_pivot(again, turn, how), "pairs"), how)
+        links = base.stored(links.unionByName(more), "links")
+        crowded = again.drop("label", "main")
     named = rows.where("n > 0").groupBy("d", "n").agg(F.min("doc_id").alias("own")).join(components(links).withColumnRenamed("node", "d"), "d", "left")
     named = named.withColumn("root", F.coalesce("root", "d"))
     least = named.groupBy("root").agg(F.min("own").alias("component_id"))

@@ -27,7 +27,7 @@ def test_odd(odd, empty):
     assert found(empty) == []
 
 
-@pytest.mark.parametrize("how", [forest.Forest(), forest.Forest(crowd=4, block=16, deep=4)])
+@pytest.mark.parametrize("how", [forest.Forest(), forest.Forest(crowd=4, block=16, deep=4, turns=0), forest.Forest(crowd=4, block=16, turns=2)])
 def test_families(spark, how):
     """Chains and stars of edits, copies, and many unlike texts around one template: crowded leaves of several components."""
     rng = random.Random(3)
@@ -74,3 +74,8 @@ def test_links_among():
     want = {(i, j) for i in np.flatnonzero(asks) for j in range(30) if i != j
             and 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
     assert set(forest.links_among(sets, asks, how)) == want and want
+
+
+def test_spanning():
+    inside = np.array([True, False, True, False, False])
+    assert forest.spanning([(0, 2), (1, 0), (1, 2), (3, 4), (4, 3), (3, 1)], 5, inside) == [(1, 0), (3, 4), (3, 1)]
