@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from ..common import KEYS, big, r6
@@ -16,12 +18,20 @@ from .q_telemetry import stage_log
 from .registry import query
 
 
+END = datetime(2200, 1, 1)
+
+
+def at_rate(df, fps: float = 25.0):
+    """Frames with the event time of a run that starts at the epoch."""
+    return df.withColumn("ts", F.timestamp_millis((F.col("frame_no") * 1000 / fps).cast("long")))
+
+
 @query("g01_stream_scene_state", with_fixtures("px") + "," + GRAY_CTE + "," + cut_sql("gray")
        + " SELECT clip_id, frame_no, round(score,6) AS score, cut, scene_id FROM segments")
 def stream_scene_state(spark, d):
     frames = S.pack_gray(long_to_planes(gray8(spark, d), ["v"]))
-    out = T.drain(S.stream_scene_state(T.as_stream(frames), CUT))
-    return out.withColumn("score", r6(F.col("score")))
+    out = T.drain(S.stream_scene_state(T.as_stream(at_rate(frames), 8, end={"ts": END}), CUT))
+    return out.drop("late").withColumn("score", r6(F.col("score")))
 
 
 @query("g01_stream_lost_frames", with_fixtures("px") + "," + GRAY_CTE + " , kept AS (SELECT * FROM gray WHERE frame_no%5<>3)," + cut_sql("kept")
@@ -29,14 +39,14 @@ def stream_scene_state(spark, d):
 def stream_lost_frames(spark, d):
     """Every fifth frame never comes: the stream starts a scene after each gap, as the batch does."""
     frames = S.pack_gray(long_to_planes(gray8(spark, d).where("frame_no % 5 <> 3"), ["v"]))
-    out = T.drain(S.stream_scene_state(T.as_stream(frames, 4, "clip_id"), CUT, patience=0))
-    return out.withColumn("score", r6(F.col("score")))
+    out = T.drain(S.stream_scene_state(T.as_stream(at_rate(frames), 8, end={"ts": END}), CUT))
+    return out.drop("late").withColumn("score", r6(F.col("score")))
 
 
 @query("g02_stream_consensus", tracks_sql("strong"))
 def stream_consensus(spark, d):
     t = fx.track(spark, d).select("track_id", "frame_no", "vx", "vy", "confidence")
-    out = T.drain(S.stream_consensus(T.as_stream(t, 3), "strong"))
+    out = T.drain(S.stream_consensus(T.as_stream(at_rate(t), 8, end={"ts": END}), "strong"))
     return out.select("track_id", "frame_no", "history", *[r6(F.col(c)).alias(c) for c in ("blend", "out_vx", "out_vy")])
 
 
@@ -69,6 +79,18 @@ def stall_audit(spark, d):
 
 @query("g04_stall_watch", _STALL_SQL)
 def stall_watch(spark, d):
-    """The stream form; one batch in, so gaps are seen in time order."""
-    out = T.drain(S.stream_stall_watch(T.as_stream(_times(spark, d), 1), _PAUSE, timers=False))
+    """The stream form: rows in any order over many files, as late as the table is long."""
+    out = T.drain(S.stream_stall_watch(T.as_stream(_times(spark, d), 8, end={"t": END.timestamp()}), _PAUSE, "3650 days"))
     return out.where("state = 'resumed'").select("clip_id", "last_t", "next_t")
+
+
+@query("g04_partial_frames", with_fixtures("stage") + """
+SELECT clip_id, frame_no, CAST(sum(b) AS BIGINT) AS got, CAST(1000 AS BIGINT) AS want, CASE WHEN sum(b) >= 1000 THEN 'complete' ELSE 'partial' END AS state
+FROM (SELECT clip_id, frame_no, unnest(CASE WHEN (clip_id+frame_no)%7=3 THEN [400,400] ELSE [400,400,200] END) AS b FROM stage) GROUP BY 1,2""")
+def partial_frames(spark, d):
+    """Every frame of the log comes in parts of its thousand bytes; of every seventh the last never comes."""
+    log = fx.stage(spark, d).select("clip_id", "frame_no", F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("t"))
+    lost = F.pmod(F.col("clip_id") + F.col("frame_no"), F.lit(7)) == 3
+    parts = log.select("*", F.explode(F.when(lost, F.array(*[F.lit(b) for b in (400, 400)])).otherwise(F.array(*[F.lit(b) for b in (400, 400, 200)])).cast("array<bigint>")).alias("bytes"),
+                       F.lit(1000).cast("long").alias("frame_bytes"))
+    return T.drain(S.stream_whole_frames(T.as_stream(parts, 8, end={"t": END.timestamp()}), 30.0, "3650 days"))

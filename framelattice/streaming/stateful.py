@@ -1,7 +1,8 @@
 """Per-clip and per-track state machines over frame streams.
 
-Frames are processed strictly in order: rows that arrive early wait in the key's map state, repeats are dropped, lost frames are
-given up after a bounded wait, so a stream gives the rows its batch counterpart gives.
+Frames are processed strictly in order, whatever the order of arrival: rows that come early wait in the key's map state, repeats are dropped.
+A lost frame is given up when the watermark passes the first frame that waits for it; a frame that comes after all is published on its own,
+marked late. So a stream gives every row its batch counterpart gives, and the same results unless rows are later than allowed.
 """
 
 from __future__ import annotations
@@ -25,36 +26,59 @@ def use_rocksdb(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+def watched(stream: DataFrame, late: str) -> DataFrame:
+    """The stream with a watermark on its event time `ts`, which stays an ordinary column: timers follow the watermark, but Spark drops no
+    row for being behind it."""
+    return stream.withColumn("event", F.col("ts")).withWatermark("event", late).drop("event")
+
+
+def _ms(t: pd.Timestamp) -> int:
+    return int(pd.Timestamp(t).value // 1_000_000)
+
+
 class InOrder(StatefulProcessor):
     """Hands each key's rows to ``advance`` in frame order, once each, starting at frame 1.
 
-    A frame that does not come is given up when more than ``patience`` later ones wait: the next run then starts afresh, as after a
-    gap in a batch. State is bounded by that number of payloads.
+    Early rows wait, each with its event time. When the watermark passes the first of them, the frames missing before it are given up, and
+    the next run starts afresh, as after a gap in a batch. A given-up frame that comes later goes to ``advance`` alone, fresh and late: it
+    reads and writes no history. State is what arrives within the watermark's delay, and one entry a gap.
     """
 
     payload = ""  # DDL of the waiting columns
     columns: list[str] = []
-    patience = 64
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.next_frame = handle.getValueState("next_frame", "frame_no long, waiting long")
-        self.waiting = handle.getMapState("waiting", "frame_no long", self.payload)
+        self.waiting = handle.getMapState("waiting", "frame_no long", f"ms long, {self.payload}")
+        self.gaps = handle.getMapState("gaps", "first long", "beyond long")
         self.open(handle)
 
     def open(self, handle: StatefulProcessorHandle) -> None: ...
 
-    def advance(self, key, rows: pd.DataFrame, fresh: bool) -> pd.DataFrame:
+    def advance(self, key, rows: pd.DataFrame, fresh: bool, late: bool) -> pd.DataFrame:
         """Results of consecutive frames; fresh: they follow a gap, so nothing before them counts."""
         raise NotImplementedError
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        expected, held = self.next_frame.get() if self.next_frame.exists() else (1, 0)
-        # The map is only looked at while something waits in it.
-        early = {f: None for (f,) in self.waiting.keys()} if held else {}
-        for b in rows:
-            b = b.loc[b["frame_no"] >= expected, ["frame_no", *self.columns]]
-            for f, *vals in b.itertuples(index=False):
-                early.setdefault(int(f), tuple(vals))
+    def _run(self, key, rows: list, fresh: bool, late: bool = False) -> pd.DataFrame:
+        out = self.advance(key, pd.DataFrame(rows, columns=["frame_no", *self.columns]), fresh, late)
+        out["late"] = late
+        return out
+
+    def _given_up(self, frame: int) -> bool:
+        """Whether a frame was given up; from now on it has come."""
+        for (first,), (beyond,) in list(self.gaps.iterator()):
+            if first <= frame < beyond:
+                self.gaps.removeKey((first,))
+                for a, b in ((first, frame), (frame + 1, beyond)):
+                    if a < b:
+                        self.gaps.updateValue((a,), (b,))
+                return True
+        return False
+
+    def _take(self, key, early: dict, expected: int, passed: int | None) -> Iterator[pd.DataFrame]:
+        """Runs from the expected frame on; frames before one whose time the watermark `passed` are given up. early: frame -> (ms, *values),
+        or None for what is in the map state."""
         stored = {f for f, v in early.items() if v is None}
         fresh = False
         while early:
@@ -65,18 +89,47 @@ class InOrder(StatefulProcessor):
                     vals = self.waiting.getValue((expected,))
                     self.waiting.removeKey((expected,))
                     stored.discard(expected)
-                run.append((expected, *vals))
+                run.append((expected, *vals[1:]))
                 expected += 1
             if run:
-                yield self.advance(key, pd.DataFrame(run, columns=["frame_no", *self.columns]), fresh)
+                yield self._run(key, run, fresh)
                 fresh = False
-            if len(early) <= self.patience:
+            if not early:
+                break
+            first = min(early)
+            ms = (early[first] or self.waiting.getValue((first,)))[0]
+            if passed is None or ms > passed:
                 break
-            expected, fresh = min(early), True
+            self.gaps.updateValue((expected,), (first,))
+            expected, fresh = first, True
         for f, vals in early.items():
             if f not in stored:
                 self.waiting.updateValue((f,), vals)
         self.next_frame.update((expected, len(early)))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if early:
+            self.handle.registerTimer(self.waiting.getValue((min(early),))[0] + 1)
+
+    def _state(self) -> tuple[int, dict]:
+        expected, held = self.next_frame.get() if self.next_frame.exists() else (1, 0)
+        # The map is only looked at while something waits in it.
+        return expected, {f: None for (f,) in self.waiting.keys()} if held else {}
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        expected, early = self._state()
+        for b in rows:
+            b = b.loc[b["frame_no"].notna(), ["frame_no", "ts", *self.columns]]
+            for f, ts, *vals in b.itertuples(index=False):
+                if f >= expected:
+                    early.setdefault(int(f), (_ms(ts), *vals))
+                elif self._given_up(int(f)):
+                    yield self._run(key, [(int(f), *vals)], True, True)
+        yield from self._take(key, early, expected, None)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        expected, early = self._state()
+        yield from self._take(key, early, expected, timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None: ...
 
@@ -87,13 +140,13 @@ class SceneState(InOrder):
     payload = "v binary"
     columns = ["v"]
 
-    def __init__(self, threshold: float, first_score: float, patience: int):
-        self.threshold, self.first_score, self.patience = min(0.95, max(0.05, threshold)), first_score, patience
+    def __init__(self, threshold: float, first_score: float):
+        self.threshold, self.first_score = min(0.95, max(0.05, threshold)), first_score
 
     def open(self, handle):
         self.previous = handle.getValueState("previous", "v binary, scene_id long")
 
-    def advance(self, key, rows, fresh):
+    def advance(self, key, rows, fresh, late):
         prev, scene = self.previous.get() if self.previous.exists() else (None, 0)
         before = None if prev is None or fresh else np.frombuffer(prev, np.uint8)
         out = []
@@ -112,8 +165,12 @@ class SceneState(InOrder):
             scene += int(cut)
             out.append((key[0], frame, score, bool(cut), scene))
             before, prev = cur, raw
-        self.previous.update((prev, scene))
-        return pd.DataFrame(out, columns=["clip_id", "frame_no", "score", "cut", "scene_id"])
+        found = pd.DataFrame(out, columns=["clip_id", "frame_no", "score", "cut", "scene_id"])
+        if late:  # a scene of its own, without a number: later scenes have theirs already
+            found["scene_id"] = pd.array([None] * len(found), "Int64")
+        else:
+            self.previous.update((prev, scene))
+        return found
 
 
 def pack_gray(planes: DataFrame) -> DataFrame:
@@ -122,12 +179,12 @@ def pack_gray(planes: DataFrame) -> DataFrame:
     return planes.withColumn("v", F.unhex(F.array_join(byte, "")))
 
 
-def stream_scene_state(frames: DataFrame, threshold: float, first_score: float = 1.0, patience: int = 64) -> DataFrame:
-    """frames(clip_id, frame_no, v binary gray plane) -> score, cut and scene number as frames arrive; a frame is given up once more
-    than ``patience`` later ones wait for it."""
+def stream_scene_state(frames: DataFrame, threshold: float, first_score: float = 1.0, late: str = "1 minute") -> DataFrame:
+    """frames(clip_id, frame_no, ts, v binary gray plane) -> score, cut and scene number as frames arrive. A frame is given up when frames
+    ``late`` after one behind it have come; a later one is published as a scene start without a number, marked late."""
     use_rocksdb(frames.sparkSession)
-    return frames.groupBy("clip_id").transformWithStateInPandas(
-        SceneState(threshold, first_score, patience), "clip_id long, frame_no long, score double, cut boolean, scene_id long", "Append", "None")
+    return watched(frames, late).groupBy("clip_id").transformWithStateInPandas(
+        SceneState(threshold, first_score), "clip_id long, frame_no long, score double, cut boolean, scene_id long, late boolean", "Append", "EventTime")
 
 
 class TrackConsensus(InOrder):
@@ -136,19 +193,18 @@ class TrackConsensus(InOrder):
     payload = "vx double, vy double, confidence double"
     columns = ["vx", "vy", "confidence"]
 
-    def __init__(self, mode: str, patience: int):
-        self.mode, self.patience = mode, patience
+    def __init__(self, mode: str):
+        self.mode = mode
 
     def open(self, handle):
         self.past = handle.getListState("past", self.payload)
         self.start = handle.getValueState("start", "frame_no long")
 
-    def advance(self, key, rows, fresh):
+    def advance(self, key, rows, fresh, late):
         k = RULES[self.mode]
         depth = k["depth"]
         old = list(self.past.get()) if self.past.exists() and not fresh else []  # oldest first
         start = int(rows["frame_no"].iloc[0]) if fresh else self.start.get()[0] if self.start.exists() else 1
-        self.start.update((start,))
         track = np.array([*old, *rows[self.columns].itertuples(index=False)], dtype=float).reshape(-1, 3)
         frames = rows["frame_no"].to_numpy()
         m, n = len(old), len(rows)
@@ -163,59 +219,130 @@ class TrackConsensus(InOrder):
             past.append(dict(vx=h[:, 0], vy=h[:, 1], conf=h[:, 2], vis=np.ones(n), unc=1.0 - h[:, 2]))
         c = dict(vx=cur[:, 0], vy=cur[:, 1], conf=cur[:, 2], vis=np.ones(n), unc=1.0 - cur[:, 2], dis=np.zeros(n))
         dx, dy, b, _ = vote(self.mode, c, past, count)
-        self.past.put([tuple(map(float, r)) for r in track[-depth:]])
+        if not late:
+            self.start.update((start,))
+            self.past.put([tuple(map(float, r)) for r in track[-depth:]])
         return pd.DataFrame({"track_id": key[0], "frame_no": frames, "history": count, "blend": b,
                              "out_vx": cur[:, 0] + dx, "out_vy": cur[:, 1] + dy})
 
 
-def stream_consensus(tracks: DataFrame, mode: str = "auto", patience: int = 64) -> DataFrame:
-    """tracks(track_id, frame_no, vx, vy, confidence) as a stream; equals ``consensus_tracks``, with a reset where more than
-    ``patience`` frames had to wait for a lost one."""
+def stream_consensus(tracks: DataFrame, mode: str = "auto", late: str = "1 minute") -> DataFrame:
+    """tracks(track_id, frame_no, ts, vx, vy, confidence) as a stream; equals ``consensus_tracks``, with a reset after a frame given up. A
+    frame is given up when frames ``late`` after one behind it have come; a later one is published without history, marked late."""
     use_rocksdb(tracks.sparkSession)
-    return tracks.groupBy("track_id").transformWithStateInPandas(
-        TrackConsensus(mode, patience), "track_id long, frame_no long, history long, blend double, out_vx double, out_vy double", "Append", "None")
+    return watched(tracks, late).groupBy("track_id").transformWithStateInPandas(
+        TrackConsensus(mode), "track_id long, frame_no long, history long, blend double, out_vx double, out_vy double, late boolean", "Append", "EventTime")
 
 
 class StallWatch(StatefulProcessor):
-    """Alerts when a clip pauses longer than allowed: on the next frame, or by timer if none comes."""
+    """Alerts when a clip pauses longer than allowed. Times wait until the watermark has passed them, so they are seen in order whatever the
+    order of arrival; one that comes later still is published as late."""
 
-    def __init__(self, seconds: float, timers: bool):
-        self.ms, self.timers = int(seconds * 1000), timers
+    def __init__(self, seconds: float):
+        self.seconds = seconds
 
     def init(self, handle):
         self.handle = handle
-        self.last = handle.getValueState("last", "t double")
+        self.last = handle.getValueState("last", "t double, alerted boolean")
+        self.waiting = handle.getMapState("waiting", "t double", "n long")
+
+    def _rest(self, times: list[float], last: float | None, alerted: bool) -> None:
+        """Wakes up when the watermark passes the first waiting time, or the end of the pause allowed."""
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        ends = times[:1] + ([last + self.seconds] if last is not None and not alerted else [])
+        if ends:
+            self.handle.registerTimer(int(min(ends) * 1000) + 1)
 
     def handleInputRows(self, key, rows, timerValues):
-        seen = sorted(float(t) for b in rows for t in b["t"])
-        last = self.last.get()[0] if self.last.exists() else None
-        out = []
-        for t in seen:
-            if last is not None and (t - last) * 1000 > self.ms:
+        last, alerted = self.last.get() if self.last.exists() else (None, False)
+        late = []
+        for b in rows:
+            for t in b.loc[b["t"].notna(), "t"].map(float):
+                if last is not None and t <= last:
+                    late.append((key[0], last, t, "late"))
+                else:
+                    self.waiting.updateValue((t,), (1,))
+        self._rest(sorted(t for (t,) in self.waiting.keys()), last, alerted)
+        if late:
+            yield pd.DataFrame(late, columns=["clip_id", "last_t", "next_t", "state"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        last, alerted = self.last.get() if self.last.exists() else (None, False)
+        now = timerValues.getCurrentWatermarkInMs() / 1000
+        times, out = sorted(t for (t,) in self.waiting.keys()), []
+        while times and times[0] <= now:
+            t = times.pop(0)
+            self.waiting.removeKey((t,))
+            if last is not None and t - last > self.seconds:
                 out.append((key[0], last, t, "resumed"))
-            last = t if last is None else max(last, t)
-        self.last.update((last,))
-        if self.timers:
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.ms)
+            last, alerted = t, False
+        if last is not None and not alerted and now - last > self.seconds:
+            out.append((key[0], last, None, "stalled"))
+            alerted = True
+        if last is not None:
+            self.last.update((last, alerted))
+        self._rest(times, last, alerted)
         if out:
-            yield pd.DataFrame(out, columns=["clip_id", "last_t", "next_t", "state"])
+            yield pd.DataFrame(out, columns=["clip_id", "last_t", "next_t", "state"]).astype({"next_t": "float64"})
+
+    def close(self): ...
+
+
+def stream_stall_watch(frames: DataFrame, seconds: float = 30.0, late: str = "1 minute") -> DataFrame:
+    """frames(clip_id, t seconds) -> alerts by event time, on as many tasks as there are shuffle partitions: ``stalled`` when the watermark
+    has gone more than ``seconds`` past a clip's last frame, ``resumed`` when a frame ends a pause, ``late`` for a frame behind what was
+    already judged. Repeated times count once."""
+    use_rocksdb(frames.sparkSession)
+    return watched(frames.withColumn("ts", F.timestamp_millis((F.col("t") * 1000).cast("long"))), late).groupBy("clip_id").transformWithStateInPandas(
+        StallWatch(seconds), "clip_id long, last_t double, next_t double, state string", "Append", "EventTime")
+
+
+class WholeFrames(StatefulProcessor):
+    """Sums the bytes of each frame's parts; a frame short of its size when the watermark has gone past its deadline is a failure."""
+
+    def __init__(self, seconds: float):
+        self.seconds = seconds
+
+    def init(self, handle):
+        self.handle = handle
+        self.sums = handle.getValueState("sums", "got long, want long, first double, told boolean")
+
+    def handleInputRows(self, key, rows, timerValues):
+        got, want, first, told = self.sums.get() if self.sums.exists() else (0, 0, None, False)
+        before = got
+        for b in rows:
+            b = b.loc[b["bytes"].notna()]
+            if len(b):
+                got += int(b["bytes"].sum())
+                want = max(want, int(b["frame_bytes"].max()))
+                first = min(x for x in (first, float(b["t"].min())) if x is not None)
+        if first is None:
+            return
+        if not told and got >= want:
+            told = True
+            yield pd.DataFrame([(*key, got, want, "complete")], columns=["clip_id", "frame_no", "got", "want", "state"])
+        elif told and got > before:
+            yield pd.DataFrame([(*key, got, want, "late")], columns=["clip_id", "frame_no", "got", "want", "state"])
+        self.sums.update((got, want, first, told))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if not told:
+            self.handle.registerTimer(int((first + self.seconds) * 1000) + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        yield pd.DataFrame([(key[0], self.last.get()[0], None, "stalled")], columns=["clip_id", "last_t", "next_t", "state"]).astype(
-            {"next_t": "float64"})
+        got, want, first, told = self.sums.get()
+        if not told:
+            self.sums.update((got, want, first, True))
+            yield pd.DataFrame([(*key, got, want, "partial")], columns=["clip_id", "frame_no", "got", "want", "state"])
 
     def close(self): ...
 
 
-def stream_stall_watch(frames: DataFrame, seconds: float = 30.0, timers: bool = True) -> DataFrame:
-    """frames(clip_id, t seconds) -> alerts.
-
-    ``timers`` raises the alert while the clip is still silent; a stream that is replayed to its end
-    has no such silence and must leave them off, or it would wait for them.
-    """
-    use_rocksdb(frames.sparkSession)
-    return frames.groupBy("clip_id").transformWithStateInPandas(
-        StallWatch(seconds, timers), "clip_id long, last_t double, next_t double, state string", "Append",
-        "ProcessingTime" if timers else "None")
+def stream_whole_frames(parts: DataFrame, seconds: float = 30.0, late: str = "1 minute") -> DataFrame:
+    """parts(clip_id, frame_no, t seconds, bytes, frame_bytes) -> one row a frame: ``complete`` when its parts reach the frame's size,
+    ``partial`` (a failure) when the watermark has gone ``seconds`` past its first part before; a part after the verdict adds a ``late``
+    row."""
+    use_rocksdb(parts.sparkSession)
+    return watched(parts.withColumn("ts", F.timestamp_millis((F.col("t") * 1000).cast("long"))), late).groupBy("clip_id", "frame_no").transformWithStateInPandas(
+        WholeFrames(seconds), "clip_id long, frame_no long, got long, want long, state string", "Append", "EventTime")

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..common import checkpoint_root
 from ..operators.telemetry import STAGES
@@ -53,9 +54,15 @@ def drain(stream: DataFrame, mode: str = "append", transform: Callable[[DataFram
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def as_stream(df: DataFrame, files: int = 4, by: str | None = None) -> DataFrame:
-    """A table written as several files (each key in one, if ``by`` is given) and read back as a file stream, one file per batch."""
+def as_stream(df: DataFrame, files: int = 4, by: str | None = None, end: dict | None = None) -> DataFrame:
+    """A table written as several files (each key in one, if ``by`` is given) and read back as a file stream, one file per batch.
+
+    end: values of a last row, null elsewhere, in a file after all others: a heartbeat far ahead in event time, which lets the watermark pass
+    everything that still waits.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/source-{uuid.uuid4().hex}"
     (df.repartition(files, by) if by else df.repartition(files)).write.parquet(path)
+    if end is not None:
+        spark.createDataFrame([tuple(end.get(f.name) for f in df.schema)], T.StructType([T.StructField(f.name, f.dataType) for f in df.schema])).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)

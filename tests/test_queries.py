@@ -1,7 +1,7 @@
 """Registered queries against DuckDB on the smallest data. FULL=1 runs all of them."""
 
 import os
-import time
+from datetime import datetime
 
 import duckdb
 import pytest
@@ -33,30 +33,76 @@ def test_entry_returns_rows(spark):
     assert entry.entry(spark).count() > 0
 
 
+END = {"ts": datetime(2200, 1, 1)}
+
+
+def stamped(df):
+    return df.withColumn("ts", F.timestamp_seconds("frame_no"))
+
+
 def test_scene_stream_keeps_order_and_drops_repeats(spark):
     """Frames arriving late, early and twice give what the batch gives."""
     from framelattice.streaming import stateful as S
     from framelattice.streaming import telemetry as T
 
     rows = [(1, f, bytearray([(40 if f < 4 else 220)] * 16)) for f in (3, 1, 5, 2, 2, 4, 6)]
-    df = spark.createDataFrame(rows, "clip_id long, frame_no long, v binary")
+    df = stamped(spark.createDataFrame(rows, "clip_id long, frame_no long, v binary"))
     out = T.drain(S.stream_scene_state(T.as_stream(df, 5), 0.4)).orderBy("frame_no").collect()
     assert [r.frame_no for r in out] == [1, 2, 3, 4, 5, 6]
     assert [r.scene_id for r in out] == [1, 1, 1, 2, 2, 2]
 
 
+def test_streams_lose_nothing(spark):
+    """300 frames of a track in shuffled files give 300 rows, equal to the batch's."""
+    from framelattice.operators.consensus import consensus_tracks
+    from framelattice.streaming import stateful as S
+    from framelattice.streaming import telemetry as T
+
+    rows = [(1, f, float(f % 7), float(f % 5), 0.9) for f in range(1, 301)]
+    df = stamped(spark.createDataFrame(rows, "track_id long, frame_no long, vx double, vy double, confidence double"))
+    out = T.drain(S.stream_consensus(T.as_stream(df, 6, end=END), "strong", "10 minutes")).orderBy("frame_no").collect()
+    want = consensus_tracks(df, "strong").orderBy("frame_no").collect()
+    assert [r.frame_no for r in out] == list(range(1, 301)) and not any(r.late for r in out)
+    assert all(abs(a.out_vx - b.out_vx) < 1e-9 and a.history == b.history for a, b in zip(out, want))
+
+
+def test_frames_later_than_allowed_are_published(spark, tmp_path):
+    """Frame 2 comes when frames far beyond it have: it was given up, and is a row of its own; a repeat of it is not."""
+    from framelattice.streaming import stateful as S
+    from framelattice.streaming import telemetry as T
+
+    rows = [(1, f, 1.0, 1.0, 0.9) for f in range(1, 101)]
+    df = stamped(spark.createDataFrame(rows, "track_id long, frame_no long, vx double, vy double, confidence double"))
+    other = df.where("frame_no < 3").withColumn("track_id", F.lit(2).cast("long"))
+    # One batch each: all but frame 2; another track, when the watermark has passed; then frame 2 with two repeats.
+    for part in (df.where("frame_no <> 2"), other, df.where("frame_no IN (2, 3)").union(df.where("frame_no = 2"))):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/source")
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/source")
+    out = T.drain(S.stream_consensus(source, "strong", "5 seconds")).where("track_id = 1")
+    assert out.count() == 100 and [(r.frame_no, r.history) for r in out.where("late").collect()] == [(2, 0)]
+    assert out.where("frame_no = 3").first()["history"] == 0  # a reset: what came before it was given up
+    late = S.InOrder._given_up
+
+    class Gaps(dict):
+        def iterator(self):
+            return iter([((a,), (b,)) for a, b in self.items()])
+
+        def removeKey(self, k):
+            del self[k[0]]
+
+        def updateValue(self, k, v):
+            self[k[0]] = v[0]
+
+    state = type("State", (), {"gaps": Gaps({2: 5, 9: 10})})()
+    assert [late(state, f) for f in (1, 3, 3, 2, 4, 9, 9, 7)] == [False, True, False, True, True, True, False, False] and not state.gaps
+
+
 def test_silent_clip_raises_an_alert(spark):
+    """Clip 7 falls silent while others go on; clip 8 pauses and comes back; files come in any order."""
     from framelattice.streaming import stateful as S
     from framelattice.streaming import telemetry as T
 
-    df = spark.createDataFrame([(7, 1.0), (7, 2.0)], "clip_id long, t double")
-    out = S.stream_stall_watch(T.as_stream(df, 1), 2.0)
-    q = out.writeStream.format("memory").queryName("alerts").outputMode("append").trigger(processingTime="1 second").start()
-    try:
-        deadline = time.time() + 60
-        while time.time() < deadline and spark.table("alerts").where(F.col("state") == "stalled").count() == 0:
-            time.sleep(1)
-        got = spark.table("alerts").collect()
-    finally:
-        q.stop()
-    assert [(r.clip_id, r.last_t, r.state) for r in got] == [(7, 2.0, "stalled")]
+    rows = [(7, 1.0), (7, 2.0)] + [(8, float(t)) for t in (1, 2, 3, 20, 21, 22)] + [(9, float(t)) for t in range(1, 40)]
+    df = spark.createDataFrame(rows, "clip_id long, t double")
+    got = {(r.clip_id, r.last_t, r.next_t, r.state) for r in T.drain(S.stream_stall_watch(T.as_stream(df, 5, end={"t": 1e5}), 5.0, "10 minutes")).collect()}
+    assert got == {(7, 2.0, None, "stalled"), (8, 3.0, 20.0, "resumed"), (8, 22.0, None, "stalled"), (9, 39.0, None, "stalled")}
