@@ -53,15 +53,11 @@ def reliability_rollup(spark, d):
     return R.reliability_rollup(reliable(spark, d)).withColumn("mean_history_visibility", r6(F.col("mean_history_visibility")))
 
 
-# The SQL texts fit the camera to every sixth cell both ways; the queries they check ask for the same.
-STRIDE = 6
-
-
 def affine_sql(mode: str) -> str:
     """CTE ``model`` (vx0..vyy) over wflow."""
     t = R.REPAIR[mode]["trusted"]
     out = f"""as0 AS (SELECT clip_id, frame_no, (x-23.5e0)/24e0 AS nx, (y-15.5e0)/24e0 AS ny, vx, vy, greatest(1e-3, confidence*visibility*(1-.65e0*uncertainty)) AS bw, 1e0 AS rw,
-  count(*) OVER (PARTITION BY clip_id, frame_no) AS n FROM wflow WHERE y%6=3 AND x%6=3 AND confidence>={t}e0 AND visibility>=.45e0 AND uncertainty<=.65e0)"""
+  count(*) OVER (PARTITION BY clip_id, frame_no) AS n FROM wflow WHERE confidence>={t}e0 AND visibility>=.45e0 AND uncertainty<=.65e0)"""
     for i in range(3):
         a = f"as{i}"
         sums = {"s0": "1e0", "sx": "nx", "sy": "ny", "sxx": "nx*nx", "sxy": "nx*ny", "syy": "ny*ny", "u0": "vx", "u1": "vx*nx", "u2": "vx*ny", "w0": "vy", "w1": "vy*nx", "w2": "vy*ny"}
@@ -85,7 +81,7 @@ as{i + 1} AS (SELECT clip_id, frame_no, nx, ny, vx, vy, bw, n, CASE WHEN res<=hb
 @query("e08_fit_affine_motion", with_fixtures("wflow") + "," + affine_sql("auto")
        + " SELECT clip_id, frame_no, " + ", ".join(f"round({c},5)+0e0 AS {c}" for c in ("vx0", "vxx", "vxy", "vy0", "vyx", "vyy")) + ", samples FROM model")
 def fit_affine_motion(spark, d):
-    m = R.fit_affine_motion(fx.wide_flow(spark, d), 48, 32, stride=STRIDE)
+    m = R.fit_affine_motion(fx.wide_flow(spark, d), 48, 32)
     return m.select("clip_id", "frame_no", *[r6(F.col(c), 5).alias(c) for c in ("vx0", "vxx", "vxy", "vy0", "vyx", "vyy")], "samples")
 
 
@@ -126,17 +122,17 @@ def _rep_out(df):
 
 @query("e09_repair_rejected_auto", with_fixtures("wflow") + "," + repair_sql("auto", 4, False) + _REP_OUT)
 def repair_auto(spark, d):
-    return _rep_out(R.repair_rejected(fx.wide_flow(spark, d), 48, 32, "auto", 4, stride=STRIDE))
+    return _rep_out(R.repair_rejected(fx.wide_flow(spark, d), 48, 32, "auto", 4))
 
 
 @query("e09_repair_rejected_strong", with_fixtures("wflow") + "," + repair_sql("strong", 2, False) + _REP_OUT)
 def repair_strong(spark, d):
-    return _rep_out(R.repair_rejected(fx.wide_flow(spark, d), 48, 32, "strong", 2, stride=STRIDE))
+    return _rep_out(R.repair_rejected(fx.wide_flow(spark, d), 48, 32, "strong", 2))
 
 
 @query("e11_refine_with_depth", with_fixtures("wflow", "wdepth") + "," + repair_sql("auto", 4, True) + _REP_OUT)
 def refine_with_depth(spark, d):
-    return _rep_out(R.refine_with_depth(fx.wide_flow(spark, d), fx.wide_depth(spark, d), 48, 32, "auto", 4, stride=STRIDE))
+    return _rep_out(R.refine_with_depth(fx.wide_flow(spark, d), fx.wide_depth(spark, d), 48, 32, "auto", 4))
 
 
 def safe_sql(mode: str) -> str:
@@ -158,7 +154,7 @@ _SAFE_OUT = f" SELECT {_C}, round(vx,5)+0e0 AS vx, round(vy,5)+0e0 AS vy, round(
 
 def _safe(spark, d, mode, step):
     f = fx.wide_flow(spark, d).withColumns({"raw_vx": F.col("vx"), "raw_vy": F.col("vy")})
-    s = R.safe_motion(f, 48, 32, mode, step, stride=STRIDE)
+    s = R.safe_motion(f, 48, 32, mode, step)
     return s.select(*CELL, *[r6(F.col(c), 5).alias(c) for c in ("vx", "vy", "confidence")], "corrected", "rejected")
 
 
