@@ -94,8 +94,8 @@ def candidate_grid(spark, d):
 
 _ERR = _CONV + f""",
 smp AS (SELECT l.clip_id, l.frame_no+dr AS pair, dr=1 AS fwd, l.frame_no + (CASE dr WHEN 1 THEN 1 ELSE -1 END) AS pf, l.frame_no AS ff, l.y, l.x, l.l
-  FROM lum l CROSS JOIN range(2) e(dr) JOIN pairs p ON p.clip_id=l.clip_id AND p.frame_no=l.frame_no+dr WHERE l.y%6=3 AND l.x%6=3),
-ch AS (SELECT * FROM mchan WHERE y%6=3 AND x%6=3),
+  FROM lum l CROSS JOIN range(2) e(dr) JOIN pairs p ON p.clip_id=l.clip_id AND p.frame_no=l.frame_no+dr),
+ch AS (SELECT * FROM mchan),
 ev AS (SELECT s.clip_id, s.pf AS frame_no, s.y, s.x, s.l, c.xs, c.ys, c.ordinal, a.value*c.sx*CASE WHEN c.flip_x THEN -1 ELSE 1 END AS dx,
   b.value*c.sy*CASE WHEN c.flip_y THEN -1 ELSE 1 END AS dy FROM smp s JOIN cand c ON c.forward=s.fwd
   JOIN ch a ON a.seq_id=s.clip_id AND a.frame_no=s.ff AND a.y=s.y AND a.x=s.x AND a.channel=c.xc
@@ -110,7 +110,7 @@ def _errors(spark, d):
     p = fx.wide_px(spark, d)
     pairs = informative_pairs(pair_mad(p))
     kept = K.limit_motion_channels(motion_channels(spark, d))
-    return p, pairs, K.motion_candidate_error(p, fx.motion_chan(spark, d), kept, pairs, 48, 32, step=6)
+    return p, pairs, K.motion_candidate_error(p, fx.motion_chan(spark, d), kept, pairs, 48, 32)
 
 
 @query("d12_motion_candidate_error", with_fixtures("wpx", "mchan") + "," + _PAIRS + f", lum AS (SELECT {_C}, {LUMA} AS l FROM wpx)," + _ERR
@@ -124,7 +124,7 @@ def motion_candidate_error(spark, d):
 _AX = "CASE {c} WHEN '{a}' THEN 0e0 WHEN '{b}' THEN .02e0 WHEN 'B' THEN .035e0 ELSE .07e0 END"
 
 
-@query("d13_calibrate_motion", with_fixtures("wpx", "mchan") + "," + _PAIRS + "," + _ZERO.replace("GROUP BY 1,2),\nzero", "AND a.y%6=3 AND a.x%6=3 GROUP BY 1,2),\nzero") + "," + _ERR + f""",
+@query("d13_calibrate_motion", with_fixtures("wpx", "mchan") + "," + _PAIRS + "," + _ZERO + "," + _ERR + f""",
 co AS (SELECT *, error + {_AX.format(c='xc', a='R', b='G')} + {_AX.format(c='yc', a='G', b='R')} + CASE WHEN unit<>'pixels' THEN .002e0 ELSE 0e0 END
   + CASE WHEN forward THEN .006e0 ELSE 0e0 END + CASE WHEN flip_x THEN .0002e0 ELSE 0e0 END + CASE WHEN flip_y THEN .0002e0 ELSE 0e0 END AS cost,
   CASE xc WHEN 'R' THEN 10 WHEN 'A' THEN -8 ELSE 0 END + CASE yc WHEN 'G' THEN 10 WHEN 'A' THEN -8 ELSE 0 END + CASE WHEN unit='pixels' THEN 5 ELSE 0 END AS prior FROM err),
@@ -138,5 +138,5 @@ SELECT clip_id, ok AS success, CASE WHEN ok THEN xc END AS x_channel, CASE WHEN
   +.1e0*least(greatest(mm/2e0,0e0),1e0),0e0),1e0),6) END AS confidence, sampled_pairs FROM k""")
 def calibrate_motion(spark, d):
     p, pairs, errors = _errors(spark, d)
-    out = K.calibrate_motion(errors, K.zero_motion_error(p, pairs, 6))
+    out = K.calibrate_motion(errors, K.zero_motion_error(p, pairs))
     return out.select(*[r6(F.col(c)).alias(c) if c in ("best_error", "zero_error", "confidence") else F.col(c) for c in out.columns])
