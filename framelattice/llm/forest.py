@@ -30,7 +30,7 @@ class Forest:
     deep: int = 5
     crowd: int = 32
     block: int = 256
-    turns: int = 4
+    turns: int = 3
 
     def __post_init__(self):
         if not 1 <= self.shallow <= self.deep <= 5 or not 1 <= self.trees <= 128:
@@ -179,26 +179,26 @@ def spanning(pairs: list[tuple[int, int]], rows: int, connected: np.ndarray) ->
     return [(i, j) for i, j in pairs if trees.join(i, j)]
 
 
-def _mains(rows: DataFrame) -> DataFrame:
-    """The rows (leaf, d, n, label) with main, the commonest label of their leaf."""
-    main = rows.groupBy("leaf", "label").agg(F.count("*").alias("k")).groupBy("leaf").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
-    return rows.join(main.hint("merge"), "leaf")
+def _still_open(asks: DataFrame, found: DataFrame) -> DataFrame:
+    """Classes (d, n) that are not yet in the component `main` that they are held against; mains are named anew by what has been found."""
+    mains = found.select(F.col("node").alias("main"), F.col("root").alias("now"))
+    named = asks.join(mains.hint("merge"), "main", "left").withColumn("main", F.coalesce("now", "main")).drop("now")
+    labels = found.select(F.col("node").alias("d"), F.col("root").alias("label"))
+    return named.join(labels.hint("merge"), "d", "left").where(F.coalesce("label", "d") != F.col("main")).select("main", "d", "n").distinct()
 
 
-def _another_pivot(rows: DataFrame, turn: int, how: Forest) -> DataFrame:
-    """Pairs (d, n, pivot, m): rows outside their leaf's main component against a member of it drawn by hash, another one each turn; of a
-    class's leaves the one whose pivot it meets most often."""
-    drawn = rows.where("label = main").groupBy("leaf").agg(F.min_by(F.struct("d", "n"), F.struct(F.xxhash64("d", F.lit(turn)), "d")).alias("p"))
-    asking = rows.where("label != main").join(drawn.hint("merge"), "leaf").select("d", "n", F.col("p.d").alias("pivot"), F.col("p.n").alias("m")).where(_fit("n", "m", how))
-    shares = asking.groupBy("d", "n", "pivot", "m").agg(F.count("*").alias("k"))
-    return shares.groupBy("d", "n").agg(F.max(F.struct("k", "pivot", "m")).alias("p")).select("d", "n", "p.pivot", "p.m")
+def _members(asks: DataFrame, found: DataFrame, sizes: DataFrame) -> DataFrame:
+    """main, d, n of all classes of the components that are asked."""
+    mains = asks.select("main").distinct()
+    inside = mains.join(found.withColumnRenamed("root", "main").hint("merge"), "main").select("main", F.col("node").alias("d")).unionByName(mains.withColumn("d", F.col("main"))).distinct()
+    return inside.join(sizes.hint("merge"), "d")
 
 
-def _crowds(docs: DataFrame, rows: DataFrame, how: Forest) -> DataFrame:
-    """Links of the crowded leaves that turns of pivots left open, as (a, b). rows: leaf, d, n, label, main. Leaves of one main component are
-    taken together: their rows of other labels are held, in blocks, against all blocks of their rows; those of the main one are connected
-    already."""
-    rows = base.stored(rows.groupBy("main", "d", "n").agg(F.max((F.col("label") != F.col("main")).cast("int")).alias("asks")), "crowded")
+def _crowds(docs: DataFrame, asks: DataFrame, members: DataFrame, how: Forest) -> DataFrame:
+    """Links of what the turns of pivots left open, as (a, b): the asking classes are held, in blocks, against all blocks of each other and of
+    the main component's members, which are connected already."""
+    rows = members.withColumn("asks", F.lit(0)).unionByName(asks.withColumn("asks", F.lit(1)))
+    rows = base.stored(rows.groupBy("main", "d", "n").agg(F.max("asks").alias("asks")), "crowded")
     sizes = rows.groupBy("main").agg(F.ceil(F.count("*") / how.block).cast("int").alias("blocks"), F.ceil(F.sum("asks") / how.block).cast("int").alias("asking"))
     known = rows.join(sizes, "main").withColumn("cell", F.pmod(F.xxhash64("d"), "blocks").cast("int")).withColumn("ask", F.pmod(F.xxhash64("d", F.lit(1)), "asking").cast("int"))
     held = known.select("main", "d", "n", "cell", F.explode(F.sequence(F.lit(0), F.col("asking") - 1)).alias("ask"), (F.col("asks") == 0).alias("inside"), F.lit(False).alias("asks"))
@@ -214,11 +214,9 @@ def _crowds(docs: DataFrame, rows: DataFrame, how: Forest) -> DataFrame:
     return seats.groupBy("main", "cell", "ask").applyInArrow(meet, "a long, b long").where("a != b").distinct()
 
 
-def _labelled(leaves: DataFrame, links: DataFrame) -> DataFrame:
-    """Rows of the leaves that hold several components, with their component as label."""
-    named = leaves.join(components(links).withColumnRenamed("node", "d").withColumnRenamed("root", "label").hint("merge"), "d", "left").withColumn("label", F.coalesce("label", "d"))
-    mixed = named.groupBy("leaf").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("leaf")
-    return named.join(mixed.hint("merge"), "leaf", "left_semi")
+def _labelled(leaves: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of the leaves with their component so far as label."""
+    return leaves.join(found.select(F.col("node").alias("d"), F.col("root").alias("label")).hint("merge"), "d", "left").withColumn("label", F.coalesce("label", "d"))
 
 
 def link(docs: DataFrame, how: Forest = Forest()) -> DataFrame:
@@ -228,8 +226,8 @@ def link(docs: DataFrame, how: Forest = Forest()) -> DataFrame:
     2. A class has a place in each tree's order. Where few share `shallow` levels, they are a leaf; a crowd is told apart by more levels.
     3. Each class is held against the pivot (least class) of most of its leaves: what links makes first components.
     4. In leaves that still hold several components, rows of different ones are held against each other: in small leaves pair by pair, each pair
-       once whatever the number of trees; in crowded ones of full depth first against further pivots in turn, then what is still open, in
-       blocks, against all blocks.
+       once whatever the number of trees; in crowded ones of full depth rows outside the commonest component are held against members of
+       it drawn in turn, then, if still open, in blocks against all of it.
     5. Links are confirmed on whole sets only. A pair at the threshold meets in no tree with probability missed(depth): 1e-10 at three
        levels, 3e-6 at five, and most pairs have other ways to the same component.
 
@@ -243,22 +241,35 @@ def link(docs: DataFrame, how: Forest = Forest()) -> DataFrame:
     shares = leaves.where(_fit("n", "m", how) & ((F.col("d") != F.col("pivot")) | (F.col("n") != F.col("m")))).groupBy("d", "n", "pivot", "m").agg(F.count("*").alias("k"))
     first = base.stored(shares.groupBy("d", "n").agg(F.max(F.struct("k", "pivot", "m")).alias("p")).select("d", "n", "p.pivot", "p.m"), "first")
     links = base.stored(_confirmed(given, first, how), "links")
-    open_rows = base.stored(_labelled(leaves.drop("pivot", "m"), links), "open")
-    small = open_rows.where(F.col("c") <= how.crowd)
+    found = base.stored(components(links), "found")
+    small = _labelled(leaves.where(F.col("c") <= how.crowd).select("leaf", "d", "n"), found)
+    mixed = small.groupBy("leaf").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("leaf")
+    small = base.stored(small.join(mixed.hint("merge"), "leaf", "left_semi"), "small")
     other = small.select("leaf", F.col("d").alias("pivot"), F.col("n").alias("m"), F.col("label").alias("other"))
     # At most `crowd` rows a leaf meet here.
     pairs = small.join(other.hint("merge"), "leaf").where((F.col("label") < F.col("other")) & _fit("n", "m", how)).select("d", "n", "pivot", "m").distinct()
     pairs = base.stored(pairs.join(first.hint("merge"), ["d", "n", "pivot", "m"], "left_anti"), "pairs")
     links = base.stored(links.unionByName(_confirmed(given, pairs, how)), "links")
-    crowded = open_rows.where(F.col("c") > how.crowd).drop("label")
-    for turn in range(how.turns + 1):
-        if crowded.isEmpty():
-            break
-        again = base.stored(_mains(_labelled(crowded, links)), "crowded")
-        last = turn == how.turns
-        more = _crowds(given, again, how) if last else _confirmed(given, base.stored(_another_pivot(again, turn, how), "pairs"), how)
-        links = base.stored(links.unionByName(more), "links")
-        crowded = again.drop("label", "main")
+    crowded = leaves.where(F.col("c") > how.crowd).select("leaf", "d", "n")
+    if not crowded.isEmpty():
+        crowded = base.stored(_labelled(crowded, found), "crowded")
+        main = crowded.groupBy("leaf", "label").agg(F.count("*").alias("k")).groupBy("leaf").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
+        main = main.withColumnRenamed("leaf", "of").hint("merge")
+        asks = base.stored(crowded.join(main, (F.col("leaf") == F.col("of")) & (F.col("label") != F.col("main"))).select("main", "d", "n").distinct(), "asks")
+        sizes = base.stored(rows.where("n > 0").select("d", "n").distinct(), "sizes")
+        for turn in range(how.turns + 1):
+            found = base.stored(components(links), "found")
+            asks = base.stored(_still_open(asks, found), "asks")
+            if asks.isEmpty():
+                break
+            members = _members(asks, found, sizes)
+            if turn == how.turns:
+                more = _crowds(given, asks, members, how)
+            else:
+                drawn = members.groupBy("main").agg(F.min_by(F.struct("d", "n"), F.struct(F.xxhash64("d", F.lit(turn)), "d")).alias("p"))
+                turned = asks.join(drawn.hint("merge"), "main").select("d", "n", F.col("p.d").alias("pivot"), F.col("p.n").alias("m")).where(_fit("n", "m", how)).distinct()
+                more = _confirmed(given, base.stored(turned, "pairs"), how)
+            links = base.stored(links.unionByName(more), "links")
     named = rows.where("n > 0").groupBy("d", "n").agg(F.min("doc_id").alias("own")).join(components(links).withColumnRenamed("node", "d"), "d", "left")
     named = named.withColumn("root", F.coalesce("root", "d"))
     least = named.groupBy("root").agg(F.min("own").alias("component_id"))
