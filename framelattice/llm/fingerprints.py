@@ -8,17 +8,30 @@ from pyspark.sql.window import Window
 
 from . import base
 
-# Words of a shingle and the share of the hash range that is kept.
+# Words of a shingle; a sketch keeps the 2**-LEVEL part of the hash range, that of a text of up to SHORT shingles keeps all of it (level 0).
 WORDS = 3
-FRACTION = 1 / 8
+LEVEL = 3
+SHORT = 64
 
 
-def sketch(text: Column, words: int = WORDS, fraction: float = FRACTION) -> Column:
-    """Sorted distinct hashes of the text's word shingles below the fraction of the range, and always the least one, so a short
-    text is not left blank; unions of sketches are sketches of unions. Fewer words than a shingle: all of them as one;
-    no words (null or empty text): no hashes."""
+def _below(hashes: Column, level: Column) -> Column:
+    """Hashes in the lowest 2**-level part of the range."""
+    bound = F.lit(-(1 << 63)) + F.call_function("shiftright", F.lit(1 << 62).cast("long"), level - 2)  # of levels 2 and up
+    bound = F.when(level == 1, F.lit(0).cast("long")).otherwise(bound)
+
+    def keep(b: Column) -> Column:
+        return F.filter(hashes, lambda h: h < b)
+
+    return F.when(level == 0, hashes).otherwise(F.get(F.transform(F.array(bound), keep), F.lit(0)))
+
+
+def sketch(text: Column, words: int = WORDS, level: int = LEVEL, short: int = SHORT) -> Column:
+    """struct(level, hashes): the sorted distinct hashes of the text's word shingles in the lowest 2**-level part of the range; all of them
+    (level 0) for a text of up to `short` shingles. Fewer words than a shingle: all of them as one; no words (null or empty text): no hashes.
+
+    Nothing else is kept, so at a common level the union of sketches is the sketch of the union (merged).
+    """
     w = F.array_remove(F.split(F.coalesce(text, F.lit("")), base.BLANKS), "")
-    below = int(-(1 << 63) + fraction * (1 << 64))
 
     def hashes(ws: Column) -> Column:
         starts = F.sequence(F.lit(0), F.size(ws) - words)
@@ -27,28 +40,44 @@ def sketch(text: Column, words: int = WORDS, fraction: float = FRACTION) -> Colu
             F.array().cast("array<bigint>"))
 
     def keep(hs: Column) -> Column:
-        small = F.filter(hs, lambda h: h < F.lit(below))
-        return F.array_sort(F.array_distinct(F.array_compact(F.concat(small, F.array(F.array_min(hs))))))
+        at = F.when(F.size(hs) > short, level).otherwise(0)
+        return F.struct(at.alias("level"), F.array_sort(F.array_distinct(_below(hs, at))).alias("hashes"))
 
     # One-element transforms bind a value once, where a repeated expression would be worked out again.
     return F.get(F.transform(F.transform(F.array(w), hashes), keep), F.lit(0))
 
 
-def as_text(hashes: Column) -> Column:
-    """Hexadecimal hashes joined by dots; equal sketches give equal texts."""
-    return F.array_join(F.transform(hashes, F.hex), ".")
+def as_text(s: Column) -> Column:
+    """The level, then hexadecimal hashes, joined by dots; equal sketches give equal texts."""
+    return F.concat_ws(".", s["level"].cast("string"), F.array_join(F.transform(s["hashes"], F.hex), "."))
+
+
+def _common(a: Column, b: Column) -> tuple[Column, Column]:
+    """The hashes of two sketches at the higher of their levels."""
+    level = F.greatest(a["level"], b["level"])
+    return tuple(F.when(s["level"] == level, s["hashes"]).otherwise(_below(s["hashes"], level)) for s in (a, b))
+
+
+def merged(a: Column, b: Column) -> Column:
+    """The sketch of both texts' shingles together, at the higher of the levels."""
+    x, y = _common(a, b)
+    return F.struct(F.greatest(a["level"], b["level"]).alias("level"), F.array_sort(F.array_union(x, y)).alias("hashes"))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard likeness of the shingle sets; two blank sketches are alike."""
-    both = F.size(F.array_intersect(a, b))
-    union = F.size(a) + F.size(b) - both
-    return F.when(union == 0, 1.0).otherwise(both / union)
+    """Estimated Jaccard likeness of the shingle sets, exact between texts of level 0. Two sketches blank at their common level are alike if
+    they are equal, else not."""
+    x, y = _common(a, b)
+    both = F.size(F.array_intersect(x, y))
+    union = F.size(x) + F.size(y) - both
+    return F.when(union == 0, (a == b).cast("double")).otherwise(both / union)
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b has; a blank sketch is contained in any."""
-    return F.when(F.size(a) == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+    """Estimated share of a's shingles that b has: exact if both are level 0. Null where a has no hash at the common level to judge by; a
+    text without words is contained in any."""
+    x, y = _common(a, b)
+    return F.when((a["level"] == 0) & (F.size(a["hashes"]) == 0), 1.0).when(F.size(x) > 0, F.size(F.array_intersect(x, y)) / F.size(x))
 
 
 def _at_or_above(key: Column, cuts: list, width: int = 64) -> Column:
@@ -87,7 +116,7 @@ def with_next(docs: DataFrame, key: str, cols: list[str], slices: int) -> DataFr
     return both.withColumn("next", F.lead(F.struct(*cols)).over(w)).where("_guest = 0").drop("_guest", "_slice")
 
 
-def fingerprint_edits(docs: DataFrame, words: int = WORDS, fraction: float = FRACTION, slice_rows: int = 4000, most_slices: int = 4096) -> DataFrame:
+def fingerprint_edits(docs: DataFrame, words: int = WORDS, level: int = LEVEL, slice_rows: int = 4000, most_slices: int = 4096) -> DataFrame:
     """Each document's sketch, that of its edited text, and their likenesses.
 
     The edited text has its last third (floor of n_chars / 3) replaced by as many first characters of the next document in
@@ -95,11 +124,11 @@ def fingerprint_edits(docs: DataFrame, words: int = WORDS, fraction: float = FRA
     table gives no rows; a lone document is its own next; other columns are ignored.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    own = own.withColumn("hashes", sketch(F.col("text"), words, fraction))
+    own = own.withColumn("hashes", sketch(F.col("text"), words, level))
     slices = max(1, min(most_slices, -(-own.count() // slice_rows)))
     placed = with_next(own, "doc_id", ["text", "hashes"], slices)
     third = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - third).cast("int")), F.substring(F.col("next.text"), F.lit(1), third))
     out = placed.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("edited", edited)
-    out = out.withColumn("edited_hashes", sketch(F.col("edited"), words, fraction))
+    out = out.withColumn("edited_hashes", sketch(F.col("edited"), words, level))
     return out.select("doc_id", "n_chars", "edited", "hashes", "edited_hashes", F.col("next.hashes").alias("next_hashes"))
