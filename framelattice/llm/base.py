@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -28,6 +29,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate data."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def release() -> None:
+    """Give memory that a batch no longer needs back to the system: Python workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
+
+
 def word_count(text: Column | str) -> Column:
     """Number of blank-separated words; null counts as no words."""
     t = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
@@ -65,10 +81,10 @@ def utf8_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, most: int) -> DataFrame:
-    """doc_id, text and y of at most `most` labelled documents outside the held-out fold, chosen by hash of the id. The ids
-    are bounded by `most`, so they are broadcast and no text is shuffled; an id with several labels has its highest."""
+    """doc_id, text and y of at most `most` labelled documents outside the held-out fold, chosen by hash of the id: one row an id, with its
+    least text and its highest label. The ids are bounded by `most`, so they are broadcast and only their texts are shuffled."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", modulus, remainder))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id")
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))

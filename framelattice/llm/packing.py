@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import os
-import sys
-from array import array
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import base
+from .shingles import _slices, cut_at_blanks, span_hashes
 
 END_ID = 2
 # Chunks whose tokens depend on nothing but ASCII and precomposed Latin-1 letters: NFC leaves them as they are.
@@ -25,71 +26,123 @@ _PLAIN = regex.compile(r"[\x21-\x7EÀ-ÿ]+")
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
-class ChunkIds:
-    """ids (little-endian uint32 bytes) of texts, by their blank-free chunks of UTF-8; both caches are emptied when full.
+# Kinds of bytes: blank, letter, digit, other sign; HARD bytes need Unicode rules or the tokenizer's own.
+_KIND = np.full(256, 3, np.uint8)
+_HARD = 4
+_KIND[[32, 9, 10, 11, 12, 13]] = 0
+_KIND[65:91] = _KIND[97:123] = 1
+_KIND[48:58] = 2
+_KIND[[*range(9), *range(14, 32), 39, *range(127, 256)]] = _HARD  # 39: the apostrophe may begin a contraction
+
+
+def pieces(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, hard) of byte ranges whose ids in a row are the texts' ids. The tokenizer splits at white space and forgets it, and
+    splits plain ASCII into runs of letters, single digits and runs of other signs; a hard range is a whole blank-free chunk."""
+    kind = _KIND[body]
+    kind[:-1][(body[:-1] == ord("<")) & (body[1:] == ord("|"))] = _HARD
+    ink = kind > 0
+    fresh = np.zeros(len(body) + 1, bool)
+    fresh[offsets] = True
+    opens = ink & (np.r_[True, ~ink[:-1]] | fresh[:-1])
+    chunk = np.cumsum(opens) - 1
+    hard = np.zeros(int(opens.sum()), bool)
+    hard[chunk[kind == _HARD]] = True
+    inside = ink & ~hard[np.maximum(chunk, 0)] if len(hard) else ink
+    begins = opens | inside & (np.r_[True, kind[1:] != kind[:-1]] | (kind == 2))
+    starts = np.flatnonzero(begins)
+    ends = np.flatnonzero(ink & np.r_[begins[1:] | ~ink[1:], True]) + 1
+    return starts, ends, hard[chunk[starts]] if len(starts) else np.zeros(0, bool)
+
+
+class PieceIds:
+    """Token ids of texts by their pieces. A piece is known by its hash; new pieces of many texts are encoded in one call; what is known is
+    forgotten when there is too much of it."""
+
+    def __init__(self, tokenizer, most: int = 150_000):
+        from tokenizers import Tokenizer, pre_tokenizers
 
-    The tokenizer splits at white space and forgets it, so a text's ids are its chunks' ids in a row. Plain chunks are split here and
-    share their words' ids; any other chunk goes to the tokenizer whole. New words of many texts are encoded in one call.
-    """
-
-    def __init__(self, tokenizer, most: int = 250_000):
         self.tokenizer, self.most = tokenizer, most
-        self.chunks: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        # Pieces are lower-case and whole already: they need neither the normaliser nor the splitting pattern, half of the work.
+        self.plain = Tokenizer.from_str(tokenizer.to_str())
+        self.plain.normalizer, self.plain.pre_tokenizer = None, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[int, int] = {}
+        self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     @staticmethod
-    def split(chunk: bytes) -> list[str]:
-        """Texts whose ids in a row are the chunk's."""
-        if chunk.isalpha():
-            return [chunk.lower().decode()]
+    def split(chunk: bytes) -> list[str] | None:
+        """Pieces whose ids in a row are a hard chunk's; none where the tokenizer's own rules are needed."""
         text = chunk.decode("utf-8", "replace")
         if "<|" in text or not _PLAIN.fullmatch(text):
-            return [text]
+            return None
         low = text.lower()
         return [low] if low.isalpha() else _PIECES.findall(low)
 
-    def learn(self, chunks: set[bytes]) -> None:
-        new = [c for c in chunks if c not in self.chunks]
-        if len(self.chunks) + len(new) > self.most:
-            self.chunks.clear()
-            new = list(chunks)
-        parts = [self.split(c) for c in new]
-        wanted = {w for p in parts for w in p}
-        if len(self.words) + len(wanted) > self.most:
-            self.words.clear()
-        fresh = [w for w in wanted if w not in self.words]
-        for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-            self.words[w] = np.array(e.ids, "<u4").tobytes() if sys.byteorder == "big" else array("I", e.ids).tobytes()
-        for c, p in zip(new, parts):
-            self.chunks[c] = self.words[p[0]] if len(p) == 1 else b"".join(map(self.words.__getitem__, p))
-
-    def texts(self, raws: list[bytes]) -> list[bytes]:
-        split = [r.split() for r in raws]
-        self.learn(set().union(*split))
-        return [b"".join(map(self.chunks.__getitem__, s)) for s in split]
-
-
-def groups(items, size: int = 1 << 20):
-    """Lists of (key, bytes) items of about `size` bytes."""
-    held: list = []
-    total = 0
-    for item in items:
-        held.append(item)
-        total += len(item[1])
-        if total >= size:
-            yield held
-            held, total = [], 0
-    if held:
-        yield held
+    def learn(self, keys: list[int], texts: list[list[str]]) -> None:
+        """texts: pieces in a row for each key."""
+        ids = [e.ids for e in self.plain.encode_batch_fast([t for parts in texts for t in parts], add_special_tokens=False)]
+        self.keep(keys, texts, ids)
+
+    def keep(self, keys: list[int], texts: list, ids: list) -> None:
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        parts = np.fromiter(map(len, texts), np.int64, len(texts))
+        ends = np.r_[0, np.cumsum(sizes)][np.cumsum(parts)]
+        self.place.update(zip(keys, range(len(self.ends) - 1, len(self.ends) - 1 + len(keys))))
+        self.flat = np.r_[self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(sizes.sum()))]
+        self.ends = np.r_[self.ends, self.ends[-1] + ends]
+
+    def ids(self, body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds of each text in them) of texts laid end to end."""
+        starts, ends, hard = pieces(body, offsets)
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        keys = span_hashes(body, starts, ends) ^ hard.astype(np.uint64)
+        raw = body.tobytes()
+        marks = np.flatnonzero((body[:-1] == ord("<")) & (body[1:] == ord("|")))
+        for i in np.unique(np.searchsorted(starts, marks, "right") - 1):
+            keys[i] ^= np.uint64(zlib.crc32(raw[starts[i]:ends[i]]) << 1)  # its case counts: it may name a special token
+        kinds, first, of = np.unique(keys, return_index=True, return_inverse=True)
+        known = kinds.tolist()
+        new = [k for k, key in enumerate(known) if key not in self.place]
+        if len(self.place) + len(new) > self.most:
+            self.forget()
+            new = range(len(known))
+        if len(new):
+            spans = [raw[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())]
+            parts = [self.split(x) if h else [x.decode().lower()] for x, h in zip(spans, hard[first[new]].tolist())]
+            new = [known[k] for k in new]
+            self.learn([k for k, p in zip(new, parts) if p is not None], [p for p in parts if p is not None])
+            odd = [(k, [x.decode("utf-8", "replace")]) for k, x, p in zip(new, spans, parts) if p is None]
+            if odd:
+                self.keep([k for k, _ in odd], [p for _, p in odd], [self.tokenizer.encode(p[0], add_special_tokens=False).ids for _, p in odd])
+        at = np.fromiter(map(self.place.__getitem__, known), np.int64, len(known))[of]
+        begin, size = self.ends[at], self.ends[at + 1] - self.ends[at]
+        done = np.r_[0, np.cumsum(size)]
+        out = self.flat[np.repeat(begin - done[:-1], size) + np.arange(done[-1])]
+        return out, done[np.searchsorted(starts, offsets)]
+
+    def texts(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+        """(number, ids) of each text of an Arrow column; nulls are empty."""
+        body, offsets = base.utf8_buffer(column)
+        for a, b in _slices(body, offsets):
+            part = body[offsets[a]:offsets[b]]
+            if b - a == 1:
+                yield a, np.concatenate([np.zeros(0, np.uint32), *[self.ids(part[i:j], np.array([0, j - i]))[0] for i, j in cut_at_blanks(part)]])
+                continue
+            ids, bounds = self.ids(part, offsets[a:b + 1] - offsets[a])
+            for k in range(b - a):
+                yield a + k, ids[bounds[k]:bounds[k + 1]]
 
 
 @functools.lru_cache(2)
-def chunk_ids(path: str) -> ChunkIds:
+def piece_ids(path: str) -> PieceIds:
     """One per worker process and tokenizer file."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the task's cores are Spark's to share out
     from tokenizers import Tokenizer
 
-    return ChunkIds(Tokenizer.from_file(path))
+    return PieceIds(Tokenizer.from_file(path))
 
 
 @dataclass(frozen=True)
@@ -137,8 +190,8 @@ class Packer:
 
     def fill(self, ending: bool = False) -> list:
         """One sequence: the fitting piece with the highest dot product with what is left goes next; if none fits, or one
-        segment is left, the piece of the highest product that reaches the end is cut there. An unfinished sequence that
-        empties the pool is emitted too, or, when ending, its pieces are returned instead."""
+        segment is left, the piece of the highest product that reaches the end is cut there. A sequence that stays more than a
+        64th short is cut into powers of two; when ending, the one that empties the pool is returned instead."""
         lim, used = self.limits, []
         left = np.array([lim.tokens, lim.segments, lim.loss], float)
         at = 0
@@ -166,25 +219,33 @@ class Packer:
                 self.put(k, key, start + n, whole - n, prompt)
         if ending and at < lim.tokens and not (self.size[:, 0] > 0).any():
             return used  # nothing waits: the last one
+        if (lim.tokens - at) * 64 > lim.tokens:
+            self.emit_cut(used)  # the segments ran out first, or the loss
+            return []
         for piece in used:
             self.emit(*piece[:3], self.next, piece[3])
         self.next += 1
         return []
 
-    def end(self) -> None:
-        """Empty the pool. The last sequence is cut into lengths that are powers of two, which need no padding."""
-        last: list = []
-        while not last and (self.size[:, 0] > 0).any():
-            last = self.fill(ending=True)
-        total = sum(n for _, _, n, _ in last)
+    def emit_cut(self, used: list) -> None:
+        """Pieces of one short sequence, cut into lengths that are powers of two, which need no padding."""
+        total = sum(n for _, _, n, _ in used)
         ends = np.cumsum([1 << b for b in range(total.bit_length() - 1, -1, -1) if total >> b & 1])
-        for key, start, n, at in last:
+        for key, start, n, at in used:
             while n:
                 s = int(np.searchsorted(ends, at, "right"))
                 begin = int(ends[s - 1]) if s else 0
                 m = min(n, int(ends[s]) - at)
                 self.emit(key, start, m, self.next + s, at - begin)
                 start, n, at = start + m, n - m, at + m
+        self.next += len(ends)
+
+    def end(self) -> None:
+        """Empty the pool; the last sequence is cut."""
+        last: list = []
+        while not last and (self.size[:, 0] > 0).any():
+            last = self.fill(ending=True)
+        self.emit_cut(last)
 
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -200,7 +261,7 @@ def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), pool: int =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = chunk_ids(tokenizer)
+        ids = piece_ids(tokenizer)
         first = TaskContext.get().partitionId() << 36
         rows: list = []
 
@@ -219,17 +280,19 @@ def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), pool: int =
         end = np.array([END_ID], "<u4").tobytes()
         for b in batches:
             asked = b.column("prompt").to_pylist()
-            docs = zip(zip(b.column("doc_id").to_pylist(), asked), base.raw_texts(b.column("text")))
-            for group in groups(docs):
-                for ((doc, p), _), data in zip(group, ids.texts([raw for _, raw in group])):
-                    data += end
-                    key = [doc, data, 0, len(data) // 4]
-                    key[2] = packer.add(key, key[3], max(0, p or 0))
-                    key[1] = data[key[2] * 4:]  # what waits in the pool keeps no more than its own ids
-                    if len(rows) >= 1000:
-                        yield out()
+            doc_ids = b.column("doc_id").to_pylist()
+            for k, tokens in ids.texts(b.column("text")):
+                data = tokens.astype("<u4").tobytes() + end
+                key = [doc_ids[k], data, 0, len(data) // 4]
+                key[2] = packer.add(key, key[3], max(0, asked[k] or 0))
+                key[1] = data[key[2] * 4:]  # what waits in the pool keeps no more than its own ids
+                if len(rows) >= 1000:
+                    yield out()
+            base.release()
         packer.end()
         yield out()
+        ids.forget()
+        base.release()
 
     given = F.col(prompt).cast("long") if prompt else F.lit(0).cast("long")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),

@@ -34,6 +34,15 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
+def span_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges of a text or texts laid end to end; A-Z count as a-z."""
+    n = len(body)
+    up, down = _powers(max(_SLICE, 1 << (n - 1).bit_length()))
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(_LETTER[body] * up[:n], out=total[1:])
+    return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
 def word_hashes(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, number of the text it is in) of texts laid end to end."""
     n = len(body)
@@ -46,10 +55,7 @@ def word_hashes(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     starts = np.flatnonzero(ink & (~before | fresh[:-1]))
     after = np.r_[ink[1:], False]
     ends = np.flatnonzero(ink & (~after | fresh[1:])) + 1
-    up, down = _powers(max(_SLICE, 1 << (n - 1).bit_length()))
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_LETTER[body] * up[:n], out=total[1:])
-    h = mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    h = span_hashes(body, starts, ends)
     return h, np.searchsorted(offsets, starts, "right") - 1
 
 
@@ -62,9 +68,9 @@ def _slices(body: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         k = j
 
 
-def _cut_words(part: np.ndarray) -> np.ndarray:
-    """Word hashes of one long text, slice by slice: each is cut after its last blank."""
-    out, at = [], 0
+def cut_at_blanks(part: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of about a slice's bytes of one long text: each ends after its last blank."""
+    at = 0
     while at < len(part):
         end = min(len(part), at + _SLICE)
         if end < len(part):
@@ -74,8 +80,13 @@ def _cut_words(part: np.ndarray) -> np.ndarray:
                 blanks = np.flatnonzero(_BLANK[part[at:end]])
             if end < len(part):
                 end = at + int(blanks[-1]) + 1
-        out.append(word_hashes(part[at:end], np.array([0, end - at]))[0])
+        yield at, end
         at = end
+
+
+def _cut_words(part: np.ndarray) -> np.ndarray:
+    """Word hashes of one long text, slice by slice."""
+    out = [word_hashes(part[a:b], np.array([0, b - a]))[0] for a, b in cut_at_blanks(part)]
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
