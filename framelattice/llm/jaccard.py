@@ -52,6 +52,8 @@ def _hot_tokens(docs: DataFrame, how: Join) -> np.ndarray:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part))], ["token"])
                     part, size = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part) if part else np.zeros(0, np.int32))], ["token"])
+            del b, part
+            base.release()
 
     counts = docs.select("text").mapInArrow(heads, "token int").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > how.hot)
     top = counts.orderBy(F.desc("n"), "token").limit(how.hot_most)
@@ -85,6 +87,8 @@ def _prefixes(docs: DataFrame, how: Join, hot: np.ndarray) -> DataFrame:
             flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(d, pa.int64()),
                                               pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "n", "d", "prefix"])
+            del b, parts, flat
+            base.release()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d long, prefix array<long>")
 
@@ -115,6 +119,8 @@ def _wanted_sets(docs: DataFrame, how: Join, wanted: DataFrame) -> DataFrame:
                         yield batch(rows)
                         rows = []
             yield batch(rows)
+            del b, rows
+            base.release()
 
     def batch(rows: list) -> pa.RecordBatch:
         cols = list(zip(*rows)) or [()] * 3

@@ -10,7 +10,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import base
 
@@ -171,16 +170,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Null and empty texts are scored as texts without words; repeated rows score alike; an empty table gives no rows; an input
     column named score is replaced. Texts are read whole; no shuffle.
     """
-    kept = [c for c in docs.columns if c != "score"]
-    names = [f"d{k}" for k in range(len(kept))]
-    given = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(kept, names)])
-    full = given.withColumn("text", F.col(names[kept.index("text")]).cast("string"))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c != "score"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
-            x = np.array([features(t) for t in base.raw_texts(b.column("text"))], float).reshape(-1, len(FEATURES))
-            p = 1 / (1 + np.exp(-np.clip(model.log_odds(x), -30, 30)))
-            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(p)], [*names, "score"])
+            x = np.array([features(t) for t in base.raw_texts(b)], float).reshape(-1, len(FEATURES))
+            yield pa.array(1 / (1 + np.exp(-np.clip(model.log_odds(x), -30, 30))))
+            del b
+            base.release()
 
-    out = full.mapInArrow(run, T.StructType([*given.schema.fields, T.StructField("score", T.DoubleType())]))
-    return out.select(*[F.col(n).alias(c) for n, c in zip(names, kept)], "score")
+    # Only texts go to Python and only scores come back.
+    return docs.select(*kept, F.arrow_udf(run, "double").asNondeterministic()(F.col("text").cast("string")).alias("score"))

@@ -171,17 +171,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Null and empty texts get the score of a text without hits; repeated rows score alike; an empty table gives no rows; an
     input column named score is replaced. Texts are read whole; no shuffle.
     """
-    kept = [c for c in docs.columns if c != "score"]
-    names = [f"d{k}" for k in range(len(kept))]
-    schema = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(kept, names)])
-    full = schema.withColumn("text", F.col(names[kept.index("text")]).cast("string"))
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kept = [F.col(f"`{c}`") for c in docs.columns if c != "score"]
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         machine = automaton(model)
         coef = np.array(model.coef)
         for b in batches:
-            x = np.array([measures(fold(t), machine) for t in base.texts_of(b.column("text"))]).reshape(-1, 3)
-            p = 1 / (1 + np.exp(-np.clip(coef[0] + x @ coef[1:], -30, 30)))
-            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(p)], [*names, "score"])
+            x = np.array([measures(fold(t), machine) for t in base.texts_of(b)]).reshape(-1, 3)
+            yield pa.array(1 / (1 + np.exp(-np.clip(coef[0] + x @ coef[1:], -30, 30))))
+            del b
+            base.release()
 
-    out = full.mapInArrow(run, T.StructType([*schema.schema.fields, T.StructField("score", T.DoubleType())]))
-    return out.select(*[F.col(n).alias(c) for n, c in zip(names, kept)], "score")
+    # Only texts go to Python and only scores come back.
+    return docs.select(*kept, F.arrow_udf(run, "double").asNondeterministic()(F.col("text").cast("string")).alias("score"))
