@@ -42,14 +42,28 @@ def stage_rollup(stage_log: DataFrame, by: list[str] | None = None) -> DataFrame
                  F.when(F.sum("total_ms") > 0, 1000.0 * F.count(F.lit(1)) / F.sum("total_ms")).otherwise(0.0).alias("pipeline_fps"))
 
 
+def running(frames: DataFrame, sums: dict[str, str], block: int = 4096) -> DataFrame:
+    """Adds running sums over each clip's frames: {name: column}.
+
+    On two levels, so that a long clip is many tasks: frames are summed within blocks of their number, and what the blocks before sum to (one
+    row a block) is added.
+    """
+    d = frames.withColumn("_block", F.floor(F.col("frame_no") / block))
+    totals = d.groupBy("clip_id", "_block").agg(*[F.sum(c).alias(f"_{k}") for k, c in sums.items()])
+    before = W.partitionBy("clip_id").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select("clip_id", "_block", *[F.sum(f"_{k}").over(before).alias(f"_{k}") for k in sums])
+    within = W.partitionBy("clip_id", "_block").orderBy("frame_no").rowsBetween(W.unboundedPreceding, W.currentRow)
+    d = d.withColumns({k: F.sum(c).over(within) for k, c in sums.items()}).join(totals, ["clip_id", "_block"])
+    return d.withColumns({k: F.coalesce(F.col(f"_{k}"), F.lit(0)) + F.col(k) for k in sums}).drop("_block", *[f"_{k}" for k in sums])
+
+
 def progress(frames: DataFrame, total: str | None = "total_frames", duration: str | None = None, rate: str = "fps_in") -> DataFrame:
     """Running speed, completed fraction and remaining seconds per clip.
 
     frames(clip_id, frame_no, total_ms[, total_frames][, duration seconds, source frame rate]). Without a frame count the fraction
     comes from the duration, and no time is estimated.
     """
-    w = W.partitionBy("clip_id").orderBy("frame_no").rowsBetween(W.unboundedPreceding, W.currentRow)
-    d = frames.withColumn("done", F.count(F.lit(1)).over(w)).withColumn("elapsed_s", F.sum("total_ms").over(w) / 1000.0)
+    d = running(frames.withColumn("_one", F.lit(1)), {"done": "_one", "_ms": "total_ms"}).withColumn("elapsed_s", F.col("_ms") / 1000.0).drop("_one", "_ms")
     d = d.withColumn("fps", F.when(F.col("elapsed_s") > 0.001, F.col("done") / F.col("elapsed_s")).otherwise(0.0))
     n = F.col(total) if total else F.lit(None).cast("bigint")
     by_time = F.when(F.col(duration) > 0, clamp01(F.col("done") / F.col(rate) / F.col(duration))) if duration else F.lit(None).cast("double")

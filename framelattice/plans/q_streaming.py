@@ -14,7 +14,7 @@ from ..streaming import stateful as S
 from ..streaming import telemetry as T
 from .q_ordered import tracks_sql
 from .q_pairs import CUT, GRAY_CTE, cut_sql, gray8
-from .q_telemetry import stage_log
+from .q_telemetry import PROGRESS_SQL, stage_log
 from .registry import query
 
 
@@ -55,11 +55,20 @@ SELECT CAST(floor(epoch(ts)/86400) AS BIGINT) AS day, clip_id, count(*) AS frame
  round(avg(denoise_ms),6) AS avg_denoise_ms, round(1000e0*count(*)/sum(decode_ms+flow_ms+denoise_ms),6) AS fps FROM stage GROUP BY 1,2""")
 def stream_telemetry(spark, d):
     s = stage_log(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
-    out = T.drain(T.stream_stage_means(T.as_stream(s), "1 day", "1 day"), "complete")
+    out = T.drain(T.stream_stage_means(T.as_stream(s, 8, end={"ts": END}), "1 day", "3650 days"))
     return out.select(big(F.floor(F.unix_timestamp("window_start") / 86400)).alias("day"), "clip_id", "frames",
                       *[r6(F.col(c)).alias(c) for c in ("avg_decode_ms", "avg_flow_ms", "avg_denoise_ms", "fps")])
 
 
+@query("g03_stream_progress", PROGRESS_SQL)
+def stream_progress(spark, d):
+    s = stage_log(spark, d)
+    s = s.join(s.groupBy("clip_id").agg((F.count(F.lit(1)) + 5).alias("total_frames")), "clip_id").select("clip_id", "frame_no", "total_ms", "total_frames")
+    p = T.drain(S.stream_progress(T.as_stream(at_rate(s), 8, end={"ts": END}), "1 day"))
+    return p.select("clip_id", "frame_no", "done", *[r6(F.col(c)).alias(c) for c in ("elapsed_s", "fps", "fraction")],
+                    (F.floor(F.col("eta_s") * 1e6 + 0.5) / 1e6).alias("eta_s"))
+
+
 _PAUSE = 4 * 3600
 
 

@@ -51,12 +51,15 @@ def stage_rollup_total(spark, d):
     return r.select("frames", *[r6(F.col(c)).alias(c) for c in r.columns if c != "frames"])
 
 
-@query("d16_progress", with_fixtures("stage") + """,
+PROGRESS_SQL = with_fixtures("stage") + """,
 w AS (SELECT clip_id, frame_no, count(*) OVER o AS done, sum(decode_ms+flow_ms+denoise_ms) OVER o / 1000e0 AS e, count(*) OVER (PARTITION BY clip_id)+5 AS n
   FROM stage WINDOW o AS (PARTITION BY clip_id ORDER BY frame_no ROWS UNBOUNDED PRECEDING)),
 s AS (SELECT *, CASE WHEN e>.001e0 THEN done/e ELSE 0e0 END AS fps FROM w)
 SELECT clip_id, frame_no, done, round(e,6) AS elapsed_s, round(fps,6) AS fps, round(least(done/CAST(n AS DOUBLE),1e0),6) AS fraction,
- floor(CASE WHEN fps>.01e0 THEN greatest(n-done,0)/fps ELSE 0e0 END*1e6+.5e0)/1e6 AS eta_s FROM s""")
+ floor(CASE WHEN fps>.01e0 THEN greatest(n-done,0)/fps ELSE 0e0 END*1e6+.5e0)/1e6 AS eta_s FROM s"""
+
+
+@query("d16_progress", PROGRESS_SQL)
 def progress(spark, d):
     s = stage_log(spark, d)
     total = s.groupBy("clip_id").agg((F.count(F.lit(1)) + 5).alias("total_frames"))

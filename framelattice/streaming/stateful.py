@@ -37,7 +37,7 @@ def _ms(t: pd.Timestamp) -> int:
 
 
 class InOrder(StatefulProcessor):
-    """Hands each key's rows to ``advance`` in frame order, once each, starting at frame 1.
+    """Hands each key's rows to ``advance`` in frame order, once each, starting at frame ``first``; frames before it are late ones.
 
     Early rows wait, each with its event time. When the watermark passes the first of them, the frames missing before it are given up, and
     the next run starts afresh, as after a gap in a batch. A given-up frame that comes later goes to ``advance`` alone, fresh and late: it
@@ -46,6 +46,7 @@ class InOrder(StatefulProcessor):
 
     payload = ""  # DDL of the waiting columns
     columns: list[str] = []
+    first = 1
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -112,7 +113,10 @@ class InOrder(StatefulProcessor):
             self.handle.registerTimer(self.waiting.getValue((min(early),))[0] + 1)
 
     def _state(self) -> tuple[int, dict]:
-        expected, held = self.next_frame.get() if self.next_frame.exists() else (1, 0)
+        if not self.next_frame.exists():
+            self.gaps.updateValue((-(1 << 62),), (self.first,))
+            return self.first, {}
+        expected, held = self.next_frame.get()
         # The map is only looked at while something waits in it.
         return expected, {f: None for (f,) in self.waiting.keys()} if held else {}
 
@@ -234,6 +238,37 @@ def stream_consensus(tracks: DataFrame, mode: str = "auto", late: str = "1 minut
         TrackConsensus(mode), "track_id long, frame_no long, history long, blend double, out_vx double, out_vy double, late boolean", "Append", "EventTime")
 
 
+class RunningProgress(InOrder):
+    """Frames done, speed, fraction and time left of each clip; state is two sums. A late frame counts from when it comes."""
+
+    payload = "total_ms double, total_frames long"
+    columns = ["total_ms", "total_frames"]
+    first = 0
+
+    def open(self, handle):
+        self.sums = handle.getValueState("sums", "done long, ms double")
+
+    def advance(self, key, rows, fresh, late):
+        done, ms = self.sums.get() if self.sums.exists() else (0, 0.0)
+        count = done + np.arange(1, len(rows) + 1)
+        elapsed = np.cumsum(np.r_[ms, rows["total_ms"].to_numpy(float)])[1:]
+        self.sums.update((int(count[-1]), float(elapsed[-1])))
+        elapsed, n = elapsed / 1000.0, rows["total_frames"].to_numpy(float)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            fps = np.where(elapsed > 0.001, count / elapsed, 0.0)
+            eta = np.where(fps > 0.01, np.maximum(n - count, 0) / fps, 0.0)
+            known = n > 0
+            return pd.DataFrame({"clip_id": key[0], "frame_no": rows["frame_no"].to_numpy(), "done": count, "elapsed_s": elapsed, "fps": fps,
+                                 "fraction": np.where(known, np.clip(count / n, 0, 1), None), "eta_s": np.where(known, eta, None)}).astype({"fraction": float, "eta_s": float})
+
+
+def stream_progress(frames: DataFrame, late: str = "1 minute") -> DataFrame:
+    """frames(clip_id, frame_no, ts, total_ms, total_frames) -> progress and time left with every frame, as ``progress`` gives for tables."""
+    use_rocksdb(frames.sparkSession)
+    return watched(frames, late).groupBy("clip_id").transformWithStateInPandas(
+        RunningProgress(), "clip_id long, frame_no long, done long, elapsed_s double, fps double, fraction double, eta_s double, late boolean", "Append", "EventTime")
+
+
 class StallWatch(StatefulProcessor):
     """Alerts when a clip pauses longer than allowed. Times wait until the watermark has passed them, so they are seen in order whatever the
     order of arrival; one that comes later still is published as late."""

@@ -17,7 +17,8 @@ from ..operators.telemetry import STAGES
 def stream_stage_means(stage_log: DataFrame, window: str = "1 minute", late: str = "1 minute") -> DataFrame:
     """Stage means and speed per clip and time window; works on streams and tables alike.
 
-    stage_log(clip_id, ts, *_ms, total_ms).
+    stage_log(clip_id, ts, *_ms, total_ms). In append mode a window is written once, when the watermark closes it; rows more than `late`
+    behind then no longer count (Spark reports their number).
     """
     stages = [s for s in STAGES if s in stage_log.columns]
     d = stage_log.withWatermark("ts", late) if stage_log.isStreaming else stage_log
@@ -27,11 +28,17 @@ def stream_stage_means(stage_log: DataFrame, window: str = "1 minute", late: str
     ).select(F.col("w.start").alias("window_start"), "clip_id", "frames", *[f"avg_{s}" for s in stages], "fps")
 
 
-def stall_audit(frames: DataFrame, seconds: float, key: str = "clip_id", t: str = "t") -> DataFrame:
-    """Pauses longer than allowed between consecutive frames of finished runs."""
-    w = W.partitionBy(key).orderBy(t)
-    return frames.select(key, F.col(t).alias("last_t"), F.lead(t).over(w).alias("next_t")).where(
-        F.col("next_t") - F.col("last_t") > seconds)
+def stall_audit(frames: DataFrame, seconds: float, key: str = "clip_id", t: str = "t", block: float = 3600.0) -> DataFrame:
+    """Pauses longer than allowed between consecutive frames of finished runs.
+
+    Neighbours are found within blocks of time; the last frame of a block goes with the first one of the next block that has any (one row a
+    block), so a long run is many tasks.
+    """
+    d = frames.select(key, F.col(t).alias("last_t"), F.floor(F.col(t) / block).alias("_block"))
+    firsts = d.groupBy(key, "_block").agg(F.min("last_t").alias("_first"))
+    firsts = firsts.select(key, "_block", F.lead("_first").over(W.partitionBy(key).orderBy("_block")).alias("_after"))
+    d = d.withColumn("next_t", F.lead("last_t").over(W.partitionBy(key, "_block").orderBy("last_t"))).join(firsts, [key, "_block"])
+    return d.select(key, "last_t", F.coalesce("next_t", "_after").alias("next_t")).where(F.col("next_t") - F.col("last_t") > seconds)
 
 
 def drain(stream: DataFrame, mode: str = "append", transform: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
