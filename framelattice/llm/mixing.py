@@ -102,7 +102,8 @@ def lay_out(docs: DataFrame, how: Mix) -> tuple[DataFrame, DataFrame]:
     blocks = [-(-s // how.block) for s in sizes]
     # The last block of a source is short, so slots are counted in blocks of the source's mean size.
     slots = [min(round(g * b / s), int(how.repeats * b)) if s else 0 for g, s, b in zip(goal, sizes, blocks)]
-    shards = max(1, min(how.shards, sum(slots) // 256))
+    # More slots make more shards, not larger ones, up to a number whose counts are no burden to the driver.
+    shards = max(1, min(how.shards, sum(slots) // 256)) if sum(slots) < how.shards * 4096 else min(8192, sum(slots) // 4096)
     counts = shard_counts(slots, shards, how.seed)
     before = np.vstack([np.zeros((1, len(slots)), np.int64), np.cumsum(counts, 0)])
     known = spark.createDataFrame([(i, r["source"], s, float(g), b) for i, (r, s, g, b) in enumerate(zip(per, sizes, goal, blocks))],
@@ -147,7 +148,7 @@ def mix(docs: DataFrame, how: Mix = Mix()) -> DataFrame:
     spans = _pieces(placed.select("source_no", "start", "size"), how)
     # Block tables grow with the data: never broadcast. Among documents with words, a first word belongs to one document.
     taken = spans.join(times.hint("merge"), ["source_no", "block"]).groupBy("source_no", F.col("start").alias("key")).agg(F.sum(F.col("times") * F.col("n")).alias("taken"))
-    out = placed.withColumn("key", F.when(F.col("size") > 0, F.col("start")).otherwise(-1 - F.abs(F.hash("d0")))).join(taken, ["source_no", "key"], "left")
+    out = placed.withColumn("key", F.when(F.col("size") > 0, F.col("start")).otherwise(-1 - F.abs(F.hash("d0").cast("long")))).join(taken, ["source_no", "key"], "left")
     return out.select(*[F.col(f"d{k}").alias(c) for k, c in enumerate(kept)], "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
@@ -158,8 +159,21 @@ def mix_texts(docs: DataFrame, how: Mix = Mix()) -> DataFrame:
         return docs
     placed, slots = lay_out(docs, how)
     text = F.col(f"d{docs.columns.index('text')}")
-    parts = F.slice(F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1)), (F.col("begin") + 1).cast("int"), F.col("n").cast("int"))
-    cut = _pieces(placed, how).withColumn("piece", F.array_join(parts, ""))
+    words = F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1))
+    first, last = F.floor(F.col("start") / how.block), F.floor((F.col("start") + F.col("size") - 1) / how.block)
+
+    def pieces(ws: Column) -> Column:
+        """The document's words in each block it lies in."""
+
+        def piece(b: Column) -> Column:
+            begin = F.greatest(F.col("start"), b * how.block)
+            n = F.least(F.col("start") + F.col("size"), (b + 1) * how.block) - begin
+            return F.struct(b.alias("block"), F.array_join(F.slice(ws, (begin - F.col("start") + 1).cast("int"), n.cast("int")), "").alias("piece"))
+
+        return F.transform(F.sequence(first, last), piece)
+
+    # A one-element transform binds the words, so that a text is cut once however many blocks it has.
+    cut = placed.where("size > 0").withColumn("p", F.explode(F.get(F.transform(F.array(words), pieces), F.lit(0)))).select("*", "p.block", "p.piece")
     mixed = slots.hint("merge").join(cut, ["source_no", "block"]).repartition("shard").sortWithinPartitions("shard", "place", "start")
     new = {"text": F.col("piece"), "n_chars": F.char_length("piece").cast("long")}
     return mixed.select(*[new.get(c, F.col(f"d{k}")).alias(c) for k, c in enumerate(docs.columns)])
