@@ -195,7 +195,7 @@ def _members(asks: DataFrame, found: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def _crowds(docs: DataFrame, asks: DataFrame, members: DataFrame, how: Forest) -> DataFrame:
-    """Links of what the turns of pivots left open, as (a, b): the asking classes are held, in blocks, against all blocks of each other and of
+    """Links of what the drawn members left open, as (a, b): the asking classes are held, in blocks, against all blocks of each other and of
     the main component's members, which are connected already."""
     rows = members.withColumn("asks", F.lit(0)).unionByName(asks.withColumn("asks", F.lit(1)))
     rows = base.stored(rows.groupBy("main", "d", "n").agg(F.max("asks").alias("asks")), "crowded")
@@ -226,8 +226,8 @@ def link(docs: DataFrame, how: Forest = Forest()) -> DataFrame:
     2. A class has a place in each tree's order. Where few share `shallow` levels, they are a leaf; a crowd is told apart by more levels.
     3. Each class is held against the pivot (least class) of most of its leaves: what links makes first components.
     4. In leaves that still hold several components, rows of different ones are held against each other: in small leaves pair by pair, each pair
-       once whatever the number of trees; in crowded ones of full depth rows outside the commonest component are held against members of
-       it drawn in turn, then, if still open, in blocks against all of it.
+       once whatever the number of trees; in crowded ones of full depth rows outside the commonest component are held against some
+       members of it, then, if still open, in blocks against all of it.
     5. Links are confirmed on whole sets only. A pair at the threshold meets in no tree with probability missed(depth): 1e-10 at three
        levels, 3e-6 at five, and most pairs have other ways to the same component.
 
@@ -248,28 +248,23 @@ def link(docs: DataFrame, how: Forest = Forest()) -> DataFrame:
     other = small.select("leaf", F.col("d").alias("pivot"), F.col("n").alias("m"), F.col("label").alias("other"))
     # At most `crowd` rows a leaf meet here.
     pairs = small.join(other.hint("merge"), "leaf").where((F.col("label") < F.col("other")) & _fit("n", "m", how)).select("d", "n", "pivot", "m").distinct()
+    crowded = base.stored(_labelled(leaves.where(F.col("c") > how.crowd).select("leaf", "d", "n"), found), "crowded")
+    main = crowded.groupBy("leaf", "label").agg(F.count("*").alias("k")).groupBy("leaf").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
+    main = main.withColumnRenamed("leaf", "of").hint("merge")
+    asks = base.stored(crowded.join(main, (F.col("leaf") == F.col("of")) & (F.col("label") != F.col("main"))).select("main", "d", "n").distinct(), "asks")
+    sizes = base.stored(rows.where("n > 0").select("d", "n").distinct(), "sizes")
+    if how.turns:
+        draws = [F.min_by(F.struct("d", "n"), F.struct(F.xxhash64("d", F.lit(k)), "d")) for k in range(how.turns)]
+        drawn = _members(asks, found, sizes).groupBy("main").agg(F.array_distinct(F.array(*draws)).alias("p"))
+        drawn = asks.join(drawn.hint("merge"), "main").select("d", "n", F.explode("p").alias("p")).select("d", "n", F.col("p.d").alias("pivot"), F.col("p.n").alias("m"))
+        pairs = pairs.unionByName(drawn.where(_fit("n", "m", how))).distinct()
     pairs = base.stored(pairs.join(first.hint("merge"), ["d", "n", "pivot", "m"], "left_anti"), "pairs")
     links = base.stored(links.unionByName(_confirmed(given, pairs, how)), "links")
-    crowded = leaves.where(F.col("c") > how.crowd).select("leaf", "d", "n")
-    if not crowded.isEmpty():
-        crowded = base.stored(_labelled(crowded, found), "crowded")
-        main = crowded.groupBy("leaf", "label").agg(F.count("*").alias("k")).groupBy("leaf").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
-        main = main.withColumnRenamed("leaf", "of").hint("merge")
-        asks = base.stored(crowded.join(main, (F.col("leaf") == F.col("of")) & (F.col("label") != F.col("main"))).select("main", "d", "n").distinct(), "asks")
-        sizes = base.stored(rows.where("n > 0").select("d", "n").distinct(), "sizes")
-        for turn in range(how.turns + 1):
-            found = base.stored(components(links), "found")
-            asks = base.stored(_still_open(asks, found), "asks")
-            if asks.isEmpty():
-                break
-            members = _members(asks, found, sizes)
-            if turn == how.turns:
-                more = _crowds(given, asks, members, how)
-            else:
-                drawn = members.groupBy("main").agg(F.min_by(F.struct("d", "n"), F.struct(F.xxhash64("d", F.lit(turn)), "d")).alias("p"))
-                turned = asks.join(drawn.hint("merge"), "main").select("d", "n", F.col("p.d").alias("pivot"), F.col("p.n").alias("m")).where(_fit("n", "m", how)).distinct()
-                more = _confirmed(given, base.stored(turned, "pairs"), how)
-            links = base.stored(links.unionByName(more), "links")
+    if not asks.isEmpty():
+        found = base.stored(components(links), "found")
+        asks = base.stored(_still_open(asks, found), "asks")
+        if not asks.isEmpty():
+            links = base.stored(links.unionByName(_crowds(given, asks, _members(asks, found, sizes), how)), "links")
     named = rows.where("n > 0").groupBy("d", "n").agg(F.min("doc_id").alias("own")).join(components(links).withColumnRenamed("node", "d"), "d", "left")
     named = named.withColumn("root", F.coalesce("root", "d"))
     least = named.groupBy("root").agg(F.min("own").alias("component_id"))
