@@ -119,6 +119,28 @@ def validate_dimensions(spark, d):
     return C.validate_dimensions(f, clips)
 
 
+@query("a07_validate_channels", with_fixtures("chan") + """,
+asked AS (SELECT seq_id, role, CASE WHEN role='depth' AND seq_id%3=1 THEN NULL WHEN role='depth' THEN 'R' WHEN seq_id%5=2 THEN 'motion.Z' ELSE 'R' END AS channel
+  FROM (SELECT DISTINCT seq_id FROM chan) CROSS JOIN (VALUES ('depth'),('motion')) t(role))
+SELECT a.seq_id, a.role, a.channel FROM asked a LEFT JOIN (SELECT DISTINCT seq_id, channel FROM chan) c ON c.seq_id=a.seq_id AND c.channel=a.channel WHERE c.channel IS NULL""")
+def validate_channels(spark, d):
+    """Every third sequence has no depth channel chosen, every fifth a motion channel that it does not have."""
+    c = fx.chan(spark, d).select("seq_id", "channel").distinct()
+    seqs = c.select("seq_id").distinct().withColumns({
+        "depth": F.when(F.col("seq_id") % 3 != 1, F.lit("R")), "motion": F.when(F.col("seq_id") % 5 == 2, F.lit("motion.Z")).otherwise(F.lit("R"))})
+    return C.validate_channels(seqs, c, ["depth", "motion"]).select("seq_id", "role", "channel")
+
+
+@query("a07_validate_depth_range", with_fixtures("wflow") + """,
+r AS (SELECT clip_id, frame_no, CASE WHEN clip_id%2=0 THEN 'fixed_range' ELSE 'auto' END AS mapping, min(vx) AS near, CASE WHEN frame_no%3=0 THEN min(vx) ELSE max(vx) END AS far FROM wflow GROUP BY 1,2)
+SELECT clip_id, frame_no, CASE WHEN mapping='fixed_range' AND NOT far>near THEN 'fixed range requires far > near' END AS fault FROM r""")
+def validate_depth_range(spark, d):
+    far = F.when(F.col("frame_no") % 3 == 0, F.min("vx")).otherwise(F.max("vx"))
+    r = fx.wide_flow(spark, d).groupBy("clip_id", "frame_no").agg(F.min("vx").alias("near"), far.alias("far"))
+    mapping = F.when(F.col("clip_id") % 2 == 0, "fixed_range").otherwise("auto")
+    return r.select("clip_id", "frame_no", C.validate_depth_range(mapping, F.col("near"), F.col("far")).alias("fault"))
+
+
 @query("a08_probe_to_clips", with_fixtures("probe") + """,
 kv AS (SELECT clip_id, line_no, substr(line,1,instr(line,'=')-1) AS k, substr(line,instr(line,'=')+1) AS v FROM probe),
 a AS (SELECT clip_id, arg_max(TRY_CAST(v AS BIGINT), line_no) FILTER (WHERE k='width') AS width,
@@ -203,3 +225,14 @@ def plane_long(spark, d):
 @query("a13_plane_source", with_fixtures("tile") + " SELECT vec_id, y, x, v FROM tile")
 def plane_source(spark, d):
     return fields.planes_to_long(fx.tile_planes(spark, d), ["plane"], 8, ["vec_id"]).withColumnRenamed("plane", "v")
+
+
+@query("a13_long_source", with_fixtures("wflow") + """
+SELECT clip_id, frame_no, count(*) AS cells, round(avg(confidence),6) AS mean_confidence FROM wflow WHERE confidence>=.5e0 GROUP BY 1,2""")
+def long_source(spark, d):
+    """A long table written once and read back by its declared schema: the filter and two columns reach the scan."""
+    path = f"{checkpoint_root(spark)}/flow-{uuid.uuid4().hex}"
+    names = fields.FLOW_SCHEMA.fieldNames()
+    fx.wide_flow(spark, d).select(*[F.col(c).cast(fields.FLOW_SCHEMA[c].dataType) for c in names]).write.parquet(path)
+    f = fields.read_long(spark, path, fields.FLOW_SCHEMA).where("confidence >= 0.5")
+    return f.groupBy("clip_id", "frame_no").agg(F.count(F.lit(1)).alias("cells"), r6(F.avg("confidence")).alias("mean_confidence"))
