@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..common import r6
 from ..operators import lattice as L
 from ..operators import motion as M
-from ..operators.pairs import flow_stats, scene_segments
+from ..operators.pairs import flow_stats, scene_segments, stability_gates
 from ..sources import fixtures as fx
 from ..sources.fixtures import with_fixtures
 from .q_lattice import WLUMA_CTE
@@ -108,6 +108,25 @@ def zero_duplicate_frames(spark, d):
     return M.zero_duplicate_frames(f, g, gates).withColumn("confidence", r6(F.col("confidence")))
 
 
+_HELD = GRAY_CTE.replace("gray AS", "gray0 AS") + """,
+gray AS (SELECT clip_id, frame_no+k AS frame_no, y, x, v FROM gray0 CROSS JOIN range(2) t(k) WHERE frame_no%2=0),
+still AS (SELECT clip_id, frame_no, y, x, vx*.02e0 AS vx, vy*.02e0 AS vy, confidence FROM flow),"""
+
+
+@query("e04_zero_duplicates_by_gate", with_fixtures("px", "flow") + "," + _HELD + STATS_SQL.replace("FROM flow f", "FROM still f") + f""",
+dup AS (SELECT clip_id, frame_no FROM stats WHERE mad<.01e0 AND changed_ratio<.02e0 AND p50<.12e0 AND p95<1.5e0),
+zc AS (SELECT a.clip_id, a.frame_no, a.y, a.x, exp(-abs(a.v-b.v)/18e0) AS c FROM gray a JOIN gray b ON b.clip_id=a.clip_id AND b.frame_no=a.frame_no-1 AND b.y=a.y AND b.x=a.x JOIN dup ON {on('dup', 'a')}),"""
+       + nine_join("zb", "zc", "sum(n.c*(2-abs(o.dy))*(2-abs(o.dx))/16e0) AS b", 8, 8, edge="reflect")
+       + f""" SELECT {_C}, CASE WHEN b IS NULL THEN vx ELSE 0e0 END AS vx, CASE WHEN b IS NULL THEN vy ELSE 0e0 END AS vy,
+ round(CASE WHEN b IS NULL THEN confidence ELSE {cl('b')} END,6) AS confidence FROM ({filled('still', 'zb', ['vx', 'vy', 'confidence'], ['b'])})""")
+def zero_duplicates_by_gate(spark, d):
+    """The gate itself, on clips in which every other frame is held for two and little moves."""
+    even = gray8(spark, d).where("frame_no % 2 = 0")
+    g = even.withColumn("frame_no", F.explode(F.array("frame_no", F.col("frame_no") + 1)))
+    f = fx.flow(spark, d).select(*CELL, (F.col("vx") * 0.02).alias("vx"), (F.col("vy") * 0.02).alias("vy"), "confidence")
+    return M.zero_duplicate_frames(f, g, stability_gates(flow_stats(f, g))).withColumn("confidence", r6(F.col("confidence")))
+
+
 @query("e05_condition_outliers", with_fixtures("flow") + "," + nine_join("md", "flow", "median(n.vx) AS mx, median(n.vy) AS my", 8, 8) + f""",
 j AS (SELECT f.*, mx, my, CASE WHEN confidence<.35e0 AND sqrt((vx-mx)*(vx-mx)+(vy-my)*(vy-my)) > .75e0+.25e0*sqrt(mx*mx+my*my)
   THEN {cl('(.35e0-confidence)/.35e0')} ELSE 0e0 END AS b FROM flow f JOIN md ON {on('md', 'f', _K4)})

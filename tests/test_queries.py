@@ -11,8 +11,8 @@ import __spark_entry__ as entry
 from tools.check import TABLES, same
 
 D = "/root/testdata/sf0.001"
-SOME = ("a01 a08 a10 b03 b09 b14 c02_resample_nearest_down c03_resample_bilinear c04 c06_pyramid_half c09 c11 c15 d01_scene_cut_score d03 d06 d10 "
-        "e05 e08 f02_stabilize_output f04_consensus_tracks_strong f06_rate_limit_b f07 g04_stall_audit").split()
+SOME = ("a01 a07 a08 a10 b03 b09 b14 c02_resample_nearest_down c03_resample_bilinear c04 c06_pyramid_half c09 c11 c15 d01_scene_cut_score d03 d06 d10 "
+        "e04_zero_duplicates_by_gate e05 e08 f02_stabilize_output f04_consensus_tracks_strong f06_rate_limit_b f07 g02 g04_stall_audit").split()
 NAMES = [n for n in entry.oracle_sql() if os.environ.get("FULL") or any(n.startswith(s) for s in SOME)]
 
 
