@@ -2,10 +2,12 @@
 
 P(w | v) = d(r) r / c(v) for a bigram seen r times in training, else alpha(v) P(w). alpha(v) is what the discounts leave divided by the unigram
 mass of the words not seen after v, so every history sums to one. P(w) is Good-Turing too: seen words share 1 - n1/N by their own counts,
-which a join brings to each bucket for the distinct words in it; no task holds the whole vocabulary.
+which a join brings to each bucket for the distinct words in it; no task holds the whole vocabulary. All words that training lacks are one
+class, which has the rest, so the sum over the vocabulary and that class is one.
 
-Texts become events (history, word, document), packed by slice of documents and bucket of history and written once as a bucketed table.
-Counting and scoring read that table bucket by bucket without a shuffle. A history too common for a bucket is spread by its next word.
+Texts become bigrams (history, word) with the documents they stand in, packed by slice of documents and bucket of history and written once as
+a bucketed table. Counting and scoring read that table bucket by bucket without a shuffle. A history too common for a bucket is spread by its
+next word. What a bucket sends back has one value a distinct bigram of a slice, so it grows as the text does.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from . import base
 from .shingles import _SLICE, _cut_words, _slices, mix64, word_hashes
 
 BEGIN, END = np.uint64(1), np.uint64(2)  # keys of the marks before the first word and after the last
+FINE = float(1 << 27)  # parts of a unit of log10 in which a bigram's probability is sent back: exact to 4e-9
 _SLICE_BYTES, _SLICE_DOCS = 10 << 20, 30_000
 
 
@@ -69,8 +72,7 @@ def _common(docs: DataFrame, buckets: int) -> dict[int, int]:
 
 
 def _events(docs: DataFrame, buckets: int) -> DataFrame:
-    """bucket (-1: a slice's documents), hot, slice, payload. A payload has distinct histories, their numbers of events, and for each event the
-    word (five bytes) and the document's number in the slice, its top bit set for training documents."""
+    """bucket (-1: a slice's documents), hot, slice, payload (see _pack): the distinct bigrams of a slice's documents that belong to a bucket."""
     spread = _common(docs, buckets)
     hot_keys = np.array(sorted(spread), np.uint64)
     hot_width = np.array([spread[k] for k in sorted(spread)], np.uint64)
@@ -104,23 +106,20 @@ def _events(docs: DataFrame, buckets: int) -> DataFrame:
             hot |= begins
             home = np.where(begins, mix64(word ^ np.uint64(78)) % np.uint64(buckets), home)
             key = home << np.uint64(33) | hot.astype(np.uint64) << np.uint64(32) | history >> np.uint64(32)
-            order = np.argsort(key, kind="stable")
+            order = np.lexsort((word, key))
             history, word, tag, key = history[order], word[order], (doc + (train[doc] << 15)).astype(np.uint16)[order], key[order] >> np.uint64(32)
             edges = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)] if len(key) else np.zeros(1, int)
             where, kind, loads = [-1], [False], [np.array([-1 if i is None else i for i in ids], np.int64).tobytes() + np.bincount(d, minlength=n).astype(np.int64).tobytes() + np.array([i is None for i in ids], bool).tobytes()]
             for a, b in zip(edges[:-1], edges[1:]):
-                h = history[a:b]
-                first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-                run_lengths = np.diff(np.r_[first, len(h)]).astype(np.uint32)
-                five = np.ascontiguousarray(word[a:b].view(np.uint8).reshape(-1, 8)[:, :5])
                 where.append(int(key[a] >> np.uint64(1)))
                 kind.append(bool(key[a] & np.uint64(1)))
-                loads.append(np.array([len(first), b - a], np.int64).tobytes() + h[first].tobytes() + run_lengths.tobytes() + five.tobytes() + tag[a:b].tobytes())
+                loads.append(_pack(history[a:b], word[a:b], tag[a:b]))
             batch = pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(kind), pa.array([task + number] * len(where), pa.int64()), pa.array(loads, pa.binary())],
                                                ["bucket", "hot", "slice", "payload"])
             number, size = number + 1, 0
             for x in (ids, marks, words, owners):
                 x.clear()
+            base.release()
             return batch
 
         for b in batches:
@@ -139,25 +138,46 @@ def _events(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, "bucket int, hot boolean, slice long, payload binary")
 
 
+def _pack(history: np.ndarray, word: np.ndarray, tag: np.ndarray) -> bytes:
+    """Sorted events as: numbers of histories, bigrams, events and long bigrams; histories; words (five bytes); then the tail: bigrams of
+    each history, events of each bigram (a byte; 255: see the long ones), and each event's document in the slice, its top bit set in training."""
+    new = np.r_[True, (history[1:] != history[:-1]) | (word[1:] != word[:-1])]
+    first = np.flatnonzero(new)
+    times = np.diff(np.r_[first, len(word)])
+    h = history[first]
+    begin = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    five = np.ascontiguousarray(word[first].view(np.uint8).reshape(-1, 8)[:, :5])
+    long = times[times >= 255].astype(np.uint32)
+    return b"".join(x.tobytes() for x in (np.array([len(begin), len(first), len(word), len(long)], np.int64), h[begin], five, np.diff(np.r_[begin, len(h)]).astype(np.uint32),
+                                          np.minimum(times, 255).astype(np.uint8), long, tag))
+
+
+def _tail(load: bytes, at: int, head: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bigrams of each history, events of each bigram, tags) of a payload whose tail begins at a byte."""
+    n, m, events, more = head.tolist()
+    runs = np.frombuffer(load, np.uint32, n, at)
+    times = np.frombuffer(load, np.uint8, m, at + 4 * n).astype(np.int64)
+    times[times == 255] = np.frombuffer(load, np.uint32, more, at + 4 * n + m)
+    return runs, times, np.frombuffer(load, np.uint16, events, at + 4 * n + m + 4 * more)
+
+
 def _read(t: pa.Table) -> tuple:
-    """Histories, words, slice numbers and tags of all events of a bucket, and the slices' ids."""
+    """History, word and training count of each slice's bigrams in a bucket, the payloads, and where each payload's bigrams begin."""
     loads = t["payload"].to_pylist()
-    sizes = [int(np.frombuffer(x, np.int64, 1, 8)[0]) for x in loads]
-    total, end = sum(sizes), 0
-    history, word = np.empty(total, np.uint64), np.zeros((total, 8), np.uint8)
-    tag, where = np.empty(total, np.uint16), np.empty(total, np.int32)
-    for k, (x, n) in enumerate(zip(loads, sizes)):
-        m = int(np.frombuffer(x, np.int64, 1)[0])
-        begin, end, at = end, end + n, 16 + 12 * m
-        history[begin:end] = np.repeat(np.frombuffer(x, np.uint64, m, 16), np.frombuffer(x, np.uint32, m, 16 + 8 * m))
-        word[begin:end, :5] = np.frombuffer(x, np.uint8, 5 * n, at).reshape(n, 5)
-        tag[begin:end] = np.frombuffer(x, np.uint16, n, at + 5 * n)
-        where[begin:end] = k
-    return history, word.view(np.uint64).ravel(), tag, where, t["slice"].to_numpy()
-
-
-def _pairs(history: np.ndarray, word: np.ndarray, tag: np.ndarray) -> tuple:
-    """Distinct bigrams: (index of an event of each, bigram of each event, training count)."""
+    heads = [np.frombuffer(x, np.int64, 4) for x in loads]
+    ends = np.cumsum([0, *(int(h[1]) for h in heads)])
+    history, word, count = np.empty(ends[-1], np.uint64), np.zeros((ends[-1], 8), np.uint8), np.empty(ends[-1], np.int64)
+    for x, head, a, b in zip(loads, heads, ends[:-1], ends[1:]):
+        n, m = int(head[0]), int(head[1])
+        runs, times, tags = _tail(x, 32 + 8 * n + 5 * m, head)
+        history[a:b] = np.repeat(np.frombuffer(x, np.uint64, n, 32), runs)
+        word[a:b, :5] = np.frombuffer(x, np.uint8, 5 * m, 32 + 8 * n).reshape(m, 5)
+        count[a:b] = np.add.reduceat(tags >> 15, np.r_[0, np.cumsum(times)[:-1]], dtype=np.int64)
+    return history, word.view(np.uint64).ravel(), count, loads, ends
+
+
+def _pairs(history: np.ndarray, word: np.ndarray, count: np.ndarray) -> tuple:
+    """Distinct bigrams of all slices: (index of one of each, which each is, training count)."""
     key = word * np.uint64(0x9E3779B97F4A7C15)
     key += history
     key = mix64(key)
@@ -170,32 +190,26 @@ def _pairs(history: np.ndarray, word: np.ndarray, tag: np.ndarray) -> tuple:
     of = np.empty(len(order), np.int32)
     of[order] = np.cumsum(new, dtype=np.int32) - 1
     del order
-    return first, of, np.bincount(of, tag >> 15, len(first)).astype(np.int64)
+    return first, of, np.bincount(of, count, len(first)).astype(np.int64)
 
 
 @dataclass
 class Unigrams:
-    """keys and counts of words with their own; count and number of seen words of each class of the others (scoring has none); totals."""
+    """Ascending keys and counts of training words, and the totals over all of them."""
 
     keys: np.ndarray
     counts: np.ndarray
-    class_count: np.ndarray
-    class_words: np.ndarray
     total: int
     once: int
 
     def probability(self, word: np.ndarray) -> np.ndarray:
-        """P(word), of five-byte keys."""
-        missing = min(0.5, max(1, self.once) / max(2, self.total + 1))
-        out = np.full(len(word), missing / (self.once + 1))
-        slot = (word % np.uint64(len(self.class_count))).astype(np.int64)
-        known = self.class_words[slot] > 0
-        share = (1 - missing) / max(1, self.total)
-        out[known] = share * self.class_count[slot[known]] / self.class_words[slot[known]]
+        """P(word), of five-byte keys: a word that is not among the keys stands for the class of all unseen words."""
+        missing = min(0.5, max(1, self.once) / (self.total + 1)) if self.total else 1.0
+        out = np.full(len(word), missing)
         if len(self.keys):
             at = np.minimum(np.searchsorted(self.keys, word), len(self.keys) - 1)
             own = self.keys[at] == word
-            out[own] = share * self.counts[at[own]]
+            out[own] = (1 - missing) / self.total * self.counts[at[own]]
         return out
 
 
@@ -236,8 +250,8 @@ def score(docs: DataFrame, train: Column, how: Katz = Katz()) -> tuple[DataFrame
     packed = events.where("bucket >= 0")
 
     def count(t: pa.Table) -> pa.Table:
-        history, word, tag, _, _ = _read(t)
-        first, _, times = _pairs(history, word, tag)
+        history, word, seen, _, _ = _read(t)
+        first, _, times = _pairs(history, word, seen)
         r, n = np.unique(np.minimum(times, how.discounted + 2), return_counts=True)
         seen = times > 0
         names, of = np.unique(history[first[seen]], return_inverse=True)
@@ -254,7 +268,7 @@ def score(docs: DataFrame, train: Column, how: Katz = Katz()) -> tuple[DataFrame
     words = base.stored(counted.where((F.col("kind") == 0) & (F.col("key") != int(BEGIN))).groupBy(F.col("key").alias("word")).agg(F.sum("n").alias("count")), "unigrams")
     totals = words.agg(F.sum("count").alias("n"), F.count("*").alias("v"), F.sum((F.col("count") == 1).cast("long")).alias("once")).first()
     all_tokens, vocabulary = (totals["n"] or 0) + ends, totals["v"] + (ends > 0)
-    once, none = totals["once"] or 0, np.zeros(1)
+    once = totals["once"] or 0
     own = words.groupBy(F.expr("word & 1099511627775L").alias("key")).agg(F.sum("count").alias("count")).where(F.col("key") != int(END))
     asked = counted.where("kind = 2").select("key", F.col("n").cast("int").alias("bucket"))
     # A merge join at every size: the vocabulary is never broadcast.
@@ -268,12 +282,12 @@ def score(docs: DataFrame, train: Column, how: Katz = Katz()) -> tuple[DataFrame
         if ends:
             keys, counts = np.r_[keys, END], np.r_[counts, float(ends)]
         order = np.argsort(keys)
-        return Unigrams(keys[order], counts[order], none, none, all_tokens, once)
+        return Unigrams(keys[order], counts[order], all_tokens, once)
 
     def mass(t: pa.Table, u: pa.Table) -> pa.Table:
         """Of the spread histories: training count, discounted mass and unigram mass of their words in this bucket."""
-        history, word, tag, _, _ = _read(t)
-        first, _, r = _pairs(history, word, tag)
+        history, word, seen, _, _ = _read(t)
+        first, _, r = _pairs(history, word, seen)
         first, r = first[r > 0], r[r > 0]
         names, of = np.unique(history[first], return_inverse=True)
         d = np.where(r <= how.discounted, factor[np.minimum(r, how.discounted)], 1.0)
@@ -287,8 +301,8 @@ def score(docs: DataFrame, train: Column, how: Katz = Katz()) -> tuple[DataFrame
     hot_v, hot_sums = np.array([r[0] for r in spread], np.uint64), np.array([r[1:] for r in spread], float).reshape(-1, 3)
 
     def judge(t: pa.Table, own: pa.Table) -> pa.Table:
-        history, word, tag, where, slices = _read(t)
-        first, of, r = _pairs(history, word, tag)
+        history, word, count, loads, ends = _read(t)
+        first, of, r = _pairs(history, word, count)
         p = unigrams(own).probability(word[first])
         names, vi = np.unique(history[first], return_inverse=True)
         seen = r > 0
@@ -299,21 +313,21 @@ def score(docs: DataFrame, train: Column, how: Katz = Katz()) -> tuple[DataFrame
             is_hot = hot_v[at] == names
             c[is_hot], m[is_hot], u[is_hot] = hot_sums[at[is_hot]].T
         scale, alpha = _weights(m, u, c)
+        del word
         likely = np.where(seen, scale[vi] * d * r / np.maximum(c[vi], 1), np.maximum(alpha[vi], 1e-12) * p)
         # A word's own count and base term come from its event as a history; the beginning has none.
-        real = (names != BEGIN)[vi]
-        known = real & (c[vi] > 0)
-        alone = np.where(real, np.log10(c[vi] + 0.5), 0.0)
-        worth = np.log10(likely)
-        del history, word
-        bounds = np.searchsorted(where, np.arange(len(slices) + 1))  # events lie slice by slice
-        loads = []
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            doc, pair = (tag[a:b] & 0x7FFF).astype(np.int64), of[a:b]
-            there = np.flatnonzero(np.bincount(doc))
-            sums = [np.bincount(doc, x[pair])[there] for x in (worth, alone, known)]
-            loads.append(there.astype(np.uint16).tobytes() + sums[0].tobytes() + sums[1].tobytes() + sums[2].astype(np.int32).tobytes())
-        return pa.table({"slice": pa.array(slices), "payload": pa.array(loads, pa.binary())})
+        own_count = np.where(names == BEGIN, -1.0, c)[vi]
+        worth = np.minimum(np.rint(np.log10(likely) * -FINE), (1 << 32) - 1).astype(np.uint32)
+        del history, likely, p, d, r, count
+        base.release()
+        out = []
+        for x, a, b in zip(loads, ends[:-1], ends[1:]):
+            head = np.frombuffer(x, np.int64, 4)
+            n, m = int(head[0]), int(head[1])
+            runs = np.frombuffer(x, np.uint32, n, 32 + 8 * n + 5 * m)
+            begin = a + np.r_[0, np.cumsum(runs[:-1])].astype(np.int64)
+            out.append(x[:32] + own_count[of[begin]].tobytes() + worth[of[a:b]].tobytes() + x[32 + 8 * n + 5 * m:])
+        return pa.table({"slice": t["slice"], "payload": pa.array(out, pa.binary())})
 
     parts = packed.groupBy("bucket").cogroup(own.groupBy("bucket")).applyInArrow(judge, "slice long, payload binary").withColumn("ids", F.lit(None).cast("binary"))
     headers = events.where("bucket = -1").select("slice", F.lit(None).cast("binary").alias("payload"), F.col("payload").alias("ids"))
@@ -325,14 +339,22 @@ def score(docs: DataFrame, train: Column, how: Katz = Katz()) -> tuple[DataFrame
         sums = [np.zeros(n), np.zeros(n), np.zeros(n, np.int64)]
         for x in t["payload"].to_pylist():
             if x:
-                k = len(x) // 22
-                doc = np.frombuffer(x, np.uint16, k)
-                for j, kind in enumerate((np.float64, np.float64, np.int32)):
-                    sums[j][doc] += np.frombuffer(x, kind, k, 2 * k + 8 * k * j)
+                head = np.frombuffer(x, np.int64, 4)
+                k, m = int(head[0]), int(head[1])
+                runs, times, tags = _tail(x, 32 + 8 * k + 4 * m, head)
+                doc = tags & np.uint16(0x7FFF)
+                count = np.repeat(np.repeat(np.frombuffer(x, np.float64, k, 32), runs), times)
+                sums[0] += np.bincount(doc, np.repeat(np.frombuffer(x, np.uint32, m, 32 + 8 * k) / -FINE, times), n)
+                sums[1] += np.bincount(doc, np.where(count >= 0, np.log10(np.maximum(count, 0) + 0.5), 0.0), n)
+                sums[2] += np.bincount(doc, count > 0, n).astype(np.int64)
         return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=null), "score": pa.array(sums[0]), "base_log": pa.array(sums[1]), "n_known": pa.array(sums[2]), "words": pa.array(words)})
 
     rows = parts.unionByName(headers).groupBy("slice").applyInArrow(gather, "doc_id long, score double, base_log double, n_known long, words long")
     end = float(np.log10(ends + 0.5))
     rows = rows.select("doc_id", (F.col("words") + 1).alias("n_tokens"), (F.col("n_known") + int(ends > 0)).alias("n_known"), (F.col("base_log") + end).alias("base_log"),
                        "score", F.lit(int(all_tokens)).cast("long").alias("train_tokens"), F.lit(int(vocabulary)).cast("long").alias("vocabulary"))
+    rows = base.stored(rows, "scores")
+    for t, folder in ((name, path), (f"{name}_own", f"{path}_own")):
+        spark.sql(f"DROP TABLE {t}")
+        base.discard(spark, folder)
     return rows, {"unigrams": words}

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from framelattice.llm import base, katz, queries
+from framelattice.llm import katz, queries
 
 from .conftest import SF
 
@@ -27,8 +27,8 @@ def brute(docs, train):
     history = defaultdict(list)
     for (a, w), c in two.items():
         history[a].append((w, c))
-    missing = min(0.5, max(1, once) / max(2, n + 1))
-    uni = lambda w: (1 - missing) * one[w] / n if one[w] else missing / (once + 1)
+    missing = min(0.5, max(1, once) / (n + 1)) if n else 1.0
+    uni = lambda w: (1 - missing) * one[w] / n if one[w] else missing  # all unseen words are one class
     cut = lambda c: d[c] * c if c <= 5 else c
 
     def p(a, w):
@@ -54,12 +54,11 @@ def test_query(spark):
         r = got[i]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (not t, *w[:3])
         assert r["base_score"] == pytest.approx(w[3], rel=1e-9)
-        # Words beyond the commonest share classes only if there are more than the table keeps.
         assert r["score"] == pytest.approx(w[4], rel=1e-6)
     held = [(got[i]["score"], got[i]["base_score"]) for (i, _), t in zip(docs, train) if not t]
     assert sum(a for a, _ in held) > sum(b for _, b in held)
-    for a in ("the", "de", B):
-        assert sum(p(a, w) for w in one) <= 1 + 1e-9
+    for a in ("the", "de", B, *list(one)[:20]):
+        assert sum(p(a, w) for w in [*one, "no word of training"]) == pytest.approx(1, abs=1e-9)
 
 
 def test_odd(spark, odd, empty):
@@ -96,17 +95,29 @@ def test_every_word_has_its_own_count(spark):
         assert got[k]["score"] == pytest.approx(w[4], rel=1e-9), k
 
 
-def test_classes_normalise():
-    """With few own counts and few classes the unigram masses of seen words still sum to what is not kept for unseen ones."""
+def test_unigrams_normalise():
+    """Over all training words and the class of the others the sum is one."""
     rng = np.random.default_rng(0)
     words = np.unique(rng.integers(3, 1 << 40, 500, dtype=np.uint64))
     counts = rng.integers(1, 50, len(words)).astype(float)
-    top = np.argsort(-counts)[:40]
-    rest = np.setdiff1d(np.arange(len(words)), top)
-    order = top[np.argsort(words[top])]
-    u = katz.Unigrams(words[order], counts[order], np.zeros(16), np.zeros(16), int(counts.sum()), 7)
-    slot = (words[rest] % np.uint64(16)).astype(int)
-    np.add.at(u.class_count, slot, counts[rest])
-    np.add.at(u.class_words, slot, 1)
-    assert u.probability(words).sum() == pytest.approx(1 - 7 / (counts.sum() + 1))
-    assert base.BLANKS
+    u = katz.Unigrams(words, counts, int(counts.sum()), 7)
+    assert u.probability(np.r_[words, np.uint64(2)]).sum() == pytest.approx(1)
+    none = np.zeros(0)
+    assert katz.Unigrams(none.astype(np.uint64), none, 0, 0).probability(words).tolist() == [1.0] * len(words)
+
+
+def test_packed_events():
+    rng = np.random.default_rng(4)
+    history, word = np.sort(rng.integers(3, 9, 3000, dtype=np.uint64)), rng.integers(1, 4, 3000, dtype=np.uint64)
+    order = np.lexsort((word, history))
+    history, word, tag = history[order], word[order], rng.integers(0, 1 << 16, 3000).astype(np.uint16)
+    one = katz._pack(history, word, tag)
+    import pyarrow as pa
+
+    h, w, n, _, ends = katz._read(pa.table({"payload": pa.array([one, katz._pack(history[:1], word[:1], tag[:1])], pa.binary())}))
+    want = Counter(zip(history.tolist(), word.tolist(), strict=True))
+    trained = Counter((a, b) for a, b, t in zip(history.tolist(), word.tolist(), tag.tolist()) if t >> 15)
+    assert ends.tolist() == [0, len(want), len(want) + 1]
+    assert {(a, b): c for a, b, c in zip(h[:-1].tolist(), w[:-1].tolist(), n[:-1].tolist())} == {k: trained[k] for k in want}
+    same = katz._pack(np.full(400, 5, np.uint64), np.full(400, 6, np.uint64), np.full(400, 1 << 15, np.uint16))
+    assert katz._read(pa.table({"payload": pa.array([same], pa.binary())}))[2].tolist() == [400]
