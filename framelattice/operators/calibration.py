@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..common import KEYS, big, clamp01, finite, hypot
+from ..common import KEYS, big, clamp01, finite
 from ..functions.colour import luma
 from ..functions.names import convention_penalty, depth_name_prior, leaf, motion_name_prior
 from ..sources.catalog import even_sample, on_stride
-from ..sources.fields import long_to_planes
-from .lattice import at_position, attach_planes, inside, with_position
 from .pairs import informative_pairs, pair_mad
 
 # Fixed values.
@@ -172,21 +175,112 @@ def candidate_grid(channels: DataFrame, width: int, height: int) -> DataFrame:
         convention(F.col("ordinal"), width, height))
 
 
+class FrameErrors:
+    """Residual and motion sums of every convention of every channel pair, for the cells that are projected into one frame's luma plane."""
+
+    schema = "clip_id long, x_slot int, y_slot int, ordinal int, residual double, motion double, n long"
+    room = 1 << 26  # bytes of positions at once
+
+    def __init__(self, width: int, height: int, source_width: int, source_height: int):
+        self.width, self.height, self.sw, self.sh = width, height, source_width, source_height
+        # the scales of ``convention``, in its order
+        self.scales = [(u * f, v * f) for u, v in ((1.0, 1.0), (float(source_width), float(source_height)), (source_width * 0.5, source_height * 0.5))
+                       for f in FACTORS]
+
+    def _axis(self, at: np.ndarray, value: np.ndarray, scale: float, limit: float, size: int, source: int) -> tuple:
+        """Displacement, usable, seen, lower index and fraction along one axis, NaN and infinity being neither."""
+        f = value * scale
+        usable = np.abs(f) <= 2.0 * limit
+        d = np.where(usable, f * (size / source), 0.0)
+        q = at + d
+        seen = usable & (q >= 0.0) & (q <= size - 1)
+        q = np.where(seen, q, 0.0)
+        low = q.astype(np.int64)
+        return d, usable, seen, low, q - low
+
+    def _pair(self, plane: np.ndarray, y: np.ndarray, x: np.ndarray, l: np.ndarray, vx: np.ndarray, vy: np.ndarray) -> np.ndarray:
+        """Residual and motion sums, 2 rows of 15 scales by 4 signs."""
+        w, h = self.width, self.height
+        out = np.zeros((2, len(self.scales) * 4))
+        for k, (sx, sy) in enumerate(self.scales):
+            across = [self._axis(x, vx, s, self.sw, w, self.sw) for s in (sx, -sx)]
+            down = [self._axis(y, vy, s, self.sh, h, self.sh) for s in (sy, -sy)]
+            usable = across[0][1] & down[0][1]
+            motion = np.sqrt(across[0][0] ** 2 + down[0][0] ** 2)[usable].sum()
+            for sign in range(4):
+                _, _, seen_x, x0, tx = across[sign % 2]
+                _, _, seen_y, y0, ty = down[sign // 2]
+                at = np.flatnonzero(seen_x & seen_y)
+                residual = float(len(l) - len(at))  # what leaves the image counts whole
+                if len(at):
+                    x0, y0, tx, ty = x0[at], y0[at], tx[at], ty[at]
+                    i = y0 * w + x0
+                    right, below = (x0 < w - 1).astype(np.int64), np.where(y0 < h - 1, w, 0)
+                    a, c = plane[i], plane[i + below]
+                    top = a + (plane[i + right] - a) * tx
+                    b = top + (c + (plane[i + below + right] - c) * tx - top) * ty
+                    residual += (np.fmin(np.abs(l[at] - b) / 255.0, RESIDUAL_CAP) / RESIDUAL_CAP).sum()
+                out[:, 4 * k + sign] = residual, motion
+        return out
+
+    def _slots(self, cells: pa.Table) -> Iterator[tuple[int, int, pd.DataFrame]]:
+        """Ordered pairs of slots with the cells that have both; cells(y, x, l, fwd, v)."""
+        v = cells["v"].combine_chunks()
+        flat = v.flatten()
+        entry = pd.DataFrame({"cell": np.repeat(np.arange(len(v)), np.diff(v.offsets.to_numpy())), "slot": flat.field("slot").to_numpy(zero_copy_only=False),
+                              "v": flat.field("value").to_numpy(zero_copy_only=False).astype(np.float64)})
+        by = {int(k): g for k, g in entry.groupby("slot")}
+        for a, ga in by.items():
+            for b, gb in by.items():
+                if a == b:
+                    continue
+                same = len(ga) == len(gb) and (ga["cell"].to_numpy() == gb["cell"].to_numpy()).all() and ga["cell"].is_unique
+                if same:
+                    yield a, b, pd.DataFrame({"cell": ga["cell"].to_numpy(), "vx": ga["v"].to_numpy(), "vy": gb["v"].to_numpy()})
+                else:
+                    yield a, b, ga[["cell", "v"]].merge(gb[["cell", "v"]], on="cell").set_axis(["cell", "vx", "vy"], axis=1)
+
+    def __call__(self, cells: pa.Table, luma_cells: pa.Table) -> pa.Table:
+        num = lambda t, c, kind: t[c].to_numpy().astype(kind)
+        found = []
+        if len(cells) and len(luma_cells):
+            plane = np.full(self.width * self.height, np.nan)
+            plane[num(luma_cells, "y", np.int64) * self.width + num(luma_cells, "x", np.int64)] = num(luma_cells, "l", np.float64)
+            clip = cells["clip_id"][0].as_py()
+            step = max(1024, self.room // 256)
+            for first in range(0, len(cells), step):
+                part = cells.slice(first, step)
+                y, x, l = (num(part, c, np.float64) for c in ("y", "x", "l"))
+                fwd = num(part, "fwd", bool)
+                for a, b, p in self._slots(part):
+                    for way in (False, True):
+                        q = p[fwd[p["cell"].to_numpy()] == way]
+                        at = q["cell"].to_numpy()
+                        if not len(at):
+                            continue
+                        residual, motion = self._pair(plane, y[at], x[at], l[at], q["vx"].to_numpy(), q["vy"].to_numpy())
+                        # even ordinals point back, odd ones forward
+                        found.append(pd.DataFrame({"clip_id": clip, "x_slot": a, "y_slot": b, "ordinal": 2 * np.arange(len(residual)) + way,
+                                                   "residual": residual, "motion": motion, "n": len(at)}))
+        kinds = pa.schema([("clip_id", pa.int64()), ("x_slot", pa.int32()), ("y_slot", pa.int32()), ("ordinal", pa.int32()),
+                           ("residual", pa.float64()), ("motion", pa.float64()), ("n", pa.int64())])
+        return pa.Table.from_pandas(pd.concat(found), kinds, preserve_index=False) if found else kinds.empty_table()
+
+
 def motion_candidate_error(px: DataFrame, chan: DataFrame, channels: DataFrame, pairs: DataFrame, width: int, height: int,
                            source_width: int | None = None, source_height: int | None = None, step: int = 1) -> DataFrame:
     """Reprojection residual and mean motion of every convention of every channel pair, per clip.
 
-    px and chan are at analysis resolution (width x height). Lattice samples meet the luma plane they
-    are projected into once, every step-th one both ways; channel pairs and conventions are unfolded from arrays in the same stage
-    and summed map-side, so the candidate rows themselves never cross the network.
+    px and chan are at analysis resolution (width x height). Lattice samples, every step-th one both ways, meet the frame they are projected
+    into, one group a frame; channel pairs and conventions are tried there by arrays over its cells, and only their sums leave the task.
     chan(seq_id = clip_id, frame_no = 1-based file position, channel, y, x, value).
     """
     sw, sh = source_width or width, source_height or height
     l = px.select(*KEYS, "y", "x", luma(F.col("r"), F.col("g"), F.col("b")).alias("l"))
     use = pairs.select("clip_id", F.col("frame_no").alias("pair"))
-    planes = long_to_planes(
-        l.join(use.select("clip_id", F.explode(F.array("pair", F.col("pair") - 1)).alias("frame_no")).distinct(),
-               list(KEYS), "left_semi"), ["l"]).withColumnsRenamed({"frame_no": "plane_frame", "l": "plane"})
+    planes = l.join(use.select("clip_id", F.explode(F.array("pair", F.col("pair") - 1)).alias("frame_no")).distinct(),
+                    list(KEYS), "left_semi")
+    planes = planes.select(*[F.col(c).alias(n) for c, n in (("clip_id", "clip_id"), ("frame_no", "plane_frame"), ("y", "y"), ("x", "x"), ("l", "l"))])
     kept = chan.where(on_lattice(step)).join(channels.select("seq_id", "channel", "slot"), ["seq_id", "channel"])
     # one entry per kept channel
     values = kept.groupBy(F.col("seq_id").alias("clip_id"), "frame_no", "y", "x").agg(
@@ -197,35 +291,12 @@ def motion_candidate_error(px: DataFrame, chan: DataFrame, channels: DataFrame,
         F.struct(F.col("frame_no").alias("pair"), F.lit(False).alias("fwd"), (F.col("frame_no") - 1).alias("plane_frame")),
         F.struct((F.col("frame_no") + 1).alias("pair"), F.lit(True).alias("fwd"), (F.col("frame_no") + 1).alias("plane_frame")))
     s = s.select("clip_id", "y", "x", "l", "v", F.explode(ways).alias("w")).select("clip_id", "y", "x", "l", "v", "w.*")
-    s = s.join(use, ["clip_id", "pair"], "left_semi")
-    two = lambda v: F.flatten(F.transform(v, lambda a: F.transform(
-        F.filter(v, lambda b: b["slot"] != a["slot"]),
-        lambda b: F.struct(a["slot"].alias("x_slot"), b["slot"].alias("y_slot"), a["value"].alias("vx"), b["value"].alias("vy")))))
-    s = s.select("clip_id", "plane_frame", "y", "x", "l", "fwd", F.explode(two(F.col("v"))).alias("p")).select(
-        "clip_id", "plane_frame", "y", "x", "l", "fwd", "p.*")
-    # From here on only generated code touches the plane: a lambda between this join and the last
-    # element read would leave code generation and copy the array into every unfolded row.
-    j = attach_planes(s, planes, ("clip_id", "plane_frame"), "inner")
-    # Even ordinals point back, odd ones forward.
-    j = j.select("*", F.explode(F.sequence(F.lit(0), F.lit(CONVENTIONS - 2), F.lit(2))).alias("k")).withColumn(
-        "ordinal", F.col("k") + F.col("fwd").cast("int"))
-    c = convention(F.col("ordinal"), sw, sh)
-    j = j.select("clip_id", "x_slot", "y_slot", "ordinal", "x", "y", "l", "plane",
-                 (F.col("vx") * F.when(c["flip_x"], -c["sx"]).otherwise(c["sx"])).alias("fx"),
-                 (F.col("vy") * F.when(c["flip_y"], -c["sy"]).otherwise(c["sy"])).alias("fy"))
-    # NaN and infinity fail these comparisons too
-    j = j.withColumn("usable", (F.abs("fx") <= 2.0 * sw) & (F.abs("fy") <= 2.0 * sh)).withColumn(
-        "dx", F.col("fx") * (width / sw)).withColumn("dy", F.col("fy") * (height / sh))
-    j = j.withColumns({"qx": F.col("x") + F.col("dx"), "qy": F.col("y") + F.col("dy")}).withColumn(
-        "seen", F.col("usable") & inside(F.col("qx"), F.col("qy"), width, height))
-    j = j.withColumns({"qx": F.when(F.col("seen"), F.col("qx")).otherwise(0.0), "qy": F.when(F.col("seen"), F.col("qy")).otherwise(0.0)})
-    j = with_position(j, "q", F.col("qx"), F.col("qy"), width, height, clamped=False)
-    j = j.withColumn("b", at_position("plane", "q")).select(
-        "clip_id", "x_slot", "y_slot", "ordinal",
-        F.when(F.col("seen"), capped_residual(F.col("l"), F.col("b"))).otherwise(1.0).alias("residual"),
-        F.when(F.col("usable"), hypot(F.col("dx"), F.col("dy"))).otherwise(0.0).alias("motion"))
-    agg = j.groupBy("clip_id", "x_slot", "y_slot", "ordinal").agg(
-        F.avg("residual").alias("error"), F.avg("motion").alias("mean_motion"), F.count(F.lit(1)).alias("samples"))
+    s = s.join(use, ["clip_id", "pair"], "left_semi").select("clip_id", "plane_frame", "y", "x", "l", "fwd", "v")
+    frame = FrameErrors(width, height, sw, sh)
+    sums = s.groupBy("clip_id", "plane_frame").cogroup(planes.groupBy("clip_id", "plane_frame")).applyInArrow(
+        lambda cells, luma_cells: frame(cells, luma_cells), FrameErrors.schema)
+    agg = sums.groupBy("clip_id", "x_slot", "y_slot", "ordinal").agg(
+        (F.sum("residual") / F.sum("n")).alias("error"), (F.sum("motion") / F.sum("n")).alias("mean_motion"), big(F.sum("n")).alias("samples"))
     agg = agg.withColumn("error", F.col("error") + F.when(F.col("mean_motion") < 0.025, 0.025).otherwise(0.0))
     grid = candidate_grid(channels, sw, sh).withColumnRenamed("seq_id", "clip_id")
     return grid.join(agg, ["clip_id", "x_slot", "y_slot", "ordinal"])

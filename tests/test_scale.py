@@ -163,3 +163,20 @@ def test_stall_watch_packs_waiting_times(spark):
     out = pd.concat(h.batch((1,), d.iloc[:0], 61000000) + h.batch((1,), d.iloc[:0], 10**12))
     assert [(r.last_t, r.state) for r in out.itertuples()] == [(39998.0, "resumed"), (129998.0, "stalled")] and Value.ops < 100
     assert list(pd.concat(h.batch((1,), d.iloc[:3], 10**12))["state"]) == ["late"] * 3
+
+
+def test_candidates_are_tried_by_arrays_over_a_frame():
+    """One frame's sums for d12_motion_candidate_error: a null counts whole, a cell with one channel has no pair, rows come once a candidate."""
+    import pyarrow as pa
+
+    from framelattice.operators.calibration import FrameErrors
+
+    kind = pa.list_(pa.struct([("slot", pa.int32()), ("value", pa.float64())]))
+    v = [[{"slot": 1, "value": 1.0}, {"slot": 2, "value": 0.0}], [{"slot": 1, "value": None}, {"slot": 2, "value": 0.0}], [{"slot": 1, "value": 1.0}]]
+    cells = pa.table({"clip_id": [5] * 3, "y": [0, 0, 1], "x": [0, 1, 1], "l": [10.0, 20.0, 30.0], "fwd": [True] * 3, "v": pa.array(v, kind)})
+    plane = pa.table({"y": [0, 0, 0, 1, 1, 1], "x": [0, 1, 2, 0, 1, 2], "l": [10.0, 12.0, 14.0, 20.0, 22.0, 24.0]})
+    out = FrameErrors(3, 2, 3, 2)(cells, plane).to_pandas().set_index(["x_slot", "y_slot", "ordinal"])
+    assert len(out) == 2 * 60 and (out["n"] == 2).all()
+    # pixels x 1, no flip, forward: cell (0, 0) reads 12 against 10, the null cell counts whole and has no motion
+    one = out.loc[(1, 2, 17)]
+    assert abs(one["residual"] - (2 / 255 / 0.35 + 1.0)) < 1e-12 and one["motion"] == 1.0
