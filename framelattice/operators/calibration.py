@@ -198,28 +198,29 @@ class FrameErrors:
         low = q.astype(np.int64)
         return d, usable, seen, low, q - low
 
-    def _pair(self, plane: np.ndarray, y: np.ndarray, x: np.ndarray, l: np.ndarray, vx: np.ndarray, vy: np.ndarray) -> np.ndarray:
-        """Residual and motion sums, 2 rows of 15 scales by 4 signs."""
-        w, h = self.width, self.height
+    def _corners(self, plane: np.ndarray) -> np.ndarray:
+        """Four rows: the plane, its right, lower and diagonal neighbours; the last row and column are their own."""
+        p = np.pad(plane.reshape(self.height, self.width), ((0, 1), (0, 1)), "edge")
+        return np.stack([p[:-1, :-1].ravel(), p[:-1, 1:].ravel(), p[1:, :-1].ravel(), p[1:, 1:].ravel()])
+
+    def _pair(self, corners: np.ndarray, l: np.ndarray, across: list, down: list) -> np.ndarray:
+        """Residual and motion sums, 2 rows of 15 scales by 4 signs, from both axes' positions."""
         out = np.zeros((2, len(self.scales) * 4))
-        for k, (sx, sy) in enumerate(self.scales):
-            across = [self._axis(x, vx, s, self.sw, w, self.sw) for s in (sx, -sx)]
-            down = [self._axis(y, vy, s, self.sh, h, self.sh) for s in (sy, -sy)]
-            usable = across[0][1] & down[0][1]
-            motion = np.sqrt(across[0][0] ** 2 + down[0][0] ** 2)[usable].sum()
+        for k in range(len(self.scales)):
+            ax, ay = across[k], down[k]
+            usable = ax[0][1] & ay[0][1]
+            motion = np.sqrt(ax[0][0] ** 2 + ay[0][0] ** 2)[usable].sum()
             for sign in range(4):
-                _, _, seen_x, x0, tx = across[sign % 2]
-                _, _, seen_y, y0, ty = down[sign // 2]
+                _, _, seen_x, x0, tx = ax[sign % 2]
+                _, _, seen_y, y0, ty = ay[sign // 2]
                 at = np.flatnonzero(seen_x & seen_y)
                 residual = float(len(l) - len(at))  # what leaves the image counts whole
                 if len(at):
-                    x0, y0, tx, ty = x0[at], y0[at], tx[at], ty[at]
-                    i = y0 * w + x0
-                    right, below = (x0 < w - 1).astype(np.int64), np.where(y0 < h - 1, w, 0)
-                    a, c = plane[i], plane[i + below]
-                    top = a + (plane[i + right] - a) * tx
-                    b = top + (c + (plane[i + below + right] - c) * tx - top) * ty
-                    residual += (np.fmin(np.abs(l[at] - b) / 255.0, RESIDUAL_CAP) / RESIDUAL_CAP).sum()
+                    x0, y0, tx, ty, cur = (x0, y0, tx, ty, l) if len(at) == len(l) else (v.take(at) for v in (x0, y0, tx, ty, l))
+                    a, b, c, d = corners.take(y0 * self.width + x0, axis=1)
+                    top = a + (b - a) * tx
+                    r = np.abs(cur - (top + (c + (d - c) * tx - top) * ty))
+                    residual += (np.fmin(r / 255.0, RESIDUAL_CAP) / RESIDUAL_CAP).sum()
                 out[:, 4 * k + sign] = residual, motion
         return out
 
@@ -247,18 +248,30 @@ class FrameErrors:
             plane = np.full(self.width * self.height, np.nan)
             plane[num(luma_cells, "y", np.int64) * self.width + num(luma_cells, "x", np.int64)] = num(luma_cells, "l", np.float64)
             clip = cells["clip_id"][0].as_py()
-            step = max(1024, self.room // 256)
+            corners = self._corners(plane)
+            step = max(1024, self.room // 16384)
             for first in range(0, len(cells), step):
                 part = cells.slice(first, step)
                 y, x, l = (num(part, c, np.float64) for c in ("y", "x", "l"))
                 fwd = num(part, "fwd", bool)
+                known: dict = {}  # positions by axis, slot and direction, for slots that the same cells have
                 for a, b, p in self._slots(part):
+                    cell, regular = p["cell"].to_numpy(), np.array_equal(p["cell"], np.arange(len(part)))
                     for way in (False, True):
-                        q = p[fwd[p["cell"].to_numpy()] == way]
-                        at = q["cell"].to_numpy()
+                        mine = fwd[cell] == way
+                        at = cell[mine]
                         if not len(at):
                             continue
-                        residual, motion = self._pair(plane, y[at], x[at], l[at], q["vx"].to_numpy(), q["vy"].to_numpy())
+
+                        def axis(name, slot, v, pos, which, limit, size, source):
+                            key = (name, slot, way)
+                            if not regular or key not in known:
+                                known[key] = [[self._axis(pos[at], v, s, limit, size, source) for s in (k[which], -k[which])] for k in self.scales]
+                            return known[key] if regular else known.pop(key)
+
+                        across = axis("x", a, p["vx"].to_numpy()[mine], x, 0, self.sw, self.width, self.sw)
+                        down = axis("y", b, p["vy"].to_numpy()[mine], y, 1, self.sh, self.height, self.sh)
+                        residual, motion = self._pair(corners, l[at], across, down)
                         # even ordinals point back, odd ones forward
                         found.append(pd.DataFrame({"clip_id": clip, "x_slot": a, "y_slot": b, "ordinal": 2 * np.arange(len(residual)) + way,
                                                    "residual": residual, "motion": motion, "n": len(at)}))
