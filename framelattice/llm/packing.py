@@ -55,21 +55,27 @@ def pieces(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class PieceIds:
-    """Token ids of texts by their pieces. A piece is known by its hash; new pieces of many texts are encoded in one call; what is known is
-    forgotten when there is too much of it."""
+    """Token ids of texts by their pieces. A piece is known by its hash, in sorted arrays; new pieces go to the tokenizer joined by line
+    feeds, which no piece holds and which are a word of their own; what is known is forgotten when there is too much of it."""
 
-    def __init__(self, tokenizer, most: int = 150_000):
+    def __init__(self, tokenizer, most: int = 600_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.most = tokenizer, most
         # Pieces are lower-case and whole already: they need neither the normaliser nor the splitting pattern, half of the work.
         self.plain = Tokenizer.from_str(tokenizer.to_str())
-        self.plain.normalizer, self.plain.pre_tokenizer = None, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        stop = self.plain.encode("\n", add_special_tokens=False).ids
+        if len(stop) != 1:
+            raise ValueError("a line feed is one token of the vocabulary")
+        self.stop = stop[0]
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[int, int] = {}
-        self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.keys, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     @staticmethod
     def split(chunk: bytes) -> list[str] | None:
@@ -80,18 +86,36 @@ class PieceIds:
         low = text.lower()
         return [low] if low.isalpha() else _PIECES.findall(low)
 
-    def learn(self, keys: list[int], texts: list[list[str]]) -> None:
-        """texts: pieces in a row for each key."""
-        ids = [e.ids for e in self.plain.encode_batch_fast([t for parts in texts for t in parts], add_special_tokens=False)]
-        self.keep(keys, texts, ids)
-
-    def keep(self, keys: list[int], texts: list, ids: list) -> None:
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        parts = np.fromiter(map(len, texts), np.int64, len(texts))
-        ends = np.r_[0, np.cumsum(sizes)][np.cumsum(parts)]
-        self.place.update(zip(keys, range(len(self.ends) - 1, len(self.ends) - 1 + len(keys))))
-        self.flat = np.r_[self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(sizes.sum()))]
-        self.ends = np.r_[self.ends, self.ends[-1] + ends]
+    def learn(self, keys: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray, hard: np.ndarray) -> None:
+        """Ids of the byte ranges of new keys."""
+        low = raw.lower().decode("latin-1")  # ranges that are not hard are ASCII
+        words = [low[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+        parts, odd = np.ones(len(words), np.int64), np.zeros(len(words), bool)
+        for k in np.flatnonzero(hard).tolist():
+            found = self.split(raw[starts[k]:ends[k]])
+            if found is None:
+                odd[k] = True
+            else:
+                words[k], parts[k] = "\n".join(found), len(found)
+        if odd.any():
+            ids = [self.tokenizer.encode(raw[starts[k]:ends[k]].decode("utf-8", "replace"), add_special_tokens=False).ids for k in np.flatnonzero(odd)]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.keep(keys[odd], np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes)
+            words, parts, keys = list(itertools.compress(words, ~odd)), parts[~odd], keys[~odd]
+        if words:
+            joined = ["\n".join(words[k:k + 256]) + "\n" for k in range(0, len(words), 256)]
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.plain.encode_batch_fast(joined, add_special_tokens=False)])
+            stops = ids == self.stop
+            ends = np.r_[0, np.flatnonzero(stops)[np.cumsum(parts) - 1] + 1]  # with the stops of a key's parts
+            self.keep(keys, ids[~stops], np.diff(ends) - parts)
+
+    def keep(self, keys: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> None:
+        """Adds keys with their ids, end to end."""
+        begin = len(self.flat) + np.cumsum(sizes) - sizes
+        order = np.argsort(np.r_[self.keys, keys], kind="stable")
+        self.keys = np.r_[self.keys, keys][order]
+        self.begin, self.size = np.r_[self.begin, begin][order], np.r_[self.size, sizes.astype(np.int32)][order]
+        self.flat = np.r_[self.flat, flat]
 
     def ids(self, body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds of each text in them) of texts laid end to end."""
@@ -104,21 +128,17 @@ class PieceIds:
         for i in np.unique(np.searchsorted(starts, marks, "right") - 1):
             keys[i] ^= np.uint64(zlib.crc32(raw[starts[i]:ends[i]]) << 1)  # its case counts: it may name a special token
         kinds, first, of = np.unique(keys, return_index=True, return_inverse=True)
-        known = kinds.tolist()
-        new = [k for k, key in enumerate(known) if key not in self.place]
-        if len(self.place) + len(new) > self.most:
+        new = np.ones(len(kinds), bool)
+        if len(self.keys):
+            new = self.keys[np.minimum(np.searchsorted(self.keys, kinds), len(self.keys) - 1)] != kinds
+        if len(self.keys) + new.sum() > self.most:
             self.forget()
-            new = range(len(known))
-        if len(new):
-            spans = [raw[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())]
-            parts = [self.split(x) if h else [x.decode().lower()] for x, h in zip(spans, hard[first[new]].tolist())]
-            new = [known[k] for k in new]
-            self.learn([k for k, p in zip(new, parts) if p is not None], [p for p in parts if p is not None])
-            odd = [(k, [x.decode("utf-8", "replace")]) for k, x, p in zip(new, spans, parts) if p is None]
-            if odd:
-                self.keep([k for k, _ in odd], [p for _, p in odd], [self.tokenizer.encode(p[0], add_special_tokens=False).ids for _, p in odd])
-        at = np.fromiter(map(self.place.__getitem__, known), np.int64, len(known))[of]
-        begin, size = self.ends[at], self.ends[at + 1] - self.ends[at]
+            new[:] = True
+        if new.any():
+            at = first[new]
+            self.learn(kinds[new], raw, starts[at], ends[at], hard[at])
+        at = np.searchsorted(self.keys, kinds)[of]
+        begin, size = self.begin[at], self.size[at].astype(np.int64)
         done = np.r_[0, np.cumsum(size)]
         out = self.flat[np.repeat(begin - done[:-1], size) + np.arange(done[-1])]
         return out, done[np.searchsorted(starts, offsets)]

@@ -160,6 +160,26 @@ def test_pieces_encode_as_texts(docs):
             assert [i.tolist() for _, i in c.texts(pa.array([x], pa.string()))] == [ids]
 
 
+def test_pieces_are_learned_once_and_many_at_a_time():
+    """Pieces of 200,000 kinds: the tokenizer sees each once, joined to longer texts."""
+    c = packing.PieceIds(Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")))
+    plain, calls = c.plain, []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **kw):
+            calls.append(len(texts))
+            return plain.encode_batch_fast(texts, **kw)
+
+    c.plain = Counting()
+    letters = "abcdefghijklmnopqrst"
+    kinds = [letters[i % 20] + letters[i // 20 % 20] + letters[i // 400 % 20] + letters[i // 8000 % 25 % 20] + "u" * (i // 160_000) for i in range(200_000)]
+    texts = pa.array([" ".join(kinds[k:k + 100]) for k in range(0, len(kinds), 100)])
+    first = [ids.tolist() for _, ids in c.texts(texts)]
+    assert 0 < sum(calls) <= len(kinds) / 100
+    calls.clear()
+    assert [ids.tolist() for _, ids in c.texts(texts)] == first and not sum(calls)
+
+
 def test_pack_short_sequences_have_little_padding():
     """Segments run out long before tokens do: such a sequence is cut, not padded."""
     out, sums = defaultdict(int), defaultdict(int)
