@@ -136,3 +136,21 @@ def test_forward_motion_is_inverted(cells, plane):
     assert (plane(out, "confidence", 2)[:, 6:] == 1.0).all()
     assert (plane(out, "confidence", 1) == 0.0).all()
     assert (plane(out, "vx", 2)[:, 0] == 0.0).all()  # the fixed point leaves the image there
+
+
+def test_missing_cells_are_no_neighbours_in_frames_of_several_bands(cells):
+    """A lattice with holes repairs as the full one whose hole cells have no say; frames are larger than a task's stretch of rows."""
+    rng = np.random.default_rng(4)
+    w, h = 190, 120
+    v = lambda: rng.integers(-3, 4, (2, h, w)) + 0.25 * rng.integers(0, 2, (2, h, w))
+    hole = rng.random((2, h, w)) < 0.1
+    conf = np.where(hole, 0.0, rng.random((2, h, w)))
+    f = cells(w, h, 2, vx=v(), vy=v(), confidence=conf, visibility=1.0, uncertainty=0.125, hole=hole)
+    depth = cells(w, h, 2, d=0.25 + 0.5 * (np.arange(w) > 70))
+    full = R.repair_rejected(f, w, h, "strong", 2, depth).where("NOT hole").toPandas()
+    part = R.repair_rejected(f.where("NOT hole"), w, h, "strong", 2, depth).toPandas()
+    key = ["frame_no", "y", "x"]
+    full, part = full.sort_values(key).reset_index(drop=True), part.sort_values(key).reset_index(drop=True)
+    assert len(part) == (~hole).sum() and (part["repaired"] == "local").sum() > 1000
+    for c in part.columns:
+        assert (part[c].fillna("") == full[c].fillna("")).all() if c == "repaired" else np.allclose(part[c].astype(float), full[c].astype(float), atol=1e-9)
