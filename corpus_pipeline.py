@@ -48,6 +48,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = base.stored(stage(spark, docs, sf_dir), name)
+    with base.small_batches(spark):
+        for name, stage in STAGES[:-1]:
+            docs = base.stored(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir).withColumn("ids_crc32", F.crc32("ids")).drop("ids")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import uuid
 from collections.abc import Iterator
@@ -35,6 +36,20 @@ def discard(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, records: int = 1000, size: int = 4 << 20) -> Iterator[None]:
+    """What runs inside sends whole texts to Python by so many rows and bytes a batch: executor and worker each hold a batch of each task."""
+    before = {}
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", records), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        before[key] = spark.conf.get(key, None)
+        spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def release() -> None:
     """Give memory that a batch no longer needs back to the system: Python workers live on from task to task."""
     pa.default_memory_pool().release_unused()

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from framelattice.llm import jaccard, mixing, packing, quality, toxicity
 
 from .conftest import SF
@@ -59,3 +60,19 @@ def test_keep_one_repeats(odd):
     kept = [r["doc_id"] for r in jaccard.keep_one(odd, jaccard.Join(words=5, percent=80)).collect()]
     assert Counter(kept) == Counter([1, 2, 3, 4, None, 6, 7, 8, 9])
     assert kept and 5 not in kept
+
+
+def test_stages_send_small_batches(spark, tmp_path, monkeypatch):
+    def sizes(spark, docs, sf_dir):
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64()), pa.array([b""], pa.binary())], ["n", "ids"])
+
+        return docs.select("text").mapInArrow(run, "n long, ids binary")
+
+    spark.range(3000).selectExpr("id AS doc_id", "'a text' AS text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("sizes", sizes), ("last", lambda spark, docs, sf_dir: docs)])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    n = [r["n"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sum(n) == 3000 and max(n) <= 1000
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
