@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -65,10 +65,10 @@ def shard_counts(slots: list[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def permuted(index: pd.Series, size: pd.Series, key: pd.Series) -> pd.Series:
-    """A pseudorandom permutation of 0..size-1 chosen by key: a Feistel network over the next power of four; values beyond
-    the size walk on along their cycle until they fall within."""
-    x, n, seed = index.to_numpy(np.uint64).copy(), size.to_numpy(np.uint64), key.to_numpy(np.int64).view(np.uint64)
+def permuted(index, size, key):
+    """A pseudorandom permutation of 0..size-1 chosen by key, on Arrow arrays or pandas series: a Feistel network over the next power
+    of four; values beyond the size walk on along their cycle until they fall within."""
+    x, n, seed = (np.array(c, np.int64).view(np.uint64) for c in (index, size, key))
     half = np.maximum(1, (np.ceil(np.log2(np.maximum(n, 2).astype(float))).astype(np.int64) + 1) // 2).astype(np.uint64)
     mask = (np.uint64(1) << half) - np.uint64(1)
     todo = np.ones(len(x), bool)
@@ -81,7 +81,12 @@ def permuted(index: pd.Series, size: pd.Series, key: pd.Series) -> pd.Series:
             left, right = right, (left ^ (h ^ (h >> np.uint64(31)))) & mask[todo]
         x[todo] = left << half[todo] | right
         todo = x >= n
-    return pd.Series(x.astype(np.int64))
+    out = x.view(np.int64)
+    return pa.array(out) if isinstance(index, pa.Array) else type(index)(out)
+
+
+def _permute(index: pa.Array, size: pa.Array, key: pa.Array) -> pa.Array:
+    return permuted(index, size, key)
 
 
 def lay_out(docs: DataFrame, how: Mix) -> tuple[DataFrame, DataFrame]:
@@ -106,8 +111,9 @@ def lay_out(docs: DataFrame, how: Mix) -> tuple[DataFrame, DataFrame]:
     shards = max(1, min(how.shards, sum(slots) // 256)) if sum(slots) < how.shards * 4096 else min(8192, sum(slots) // 4096)
     counts = shard_counts(slots, shards, how.seed)
     before = np.vstack([np.zeros((1, len(slots)), np.int64), np.cumsum(counts, 0)])
-    known = spark.createDataFrame([(i, r["source"], s, float(g), b) for i, (r, s, g, b) in enumerate(zip(per, sizes, goal, blocks))],
-                                  "source_no int, source string, source_size long, target double, blocks long")
+    # Arrow tables reach Spark without a Python worker; rows would start one more daemon on the executors, which stays.
+    known = spark.createDataFrame(pa.table({"source_no": pa.array(range(len(per)), pa.int32()), "source": pa.array([r["source"] for r in per], pa.string()),
+                                            "source_size": pa.array(sizes, pa.int64()), "target": pa.array(goal, pa.float64())}))
     first = F.sum("words").over(Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
     starts = sums.select("source", "chunk", F.coalesce(first, F.lit(0)).alias("first")).alias("s").join(
         known.alias("k"), F.col("s.source").eqNullSafe(F.col("k.source"))).select("s.*", "source_no", "source_size", "target")
@@ -117,11 +123,14 @@ def lay_out(docs: DataFrame, how: Mix) -> tuple[DataFrame, DataFrame]:
         F.broadcast(starts).alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.chunk") == F.col("s.chunk")))
     placed = placed.select(*[f"d{k}" for k in range(len(docs.columns))], "size", "source_no", "source_size", "target",
                            (F.col("first") + F.col("within")).alias("start"))
-    drawn = [(k, i, int(before[k, i]), int(counts[k, i]), blocks[i]) for k in range(shards) for i in range(len(slots)) if counts[k, i]]
-    slot = spark.createDataFrame(drawn, "shard int, source_no int, begin long, n long, blocks long").repartition(
+    k, i = np.nonzero(counts)
+    slot = spark.createDataFrame(pa.table({"shard": pa.array(k, pa.int32()), "source_no": pa.array(i, pa.int32()), "begin": pa.array(before[k, i]),
+                                           "n": pa.array(counts[k, i]), "blocks": pa.array(np.array(blocks, np.int64)[i])})).repartition(
         spark.sparkContext.defaultParallelism).select("shard", "source_no", "blocks", F.explode(F.expr("sequence(begin, begin + n - 1)")).alias("k"))
     slot = slot.withColumn("epoch", F.floor(F.col("k") / F.col("blocks"))).withColumn("nth", F.col("k") % F.col("blocks"))
-    slot = slot.withColumn("block", F.pandas_udf(permuted, "long")("nth", "blocks", F.xxhash64("source_no", "epoch", F.lit(how.seed))))
+    # Not deterministic by name: else the join's filter on blocks runs it again, in as many Python workers more.
+    block = F.arrow_udf(_permute, "long").asNondeterministic()
+    slot = slot.withColumn("block", block("nth", "blocks", F.xxhash64("source_no", "epoch", F.lit(how.seed))))
     return placed, slot.select("shard", F.xxhash64("source_no", "k", F.lit(how.seed)).alias("place"), "source_no", "epoch", "block")
 
 

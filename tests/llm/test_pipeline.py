@@ -76,3 +76,14 @@ def test_stages_send_small_batches(spark, tmp_path, monkeypatch):
     n = [r["n"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
     assert sum(n) == 3000 and max(n) <= 1000
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_mixing_starts_one_python_step(spark, docs, monkeypatch):
+    def refused(*args, **kwargs):
+        raise AssertionError("local rows go through Python workers of their own")
+
+    monkeypatch.setattr(spark.sparkContext, "parallelize", refused)
+    _, slots = mixing.lay_out(docs, mixing.Mix())
+    asked = slots.where("block IS NOT NULL").groupBy("source_no", "block").count()
+    assert asked._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert asked.count() > 0
