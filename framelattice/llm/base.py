@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelattice.common import checkpoint_root
+from framelattice.common import stored  # noqa: F401  for the operators
 
 # Java pattern of what lies between words: space, tab, line feed, vertical tab, form feed, return.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -22,14 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{checkpoint_root(spark).rstrip('/')}/llm-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a folder of intermediate data."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

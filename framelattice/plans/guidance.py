@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..common import KEYS
+from ..common import KEYS, stored
 from ..operators import motion as M
 from ..operators import pairs as P
 from ..operators import reliability as R
@@ -30,20 +30,24 @@ def guidance_paths(analysis: DataFrame, segments: DataFrame, width: int, height:
     analysis(vx, vy, raw_vx, raw_vy, confidence, visibility, disocclusion, occlusion, uncertainty). Both
     policies vote over the same repaired field, so it is built once: the aggressive path keeps it, the
     conservative path only steps towards it. The consensus of the aggressive path also sees the depth and the camera motion; frames
-    without a camera fit count as still.
+    without a camera fit count as still. What several consumers read is written once, at once: segments, the field with its depth, the camera
+    and the repaired field. Else each consumer would run the estimator, the scene detection, the fit and the repair anew.
     """
-    cut = segments.select(*KEYS, "cut")
-    live = analysis.join(cut.where("NOT cut").select(*KEYS), list(KEYS), "left_semi")
-    dead = analysis.join(cut.where("cut").select(*KEYS), list(KEYS), "left_semi")
-    model = R.fit_affine_motion(live, width, height, mode, stride)
-    repaired = R.with_repair(live, width, height, mode, step, depth, model)
-    safe = R.safe_policy(repaired, live.columns, width, height, mode)
+    segments = stored(segments, "segments")
+    fields = analysis.join(segments.select(*KEYS, F.col("cut").alias("_cut")), list(KEYS))
+    if depth is not None:
+        fields = fields.join(depth.select(*KEYS, "y", "x", "d"), [*KEYS, "y", "x"], "left")
+    fields = stored(fields, "fields")
+    live, dead = fields.where("NOT _cut").drop("_cut"), fields.where("_cut").drop("_cut")
+    model = stored(R.fit_affine_motion(live, width, height, mode, stride), "camera")
+    repaired = stored(R.with_repair(live, width, height, mode, step, None if depth is None else "d", model), "repaired")
     # nothing is corrected across a cut
-    safe = safe.unionByName(dead.withColumns({"corrected": F.lit(False), "rejected": F.lit(True)}))
+    safe = R.safe_policy(repaired, analysis.columns, width, height, mode)
+    safe = safe.unionByName(dead.select(*analysis.columns).withColumns({"corrected": F.lit(False), "rejected": F.lit(True)}))
     strong = repaired.drop("repaired", "_u0").unionByName(dead)
     fields = ["vx", "vy", "confidence", "visibility", "uncertainty", "disocclusion"]
     if depth is not None:
-        strong = strong.join(depth.select(*KEYS, "y", "x", "d"), [*KEYS, "y", "x"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
+        strong = strong.withColumn("d", F.coalesce("d", F.lit(0.0)))
         fields.append("d")
     planes = S.scene_planes(strong.select(*KEYS, "y", "x", *fields), fields, segments)
     camera = model.select(*KEYS, F.array("vx0").alias("global_x"), F.array("vy0").alias("global_y"))
