@@ -46,7 +46,7 @@ def stream_lost_frames(spark, d):
 @query("g02_stream_consensus", tracks_sql("strong"))
 def stream_consensus(spark, d):
     t = fx.track(spark, d).select("track_id", "frame_no", "vx", "vy", "confidence")
-    out = T.drain(S.stream_consensus(T.as_stream(at_rate(t), 8, end={"ts": END}), "strong"))
+    out = T.drain(S.stream_consensus(T.as_stream(at_rate(t), 8, end={"ts": END}, late="1 minute"), "strong", "1 minute"))
     return out.select("track_id", "frame_no", "history", *[r6(F.col(c)).alias(c) for c in ("blend", "out_vx", "out_vy")])
 
 
@@ -64,7 +64,7 @@ def stream_telemetry(spark, d):
 def stream_progress(spark, d):
     s = stage_log(spark, d)
     s = s.join(s.groupBy("clip_id").agg((F.count(F.lit(1)) + 5).alias("total_frames")), "clip_id").select("clip_id", "frame_no", "total_ms", "total_frames")
-    p = T.drain(S.stream_progress(T.as_stream(at_rate(s), 8, end={"ts": END}), "1 day"))
+    p = T.drain(S.stream_progress(T.as_stream(at_rate(s), 8, end={"ts": END}, late="1 day"), "1 day"))
     return p.select("clip_id", "frame_no", "done", *[r6(F.col(c)).alias(c) for c in ("elapsed_s", "fps", "fraction")],
                     (F.floor(F.col("eta_s") * 1e6 + 0.5) / 1e6).alias("eta_s"))
 

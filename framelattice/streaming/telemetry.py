@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..common import checkpoint_root
+from ..common import checkpoint_root, stored
 from ..operators.telemetry import STAGES
 
 
@@ -61,15 +61,24 @@ def drain(stream: DataFrame, mode: str = "append", transform: Callable[[DataFram
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def as_stream(df: DataFrame, files: int = 4, by: str | None = None, end: dict | None = None) -> DataFrame:
-    """A table written as several files (each key in one, if ``by`` is given) and read back as a file stream, one file per batch.
+def as_stream(df: DataFrame, files: int = 4, by: str | None = None, end: dict | None = None, late: str | None = None) -> DataFrame:
+    """A table written as several files (each key in one, if ``by`` and not ``late`` is given) and read back as a file stream, one file per batch.
 
     end: values of a last row, null elsewhere, in a file after all others: a heartbeat far ahead in event time, which lets the watermark pass
     everything that still waits.
+    late: a row comes less than this after its event time `ts`, and files are ranges of when rows come, written one after the other. A stream
+    that allows as much gives up no row, however long the table is; without it a row may be in any file, so as late as the table is long.
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/source-{uuid.uuid4().hex}"
-    (df.repartition(files, by) if by else df.repartition(files)).write.parquet(path)
+    if late is not None:
+        delay = F.pmod(F.xxhash64(*df.columns), F.lit(1000)) / F.lit(1000.0)
+        comes = df.withColumn("_comes", F.col("ts") + F.expr(f"INTERVAL {late}") * delay).repartitionByRange(files, "_comes")
+        comes = stored(comes.withColumn("_file", F.spark_partition_id()).drop("_comes"), "arrivals")
+        for i in range(files):
+            comes.where(F.col("_file") == i).drop("_file").coalesce(1).write.mode("append").parquet(path)
+    else:
+        (df.repartition(files, by) if by else df.repartition(files)).write.parquet(path)
     if end is not None:
         spark.createDataFrame([tuple(end.get(f.name) for f in df.schema)], T.StructType([T.StructField(f.name, f.dataType) for f in df.schema])).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)

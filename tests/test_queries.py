@@ -66,6 +66,28 @@ def test_streams_lose_nothing(spark):
     assert all(abs(a.out_vx - b.out_vx) < 1e-9 and a.history == b.history for a, b in zip(out, want))
 
 
+@pytest.mark.parametrize("name", ["g02_stream_consensus", "g03_stream_progress"])
+def test_streams_of_long_tables_equal_sql(spark, tmp_path, name):
+    """Tracks of two minutes, clips of two days: longer than these streams wait for a row."""
+    con, events = duckdb.connect(), f"{tmp_path}/events.parquet"
+    con.execute(f"COPY (SELECT * REPLACE (event_id * 500 AS event_id, user_id % 3 AS user_id) FROM '/root/testdata/sf0.01/events.parquet') TO '{events}'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{events}'")
+    assert same(entry.queries()[name](spark, str(tmp_path)).toPandas(), con.execute(entry.oracle_sql()[name]).df()) == ""
+
+
+def test_files_follow_the_arrival_of_rows(spark):
+    """No row comes in a file after one whose latest event is a minute or more beyond it; no row is lost, none comes twice."""
+    from framelattice.streaming import telemetry as T
+
+    df = stamped(spark.range(3000).select(F.col("id").alias("frame_no"))).repartition(4)
+    stream, seen = T.as_stream(df, 5, end=END, late="1 minute"), []
+    each = lambda b, _: seen.append(sorted(r.frame_no for r in b.collect() if r.frame_no is not None))
+    stream.writeStream.foreachBatch(each).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(f for b in seen for f in b) == list(range(3000)) and seen[-1] == []
+    assert all(later[0] > earlier[-1] - 60 for earlier, later in zip(seen, seen[1:-1]))
+    assert any(later[0] < earlier[-1] for earlier, later in zip(seen, seen[1:-1]))  # rows still come out of order
+
+
 def test_frames_later_than_allowed_are_published(spark, tmp_path):
     """Frame 2 comes when frames far beyond it have: it was given up, and is a row of its own; a repeat of it is not."""
     from framelattice.streaming import stateful as S
